@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest id."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), shingle=5)
+    """Of each group of documents with a similarity of 0.8 or more the one with the smallest id."""
+    groups = simhash.similar_groups(docs.select("doc_id", "text"))
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 

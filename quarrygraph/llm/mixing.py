@@ -8,7 +8,8 @@ source and size only, every sum runs over the table of (source, size) with its c
 aggregated once.  Newton starts on the target's side that makes it monotone for cap 2.
 
 Rates become whole copies by systematic rounding along each source's sizes: neighbours in that order
-are alike in size, so the rounding's error in tokens stays about one document's size per source.
+are alike in size, so the rounding's error in tokens stays about one document's size per source, and
+a few single copies then settle it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ CAP = 2.0
 NEWTON_ROUNDS = 12
 STEPS_PER_ROUND = 4
 TOLERANCE = 1e-10
+SETTLE = 3
 _UNIT = 1_000_000
 
 
@@ -95,12 +97,23 @@ def copies(sized: DataFrame, id_col: str = "doc_id", weights: tuple[float, ...]
     c = c.withColumn("rate", F.when(F.col("lam").isNull(), full).otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean"), cap)))
     # whole units, so that neither the order of additions nor the last bit of lambda matters
     c = c.withColumn("units", F.least(F.round(F.col("rate") * _UNIT), F.lit(cap * _UNIT)).cast("long"))
-    c = c.withColumn("whole", F.floor(F.col("units") / _UNIT)).withColumn("part", F.col("units") % _UNIT)
+    c = c.withColumn("part", F.col("units") % _UNIT)
     along = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("upto", F.sum(F.col("part") * F.col("n")).over(along))
     half = _UNIT // 2
     more = F.floor((F.col("upto") + half) / _UNIT) - F.floor((F.col("upto") - F.col("part") * F.col("n") + half) / _UNIT)
-    c = c.select(F.col("source").alias("of"), F.col("size").alias("of_size"), "n", "source_size", "target", "whole", more.alias("more"))
+    c = c.withColumn("total", (F.floor(F.col("units") / _UNIT) * F.col("n") + more).cast("long"))
+    # what rounding left over: a copy more or less of the size that comes nearest to it, a few times
+    whole_source = Window.partitionBy("source")
+    for _ in range(SETTLE):
+        over = F.sum(F.col("total") * F.col("size")).over(whole_source) - F.col("target")
+        step = -F.signum(over)
+        able = (F.col("total") + step >= 0) & (F.col("total") + step <= cap * F.col("n"))
+        gain = F.abs(over) - F.abs(over + step * F.col("size"))
+        best = F.max(F.when(able & (gain > 0), F.struct(gain.alias("gain"), F.col("size")))).over(whole_source)
+        c = c.withColumn("total", F.col("total") + F.when(best["size"] == F.col("size"), step).otherwise(0).cast("long"))
+    whole = F.floor(F.col("total") / F.col("n"))
+    c = c.select(F.col("source").alias("of"), F.col("size").alias("of_size"), "n", "source_size", "target", whole.alias("whole"), (F.col("total") - whole * F.col("n")).alias("more"))
     c = shared.materialise(c, "rates")
     rows = sized.join(c, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size"))).drop("of", "of_size")
     # which of a cell's n documents get the copy more: the first by hash; a large cell is cut into

@@ -7,8 +7,8 @@ before) and takes the Viterbi path under a character trigram model.  The trigram
 all documents; words, their prefixes and the decoded words are then looked up in one table.
 
 The classifier is fitted on at most ``SAMPLE`` labelled documents (the first ones by a hash of the
-id): two parts of three give each word and prefix its smoothed log odds, the rest a logistic curve
-over the strongest odds of a document.  No label, language, source or id is an input of a score.
+id).  They give each word and prefix its smoothed log odds, and a logistic curve over the strongest
+odds of a document; for the curve each of three parts is judged by the odds of the other two.  No label, language, source or id is an input of a score.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from . import shared
 
 SAMPLE = 20_000
 FEATURES = 100_000
-LEAST_DOCS = 3
+LEAST_DOCS = 2
+PARTS = 3
 PREFIXES = (3, 4, 5, 6)
 #: Characters and the letters that they are written for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -198,7 +199,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> list[float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> list[float]:
     """Newton's method with a ridge on all but the constant."""
     x = np.hstack((np.ones((len(x), 1)), x))
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -219,23 +220,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0))
     known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)  # the documented bound
-    rows = docs.join(F.broadcast(known), id_col).select(F.col(id_col).alias("id"), F.col(text).cast("string").cast("binary").alias("raw"), "y")
-    rows = shared.materialise(rows, "labelled")
-    part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3))
+    rows = docs.join(F.broadcast(known), id_col).select(F.col(id_col).alias("id"), F.col(text).cast("string").cast("binary").alias("raw"), (F.col("y") > 0).cast("int").alias("y"))
+    rows = shared.materialise(rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(PARTS)).cast("int")), "labelled")
 
     def words(batches):
         decoder = Decoder(counts)
-        both: list[Counter] = [Counter(), Counter()]
+        found: Counter = Counter()
         memo: dict[bytes, list[str]] = {}
 
         def emit():
-            names = list(both[0].keys() | both[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([both[1][n] for n in names], pa.int64()), pa.array([both[0][n] for n in names], pa.int64())], names=["f", "c1", "c0"])
-            both[0].clear()
-            both[1].clear()
+            f, p, y = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(p, pa.int32()), pa.array(y, pa.int32()), pa.array(list(found.values()), pa.int64())], names=["f", "part", "y", "n"])
+            found.clear()
 
         for b in batches:
-            for raw, y in zip(b.column("raw").to_pylist(), b.column("y").to_pylist()):
+            for raw, y, p in zip(b.column("raw").to_pylist(), b.column("y").to_pylist(), b.column("part").to_pylist()):
                 raw = raw or b""
                 seen: set[str] = set()
                 for t in set(raw.split()):
@@ -246,32 +245,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                     seen.update(memo[t])
                 for t in set(spaced(raw)):
                     seen.update(features(decoder.decode(t)))
-                both[y > 0].update(seen)
-            if len(both[0]) + len(both[1]) > 500_000:
+                found.update((f, p, y) for f in seen)
+            if len(found) > 500_000:
                 yield from emit()
         yield from emit()
 
-    first = rows.filter(part != 0)
-    size = {r.y: r.n for r in first.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    grams = first.select("raw", "y").mapInArrow(words, "f string, c1 long, c0 long").groupBy("f").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
-    odds_of = F.log((F.col("c1") + 0.5) / (n1 + 1.0)) - F.log((F.col("c0") + 0.5) / (n0 + 1.0))
-    best = grams.filter(F.col("c1") >= LEAST_DOCS).withColumn("v", odds_of).filter("v > 0.5").orderBy(F.desc("v"), "f").limit(FEATURES)
-    odds = {r.f: r.v for r in best.collect()}
-    model = Model(counts, odds, [-30.0, 0.0, 0.0, 0.0])
-    if not odds:
+    size = np.zeros((PARTS, 2))
+    for r in rows.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).collect():
+        size[r.part, r.y] = r.n
+    cells = [(p, y) for p in range(PARTS) for y in (0, 1)]
+    of_cell = [F.sum(F.when((F.col("part") == p) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{p}{y}") for p, y in cells]
+    grams = rows.select("raw", "y", "part").mapInArrow(words, "f string, part int, y int, n long").groupBy("f").agg(*of_cell)
+    toxic, clean = (sum((F.col(f"n{p}{y}") for p in range(1, PARTS)), F.col(f"n0{y}")) for y in (1, 0))
+    grams = grams.withColumn("v", F.log((toxic + 0.5) / (size[:, 1].sum() + 1)) - F.log((clean + 0.5) / (size[:, 0].sum() + 1)))
+    best = grams.filter((toxic >= LEAST_DOCS) & (F.col("v") > 0.5)).orderBy(F.desc("v"), "f").limit(FEATURES).toArrow()
+    names = best["f"].to_pylist()
+    n = np.array([best[f"n{p}{y}"].to_numpy() for p, y in cells], float).reshape(PARTS, 2, -1)
+
+    def odds_without(part: int | None) -> dict[str, float]:
+        use = [p for p in range(PARTS) if p != part]
+        c, s = n[use].sum(axis=0), size[use].sum(axis=0)
+        v = np.log((c[1] + 0.5) / (s[1] + 1)) - np.log((c[0] + 0.5) / (s[0] + 1))
+        good = np.flatnonzero((v > 0.5) & (c[1] >= LEAST_DOCS))
+        return {names[i]: float(v[i]) for i in good}
+
+    model = Model(counts, odds_without(None), [-30.0, 0.0, 0.0, 0.0])
+    if not model.odds:
         return model
+    others = [odds_without(p) for p in range(PARTS)]
 
     def strength(batches):
-        scorer = model.scorer()
+        decoder = Decoder(counts)
+        scorers = [Scorer(o, decoder) for o in others]
         for b in batches:
-            x = [scorer.of_text(t) for t in b.column("raw").to_pylist()]
+            x = [scorers[p].of_text(t) for t, p in zip(b.column("raw").to_pylist(), b.column("part").to_pylist())]
             cols = list(zip(*x)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in cols] + [b.column("y")], names=["a", "b", "c", "y"])
 
-    rest = rows.filter(part == 0).select("raw", "y").mapInArrow(strength, "a double, b double, c double, y int").collect()
-    x, y = np.array([[r.a, r.b, r.c] for r in rest]).reshape(-1, 3), np.array([r.y > 0 for r in rest], float)
-    if len(x) and 0 < y.sum() < len(y):
+    judged = rows.mapInArrow(strength, "a double, b double, c double, y int").toArrow()
+    x, y = np.stack([judged[c].to_numpy() for c in "abc"], axis=1), judged["y"].to_numpy().astype(float)
+    if 0 < y.sum() < len(y):
         model.curve = logistic(x, y)
     else:
         model.curve = [-4.0, 1.0, 0.0, 0.0]
