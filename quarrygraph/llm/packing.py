@@ -21,7 +21,7 @@ from .differencing import spread_numbers
 
 CAPACITY = 4096
 END = 2
-BIN_TOKENS = 1 << 20
+BIN_TOKENS = 1 << 19
 MEMO = 500_000
 
 
@@ -145,7 +145,7 @@ def assign(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, bin
     ``sequence_id`` is unique, though not gapless over all bins: bin number times 2^32 plus window.
     """
     total = cut.agg(F.sum("length").alias("n")).first()["n"] or 0
-    bins = max(96, -(-total // bin_tokens))
+    bins = max(1, -(-total // bin_tokens))
     order = [c for c in (id_col, "start", "length", "ids_crc32", "doc_tokens")]
     dealt = cut.withColumn("_bin", F.pmod(F.xxhash64(*order), F.lit(bins)).cast("int"))
     schema = cut.schema.add("sequence_id", "long").add("offset", "long")

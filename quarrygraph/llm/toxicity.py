@@ -41,6 +41,7 @@ _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
 _MARKS = "".join(sorted(set(SEPARATORS) | set(LOOKS_LIKE)))
 _LETTERS = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"(.)\1*", re.S)
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(rb"(?<!\S)(?:[0-9A-Za-z@$!|+(]\s{1,2}){2,}[0-9A-Za-z@$!|+(](?!\S)")
 _ODD = re.compile(r"[a-z][^a-z\s]+[a-z]|[0-9@$!|+(€]+[a-z]{2}|[a-z]{2}[0-9@$|+(€]", re.A)
@@ -70,7 +71,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 class Decoder:
     """Viterbi decoding of character lattices under trigrams."""
 
-    KEEP, SWAP, DROP, REPEAT = -0.1, -1.0, -1.5, -1.2
+    KEEP, SWAP, DROP, REPEAT, LOSE = -0.1, -1.0, -1.5, -1.2, -7.0
 
     def __init__(self, counts: np.ndarray):
         two = counts.sum(axis=2, keepdims=True)
@@ -79,21 +80,22 @@ class Decoder:
         self.log = np.log((counts + 5.0 * back) / (two + 5.0)).tolist()
 
     def readings(self, token: str) -> list[list[tuple[str, float]]]:
-        out, before = [], ""
-        for ch in token:
-            if ch.isalpha():
-                options = [(ch, self.KEEP)]
-                if ch == before:
-                    options.append(("", self.REPEAT))
-            elif ch in LOOKS_LIKE:
-                options = [(c, self.SWAP) for c in LOOKS_LIKE[ch]]
-                options.append(("", 2 * self.DROP if ch not in "!|" else self.DROP))
-                if ch == before:
-                    options.append(("", self.REPEAT))
-            else:
-                options = [("", self.DROP)]
-            before = ch
-            out.append(options)
+        """For each character its letters with their costs; an empty string drops it."""
+        out = []
+        for run in _RUN.finditer(token):
+            ch, n = run.group()[0], len(run.group())
+            for i in range(n):
+                if ch.isalpha():
+                    options = [(ch, self.KEEP)]
+                    drop = self.REPEAT if i and n > 2 else None
+                elif ch in LOOKS_LIKE:
+                    options = [(c, self.SWAP) for c in LOOKS_LIKE[ch]]
+                    drop = self.REPEAT if i else self.DROP if ch in "!|" else self.LOSE
+                else:
+                    options, drop = [], self.DROP
+                if drop is not None:
+                    options.append(("", drop))
+                out.append(options)
         return out
 
     def decode(self, token: str) -> str:
@@ -199,16 +201,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> list[float]:
-    """Newton's method with a ridge on all but the constant."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 100) -> list[float]:
+    """Newton's method with a ridge on all but the constant; a step is halved until it is a gain."""
     x = np.hstack((np.ones((len(x), 1)), x))
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[0] = 1e-3
+    penalty[0] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * penalty @ (w * w))
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (y - p) - penalty * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), gradient)
-        w = w + np.clip(step, -2, 2)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), gradient)
+        while (then := loss(w + step)) > now and np.abs(step).max() > 1e-10:
+            step = step / 2
+        w, now = w + step, min(now, then)
         if np.abs(step).max() < 1e-8:
             break
     return w.tolist()
