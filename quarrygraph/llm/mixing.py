@@ -144,17 +144,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix itself: ``docs`` with each row as often as it is taken, columns unchanged."""
-    sized = docs.select(F.col(id_col), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("\0h"))
-    rows = copies(shared.materialise(sized, "sized"), id_col, **how)
-    # equal rows may differ in copies: what matters is how often each of them occurs in all
-    per_row = rows.groupBy(id_col, "source", "\0h").agg(F.sum("copies").alias("\0copies"), F.count(F.lit(1)).alias("\0rows"))
-    per_row = per_row.select(F.col(id_col).alias("\0id"), F.col("source").alias("\0source"), F.col("\0h"), F.col("\0copies"), F.col("\0rows"))
-    keyed = docs.withColumn("\0k", F.xxhash64(text))
-    joined = keyed.join(per_row, F.col(id_col).eqNullSafe(F.col("\0id")) & F.col(source).eqNullSafe(F.col("\0source")) & (F.col("\0k") == F.col("\0h")))
+    """The mix itself: ``docs`` with each row as often as it is taken, columns unchanged.
+
+    Rows equal in id, source and text share their copies as evenly as whole numbers allow.
+    """
+    to_id, to_source, to_hash, all_copies, all_rows, my_hash, nth = (shared.spare(docs, f"mix_{x}_") for x in ("id", "source", "hash", "copies", "rows", "my_hash", "nth"))
+    sized = docs.select(F.col(id_col).alias(to_id), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias(to_hash))
+    rows = copies(shared.materialise(sized, "sized"), to_id, **how).withColumnRenamed("source", to_source)
+    per_row = rows.groupBy(to_id, to_source, to_hash).agg(F.sum("copies").alias(all_copies), F.count(F.lit(1)).alias(all_rows))
+    keyed = docs.withColumn(my_hash, F.xxhash64(text))
+    joined = keyed.join(per_row, F.col(id_col).eqNullSafe(F.col(to_id)) & F.col(source).eqNullSafe(F.col(to_source)) & (F.col(my_hash) == F.col(to_hash)))
     # only rows that repeat need numbers; the rest pass without another shuffle of their texts
-    nth = F.row_number().over(Window.partitionBy(id_col, source, "\0k").orderBy(F.lit(1)))
-    single = joined.filter(F.col("\0rows") == 1).withColumn("\0n", F.lit(1))
-    joined = single.union(joined.filter(F.col("\0rows") > 1).withColumn("\0n", nth))
-    times = (F.floor(F.col("\0copies") / F.col("\0rows")) + (F.col("\0n") <= F.col("\0copies") % F.col("\0rows")).cast("int")).cast("int")
-    return joined.withColumn("\0times", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    number = F.row_number().over(Window.partitionBy(id_col, source, my_hash).orderBy(F.lit(1)))
+    single = joined.filter(F.col(all_rows) == 1).withColumn(nth, F.lit(1))
+    joined = single.union(joined.filter(F.col(all_rows) > 1).withColumn(nth, number))
+    times = (F.floor(F.col(all_copies) / F.col(all_rows)) + (F.col(nth) <= F.col(all_copies) % F.col(all_rows)).cast("int")).cast("int")
+    return joined.withColumn(nth, F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)

@@ -95,6 +95,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     """Write ``docs`` with a folder per shard; a group's rows end up in one of them."""
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     of_group = groups_to_shards(shared.materialise(tagged(docs, id_col, text), "tagged"), shards)
-    keyed = docs.withColumn("\0group", F.unhex(F.sha1(body)))
-    joined = keyed.join(of_group.withColumnRenamed("group", "\0group"), "\0group").drop("\0group")
+    group = shared.spare(docs, "group_")
+    keyed = docs.withColumn(group, F.unhex(F.sha1(body)))
+    joined = keyed.join(of_group.withColumnRenamed("group", group), group).drop(group)
     joined.write.partitionBy("shard").parquet(path)

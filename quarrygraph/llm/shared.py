@@ -66,6 +66,14 @@ def block_of(n: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class WordHash(dict):
     """Memo of XXH3-64 by word (bytes); emptied when full, so that its memory stays bounded."""
 

@@ -129,27 +129,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, pe
     docs = docs.drop(*added)
     n = shared.block_count(docs, text)
     keys = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    # "\0block" can't clash: no column of documents starts with a zero byte
-    blocks = docs.withColumn("\0block", shared.block_of(n, *keys))
-    texts = blocks.select(F.col("\0block").alias("block"), F.col(text).cast("string").alias("text"))
+    block = shared.spare(docs, "block_")
+    # all three hops start from this one table, so that its texts are shuffled once
+    blocks = docs.withColumn(block, shared.block_of(n, *keys))
 
     def first_hop(t: pa.Table) -> pa.Table:
-        b = Block(shared.column_bytes(t["text"]))
+        b = Block(shared.column_bytes(t[text]))
         where = b.anchors(period, cover, width)
-        return _distinct(t["block"][0].as_py(), *b.hashes(where, width), n)
+        return _distinct(t[block][0].as_py(), *b.hashes(where, width), n)
 
     def second_hop(t: pa.Table, hits: pa.Table) -> pa.Table:
         if not t.num_rows or not hits.num_rows:
             return pa.Table.from_batches([], pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary()), ("n", pa.int64())]))
-        b = Block(shared.column_bytes(t["text"]))
+        b = Block(shared.column_bytes(t[text]))
         where = b.anchors(period, cover, width)
         known, _ = shared.joined_answers(hits, np.uint8)
         where = where[shared.look_up(known, b.hashes(where, width)[0]) >= 0]
         starts = b.around(where, window, period)
-        return _distinct(t["block"][0].as_py(), *b.hashes(starts, window), n)
+        return _distinct(t[block][0].as_py(), *b.hashes(starts, window), n)
 
     fields = [f for f in blocks.schema.fields]
-    out_schema = "struct<" + ",".join([f"`{f.name}`:{f.dataType.simpleString()}" for f in fields if f.name != "\0block"] + ["n_words:bigint", "n_removed:bigint", "kept_text:string"]) + ">"
+    out_schema = "struct<" + ",".join([f"`{f.name}`:{f.dataType.simpleString()}" for f in fields if f.name != block] + ["n_words:bigint", "n_removed:bigint", "kept_text:string"]) + ">"
 
     def third_hop(t: pa.Table, hits: pa.Table) -> pa.Table:
         b = Block(shared.column_bytes(t[text]))
@@ -165,12 +165,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, pe
                 off = gone[b.start[i] : b.start[i + 1]].tolist()
                 words = [w for w, x in zip(words, off) if not x]
             kept.append(b" ".join(words))
-        out = t.drop_columns(["\0block"])
+        out = t.drop_columns([block])
         out = out.append_column("n_words", pa.array(b.count, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
         return out.append_column("kept_text", pa.array(kept, pa.binary()).cast(pa.string()))
 
-    anchors = texts.groupBy("block").applyInArrow(first_hop, shared.PACKED)
+    anchors = blocks.groupBy(block).applyInArrow(first_hop, shared.PACKED)
     hits = anchors.groupBy("bucket").applyInArrow(_repeated, shared.ANSWER)
-    windows = texts.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(second_hop, shared.PACKED)
+    windows = blocks.groupBy(block).cogroup(hits.groupBy("block")).applyInArrow(second_hop, shared.PACKED)
     again = windows.groupBy("bucket").applyInArrow(_repeated, shared.ANSWER)
-    return blocks.groupBy("\0block").cogroup(again.groupBy("block")).applyInArrow(third_hop, out_schema)
+    return blocks.groupBy(block).cogroup(again.groupBy("block")).applyInArrow(third_hop, out_schema)

@@ -44,7 +44,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1*", re.S)
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(rb"(?<!\S)(?:[0-9A-Za-z@$!|+(]\s{1,2}){2,}[0-9A-Za-z@$!|+(](?!\S)")
-_ODD = re.compile(r"[a-z][^a-z\s]+[a-z]|[0-9@$!|+(€]+[a-z]{2}|[a-z]{2}[0-9@$|+(€]", re.A)
+_ODD = re.compile(rf"[^\W\d_][{re.escape(_MARKS)}]+[^\W\d_]|[0-9@$!|+(€]+[^\W\d_]{{2}}|[^\W\d_]{{2}}[0-9@$|+(€]")
 
 
 def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -127,6 +127,8 @@ def suspicious(token: str) -> bool:
 
 def restored(token: str, decoder: Decoder) -> list[str]:
     """The letter runs of a lower-case token, and its decoded form if it looks obfuscated."""
+    if token.isalpha() and not _THRICE.search(token):
+        return [token]
     words = _LETTERS.findall(token)
     if suspicious(token):
         core = token.strip(SEPARATORS + "\"?)[]{}<>«»“”")
