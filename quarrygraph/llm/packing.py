@@ -10,6 +10,7 @@ Bins are independent tasks; their number grows with the input.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,63 +23,41 @@ from .differencing import spread_numbers
 CAPACITY = 4096
 END = 2
 BIN_TOKENS = 1 << 19
-MEMO = 500_000
+MEMO = 400_000
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of a text as little-endian 32-bit words, remembered by white-space-free chunk.
 
     The tokenizer must drop white space and treat what stands between as if it stood alone, as word
     BPE with pre-splitting at white space does; ``exact`` encodes whole texts for any other one.
+    The memo is emptied when full; frequent chunks are back at once.
     """
 
     def __init__(self, path: str, exact: bool = False):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.exact = exact
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        if self.exact:
-            return self._ids([t or "" for t in texts])
-        # ASCII white space only: str.split() would also part at separators that a pattern keeps
-        chunks = [(t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
-        memo, out = self.memo, []
-        for group in _groups(chunks, 400_000):
-            new = set()
-            for c in group:
-                new.update(c)
-            new.difference_update(memo)
-            if new:
-                if len(memo) + len(new) > MEMO:
-                    # what this group uses stays: frequent words are in every group
-                    kept = {w: memo[w] for w in set().union(*group) - new}
-                    memo.clear()
-                    memo.update(kept)
-                words = list(new)
-                for i in range(0, len(words), 20_000):
-                    memo.update(zip(words[i : i + 20_000], self._ids(words[i : i + 20_000])))
-            out += [b"".join(map(memo.__getitem__, c)) for c in group]
-        return out
-
-
-def _groups(chunks: list[list[str]], most: int):
-    held, n = [], 0
-    for c in chunks:
-        held.append(c)
-        n += len(c)
-        if n >= most:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        ids = self[chunk] = self.whole(chunk)
+        return ids
+
+    def ids(self, text: str | None) -> bytes:
+        text = text or ""
+        # split() also parts at the separators 1C to 1F, which are not white space to a tokenizer
+        if self.exact or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -110,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         enc = encoder(tokenizer, exact)
         for b in batches:
             out = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens", "tail", "ids")}
-            for row, ids in enumerate(enc.batch(b.column("text").to_pylist())):
+            for row, ids in enumerate(map(enc.ids, b.column("text").to_pylist())):
                 ids += last
                 n = len(ids) // 4
                 for a in range(0, n, capacity):

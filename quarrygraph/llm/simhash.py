@@ -30,7 +30,8 @@ SHINGLE = 3
 SEED = 42
 CHUNK = 512
 SIMILARITY = 0.8
-_PAIRS_AT_ONCE = 1 << 17
+_PAIRS_AT_ONCE = 1 << 15
+_WORDS_AT_ONCE = 1 << 12
 
 
 def shingle_hashes(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -198,9 +199,11 @@ def bucket_links(fps: np.ndarray, size: np.ndarray, radius: int) -> np.ndarray:
             near = within(planes[:, part], fps[np.minimum(ask, len(fps) - 1)], radius) & valid[part][:, None]
             near[~there] = 0
             u, q = np.nonzero(near)
-            bits = np.unpackbits(near[u, q].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            hit, j = np.nonzero(bits)
-            forest.link(ask[u[hit], q[hit]], at[part][u[hit]] + j)
+            for i in range(0, len(u), _WORDS_AT_ONCE):  # where all are alike a word is 64 links
+                v, w = u[i : i + _WORDS_AT_ONCE], q[i : i + _WORDS_AT_ONCE]
+                bits = np.unpackbits(near[v, w].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                hit, j = np.nonzero(bits)
+                forest.link(ask[v[hit], w[hit]], at[part][v[hit]] + j)
     return forest.roots()
 
 
