@@ -78,7 +78,7 @@ QUERIES = {
     "op10_arc_to_warc": arc_to_warc,
 }
 
-_WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"""
+_WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
 SUBSTRING_SQL = f"""
 with words as materialized (
@@ -93,7 +93,7 @@ windows as materialized (
 lost as (select r, list(p order by p) as ps, count(*) as k from gone group by r)
 select doc_id, n as n_words, coalesce(k, 0) as n_removed,
   sha256(array_to_string(case when k is null then w else
-    list_transform(list_filter(range(1, n + 1), i -> not list_contains(ps, i)), i -> w[i]) end, ' ')) as kept_sha256
+    list_transform(list_filter(range(1, n + 1), lambda i: not list_contains(ps, i)), lambda i: w[i]) end, ' ')) as kept_sha256
 from numbered left join lost using (r)
 """
 
