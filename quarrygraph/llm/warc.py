@@ -7,8 +7,8 @@ place and content, a date from the 14 digits, a type, and a payload digest.  Of
 payloads of ``least`` bytes or more the one with the largest key stays a response; the others
 become revisits that name it and carry no payload.
 
-Containers are rows of a table (``name``, ``content``: one gzip member per record), written by
-Spark, so that any store will do.  Fixed values are those of the formats: ARC's URL records have
+Containers are rows of a table (``name``, ``content``), written by Spark, so that any store will do:
+plain ARC, which the table compresses, and WARC with one gzip member per record.  Fixed values are those of the formats: ARC's URL records have
 five fields in version 1 and ten in version 2.
 """
 
@@ -78,39 +78,49 @@ def arc_record(version: int, name: str, offset: int, key: str, url: str | None,
     return b"%s 0.0.0.0 %s text/html%s %d\n%s\n" % (url_field(url), _STAMP.encode(), more, len(body), body)
 
 
+def _line(content: bytes, at: int) -> tuple[bytes, int]:
+    end = content.find(b"\n", at)
+    if end < 0:
+        raise ValueError("container cut short")
+    return content[at:end], end + 1
+
+
 def parse_arc(content: bytes) -> Iterator[dict]:
     """Records of a container: key, url, date (ISO), mime, place, http (header block), payload."""
-    parts = members(content)
-    head = next(parts)
-    line, _, rest = head.partition(b"\n")
+    line, at = _line(content, 0)
     if not line.startswith(b"filedesc://"):
         raise ValueError("no version block")
-    block = rest[: int(line.rsplit(b" ", 1)[1])]
+    n = int(line.rsplit(b" ", 1)[1])
+    block = content[at : at + n]
+    at += n + 1
     version = int(block.split(b" ", 1)[0])
     fields = block.split(b"\n")[1].split()
     if fields != FIELDS.get(version):
         raise ValueError(f"unknown header line of version {version}")
     name = line.split(b" ", 1)[0].removeprefix(b"filedesc://").decode()
-    for place, raw in enumerate(parts):
-        line, _, rest = raw.partition(b"\n")
+    url, when, kind, length = (fields.index(x) for x in (b"URL", b"Archive-date", b"Content-type", b"Archive-length"))
+    place = 0
+    while at < len(content):
+        line, at = _line(content, at)
         values = line.split(b" ")
         if len(values) != len(fields):
             raise ValueError("header line with other fields than its version has")
-        f = dict(zip(fields, values))
-        n = int(f[b"Archive-length"])
-        body = rest[:n]
-        if len(body) != n or rest[n:] != b"\n":
+        n = int(values[length])
+        end = at + n
+        if content[end : end + 1] != b"\n":
             raise ValueError("declared length differs")
-        http, found, payload = body.partition(b"\r\n\r\n")
-        d = f[b"Archive-date"].decode()
-        date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-        key = next((h[7:].decode() for h in http.split(b"\r\n") if h.startswith(b"X-Key: ")), "")
-        yield {"key": key, "url": f[b"URL"].decode(), "date": date, "mime": f[b"Content-type"].decode(), "place": f"{name}#{place}", "http": http, "payload": payload if found else body}
+        cut = content.find(b"\r\n\r\n", at, end)
+        http, payload = (content[at:cut], content[cut + 4 : end]) if cut >= 0 else (b"", content[at:end])
+        d = values[when].decode()
+        key = http.find(b"\r\nX-Key: ")
+        key = http[key + 9 :].split(b"\r\n", 1)[0].decode() if key >= 0 else ""
+        yield {"key": key, "url": values[url].decode(), "date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", "mime": values[kind].decode(), "place": f"{name}#{place}", "http": http, "payload": payload}
+        at, place = end + 1, place + 1
 
 
 def warc_record(r: dict, refers_to: str | None) -> bytes:
     """A response, or a revisit without payload that names the response it repeats."""
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{r['place']} {r['key']} {r['digest']}")
+    ident = uuid.UUID(bytes=hashlib.md5(f"{r['place']} {r['key']} {r['digest']}".encode()).digest())
     body = r["http"] + b"\r\n\r\n" + (b"" if refers_to is not None else r["payload"])
     head = [
         "WARC/1.1",
@@ -180,8 +190,8 @@ def write_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                     version = 1 + made % 2
                     # a retried task names its containers as before
                     name = f"{hashlib.sha1(f'{k} {u}'.encode()).hexdigest()[:16]}-{part}-{made}.arc"
-                    held.append(_gz(arc_head(version, name)))
-                held.append(_gz(arc_record(version, name, size, "" if k is None else k, u, h or b"")))
+                    held.append(arc_head(version, name))
+                held.append(arc_record(version, name, size, "" if k is None else k, u, h or b""))
                 size += len(held[-1])
                 if size >= PER_CONTAINER:
                     yield _table([(name, b"".join(held))])
@@ -232,7 +242,8 @@ def revisits(index: DataFrame, key_type: str = "long", least: int = LEAST) -> Da
 
 def convert(arcs: DataFrame, key_type: str = "long", least: int = LEAST) -> DataFrame:
     """WARC containers for ARC containers: every record once, as response or revisit."""
-    found = shared.materialise(revisits(read_arc(arcs, with_payload=False), key_type, least), "revisits")
+    index = shared.materialise(read_arc(arcs, with_payload=False), "index")
+    found = shared.materialise(revisits(index, key_type, least), "revisits")
     joined = read_arc(arcs).join(found, "place", "left")
 
     def run(batches):
