@@ -136,6 +136,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     A null text has size 0; a null source is a source of its own, last in order.  Documents of size
     0 are taken at whatever rate the tilt gives size 0 and add no words.  Ties in size are broken by
     a hash of the id, then the id; repeated rows are documents of their own and interchangeable.
+    Copies are whole, so a source's taken words miss its target by less than its largest document.
     Other columns are not read.  An empty table gives an empty one.
     """
     sized = docs.select(F.col(id_col), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
