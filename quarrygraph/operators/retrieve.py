@@ -46,14 +46,17 @@ def keyword_seeds(questions: DataFrame, nodes: DataFrame, most: int = SEEDS) ->
     return keyword_hits(questions, nodes).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n")
 
 
-def numeric_seeds(questions: DataFrame, nodes: DataFrame, most: int = SEEDS) -> DataFrame:
-    """``qid, id``: nodes past a question's threshold in the properties that it focuses on."""
+def numeric_seeds(questions: DataFrame, nodes: DataFrame, most: int = SEEDS, open_end: bool = False) -> DataFrame:
+    """``qid, id``: nodes past a question's threshold in the properties that it focuses on.
+
+    Without a word of direction values must equal the number; with ``open_end`` they may exceed it.
+    """
     q = questions.select("qid", T.numeric_tokens(F.col("query")).alias("nums"), T.direction(F.col("query")).alias("dir"), T.focus(F.col("query")).alias("focus")).filter(F.size("nums") > 0)
     every = F.array(*[F.struct(F.lit(p).alias("prop"), F.lit(lab).alias("label")) for p, lab in T.NUMERIC_PROPS])
     q = q.select("qid", "dir", F.when(F.col("dir") >= 0, F.array_max("nums")).otherwise(F.array_min("nums")).alias("t"), F.explode(F.coalesce("focus", every)).alias("f"))
     q = q.select("qid", "dir", "t", F.col("f.prop").alias("k"), F.col("f.label").alias("label"))
     values = nodes.select("label", "id", F.explode("nums").alias("k", "v"))
-    hit = F.when(F.col("dir") == -1, F.col("v") <= F.col("t")).when(F.col("dir") == 1, F.col("v") >= F.col("t")).otherwise(F.col("v") == F.col("t"))
+    hit = F.when(F.col("dir") == -1, F.col("v") <= F.col("t")).when(F.col("dir") == 1, F.col("v") >= F.col("t")).otherwise(F.col("v") >= F.col("t") if open_end else F.col("v") == F.col("t"))
     found = values.join(q, ["label", "k"]).filter(hit).select("qid", "id").distinct()
     return found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).filter(F.col("n") <= most).drop("n")
 
@@ -68,7 +71,7 @@ def seeds(questions: DataFrame, nodes: DataFrame, fallthrough: bool = False) ->
         rest = questions.join(by_id.select("qid").distinct(), "qid", "left_anti")
     else:
         rest = questions.filter(F.size(T.seed_ids(F.col("query"))) == 0)
-    found = keyword_seeds(rest, nodes).select("qid", "id", F.lit(1).alias("o")).union(numeric_seeds(rest, nodes).select("qid", "id", F.lit(2).alias("o")))
+    found = keyword_seeds(rest, nodes).select("qid", "id", F.lit(1).alias("o")).union(numeric_seeds(rest, nodes, open_end=fallthrough).select("qid", "id", F.lit(2).alias("o")))
     every = by_id.select("qid", "id", F.lit(0).alias("o")).union(found)
     every = every.groupBy("qid", "id").agg(F.min("o").alias("o"))
     return every.select("qid", "id", F.element_at(F.array(F.lit("id"), F.lit("keyword"), F.lit("numeric")), F.col("o") + 1).alias("kind"))

@@ -35,7 +35,7 @@ def key_values(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def coverages(rows: DataFrame) -> DataFrame:
     g = lambda i: F.regexp_extract("line", COVERAGE_ROW, i)
     money = lambda i: F.regexp_replace(g(i), "[$,]", "").try_cast("double")
-    parts = F.filter(F.transform(F.split(g(6), ";"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(g(6), ";"), lambda s: F.trim(s)), lambda s: s != "")
     return rows.filter(F.col("line").rlike(COVERAGE_ROW)).select("id", g(1).alias("coverage_id"), g(2).alias("code"), g(3).alias("category"), money(4).alias("limit"), money(5).alias("deductible"), parts.alias("exclusions"))
 
 
