@@ -75,6 +75,11 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "nation").select(F.col("n_nationkey").alias("qid"), text.alias("query"))
 
 
+def _stored(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as stored tables: what is read hop after hop is derived once."""
+    return graph._cut(business.nodes(spark, d)), graph._cut(business.edges(spark, d))
+
+
 def _texts(spark, d) -> DataFrame:
     """All documents and all turns as texts to read questions and answers from."""
     return t(spark, d, "conversations").select("conv_id", "turn", "text")
@@ -144,14 +149,14 @@ _BFS = "bfs(qid, id, depth) as (select qid, id, 0 from known union select b.qid,
 
 @query("khop_bfs", f"{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, {_BFS} select qid, id, min(depth)::integer as depth from bfs group by qid, id")
 def khop_bfs(spark, d):
-    nodes, edges, q = business.nodes(spark, d), business.edges(spark, d), questions(spark, d)
+    (nodes, edges), q = _stored(spark, d), questions(spark, d)
     return graph.expand(edges, retrieve.id_seeds(q, nodes), 2)[0]
 
 
 @query("khop_edges", f"""{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, {_BFS} select distinct b.qid, e.src, e.type, e.dst from (select qid, id, min(depth) as depth from bfs group by qid, id) b
   join edges e on e.src = b.id or e.dst = b.id where b.depth < 2""")
 def khop_edges(spark, d):
-    nodes, edges, q = business.nodes(spark, d), business.edges(spark, d), questions(spark, d)
+    (nodes, edges), q = _stored(spark, d), questions(spark, d)
     return graph.expand(edges, retrieve.id_seeds(q, nodes), 2)[1]
 
 
@@ -164,7 +169,7 @@ def multi_hop_pattern(spark, d):
 @query("simple_paths", f"""{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM} select qid, a.node || '>' || a.other as path from known k join sym a on a.node = k.id
   union all select qid, a.node || '>' || a.other || '>' || b.other from known k join sym a on a.node = k.id join sym b on b.node = a.other and b.other <> a.node""")
 def simple_paths(spark, d):
-    nodes, edges, q = business.nodes(spark, d), business.edges(spark, d), questions(spark, d)
+    (nodes, edges), q = _stored(spark, d), questions(spark, d)
     return graph.simple_paths(edges, retrieve.id_seeds(q, nodes), 2).select("qid", F.array_join("path", ">").alias("path"))
 
 
@@ -178,7 +183,7 @@ def neighbor_context(spark, d):
     case when contains(lower(query), 'investigat') or contains(lower(query), 'handled by') then 'Investigator' end, case when contains(lower(query), 'held by') then 'Policyholder' end], lambda x: x is not null)) as label from questions)
   select qid, id from near union select n.qid, s.other from near n join sym s on s.node = n.id join node_ids i on i.id = s.other join hints h on h.qid = n.qid and h.label = i.label""")
 def protected_set(spark, d):
-    nodes, edges, q = business.nodes(spark, d), business.edges(spark, d), questions(spark, d)
+    (nodes, edges), q = _stored(spark, d), questions(spark, d)
     hints = q.select("qid", F.explode(T.label_hints(F.col("query"))).alias("label"))
     return graph.protected(edges, nodes.select("id", "label"), retrieve.id_seeds(q, nodes), hints)
 
@@ -529,7 +534,7 @@ def budget_prune(spark, d):
 
 @query("run_query_batch")
 def run_query_batch(spark, d):
-    out = plans.answer_batch(questions(spark, d), business.nodes(spark, d), business.edges(spark, d))
+    out = plans.answer_batch(questions(spark, d), *_stored(spark, d))
     return out.select("qid", "query", "answer", F.array_join("seeds", ",").alias("seeds"), F.size("kept").alias("n_kept"), F.size("dropped").alias("n_dropped"), "tokens_before", "tokens_after", "savings_percent")
 
 
@@ -537,6 +542,6 @@ def run_query_batch(spark, d):
 def extractive_answer(spark, d):
     """An answer for each question from its whole subgraph."""
     q = questions(spark, d)
-    _, found, met = plans.subgraph(q, business.nodes(spark, d), business.edges(spark, d))
+    _, found, met = plans.subgraph(q, *_stored(spark, d))
     kept = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("depth", "id")))
     return answer.extractive(q, kept, met)
