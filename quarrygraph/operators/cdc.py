@@ -27,13 +27,16 @@ def canonical(m: Column) -> Column:
     return F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: v.isNotNull())))
 
 
-def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``label, id, change`` (added, modified, deleted) between two snapshots of a document."""
+def diff(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("label", "id")) -> DataFrame:
+    """``keys, change`` (added, modified, deleted) between two snapshots.
+
+    With ``doc_id`` among the keys the snapshots may be those of many documents.
+    """
     a, b = old.alias("a"), new.alias("b")
-    joined = a.join(b, ["label", "id"], "full_outer")
+    joined = a.join(b, list(keys), "full_outer")
     same = canonical(F.col("a.props")).eqNullSafe(canonical(F.col("b.props"))) & canonical(F.col("a.nums")).eqNullSafe(canonical(F.col("b.nums")))
     change = F.when(F.col("a.props").isNull(), "added").when(F.col("b.props").isNull(), "deleted").when(~same, "modified")
-    return joined.select("label", "id", change.alias("change")).filter("change is not null")
+    return joined.select(*keys, change.alias("change")).filter("change is not null")
 
 
 def still_referenced(snapshots: DataFrame, doc_id: str | int, ids: DataFrame) -> DataFrame:
@@ -78,3 +81,43 @@ def apply(nodes: DataFrame, edges: DataFrame, snapshots: DataFrame, doc_id: str
     now = snapshots.filter(F.col("doc_id") != doc_id).unionByName(new.withColumn("doc_id", F.lit(doc_id).cast(dict(snapshots.dtypes)["doc_id"])))
     counts = changes.groupBy().agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "modified", "deleted")]).crossJoin(kept.agg(F.count(F.lit(1)).alias("deleted_skipped")))
     return nodes, edges, now, counts
+
+
+def merged_entities(rows: DataFrame) -> DataFrame:
+    """``label, id, props, nums`` of ``doc_id, label, id, props, nums``, property by property.
+
+    Of documents that state the same property the largest ``doc_id`` wins.  Properties are merged as
+    rows, so an entity that very many documents mention is combined before it is shuffled.
+    """
+    key = ["label", "id"]
+    props = rows.select(*key, "doc_id", F.explode_outer("props").alias("k", "s")).withColumn("v", F.lit(None).cast("double"))
+    nums = rows.select(*key, "doc_id", F.explode_outer("nums").alias("k", "v")).withColumn("s", F.lit(None).cast("string"))
+    flat = props.withColumn("number", F.lit(False)).unionByName(nums.withColumn("number", F.lit(True)))
+    won = flat.groupBy(*key, "number", "k").agg(F.max_by(F.struct("s", "v"), "doc_id").alias("w"))
+    entry = lambda number, f: F.map_from_entries(F.collect_list(F.when((F.col("number") == number) & F.col("k").isNotNull(), F.struct("k", F.col(f"w.{f}")))))
+    return won.groupBy(*key).agg(entry(False, "s").alias("props"), entry(True, "v").alias("nums"))
+
+
+def apply_batch(nodes: DataFrame, edges: DataFrame, snapshots: DataFrame, new: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``apply`` for new versions of many documents in one plan; counts are per document.
+
+    ``new``: ``doc_id, label, id, props, nums``; ``docs`` (``doc_id``) names the documents too that
+    hold nothing any more.  The outcome does not depend on an order of the documents: an entity goes
+    if a document drops it and no document's snapshot after the batch holds it.
+    """
+    docs = (new if docs is None else docs).select("doc_id").distinct()
+    kinds = ["doc_id", "label", "id", "props", "nums"]
+    changes = diff(snapshots.join(docs, "doc_id", "left_semi").select(*kinds), new.select(*kinds), ("doc_id", "label", "id"))
+    now = snapshots.select(*kinds).join(docs, "doc_id", "left_anti").select(*kinds).union(new.select(*kinds))
+    deleted = changes.filter("change = 'deleted'")
+    kept = deleted.select("id").distinct().join(now.select("id").distinct(), "id", "left_semi")
+    nodes, edges = graph.detach_delete(nodes, edges, deleted.select("id").distinct().join(kept, "id", "left_anti"))
+    upserts = new.join(changes.filter("change <> 'deleted'").select("doc_id", "label", "id"), ["doc_id", "label", "id"], "left_semi")
+    merged = merged_entities(upserts.select("doc_id", "label", "id", strip_join_fields(F.col("props")).alias("props"), "nums"))
+    nodes = graph.upsert_nodes(nodes, merged)
+    modified = changes.filter("change = 'modified'").select("label", "id").distinct()
+    edges = graph.drop_derived(edges, modified, {lab: [t for _, _, t in rules] for lab, rules in DERIVED.items()})
+    nodes, edges = graph.upsert_edges(nodes, edges, derive_edges(upserts), endpoints="create")
+    skipped = kept.withColumn("skipped", F.lit(True))
+    counts = changes.join(skipped, "id", "left").groupBy("doc_id").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "modified", "deleted")], F.count_if((F.col("change") == "deleted") & F.col("skipped")).alias("deleted_skipped"))
+    return nodes, edges, now, counts

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def ratio(a: Column, b: Column, digits: int = 4) -> Column:
     return F.when(b > 0, F.round(a / b, digits)).otherwise(0.0)
@@ -93,3 +95,38 @@ def profile(df: DataFrame, top: int = 5) -> DataFrame:
     w = Window.partitionBy("col")
     ranked = counts.withColumn("distinct", F.count("value").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "value")))
     return ranked.filter(F.col("rank") <= top)
+
+
+def comparison(questions: DataFrame, pruned: DataFrame, answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """``qid, position, claim, verdict, ground_truth, outcome``: claims of a question against labels.
+
+    Claims named in the question come first, then kept and dropped nodes (``pruned``: ``qid, kept,
+    dropped``); those without a label (``truth``: ``claim, fraud``) are left out.
+    """
+    j = questions.join(pruned, "qid").join(answers, "qid")
+    ids = F.array_distinct(F.concat(T.claim_ids(F.col("query")), "kept", "dropped"))
+    rows = j.select("qid", "answer", F.posexplode(ids).alias("position", "claim")).join(truth, "claim")
+    verdict = T.verdict_for(F.col("answer"), F.col("claim"))
+    return rows.select("qid", "position", "claim", verdict.alias("verdict"), F.when(F.col("fraud"), "Fraud").otherwise("Not fraud").alias("ground_truth"), T.judged(F.col("fraud"), verdict).alias("outcome"))
+
+
+def claim_rows(results: DataFrame) -> DataFrame:
+    """``claim_id, truth, verdict, visited, kept`` -> plus predicted and whether a flag was met and kept."""
+    flag = lambda c: F.exists(c, lambda x: x.startswith("FRD-"))
+    return results.select("claim_id", "truth", "verdict", (F.col("verdict") == "YES").alias("predicted"), flag("visited").alias("flag_in_subgraph"), flag("kept").alias("flag_in_pruned"))
+
+
+def flag_survival(rows: DataFrame) -> DataFrame:
+    """Percent of the true claims whose flag was met, and kept."""
+    share = lambda c: F.coalesce(F.round(100 * F.count_if(F.col("truth") & F.col(c)) / F.nullif(F.count_if("truth"), F.lit(0)), 2), F.lit(0.0))
+    return rows.agg(share("flag_in_subgraph").alias("flag_visited_pct"), share("flag_in_pruned").alias("flag_survival_pct"))
+
+
+def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """``n`` rows without replacement, the same for a seed; none for 0, all if there are fewer."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def row_position(row: Column, n: Column, head: float = 0.08, tail: float = 0.92) -> Column:
+    """head, middle or tail of a file by the row's number."""
+    return F.when(row <= F.greatest(F.lit(1), F.bround(head * n)), "head").when(row >= F.bround(tail * n), "tail").otherwise("middle")

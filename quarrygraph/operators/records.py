@@ -43,6 +43,32 @@ def rolling(records: DataFrame, n: int, order: str, tie: str, kind: str, value:
     return last.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("mean_value"))
 
 
+def get(records: DataFrame, audit_id: str) -> DataFrame:
+    return records.filter(F.col("audit_id") == audit_id)
+
+
+def node_status(records: DataFrame) -> DataFrame:
+    """``audit_id, id, label, status`` (kept, dropped, visited) of every node that a record names.
+
+    Dropped rules over kept.  A node without a rank has the label Node.
+    """
+    none = F.array().cast("array<string>")
+    kept, dropped = F.coalesce("pruned.kept", none), F.coalesce("pruned.dropped", none)
+    ids = F.array_distinct(F.concat(kept, dropped, F.coalesce("traversal.nodes_visited", none)))
+    rows = records.select("audit_id", "ranking", kept.alias("kept"), dropped.alias("dropped"), F.explode(ids).alias("id"))
+    label = F.try_element_at(F.filter("ranking", lambda r: r["id"] == F.col("id")), F.lit(-1))["label"]
+    status = F.when(F.array_contains("dropped", F.col("id")), "dropped").when(F.array_contains("kept", F.col("id")), "kept").otherwise("visited")
+    return rows.select("audit_id", "id", F.coalesce(label, F.lit("Node")).alias("label"), status.alias("status"))
+
+
+def lineage(nodes: list[dict], edges: list[list[str]]) -> str:
+    """One record's nodes (``id, label, status``) and edges as an HTML list; every value is escaped."""
+    esc = lambda x: html.escape(str(x))
+    rows = "".join(f"<li class='{esc(n['status'])}'>{esc(n['id'])} ({esc(n['label'])}, {esc(n['status'])})</li>" for n in nodes)
+    links = "".join(f"<li>{' &rarr; '.join(esc(x) for x in e)}</li>" for e in edges)
+    return f"<!doctype html><meta charset='utf-8'><title>Lineage</title><ul>{rows}</ul><ul>{links}</ul>"
+
+
 def report(record: dict) -> str:
     """One record as HTML; every value is escaped."""
     rows = "".join(f"<tr><th>{html.escape(str(k))}</th><td><pre>{html.escape(json.dumps(v, ensure_ascii=False, default=str))}</pre></td></tr>" for k, v in record.items())

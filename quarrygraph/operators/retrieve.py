@@ -57,8 +57,33 @@ def numeric_seeds(questions: DataFrame, nodes: DataFrame, most: int = SEEDS, ope
     q = q.select("qid", "dir", "t", F.col("f.prop").alias("k"), F.col("f.label").alias("label"))
     values = nodes.select("label", "id", F.explode("nums").alias("k", "v"))
     hit = F.when(F.col("dir") == -1, F.col("v") <= F.col("t")).when(F.col("dir") == 1, F.col("v") >= F.col("t")).otherwise(F.col("v") >= F.col("t") if open_end else F.col("v") == F.col("t"))
-    found = values.join(q, ["label", "k"]).filter(hit).select("qid", "id").distinct()
-    return found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).filter(F.col("n") <= most).drop("n")
+    found = values.join(q, ["label", "k"]).filter(hit).select("qid", "id")
+    # a rank limit that is taken before the shuffle too; only what it leaves is made distinct
+    return found.withColumn("n", F.dense_rank().over(Window.partitionBy("qid").orderBy("id"))).filter(F.col("n") <= most).drop("n").distinct()
+
+
+def neighbourhood_seeds(questions: DataFrame, by_id: DataFrame, found: DataFrame, most: int = SEEDS) -> DataFrame:
+    """``qid, id, kind``: nodes around a question's ids that its words and numbers point to.
+
+    ``found``: ``qid, id, label, props, nums``.  A node's hits are the question's words in its values
+    and its numbers past the threshold.  The best ``most`` are chosen before the ids themselves go.
+    """
+    every = F.array(*[F.struct(F.lit(p).alias("prop"), F.lit(lab).alias("label")) for p, lab in T.NUMERIC_PROPS])
+    query = F.col("query")
+    q = questions.join(by_id.select("qid").distinct(), "qid", "left_semi")
+    q = q.select("qid", F.transform(T.value_tokens(query), T.singular).alias("toks"), F.filter(T.numeric_tokens(query), lambda x: x.isNotNull()).alias("numbers"), T.direction(query).alias("dir"), F.coalesce(T.focus(query), every).alias("pairs"))
+    text = F.lower(F.concat_ws(" ", F.map_values("props"), F.transform(F.map_values("nums"), T.plain_number)))
+    rows = found.select("qid", "id", F.col("label").alias("own"), "nums", text.alias("body")).join(q, "qid")
+
+    def past(p):
+        v = F.try_element_at("nums", p["prop"])
+        over = F.when(F.col("dir") > 0, v >= F.array_max("numbers")).when(F.col("dir") < 0, v <= F.array_min("numbers")).otherwise(F.array_contains("numbers", v.cast("bigint")))
+        return (p["label"] == F.col("own")) & v.isNotNull() & F.coalesce(over, F.lit(False))
+
+    hits = F.size(F.filter("toks", lambda t: F.contains(F.col("body"), t))) + F.when(F.size("numbers") > 0, F.size(F.filter("pairs", past))).otherwise(0)
+    rows = rows.select("qid", "id", hits.alias("hits")).filter("hits > 0")
+    best = rows.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("hits"), "id"))).filter(F.col("n") <= most)
+    return best.join(by_id.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", F.lit("keyword").alias("kind"))
 
 
 def seeds(questions: DataFrame, nodes: DataFrame, fallthrough: bool = False) -> DataFrame:

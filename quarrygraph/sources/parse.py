@@ -23,10 +23,15 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     return rows.withColumn("line", F.trim("line")).filter("line <> ''")
 
 
+def key_pattern(keys: list[str] = KEYS) -> str:
+    """Group 1 is the longest key that begins a line, group 2 what follows it."""
+    ordered = "|".join(sorted((k.replace(" ", "\\ ") for k in keys), key=len, reverse=True))
+    return rf"^({ordered})(?: (.*))?$"
+
+
 def key_values(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """``id, key, value``: the longest key that begins a line; later lines win."""
-    ordered = "|".join(sorted((k.replace(" ", "\\ ") for k in keys), key=len, reverse=True))
-    pattern = rf"^({ordered})(?: (.*))?$"
+    pattern = key_pattern(keys)
     hit = rows.filter(F.col("line").rlike(pattern) & ~F.col("line").rlike(COVERAGE_ROW) & ~F.col("line").rlike(ENDORSEMENT_ROW))
     kv = hit.select("id", "pos", F.regexp_extract("line", pattern, 1).alias("key"), F.trim(F.regexp_extract("line", pattern, 2)).alias("value"))
     return kv.groupBy("id", "key").agg(F.max_by("value", "pos").alias("value"))

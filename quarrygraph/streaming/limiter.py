@@ -70,7 +70,7 @@ def admit_stream(events: DataFrame, key: str, ts: str, limit: int, window_s: int
 
 
 def apply_changes(stream: DataFrame, store: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], save: Callable[..., None], checkpoint: str):
-    """Each micro-batch's new document versions are applied to the stored graph, one after another.
+    """Each micro-batch's new document versions are applied to the stored graph in one plan.
 
     ``store`` reads nodes, edges and snapshots; ``save`` writes the next version of all three and then
     swaps the pointer, so that a batch repeated after a failure starts from the version before it.
@@ -78,11 +78,8 @@ def apply_changes(stream: DataFrame, store: Callable[[], tuple[DataFrame, DataFr
     from ..operators import cdc
 
     def batch(df: DataFrame, number: int) -> None:
-        for r in df.select("doc_id").distinct().orderBy("doc_id").collect():
-            new = df.filter(F.col("doc_id") == r.doc_id).drop("doc_id")
-            nodes, edges, snapshots = store()
-            nodes, edges, snapshots, _ = cdc.apply(nodes, edges, snapshots, r.doc_id, new)
-            save(nodes, edges, snapshots, number)
+        nodes, edges, snapshots, _ = cdc.apply_batch(*store(), df)
+        save(nodes, edges, snapshots, number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
