@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrygraph.functions import text as T
 from quarrygraph.operators import cdc, evaluate, graph, prune, rank, records, retrieve
 from quarrygraph.plans import questions as plans
-from quarrygraph.sources import adapters, parse, readers
+from quarrygraph.sources import adapters, extract, parse, readers
 from quarrygraph.streaming import limiter
 
 NODE = "label string, id string, props map<string,string>, nums map<string,double>"
@@ -153,3 +153,113 @@ def test_answers(spark):
     assert got[1].answer == "Yes — 1 fraud flag(s) found for claims CLM-001: FRD-001 (severity=HIGH, reason=r)"
     assert got[2].answer == "COV-001 (AUTO, limit=$1,000)"
     assert got[3].answer == "No relevant context found for this query." and got[3].kept == []
+
+
+POLICY = """Commercial Insurance Policy
+Policy ID POL-001
+Policy Number P-7
+Status ACTIVE
+Term 2024-01-01 to 2025-01-01
+Annual Premium $1,200
+Policyholder
+Policyholder ID PH-001
+Name Ann Lee
+Risk Score 0.4
+Coverages
+COV-12AUTO-AAUTO$1,000$50fire; flood;
+Endorsements
+END-1 E-7 RIDER 2020-01-02 -$5"""
+CLAIM = "Claim Report\nClaim ID CLM-001\nPolicy ID POL-001\nAmount unknown\nCause FIRE\nThe barn burnt\ndown.\nFraud Flag\nFlag ID FRD-001\nSeverity HIGH\nConfidence 0.9\nInvestigator\nInvestigator ID INV-001\nName Bo"
+
+
+def test_extract(spark):
+    docs = [(1, POLICY, "a.pdf"), (2, CLAIM, "b.pdf"), (3, "Policy Endorsement\nPolicy POL-001\nType RIDER", "END-0042.pdf"), (4, "nothing", "x"), (5, None, None), (6, "", "y")]
+    rows = extract.entities(spark.createDataFrame(docs, "n int, body string, file string"), "n", "body", "file").collect()
+    by = {(r.source, r.label): r for r in rows}
+    assert len(rows) == len(by) == 8
+    assert by[1, "Policy"].props == {"policy_number": "P-7", "status": "ACTIVE", "policyholder_id": "PH-001", "start_date": "2024-01-01", "end_date": "2025-01-01"}
+    assert by[1, "Policy"].nums == {"premium": 1200.0} and by[1, "Policyholder"].nums == {"risk_score": 0.4}
+    assert by[1, "Coverage"].props == {"policy_id": "POL-001", "code": "AUTO-A", "category": "AUTO", "exclusions": "fire; flood"} and by[1, "Coverage"].nums == {"limit": 1000.0, "deductible": 50.0}
+    assert by[1, "Endorsement"].props["policy_id"] == "POL-001" and by[1, "Endorsement"].nums == {"premium_adjustment": -5.0}
+    claim = by[2, "Claim"]
+    assert claim.props["description"] == "The barn burnt down." and claim.props["amount"] == "unknown" and claim.props["investigator_id"] == "INV-001" and claim.nums == {}
+    assert by[2, "FraudFlag"].props["claim_id"] == "CLM-001" and by[2, "Investigator"].id == "INV-001"
+    assert by[3, "Endorsement"].id == "END-0042"
+
+
+def test_apply_batch(spark):
+    kinds = "doc_id string, " + NODE
+    nodes = spark.createDataFrame([entity("Policy", "POL-1"), entity("Claim", "CLM-1", {"a": "1"}), entity("Claim", "CLM-9"), entity("Claim", "CLM-8")], NODE)
+    edges = spark.createDataFrame([("POL-1", "HAS_CLAIM", "CLM-1"), ("POL-1", "HAS_CLAIM", "CLM-9")], "src string, type string, dst string")
+    snap = spark.createDataFrame([("d", *entity("Claim", "CLM-1", {"a": "1", "policy_id": "POL-1"})), ("d", *entity("Claim", "CLM-9")), ("e", *entity("Claim", "CLM-9")), ("e", *entity("Claim", "CLM-8")), ("f", *entity("Claim", "CLM-8"))], kinds)
+    new = spark.createDataFrame([("d", *entity("Claim", "CLM-1", {"a": "2", "policy_id": "POL-2"})), ("g", *entity("Claim", "CLM-1", {"a": "3", "b": None}, {"amount": 5.0}))], kinds)
+    docs = spark.createDataFrame([("d",), ("e",), ("g",)], "doc_id string")
+    n, e, s, counts = cdc.apply_batch(nodes, edges, snap, new, docs)
+    by = {r.id: r for r in n.collect()}
+    assert set(by) == {"POL-1", "POL-2", "CLM-1", "CLM-8"}  # both documents dropped CLM-9, one still holds CLM-8
+    assert by["CLM-1"].props == {"a": "3", "b": None} and by["CLM-1"].nums == {"amount": 5.0}
+    assert {tuple(r) for r in e.collect()} == {("POL-2", "HAS_CLAIM", "CLM-1")}
+    assert {r.doc_id: (r.added, r.modified, r.deleted, r.deleted_skipped) for r in counts.collect()} == {"d": (0, 1, 1, 0), "e": (0, 0, 2, 1), "g": (1, 0, 0, 0)}
+    assert s.count() == 3
+
+
+def test_apply_changes_stream(spark, tmp_path):
+    kinds = "doc_id string, " + NODE
+    state = {"v": (spark.createDataFrame([], NODE), spark.createDataFrame([], "src string, type string, dst string"), spark.createDataFrame([], kinds))}
+
+    def save(nodes, edges, snapshots, number):
+        for name, df in zip(("n", "e", "s"), (nodes, edges, snapshots)):
+            df.write.mode("overwrite").parquet(f"{tmp_path}/{number}/{name}")
+        state["v"] = tuple(spark.read.parquet(f"{tmp_path}/{number}/{x}") for x in "nes")
+
+    for version in ("1", "2"):
+        spark.createDataFrame([("d", *entity("Claim", "CLM-1", {"a": version, "policy_id": f"POL-{version}"}))], kinds).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(kinds).parquet(f"{tmp_path}/in")
+        limiter.apply_changes(stream, lambda: state["v"], save, f"{tmp_path}/checkpoint").awaitTermination(60)
+    assert {tuple(r) for r in state["v"][1].collect()} == {("POL-2", "HAS_CLAIM", "CLM-1")}
+    assert {r.id: r.props for r in state["v"][0].collect()} == {"CLM-1": {"a": "2"}, "POL-1": {}, "POL-2": {}}
+
+
+def test_admit_stream_equals_admit(spark, tmp_path):
+    rows = [(i, f"u{i % 3}", i * 7 % 200) for i in range(90)]
+    df = spark.createDataFrame(rows, "event_id int, user string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    got = limiter.admit_stream(stream, "user", "ts", 3, 30)
+    query = got.writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    streamed = spark.table("admitted").groupBy("key").agg(F.count_if("accepted").alias("n"), F.count(F.lit(1)).alias("all"))
+    batch = limiter.admit(df, "user", "ts", "event_id", 3, 30).groupBy(F.col("user").alias("key")).agg(F.count_if("accepted").alias("n"), F.count(F.lit(1)).alias("all"))
+    assert {tuple(r) for r in streamed.collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_neighbourhood_seeds(spark):
+    nodes = [entity("Policy", "POL-001", {"status": "paid"}), entity("Claim", "CLM-001", {"cause": "fire"}, {"amount": 200000.0}), entity("Claim", "CLM-002", {"cause": "flood"}, {"amount": 5.0})]
+    found = spark.createDataFrame([(1, *n) for n in nodes], "qid int, " + NODE)
+    q = spark.createDataFrame([(1, "fires over $100,000 on POL-001")], "qid int, query string")
+    got = retrieve.neighbourhood_seeds(q, spark.createDataFrame([(1, "POL-001")], "qid int, id string"), found)
+    assert [(r.id, r.kind) for r in got.collect()] == [("CLM-001", "keyword")]
+
+
+def test_comparison_and_flags(spark):
+    q = spark.createDataFrame([(1, "Is CLM-002 fraud?")], "qid int, query string")
+    pruned = spark.createDataFrame([(1, ["CLM-001", "POL-1"], ["CLM-003", "CLM-002"])], "qid int, kept array<string>, dropped array<string>")
+    answers = spark.createDataFrame([(1, "CLM-002 shows fraud. CLM-001 is not flagged.")], "qid int, answer string")
+    truth = spark.createDataFrame([("CLM-001", True), ("CLM-002", True), ("CLM-003", False)], "claim string, fraud boolean")
+    got = [tuple(r)[2:] for r in evaluate.comparison(q, pruned, answers, truth).orderBy("position").collect()]
+    assert got == [("CLM-002", "YES", "Fraud", "correct"), ("CLM-001", "NO", "Fraud", "wrong"), ("CLM-003", "UNKNOWN", "Not fraud", "no-verdict")]
+    rows = spark.createDataFrame([("a", True, "YES", ["FRD-1"], []), ("b", True, "NO", ["FRD-2"], ["FRD-2"]), ("c", False, "NO", [], [])], "claim_id string, truth boolean, verdict string, visited array<string>, kept array<string>")
+    assert tuple(evaluate.flag_survival(evaluate.claim_rows(rows)).first()) == (100.0, 50.0)
+    ids = spark.range(100)
+    assert evaluate.sample(ids, 0, "id").count() == 0 and evaluate.sample(ids, 500, "id").count() == 100
+    assert evaluate.sample(ids, 7, "id", 3).collect() == evaluate.sample(ids.repartition(5), 7, "id", 3).collect()
+
+
+def test_node_status(spark, tmp_path):
+    rec = {"audit_id": "x", "ranking": [{"id": "A", "label": "Claim", "score": 1.0}], "pruned": {"kept": ["A"], "dropped": ["B"]}, "traversal": {"nodes_visited": ["A", "B", "C"]}}
+    (tmp_path / "a.jsonl").write_text(json.dumps(rec) + "\n" + json.dumps({"audit_id": "y"}) + "\n")
+    audit = records.read(spark, f"{tmp_path}/a.jsonl")
+    got = [r.asDict() for r in records.node_status(audit).orderBy("id").collect()]
+    assert [(r["id"], r["label"], r["status"]) for r in got] == [("A", "Claim", "kept"), ("B", "Node", "dropped"), ("C", "Node", "visited")]
+    assert "&lt;b&gt;" in records.lineage([{"id": "<b>", "label": "L", "status": "kept"}], [["A", "T", "B"]])
+    assert records.get(audit, "y").count() == 1
