@@ -2,13 +2,15 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import text as T
-from quarrygraph.operators import cdc, evaluate, graph, prune, rank, records, retrieve
+from quarrygraph.operators import cdc, evaluate, graph, proof, prune, rank, records, retrieve, workload
 from quarrygraph.plans import questions as plans
-from quarrygraph.sources import adapters, extract, parse, readers
-from quarrygraph.streaming import limiter
+from quarrygraph.sources import adapters, catalog, extract, parse, readers, samples
+from quarrygraph.streaming import limiter, watch
 
 NODE = "label string, id string, props map<string,string>, nums map<string,double>"
 
@@ -263,3 +265,77 @@ def test_node_status(spark, tmp_path):
     assert [(r["id"], r["label"], r["status"]) for r in got] == [("A", "Claim", "kept"), ("B", "Node", "dropped"), ("C", "Node", "visited")]
     assert "&lt;b&gt;" in records.lineage([{"id": "<b>", "label": "L", "status": "kept"}], [["A", "T", "B"]])
     assert records.get(audit, "y").count() == 1
+
+
+def test_workload(spark):
+    rows = [(i, f"POL-{i % 4:03d}", f"CLM-{i:03d}", i % 5 == 0, float(i), "Fire " if i % 2 else "flood") for i in range(1, 21)]
+    df = spark.createDataFrame(rows, "row long, policy string, claim string, fraud boolean, amount double, word string")
+    got = {r.query: r for r in workload.build(df, 12).collect()}
+    assert len(got) == 12 and len({r.qid for r in got.values()}) == 12
+    assert got["What is the status of claim CLM-001?"].expected == ["CLM-001"] and "What is the status of claim CLM-020?" in got
+    assert got["Show me all fraud claims under policy POL-001"].expected == ["CLM-005"]
+    cuts = {r.query: r.expected for r in workload.thresholds(df, (0.5, 0.95)).collect()}
+    assert cuts["Show me all claims with Amount over 11.5"] == [f"CLM-{i:03d}" for i in range(12, 21)] and cuts["Show me all claims with Amount over 19.5"] == ["CLM-020"]
+    assert {r.query.split()[-1]: len(r.expected) for r in workload.keywords(df).collect()} == {"fire": 10, "flood": 10}
+    assert workload.thresholds(df.limit(0)).count() == 0 and workload.thresholds(df.filter("row = 1")).count() == 0
+    asked = spark.createDataFrame([(1, "id-lookup", "q", ["A"], "exact"), (2, "keyword", "k", ["A", "B"], "top-k"), (3, "keyword", "z", ["A"], "top-k")], "qid int, category string, query string, expected array<string>, mode string")
+    results = spark.createDataFrame([(1, ["A", "X"], ["X"], [], 9, 5, 44.4), (2, ["B"], ["B"], ["CLM-9"], 1, 1, 0.0)], "qid int, retrieved array<string>, kept array<string>, seeds array<string>, tokens_before int, tokens_after int, savings_percent double")
+    judged = {r.qid: r for r in workload.judge(asked, results).collect()}
+    assert (judged[1].retrieval_hit, judged[1].prune_hit, judged[1].missing_after_prune) == (True, False, ["A"])
+    assert (judged[2].retrieval_hit, judged[2].expected_found, judged[3].retrieval_hit) == (False, 1, False)
+
+
+def test_proof(spark, tmp_path):
+    run = {"dataset": "d", "queries": 10, "retrieval_accuracy": 100.0, "pruning_accuracy": 90.0, "avg_savings_pct": 5.0, "avg_latency_ms": 1.0, "results": [{"category": "id-lookup", "tokens_before": 100, "tokens_after": 60}]}
+    for i, more in enumerate(({}, {"queries": 30, "pruning_accuracy": 50.0})):
+        (tmp_path / f"real_{i}.json").write_text(json.dumps(run | more, indent=1))
+        (tmp_path / f"fraud_detection_{i}.json").write_text(json.dumps({"confusion": {"tp": 40, "fp": i, "tn": 9, "fn": 0}}))
+        (tmp_path / f"generalization_{i}.json").write_text(json.dumps({"probes_total": 4, "retrieval_prune_passed": 3, "answer_level_passed": 2, "by_kind": {"negative": {"passed": 1, "total": 2}}}))
+    runs = proof.read(spark, f"{tmp_path}/real_*.json", proof.RUN)
+    r = proof.overall(proof.per_run(runs)).first()
+    assert (r.queries, r.raw_tokens, r.optimized_tokens, r.pruning_accuracy, r.saved_tokens_per_query, r.annual_savings_usd) == (40, 200, 120, 60.0, 2.0, 18.25)
+    assert proof.overall(proof.per_run(runs.limit(0))).first().queries == 0
+    f = proof.fraud(proof.read(spark, f"{tmp_path}/fraud_detection_*.json", proof.FRAUD)).first()
+    assert (f.tp, f.fp, f.recall, f.precision) == (80, 1, 1.0, 0.9877)
+    assert {p.kind: (p.passed, p.total) for p in proof.probes(proof.read(spark, f"{tmp_path}/generalization_*.json", proof.PROBES)).collect()} == {"negative": (2, 4), "all": (6, 8)}
+    assert proof.mix(runs).first().share == 100.0
+
+
+def test_samples(spark):
+    pol = 'id string, policy_number string, premium double, policyholder struct<id:string,name:string,risk_score:double>, coverages array<struct<id:string,code:string,limit:double,exclusions:array<string>>>, endorsements array<struct<id:string,policy_id:string,type:string>>'
+    policies = spark.createDataFrame([("POL-1", "P", 9.0, ("PH-1", "Ann", 0.5), [("COV-1", "A", 1.0, ["x"])], [("END-1", "POL-1", "RIDER")])], pol)
+    claims = spark.createDataFrame([("D1", ("CLM-1", "POL-1", 5.0), ("FRD-1", "CLM-1"), None), ("D2", ("CLM-2", "POL-1", None), None, ("INV-1", "Bo"))], "doc_id string, claim struct<id:string,policy_id:string,amount:double>, fraud_flag struct<id:string,claim_id:string>, investigator struct<id:string,name:string>")
+    ends = spark.createDataFrame([("END-1", "POL-1", "LIMIT", 3.0)], "id string, policy_id string, type string, premium_adjustment double")
+    nodes, edges = samples.flatten(policies, claims, ends)
+    by = {r.id: r for r in nodes.collect()}
+    assert set(by) == {"POL-1", "PH-1", "COV-1", "END-1", "CLM-1", "CLM-2", "FRD-1", "INV-1"}
+    assert by["COV-1"].props == {"code": "A"} and by["COV-1"].nums == {"limit": 1.0} and by["END-1"].props == {"type": "LIMIT"} and by["CLM-2"].nums == {}
+    assert {tuple(r) for r in edges.collect()} == {("PH-1", "HAS_POLICY", "POL-1"), ("POL-1", "COVERS", "COV-1"), ("POL-1", "ENDORSED_BY", "END-1"), ("POL-1", "HAS_CLAIM", "CLM-1"), ("POL-1", "HAS_CLAIM", "CLM-2"), ("CLM-1", "FRAUD_DETECTED", "FRD-1"), ("INV-1", "INVESTIGATES_CLAIM", "CLM-2")}
+    assert tuple(catalog.post_state(nodes, edges, "POL-1").first()) == (9.0, 1, 1, 1)
+
+
+def test_catalog(spark, tmp_path):
+    c = catalog.Catalog(spark, f"{tmp_path}/catalog")
+    assert c.current() == "pdf_demo" and c.loaded() is None
+    assert c.add(" my   claims", "csv", ["a.csv"]) == "my claims"
+    for bad in ("", "a/b", "x" * 49, "pdf_demo", "my claims"):
+        with pytest.raises(ValueError):
+            c.add(bad, "csv", [])
+    c.stamp("my claims")
+    assert c.current() == "my claims"
+    c.stamp("synthetic", reset=False)
+    assert c.loaded() == "my claims"
+    assert c.rename("my claims", "other") == "other" and c.current() == "pdf_demo"
+    c.stamp("data_synthetic")
+    assert c.current() == "insurance_dataset" and c.sessions().filter("kind = 'custom'").count() == 1
+    c.remove("other")
+    assert c.entries().count() == 0
+
+
+def test_follow(spark, tmp_path):
+    seen = []
+    (tmp_path / "in").mkdir()
+    for name in ("a.csv", "b.txt", "c.csv"):
+        (tmp_path / "in" / name).write_text("x\n1\n")
+        watch.follow(spark, f"{tmp_path}/in", lambda df, n: seen.extend(r.path.rsplit("/", 1)[1] for r in df.collect()), f"{tmp_path}/checkpoint").awaitTermination(60)
+    assert seen == ["a.csv", "c.csv"]
