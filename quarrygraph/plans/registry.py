@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answer, cdc, evaluate, graph, prune, rank, records, retrieve
-from ..sources import business, parse
+from ..operators import answer, cdc, evaluate, graph, proof, prune, rank, records, retrieve, workload
+from ..sources import adapters, business, extract, parse, samples
 from ..streaming import limiter
 from . import questions as plans
 
@@ -545,3 +545,173 @@ def extractive_answer(spark, d):
     _, found, met = plans.subgraph(q, *_stored(spark, d))
     kept = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("depth", "id")))
     return answer.extractive(q, kept, met)
+
+
+@query("extract_entities", f"""with o as (select o_orderkey as doc_id, 'POL-' || {_pad("o_orderkey")} as pol, 'PH-' || {_pad("o_custkey")} as holder, o_orderstatus as status, floor(o_totalprice)::double as premium, strftime(o_orderdate, '%Y-%m-%d') as start_date, 'Customer ' || o_custkey as name, 'COV-' || o_orderkey as cov from orders)
+  select doc_id, 'Policy' as label, pol as id, status, null as name, holder as owner, premium as amount, start_date from o
+  union all select doc_id, 'Policyholder', holder, null, name, null, null, null from o union all select doc_id, 'Coverage', cov, null, null, pol, 1000.0, null from o""")
+def extract_entities(spark, d):
+    """Every order printed as a policy with its holder and a coverage, and read again."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    lines = ["Commercial Insurance Policy", F.concat(F.lit("Policy ID "), business._id("POL-", "o_orderkey")), F.concat(F.lit("Status "), "o_orderstatus"), F.concat(F.lit("Term "), day, F.lit(" to 2099-01-01")), F.concat(F.lit("Annual Premium $"), F.format_number(F.floor("o_totalprice"), 0)), "Policyholder", F.concat(F.lit("Policyholder ID "), business._id("PH-", "o_custkey")), F.concat(F.lit("Name Customer "), "o_custkey"), "Coverages", F.concat(F.lit("COV-"), "o_orderkey", F.lit("AUTO-AAUTO$1,000$50fire; flood"))]
+    docs = t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines]).alias("text"))
+    p, n = F.col("props"), F.col("nums")
+    return extract.entities(docs).select(F.col("source").alias("doc_id"), "label", "id", p["status"].alias("status"), p["name"].alias("name"), F.coalesce(p["policyholder_id"], p["policy_id"]).alias("owner"), F.coalesce(n["premium"], n["limit"]).alias("amount"), p["start_date"].alias("start_date"))
+
+
+@query("verdict_comparison", f"""with {_CLAIMS}, {_FLAGS}, c as (select l_orderkey as qid, claim_id as claim, l_quantity > 25 as late, claim_id in (select claim_id from flags) as fraud, max(claim_id) over (partition by l_orderkey) as named from claims)
+  select qid, (row_number() over (partition by qid order by claim <> named, late, claim) - 1)::integer as position, claim, case when claim = named then 'YES' else 'UNKNOWN' end as verdict,
+  case when fraud then 'Fraud' else 'Not fraud' end as ground_truth, case when claim <> named then 'no-verdict' when fraud then 'correct' else 'wrong' end as outcome from c""")
+def verdict_comparison(spark, d):
+    """For each policy a question about one claim, with the others in its context."""
+    c = business.claims(spark, d).select(F.col("l_orderkey").alias("qid"), F.col("claim_id").alias("claim"), "l_quantity")
+    truth = c.join(business.flags(spark, d).select(F.col("claim_id").alias("claim"), F.lit(True).alias("flag")), "claim", "left").select("claim", F.coalesce("flag", F.lit(False)).alias("fraud"))
+    ids = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("claim"))))
+    per = c.groupBy("qid").agg(F.max("claim").alias("named"), ids(F.col("l_quantity") <= 25).alias("kept"), ids(F.col("l_quantity") > 25).alias("dropped"))
+    q = per.select("qid", F.concat(F.lit("Is claim "), "named", F.lit(" flagged as fraud?")).alias("query"))
+    return evaluate.comparison(q, per.select("qid", "kept", "dropped"), per.select("qid", F.concat("named", F.lit(" shows fraud.")).alias("answer")), truth)
+
+
+@query("node_status", """select l_orderkey::varchar as audit_id, 'L-' || l_linenumber as id, case when l_linenumber = 1 then 'Claim' else 'Node' end as label,
+  case when max(l_quantity) > 40 then 'dropped' when min(l_quantity) <= 20 then 'kept' else 'visited' end as status from lineitem group by l_orderkey, l_linenumber""")
+def node_status(spark, d):
+    id_ = F.concat(F.lit("L-"), "l_linenumber")
+    ids = lambda when: F.collect_set(F.when(when, id_))
+    rank_ = F.array(F.struct(F.lit("L-1").alias("id"), F.lit("Claim").alias("label"), F.lit(1.0).alias("score")))
+    rows = t(spark, d, "lineitem").groupBy("l_orderkey").agg(ids(F.col("l_quantity") <= 20).alias("kept"), ids(F.col("l_quantity") > 40).alias("dropped"), F.collect_set(id_).alias("nodes_visited"))
+    return records.node_status(rows.select(F.col("l_orderkey").cast("string").alias("audit_id"), rank_.alias("ranking"), F.struct("kept", "dropped").alias("pruned"), F.struct("nodes_visited").alias("traversal")))
+
+
+@query("cdc_apply_batch", """with x as (select c_nationkey as doc_id, case when c_acctbal >= 0 and coalesce(n, 0) < 8 then 'deleted' when c_acctbal < 0 and n >= 8 then 'added' when c_acctbal >= 0 and n > 10 then 'modified' end as change
+  from customer left join (select o_custkey, count(*) as n from orders group by o_custkey) on o_custkey = c_custkey)
+  select doc_id, count_if(change = 'added') as added, count_if(change = 'modified') as modified, count_if(change = 'deleted') as deleted, 0::bigint as deleted_skipped from x where change is not null group by doc_id""")
+def cdc_apply_batch(spark, d):
+    """New versions of every nation's document at once."""
+    of = t(spark, d, "customer").select(F.concat(F.lit("PH-"), "c_custkey").alias("id"), F.col("c_nationkey").alias("doc_id"))
+    old, new = _snapshot_pair(spark, d)
+    edges = t(spark, d, "orders").select(F.concat(F.lit("PH-"), "o_custkey").alias("src"), F.lit("HAS_POLICY").alias("type"), F.concat(F.lit("POL-"), "o_orderkey").alias("dst"))
+    return cdc.apply_batch(old, edges, old.join(of, "id"), new.join(of, "id"), of)[3]
+
+
+_LETTERS = "regexp_extract_all(lower(query), '[a-z]+')"
+
+
+@query("neighbourhood_seeds", f"""{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, {_BFS}, met as (select distinct qid, id from bfs),
+  body as (select 'PH-' || {_pad("c_custkey")} as id, 'Policyholder' as label, lower(c_name || ' ' || c_mktsegment) as body, null::double as v from customer
+    union all select 'POL-' || {_pad("o_orderkey")}, 'Policy', lower('POL-' || {_pad("o_orderkey")} || ' ' || o_orderstatus || ' ' || o_orderpriority), null from orders
+    union all select claim_id, 'Claim', lower(claim_id || ' ' || l_linestatus || ' ' || l_returnflag), l_extendedprice from claims
+    union all select 'INV-' || {_pad("s_suppkey")}, 'Investigator', lower(s_name || ' INVESTIGATOR'), null from supplier
+    union all select 'COV-' || {_pad("p_partkey")}, 'Coverage', lower(p_brand || ' ' || p_type), null from part union all select 'FRD-' || digits, 'FraudFlag', lower(severity), null from flags),
+  w as (select qid, unnest(list_filter({_LETTERS}, lambda w: w not in {_STOP} and len(list_filter(regexp_extract_all(query, '((?:POL|CLM|PH|END|FRD|INV)-[0-9]{{3,}})', 1), lambda i: contains(lower(i), w))) = 0)) as w from questions),
+  s as (select qid, case when w like '%ies' and length(w) > 4 then left(w, length(w) - 3) || 'y' when w like '%es' and length(w) > 4 then left(w, length(w) - 2)
+    when w like '%s' and length(w) > 3 and w not like '%ss' and w not like '%is' then left(w, length(w) - 1) else w end as w from w),
+  hit as (select m.qid, m.id from met m join body b using (id) join s on s.qid = m.qid and contains(b.body, s.w) union all select m.qid, m.id from met m join body b using (id) where m.qid % 5 = 1 and b.label = 'Claim' and b.v >= 40000),
+  best as (select qid, id, row_number() over (partition by qid order by count(*) desc, id) as n from hit group by qid, id)
+  select qid, id, 'keyword' as kind from best where n <= 5 and (qid, id) not in (select qid, id from known)""")
+def neighbourhood_seeds(spark, d):
+    (nodes, edges), q = _stored(spark, d), questions(spark, d)
+    by_id = retrieve.id_seeds(q, nodes)
+    found = graph.expand(edges, by_id, 2)[0].join(nodes, "id")
+    return retrieve.neighbourhood_seeds(q, by_id, found)
+
+
+def _event_claims(spark, d) -> DataFrame:
+    """Events as claims: users hold policies, purchases count as fraud."""
+    e = t(spark, d, "events")
+    return e.select((F.col("event_id") + 1).alias("row"), F.concat(F.lit("POL-"), "user_id").alias("policy"), F.concat(F.lit("CLM-"), "event_id").alias("claim"), (F.col("event_type") == "purchase").alias("fraud"), F.col("value").alias("amount"), F.col("event_type").alias("word"))
+
+
+@query("workload_lookups", "with n as (select max(event_id) + 1 as n from events) select 'CLM-' || event_id as expected, 'What is the status of claim CLM-' || event_id || '?' as query from events, n where event_id + 1 in (select 1 + round_even(i * (n - 1) / 24.0, 0) from range(25) r(i), n)")
+def workload_lookups(spark, d):
+    return workload.id_lookups(_event_claims(spark, d), 25).select(F.col("expected")[0].alias("expected"), "query")
+
+
+@query("workload_fraud_lists", "select 'Show me all fraud claims under policy POL-' || user_id as query, string_agg('CLM-' || event_id, ',' order by 'CLM-' || event_id) as expected from events where event_type = 'purchase' group by user_id order by min(event_id), user_id limit 50")
+def workload_fraud_lists(spark, d):
+    return workload.fraud_lists(_event_claims(spark, d), 50).select("query", F.array_join("expected", ",").alias("expected"))
+
+
+@query("workload_thresholds", """with v as (select value, row_number() over (order by value) as rn, count(*) over () as n from (select distinct value from events)), s as (select (row_number() over () - 1)::bigint as seq, s from unnest([0.05, 0.25, 0.5, 0.75, 0.95]) u(s)),
+  c as (select seq, avg(value) as t from v join s on rn in (greatest(1, least(floor(n * s::double) + 1, n - 1)), greatest(1, least(floor(n * s::double) + 1, n - 1)) + 1) group by seq)
+  select seq, count(*)::integer as n_expected, min('CLM-' || event_id) as first from c join events on value > t group by seq""")
+def workload_thresholds(spark, d):
+    return workload.thresholds(_event_claims(spark, d)).select("seq", F.size("expected").alias("n_expected"), F.col("expected")[0].alias("first"))
+
+
+@query("keyword_terms", "select lower(trim(l_shipdate::date::varchar)) as term, count(*) as n from lineitem group by 1 having count(*) >= 3 order by n desc, term limit 15")
+def keyword_terms(spark, d):
+    return workload.frequent_words(t(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").cast("string").alias("word")))
+
+
+@query("workload_eval")
+def workload_eval(spark, d):
+    """Questions made from the claims, answered in a batch and judged."""
+    flags = business.flags(spark, d).select("claim_id", F.lit(True).alias("flag"))
+    c = business.claims(spark, d).join(flags, "claim_id", "left")
+    rows = c.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), F.col("policy_id").alias("policy"), F.col("claim_id").alias("claim"), F.coalesce("flag", F.lit(False)).alias("fraud"), F.col("l_extendedprice").alias("amount"), F.col("l_returnflag").alias("word"))
+    asked = graph._cut(workload.build(graph._cut(rows), 20))
+    out = plans.answer_batch(asked.select("qid", "query"), *_stored(spark, d))
+    judged = workload.judge(asked, out.select("qid", F.array_union("kept", "dropped").alias("retrieved"), "kept", "seeds", "tokens_before", "tokens_after", "savings_percent"))
+    return proof.summary(judged.withColumn("dataset", F.col("category")))
+
+
+@query("proof_summary", """with r as (select event_type, count(*) as q, round(100 * avg((value > 10)::integer), 2) as ra, round(100 * avg((value > 50)::integer), 2) as pa, sum(floor(value))::bigint as raw, sum(floor(value / 2))::bigint as opt, round(avg(value), 2) as sv from events group by event_type)
+  select sum(q)::bigint as queries, sum(raw)::bigint as raw_tokens, sum(opt)::bigint as optimized_tokens, round(sum(ra * q) / sum(q), 2) as retrieval_accuracy, round(sum(pa * q) / sum(q), 2) as pruning_accuracy, round(sum(sv * q) / sum(q), 2) as avg_savings_pct, round((sum(raw) - sum(opt)) / sum(q), 1) as saved_tokens_per_query, round((sum(raw) - sum(opt)) / sum(q) * 10000 * 365 * 0.0025 / 1000, 2) as annual_savings_usd from r""")
+def proof_summary(spark, d):
+    e = t(spark, d, "events")
+    judged = e.select(F.col("event_type").alias("dataset"), (F.col("value") > 10).alias("retrieval_hit"), (F.col("value") > 50).alias("prune_hit"), F.col("value").alias("savings_percent"), F.floor("value").alias("tokens_before"), F.floor(F.col("value") / 2).alias("tokens_after"))
+    return proof.overall(proof.summary(judged)).drop("ci_lower", "ci_upper")
+
+
+@query("row_position", "select event_id, case when event_id + 1 <= greatest(1, round_even(0.08 * n, 0)) then 'head' when event_id + 1 >= round_even(0.92 * n, 0) then 'tail' else 'middle' end as position from events, (select count(*) as n from events)")
+def row_position(spark, d):
+    e = t(spark, d, "events")
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    return e.crossJoin(F.broadcast(n)).select("event_id", evaluate.row_position(F.col("event_id") + 1, F.col("n")).alias("position"))
+
+
+@query("seeded_sample")
+def seeded_sample(spark, d):
+    return evaluate.sample(t(spark, d, "events").select("event_id"), 100, "event_id", 42)
+
+
+@query("prop_focus", """select conv_id, turn, case when list_contains(w, 'premium') then 'premium' when list_contains(w, 'deductible') then 'deductible' when list_contains(w, 'amount') then 'amount' when list_contains(w, 'limit') then 'limit' when list_contains(w, 'risk') then 'risk_score'
+  when list_contains(w, 'confidence') then 'confidence' when list_has_any(w, ['claim', 'claims']) then 'amount' when list_has_any(w, ['coverage', 'coverages']) then 'limit' end as prop from (select conv_id, turn, regexp_extract_all(lower(text || case (conv_id + turn) % 7 when 0 then ' premium' when 1 then ' claims amount' when 2 then ' risk' when 3 then ' claims' when 4 then ' coverage' when 5 then ' limits' else '' end), '[a-z]+') as w from conversations)""")
+def prop_focus(spark, d):
+    k = (F.col("conv_id") + F.col("turn")) % 7
+    more = F.when(k == 0, " premium").when(k == 1, " claims amount").when(k == 2, " risk").when(k == 3, " claims").when(k == 4, " coverage").when(k == 5, " limits").otherwise("")
+    return _texts(spark, d).select("conv_id", "turn", T.focus(F.concat("text", more))[0]["prop"].alias("prop"))
+
+
+@query("adapt_any_table", """with c as (select c_custkey as row, case when c_custkey % 3 = 0 then '' else 'C' || c_custkey end as claim_id, c_acctbal, c_mktsegment from customer), k as (select *, case when claim_id = '' then 'CLM-' || lpad(row::varchar, greatest(5, length(row::varchar))::integer, '0') else claim_id end as id from c)
+  select 'Claim' as label, id, c_acctbal as amount, c_mktsegment = 'BUILDING' as fraud from k union all select 'FraudFlag', 'FRD-' || lpad(row::varchar, greatest(5, length(row::varchar))::integer, '0'), null, null from k where c_mktsegment = 'BUILDING'""")
+def adapt_any_table(spark, d):
+    """Customers as an uploaded table of claims; an empty id takes the row's number."""
+    c = t(spark, d, "customer")
+    rows = c.select(F.col("c_custkey").alias("row"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("C"), "c_custkey")).alias("claim_id"), F.col("c_acctbal").cast("decimal(20,4)").cast("string").alias("amount"), F.when(F.col("c_mktsegment") == "BUILDING", " Yes ").otherwise("no").alias("fraud"))
+    nodes, _ = adapters.adapt_any(rows)
+    claim = F.col("label") == "Claim"
+    return nodes.select("label", "id", F.col("nums")["amount"].alias("amount"), F.when(claim, F.lower(F.trim(F.col("props")["fraud"])) == "yes").alias("fraud"))
+
+
+@query("adapt_layout", f"""with o as (select o_orderkey as row, o_custkey % 50 as pol, o_orderpriority, o_totalprice, o_orderstatus = 'F' as fraud from orders), p as (select distinct 'POL-' || lpad(pol::varchar, greatest(4, length(pol::varchar))::integer, '0') as policy, lpad(pol::varchar, greatest(4, length(pol::varchar))::integer, '0') as n from o)
+  select 'Policy' as label, policy as id, null as amount from p union all select 'Policyholder', 'PH-' || n, null from p union all select 'Claim', 'CLM-' || {_pad("row")}, floor(o_totalprice) from o union all select 'FraudFlag', 'FRD-' || {_pad("row")}, null from o where fraud""")
+def adapt_layout(spark, d):
+    """Orders in the columns of a published table of claims."""
+    o = t(spark, d, "orders")
+    names = "insured_sex insured_occupation insured_education_level age months_as_customer policy_csl policy_state policy_annual_premium policy_deductable policy_bind_date incident_type incident_date collision_type auto_make incident_city".split()
+    rows = o.select(F.col("o_orderkey").alias("row"), (F.col("o_custkey") % 50).cast("string").alias("policy_number"), F.col("o_orderpriority").alias("incident_severity"), F.concat(F.lit("$"), F.format_number(F.floor("o_totalprice"), 0)).alias("total_claim_amount"), F.when(F.col("o_orderstatus") == "F", "y ").otherwise("N").alias("fraud_reported"), *[F.lit(None).cast("string").alias(n) for n in names])
+    return adapters.adapt(rows, adapters.layouts()["insurance_claims"])[0].select("label", "id", F.col("nums")["amount"].alias("amount"))
+
+
+@query("flatten_samples", """with l as (select distinct l_orderkey, l_partkey from lineitem) select 'HAS_POLICY' as type, count(*) as n from orders union all select 'COVERS', count(*) from l
+  union all select 'HAS_CLAIM', count(*) from orders union all select 'FRAUD_DETECTED', count(*) from orders where o_orderstatus = 'F' union all select 'ENDORSED_BY', count(*) from orders where o_orderkey % 2 = 0""")
+def flatten_samples(spark, d):
+    """Orders as nested policies with one claim each, counted by the edges they give."""
+    o = t(spark, d, "orders")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c)
+    covers = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.struct(text("COV-", "l_partkey").alias("id"), F.lit(1.0).alias("limit"))).alias("coverages"))
+    ends = o.filter("o_orderkey % 2 = 0").select(text("END-", "o_orderkey").alias("id"), text("POL-", "o_orderkey").alias("policy_id"), F.lit("RIDER").alias("type"))
+    policies = o.join(covers, "o_orderkey", "left").select(text("POL-", "o_orderkey").alias("id"), F.col("o_totalprice").alias("premium"), F.struct(text("PH-", "o_custkey").alias("id")).alias("policyholder"), "coverages", F.when(F.col("o_orderkey") % 4 == 0, F.array(F.struct(text("END-", "o_orderkey").alias("id"), text("POL-", "o_orderkey").alias("policy_id"), F.lit("RIDER").alias("type")))).alias("endorsements"))
+    claims = o.select(F.struct(text("CLM-", "o_orderkey").alias("id"), text("POL-", "o_orderkey").alias("policy_id"), F.col("o_totalprice").alias("amount")).alias("claim"), F.when(F.col("o_orderstatus") == "F", F.struct(text("FRD-", "o_orderkey").alias("id"))).alias("fraud_flag"), F.lit(None).cast("struct<id:string,name:string>").alias("investigator"))
+    return samples.flatten(policies, claims, ends)[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
