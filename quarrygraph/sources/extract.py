@@ -99,7 +99,7 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hint:
     give nothing; an entity without an id is left out, an empty property too.
     """
     read = read_lines(docs, id_col, text, hint).filter("kind is not null")
-    out = None
+    made = []
     for r in RULES:
         words = {p: cell(k) for p, k in r.text.items()}
         if r.label == "Policy":
@@ -108,9 +108,10 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hint:
             words["description"] = F.col("description")
         if r.to_document:
             words[r.to_document] = F.col("doc_id")
-        id_ = cell(r.key) if r.key else F.col("doc_id")
-        one = read.filter(F.col("kind") == r.kind).select("source", "doc_id", F.lit(r.label).alias("label"), id_.alias("id"), *_props(words, {p: cell(k) for p, k in r.numbers.items()}))
-        out = one if out is None else out.union(one)
+        entity = F.struct(F.lit(r.label).alias("label"), (cell(r.key) if r.key else F.col("doc_id")).alias("id"), *_props(words, {p: cell(k) for p, k in r.numbers.items()}))
+        made.append(F.when(F.col("kind") == r.kind, entity))
+    # all entities of a document in one pass over it
+    out = read.select("source", "doc_id", F.explode(F.array_compact(F.array(*made))).alias("e")).select("source", "doc_id", "e.*")
     rows = read.filter("kind = 'policy'").select(F.struct("source", "doc_id").alias("id"), F.explode(F.filter("lines", _is_row)).alias("line"))
     c, e = parse.coverages(rows), parse.endorsements(rows)
     text_of = lambda *names: {n: F.col(n) for n in names}
