@@ -715,3 +715,12 @@ def flatten_samples(spark, d):
     policies = o.join(covers, "o_orderkey", "left").select(text("POL-", "o_orderkey").alias("id"), F.col("o_totalprice").alias("premium"), F.struct(text("PH-", "o_custkey").alias("id")).alias("policyholder"), "coverages", F.when(F.col("o_orderkey") % 4 == 0, F.array(F.struct(text("END-", "o_orderkey").alias("id"), text("POL-", "o_orderkey").alias("policy_id"), F.lit("RIDER").alias("type")))).alias("endorsements"))
     claims = o.select(F.struct(text("CLM-", "o_orderkey").alias("id"), text("POL-", "o_orderkey").alias("policy_id"), F.col("o_totalprice").alias("amount")).alias("claim"), F.when(F.col("o_orderstatus") == "F", F.struct(text("FRD-", "o_orderkey").alias("id"))).alias("fraud_flag"), F.lit(None).cast("struct<id:string,name:string>").alias("investigator"))
     return samples.flatten(policies, claims, ends)[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("question_throughput")
+def question_throughput(spark, d):
+    """A question about every customer in one batch: what a batch costs per question."""
+    held = F.concat(F.lit("Which claims over $40,000 are on policies held by "), business._id("PH-", "c_custkey"), F.lit("?"))
+    q = t(spark, d, "customer").select(F.col("c_custkey").alias("qid"), held.alias("query"))
+    out = plans.answer_batch(q, *_stored(spark, d))
+    return out.select("qid", "answer", F.size("kept").alias("n_kept"), F.size("dropped").alias("n_dropped"), "tokens_before", "tokens_after", "savings_percent")

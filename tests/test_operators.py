@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import text as T
-from quarrygraph.operators import cdc, evaluate, graph, proof, prune, rank, records, retrieve, workload
+from quarrygraph.operators import answer, cdc, evaluate, graph, proof, prune, rank, records, retrieve, workload
 from quarrygraph.plans import questions as plans
 from quarrygraph.sources import adapters, catalog, extract, parse, readers, samples
 from quarrygraph.streaming import limiter, watch
@@ -339,3 +339,18 @@ def test_follow(spark, tmp_path):
         (tmp_path / "in" / name).write_text("x\n1\n")
         watch.follow(spark, f"{tmp_path}/in", lambda df, n: seen.extend(r.path.rsplit("/", 1)[1] for r in df.collect()), f"{tmp_path}/checkpoint").awaitTermination(60)
     assert seen == ["a.csv", "c.csv"]
+
+
+def test_generated_answers_fall_back(spark):
+    q = spark.createDataFrame([(1, "a {context}?"), (2, "b"), (3, "c")], "qid int, query string")
+    ctx = spark.createDataFrame([(1, "x {query} y"), (2, "z")], "qid int, text string")
+    rules = spark.createDataFrame([(1, "r1"), (2, "r2"), (3, "r3")], "qid int, answer string")
+    echo = lambda prompts: [p if "x" in p else None for p in prompts]
+    got = {r.qid: tuple(r)[1:] for r in answer.generated(q, ctx, rules, echo, "Q: {query} C: {context}").collect()}
+    assert got == {1: ("Q: a {context}? C: x {query} y", "model", None), 2: ("r2", "extractive", "no answer"), 3: ("r3", "extractive", "no context")}
+
+    def broken(prompts):
+        raise OSError("down")
+
+    assert {r.qid: (r.answer, r.reason) for r in answer.generated(q, ctx, rules, broken).collect()} == {1: ("r1", "OSError: down"), 2: ("r2", "OSError: down"), 3: ("r3", "no context")}
+    assert {r.mode for r in answer.generated(q, ctx, rules).collect()} == {"extractive"}
