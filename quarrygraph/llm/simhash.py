@@ -79,24 +79,30 @@ def least_hashes(h: np.ndarray, tables: int, rows: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, words: int = 1, tables: int = 0, rows: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, words: int = 1, tables: int = 0, rows: int = 3, sets: bool = False) -> DataFrame:
     """``docs`` without its text, with ``fp`` (binary, ``words`` times 64 bits, little-endian) and ``keys``.
 
     Further words are majorities of the same shingles under other hashes.  ``keys`` (array<long>)
     are minimum keys of the shingle set, for candidates beyond a small radius; none by default.
+    With ``sets`` a repeated shingle counts once, and ``node`` (long) is a hash of the shingle set.
     """
-    keep = [c for c in docs.columns if c not in ("fp", "keys", text)]
+    keep = [c for c in docs.columns if c not in ("fp", "keys", text) and not (sets and c == "node")]
+    schema = docs.select(*keep).schema.add("fp", "binary").add("keys", T.ArrayType(T.LongType()))
 
     def run(batches):
         for b in batches:
-            fps, keys = [], []
+            fps, keys, nodes = [], [], []
             for t in shared.column_bytes(b.column(text)):
                 h = shingle_hashes(t, shingle, seed)
+                if sets:
+                    h = np.unique(h)
+                    nodes.append(xxhash.xxh64_intdigest(h.tobytes(), seed) - (1 << 63))
                 fps.append(b"".join(majority(shared.mix64(h, i) if i else h).to_bytes(8, "little") for i in range(words)))
                 keys.append(least_hashes(h, tables, rows))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[*keep, "fp", "keys"])
+            made = [pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))] + ([pa.array(nodes, pa.int64())] if sets else [])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + made, names=[*keep, "fp", "keys"] + ["node"] * sets)
 
-    return docs.drop("fp", "keys").mapInArrow(run, docs.select(*keep).schema.add("fp", "binary").add("keys", T.ArrayType(T.LongType())))
+    return docs.select(*keep, text).mapInArrow(run, schema.add("node", "long") if sets else schema)
 
 
 def bands(radius: int = RADIUS) -> list[int]:
@@ -207,18 +213,23 @@ def bucket_links(fps: np.ndarray, size: np.ndarray, radius: int) -> np.ndarray:
     return forest.roots()
 
 
+def _groups(kinds: DataFrame, chunk: int) -> DataFrame:
+    """Rows of ``kinds`` (node, fp, keys) as node, fp, group: a group for each shared key or pair of its chunks."""
+    keyed = kinds.select("node", "fp", F.explode(F.array_distinct("keys")).alias("key"))
+    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
+    dealt = keyed.join(size, "key").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int"))
+    dealt = dealt.select("node", "fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return dealt.select("node", "fp", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"))
+
+
 def links(kinds: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Spanning edges (``a``, ``b`` long, a != b) between rows with ``node``, ``fp`` and ``keys``.
 
     Every pair that shares a key and lies within ``radius`` is connected by them.  Buckets above
     ``chunk`` are compared chunk by chunk, each pair of chunks in a group of its own.
     """
-    keyed = kinds.select("node", "fp", F.explode(F.array_distinct("keys")).alias("key"))
-    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    dealt = keyed.join(size, "key").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int"))
-    dealt = dealt.select("node", "fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("node", "fp", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"))
+    dealt = _groups(kinds, chunk)
 
     def run(batches):
         held = list(batches)
@@ -280,18 +291,94 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return components_of(made.withColumn("keys", keys), id_col, radius).select(id_col, _number(F.col("fp")).alias("fp"), "component_id")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, words: int = 4, tables: int = 12, rows: int = 3) -> DataFrame:
-    """Like ``near_duplicates``, for documents that share ``similarity`` of their shingles or more.
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted, distinct) share ``similarity`` of their union; two empty ones do."""
+    both = len(a) + len(b)
+    if min(len(a), len(b)) + 1e-9 < similarity * max(len(a), len(b)):
+        return False
+    common = both - len(np.union1d(a, b))
+    return common + 1e-9 >= similarity * (both - common)
+
+
+def set_links(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Root position of each set among the exact links of those within ``radius`` by fingerprint.
+
+    Pairs that earlier links connect already are not compared: a group of near copies costs about
+    one comparison a member.
+    """
+    root = np.arange(len(sets))
+    length = np.array([len(x) for x in sets])
+    for i in range(len(sets) - 1):
+        near = np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(axis=1) <= radius
+        low, high = np.minimum(length[i + 1 :], length[i]), np.maximum(length[i + 1 :], length[i])
+        ask = i + 1 + np.flatnonzero(near & (low + 1e-9 >= similarity * high))
+        while len(ask := ask[root[ask] != root[i]]):
+            j, ask = ask[0], ask[1:]
+            if alike(sets[i], sets[j], similarity):
+                a, b = sorted((root[i], root[j]))
+                root[root == b] = a
+    return root
+
+
+def exact_links(kinds: DataFrame, texts: DataFrame, radius: int, similarity: float, shingle: int, chunk: int = CHUNK) -> DataFrame:
+    """Like ``links``, of pairs whose shingle sets are compared too; ``texts`` has a text by node."""
+    dealt = _groups(kinds, chunk).join(texts, "node").select("group", "node", "fp", "text")
+
+    def roots(rows: list[tuple]) -> pa.RecordBatch:
+        node = np.array([r[0] for r in rows])
+        fps = np.frombuffer(b"".join(r[1] for r in rows), "<u8").reshape(len(rows), -1)
+        root = node[set_links([np.unique(shingle_hashes(r[2], shingle)) for r in rows], fps, radius, similarity)]
+        far = root != node
+        return pa.RecordBatch.from_arrays([pa.array(root[far]), pa.array(node[far])], names=["a", "b"])
+
+    def run(batches):
+        # a partition is sorted by group, and a group never spans two of them
+        held, now = [], None
+        for b in batches:
+            for group, *row in zip(*(b.column(c).to_pylist() for c in ("group", "node", "fp")), shared.column_bytes(b.column("text"))):
+                if group != now and held:
+                    yield roots(held)
+                    held = []
+                now = group
+                held.append(row)
+        if held:
+            yield roots(held)
+
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, words: int = 4, tables: int = 16, rows: int = 3, row: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Like ``near_duplicates``, for documents whose shingle sets share ``similarity`` or more.
+
+    Candidates: fingerprints of the shingle sets have ``words`` times 64 bits, documents meet in
+    buckets of minimum keys (``tables`` of ``rows``; at 0.8 one pair in 100,000 meets in none), and
+    the bit-sliced comparison takes a radius seven deviations above the mean at ``similarity``, since
+    sets of a few shingles lie further apart than long ones.  Every real link among them lies within
+    a component of candidates; there the shingle sets themselves are compared, and only links of
+    ``similarity`` remain.  Components above ``chunk`` are compared bucket by bucket.
 
-    At a similarity of 0.8 fingerprints differ in about 15 % of their bits, more than any pigeonhole
-    bands can bridge.  So fingerprints have ``words`` times 64 bits, documents meet in buckets of
-    minimum keys of their shingle sets (``tables`` of ``rows``; at 0.8 one in 5,000 pairs meets in
-    none), and the bit-sliced comparison takes the radius that lies 1.6 deviations above the mean at
-    ``similarity``.  Links are thus estimated, exact copies always found.
+    ``row`` names a column of distinct longs of a stored table, which is returned too; without it
+    rows are numbered here.
     """
-    made = fingerprints(docs.select(F.col(id_col), F.col(text).cast("string").alias(text)), text, shingle, SEED, words, tables, rows)
-    made = shared.materialise(made.withColumn("node", F.xxhash64("fp", "keys")), "simhash")
+    if row is None:
+        row = shared.spare(docs, "row")
+        docs = shared.materialise(docs.select(id_col, text).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = docs.select(F.col(row).alias("one"), F.col(text).cast("string").alias("text"))
+    made = fingerprints(docs.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")), "text", shingle, SEED, words, tables, rows, sets=True)
+    made = shared.materialise(made, "simhash")
     apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = 64 * words
-    radius = int(bits * apart + 1.6 * np.sqrt(bits * apart * (1 - apart)))
-    return components_of(made, id_col, radius)
+    radius = int(bits * apart + 7 * np.sqrt(bits * apart * (1 - apart)))
+    kinds = made.groupBy("node").agg(F.min("row").alias("one"), F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    maybe = connected(shared.materialise(links(kinds.select("node", "fp", "keys"), radius, chunk), "links"))
+    size = maybe.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    maybe = maybe.join(size, "root").select("node", "root", "n")
+    keys = F.when(F.col("n") > chunk, F.col("keys")).otherwise(F.array("root"))
+    asked = shared.materialise(kinds.join(maybe, "node").select("node", "one", "fp", keys.alias("keys")), "candidates")
+    texts = texts.join(asked.select("one", "node"), "one").select("node", "text")
+    edges = shared.materialise(exact_links(asked, texts, radius, similarity, shingle, chunk), "exact")
+    named = connected(edges).select("node", "root")
+    named = kinds.select("node", "least").join(named, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("node", "component", "component_id")
+    return made.join(named, "node").select(F.col("id").alias(id_col), "fp", "component_id", F.col("row").alias(row), "component")

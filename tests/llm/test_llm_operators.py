@@ -158,6 +158,36 @@ def test_similar_groups(docs, rows):
     assert all(got[i] == first for i in range(65, 73)) and got[10] == 10
 
 
+def test_similar_groups_are_exact(spark):
+    """Pairs just below and above 0.8, short texts and repeated lines, against brute force."""
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    out = []
+    for _ in range(40):
+        short = line(9)
+        out += [short, short.rsplit(" ", 1)[0]]  # 4 of 5 shingles
+        for left in (76, 77, 79, 80, 81, 84):  # of 100 shingles, the others lost at the end
+            full = line(104)
+            out += [full, " ".join(full.split()[: left + 4])]
+        passage = line(40)
+        other = line(6)
+        out += [f"{passage} {passage} {other}", " ".join([passage] * 60 + [other])]
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in out]
+    want = {i: i - (i % 2 and 5 * len(sets[i] & sets[i - 1]) >= 4 * len(sets[i] | sets[i - 1])) for i in range(len(out))}
+    assert 0 < sum(want[i] != i for i in want) < len(out) / 2
+    table = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(table).collect()} == want
+
+
+def test_chunks_of_candidates_are_exact(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(60)]
+    out = [" ".join(words[i:]) for i in range(30)]
+    table = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for chunk in (4, 512) for r in simhash.similar_groups(table, chunk=chunk).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
