@@ -20,10 +20,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with a similarity of 0.8 or more the one with the smallest id."""
-    groups = simhash.similar_groups(docs.select("doc_id", "text"))
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of rows with a similarity of 0.8 or more: the smallest id's, null ids last.
+
+    Rows are told apart by a number, not by their ids: a row without an id stays unless it is a copy,
+    and of rows that share an id only copies go.
+    """
+    row = shared.spare(docs, "row")
+    rows = shared.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")))
+    kept = simhash.similar_groups(rows, row=row).groupBy("component").agg(first.alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,6 +188,17 @@ def test_chunks_of_candidates_are_exact(spark):
     assert set(got.values()) == {0}
 
 
+def test_near_copies_without_and_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    a, b, c, d, e = (" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(80)) for _ in range(5))
+    given = [(None, a), (None, b), (None, b), (1, b), (2, c), (2, c), (3, d), (3, e), (4, e), (None, None)]
+    table = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table, "").collect())
+    assert got == collections.Counter([(None, a), (1, b), (2, c), (3, d), (3, e), (None, None)])
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
