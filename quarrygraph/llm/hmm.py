@@ -8,13 +8,15 @@ whose spare half is the class's one unknown word.  The end is a class too, so th
 the probability of exactly that text.
 
 Counts c, N, V are exact over all training documents; they travel in packed rows between blocks and
-buckets (see ``shared``).  Training: a start from a bounded sample, then ``ROUNDS`` Baum-Welch rounds
-over every training document, whose expected counts are summed across partitions as rows (class,
-counts by state).  Scoring: the scaled forward recursion over the whole text.
+buckets (see ``shared``).  Training: start values from a bounded sample, then Baum-Welch rounds over
+every training document until a round gains less than ``GAIN`` nats a token; expected counts are
+summed across partitions as rows (class, counts by state).  Scoring: the scaled forward recursion over the whole text.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,8 +28,9 @@ from . import shared
 STATES = 8
 FREQUENT = 8192
 SPELLINGS = 2048
-ROUNDS = 2
-#: Only for the start values: documents, their words at most, and rounds.
+#: Training ends when a round over all documents raises their log likelihood by less, in nats a token.
+GAIN = 1e-3
+#: Only for the start values: documents of any length, consecutive words taken of each, and rounds.
 START_DOCS, START_WORDS, START_ROUNDS = 1500, 2048, 25
 _BATCH = 1_000_000
 _SMOOTH_CLASS, _SMOOTH_STEP = 0.02, 0.5
@@ -146,6 +149,7 @@ class Batch:
             if keep:
                 e[a:b] = alpha
         self.scale, self.alpha = scale, e if keep else None
+        self.likelihood = float(np.log(scale.astype(np.float64)).sum())
         out = np.empty(len(self.order))
         out[self.order] = np.bincount(self.d, weights=np.log(scale.astype(np.float64)), minlength=len(self.order))
         return out
@@ -278,33 +282,44 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple
     return shared.materialise(encoded, "encoded"), of_class
 
 
-def train(encoded: DataFrame, of_class: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training documents, started from a bounded sample of them."""
+def train(encoded: DataFrame, of_class: np.ndarray, rounds: int | None = None) -> Model:
+    """Baum-Welch over all training documents to convergence, or for ``rounds`` rounds if given.
+
+    The start values come from a sample; a document longer than ``START_WORDS`` gives it a stretch
+    from a place that depends on its hash.
+    """
     prior = (of_class + 0.5) / (of_class + 0.5).sum()
     learn = encoded.filter(~F.col("held_out"))
-    start = learn.filter(F.col("n_tokens") <= START_WORDS).orderBy(F.xxhash64("id", "classes")).select("classes").limit(START_DOCS)
+    mark = F.xxhash64("id", "classes")
+    since = F.pmod(mark, F.greatest(F.col("n_tokens") - START_WORDS, F.lit(0)) + 1).cast("int")
+    start = learn.withColumn("mark", mark).withColumn("since", since).orderBy("mark").limit(START_DOCS)
+    start = start.select(F.expr(f"substring(classes, 2 * since + 1, {2 * START_WORDS})").alias("classes"))
     model = Model.random(prior)
     blobs = [bytes(r.classes) for r in start.collect()]
     if not blobs:
-        return model
+        return model  # no training document at all
     sample = _batch_of(blobs)
     for _ in range(START_ROUNDS):
         model = Model.of_counts(*sample.expected(model.single()), prior)
-    for _ in range(rounds):
+    tokens, before = max(1, int(of_class.sum())), -np.inf
+    for done in count():
+        if done == rounds:
+            break
         now = encoded.sparkSession.sparkContext.broadcast(model.single())
 
         def run(batches, now=now):
             m = now.value
             total = None
             for held in _batches(((x,) for b in batches for x in b.column(0).to_pylist())):
-                got = _batch_of([x for (x,) in held]).expected(m)
+                batch = _batch_of([x for (x,) in held])
+                got = (*batch.expected(m), batch.likelihood)
                 total = got if total is None else tuple(a + b for a, b in zip(total, got))
             if total is None:
                 return
-            begin, step, emissions = total
+            begin, step, emissions, likelihood = total
             used = np.flatnonzero(emissions.sum(axis=0))
-            rows = np.concatenate((begin[None], step, emissions.T[used]))
-            slot = np.concatenate((np.arange(-1 - STATES, 0), used))
+            rows = np.concatenate((np.full((1, STATES), likelihood), begin[None], step, emissions.T[used]))
+            slot = np.concatenate((np.arange(-2 - STATES, 0), used))
             yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64())] + [pa.array(rows[:, s]) for s in range(STATES)], names=["slot", *(f"s{s}" for s in range(STATES))])
 
         sums = learn.select("classes").mapInArrow(run, "slot long, " + ", ".join(f"s{s} double" for s in range(STATES)))
@@ -314,15 +329,20 @@ def train(encoded: DataFrame, of_class: np.ndarray, rounds: int = ROUNDS) -> Mod
             v = np.array(r[1:])
             if r.slot >= 0:
                 emissions[:, r.slot] = v
+            elif r.slot == -2 - STATES:
+                now_at = v[0] / tokens
             elif r.slot == -1 - STATES:
                 begin = v
             else:
                 step[r.slot + STATES] = v
         model = Model.of_counts(begin, step, emissions, prior)
+        if rounds is None and now_at - before < GAIN:
+            break
+        before = now_at
     return model
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """A row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null, empty and blank texts are the end token alone.  A null id counts as the empty string where

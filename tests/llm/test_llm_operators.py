@@ -66,6 +66,26 @@ def test_hmm(docs, rows, none):
     assert hmm.score(none).count() == 0
 
 
+def test_hmm_learns_from_long_documents_alone(spark, monkeypatch):
+    rng = random.Random(6)
+    table = spark.createDataFrame([(i, " ".join(rng.choices("a b c d".split() if i % 2 else "e f g h".split(), k=2500))) for i in range(12)], "doc_id long, text string")
+    encoded, of_class = hmm.encode(table)
+    start = hmm.Model.random((of_class + 0.5) / (of_class + 0.5).sum())
+    model = hmm.train(encoded, of_class)
+    assert not np.allclose(model.emit, start.emit)
+    # converged: another round over all documents gains less than GAIN a token
+    blobs = [bytes(r.classes) for r in encoded.filter("not held_out").collect()]
+    prior = (of_class + 0.5) / (of_class + 0.5).sum()
+    batch = hmm._batch_of(blobs)
+    now = batch.forward(model, False).sum()
+    then = batch.forward(hmm.Model.of_counts(*batch.expected(model), prior), False).sum()
+    assert then - now < hmm.GAIN * of_class.sum()
+    monkeypatch.setattr(hmm, "START_ROUNDS", 0)
+    far = hmm.train(encoded, of_class, rounds=1)
+    near = hmm.train(encoded, of_class)
+    assert batch.forward(near, False).sum() > batch.forward(far, False).sum()
+
+
 def test_hmm_recursions_equal_sums_over_paths():
     rng = np.random.default_rng(0)
     s, m = hmm.STATES, 6
