@@ -39,12 +39,10 @@ _CODE[list(b" \t\n\r\x0b\x0c")] = 0
 _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
-_MARKS = "".join(sorted(set(SEPARATORS) | set(LOOKS_LIKE)))
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1*", re.S)
-_THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
 _SPACED = re.compile(rb"(?<!\S)(?:[0-9A-Za-z@$!|+(]\s{1,2}){2,}[0-9A-Za-z@$!|+(](?!\S)")
-_ODD = re.compile(rf"[^\W\d_][{re.escape(_MARKS)}]+[^\W\d_]|[0-9@$!|+(€]+[^\W\d_]{{2}}|[^\W\d_]{{2}}[0-9@$|+(€]")
 
 
 def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -87,7 +85,7 @@ class Decoder:
             for i in range(n):
                 if ch.isalpha():
                     options = [(ch, self.KEEP)]
-                    drop = self.REPEAT if i and n > 2 else None
+                    drop = self.REPEAT if i else None
                 elif ch in LOOKS_LIKE:
                     options = [(c, self.SWAP) for c in LOOKS_LIKE[ch]]
                     drop = self.REPEAT if i else self.DROP if ch in "!|" else self.LOSE
@@ -121,20 +119,18 @@ class Decoder:
         return "".join(reversed(out))
 
 
-def suspicious(token: str) -> bool:
-    return bool(_THRICE.search(token) or _ODD.search(token))
-
-
 def restored(token: str, decoder: Decoder) -> list[str]:
-    """The letter runs of a lower-case token, and its decoded form if it looks obfuscated."""
-    if token.isalpha() and not _THRICE.search(token):
+    """The letter runs of a lower-case token, and its decoded form unless it can only be read as it is.
+
+    Any character other than a letter and any repeated letter makes for other readings.
+    """
+    if token.isalpha() and not _TWICE.search(token):
         return [token]
     words = _LETTERS.findall(token)
-    if suspicious(token):
-        core = token.strip(SEPARATORS + "\"?)[]{}<>«»“”")
-        for form in {core, core.rstrip("!|")}:
-            if form:
-                words.append(decoder.decode(form))
+    core = token.strip(SEPARATORS + "\"?)[]{}<>«»“”")
+    for form in {core, core.rstrip("!|")}:
+        if form and not (form.isalpha() and not _TWICE.search(form)):
+            words.append(decoder.decode(form))
     return words
 
 

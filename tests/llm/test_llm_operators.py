@@ -415,6 +415,16 @@ def test_warc(spark):
     assert warc.read_warc(warc.archive(df.limit(0))).count() == 0
 
 
+def test_every_odd_token_is_decoded():
+    raw = b"you stupid ass idiot shit the stupid idiot ass shit " * 50
+    c = toxicity._CODE[np.frombuffer(raw, np.uint8)].astype(int)
+    counts = np.zeros((toxicity._A,) * 3)
+    np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    decoder = toxicity.Decoder(counts)
+    forms = {"a$$": "ass", "a55": "ass", "5h17": "shit", "1d107": "idiot", "!d!07": "idiot", "iddiioott": "idiot", "s=t=u=p=i=d": "stupid", "s?t?u?p?i?d": "stupid", "s·t·u·p·i·d": "stupid", "s%t&u=p\"i?d": "stupid"}
+    assert {f: w for f, w in forms.items() if w not in toxicity.restored(f, decoder)} == {}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
