@@ -42,7 +42,10 @@ _CODE[128:] = 27
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1*", re.S)
 _TWICE = re.compile(r"([^\W\d_])\1")
-_SPACED = re.compile(rb"(?<!\S)(?:[0-9A-Za-z@$!|+(]\s{1,2}){2,}[0-9A-Za-z@$!|+(](?!\S)")
+#: Three or more groups of one or two characters, with marks or without, over gaps of any length.
+_MARK = rb"[^\s0-9A-Za-z@$!|+(\x80-\xff]*"
+_GROUP = _MARK + rb"(?:(?:[0-9A-Za-z@$!|+(]|[\xc2-\xf4][\x80-\xbf]+)" + _MARK + rb"){1,2}"
+_SPACED = re.compile(rb"(?<!\S)(?:" + _GROUP + rb"\s+){2,}" + _GROUP + rb"(?!\S)")
 
 
 def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -83,7 +86,9 @@ class Decoder:
         for run in _RUN.finditer(token):
             ch, n = run.group()[0], len(run.group())
             for i in range(n):
-                if ch.isalpha():
+                if ch == " ":
+                    options, drop = [(ch, self.KEEP)], self.KEEP  # a boundary or none, as the trigrams say
+                elif ch.isalpha():
                     options = [(ch, self.KEEP)]
                     drop = self.REPEAT if i else None
                 elif ch in LOOKS_LIKE:
@@ -104,7 +109,7 @@ class Decoder:
             for (a, b), (p, path) in states.items():
                 for c, q in options:
                     if c:
-                        code = ord(c) - 96 if "a" <= c <= "z" else 27
+                        code = ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
                         s, v, way = (b, code), p + q + log[a][b][code], (path, c)
                     else:
                         s, v, way = (a, b), p + q, path
@@ -138,9 +143,10 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def spaced(raw: bytes) -> list[str]:
-    """Runs of three or more single characters, each run as one token."""
-    return [re.sub(rb"\s+", b"", m).decode().lower() for m in _SPACED.findall(raw)]
+def spaced(raw: bytes, decoder: Decoder) -> set[str]:
+    """The decoded words of runs of three or more short groups of characters."""
+    runs = {b" ".join(m.split()).decode("utf-8", "replace").lower() for m in _SPACED.findall(raw)}
+    return {w for r in runs for w in decoder.decode(r).split()}
 
 
 class Scorer:
@@ -168,7 +174,7 @@ class Scorer:
         raw = raw or b""
         tokens = set(raw.split())
         found = np.fromiter(map(self.memo.__getitem__, tokens), np.float64, len(tokens))
-        more = [max((self.odds.get(f, 0.0) for f in features(self.decoder.decode(t))), default=0.0) for t in set(spaced(raw))]
+        more = [max((self.odds.get(f, 0.0) for f in features(w)), default=0.0) for w in spaced(raw, self.decoder)]
         if more:
             found = np.concatenate((found, more))
         if not len(found):
@@ -251,8 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                             memo.clear()
                         memo[t] = [f for w in restored(t.decode("utf-8", "replace").lower(), decoder) for f in features(w)]
                     seen.update(memo[t])
-                for t in set(spaced(raw)):
-                    seen.update(features(decoder.decode(t)))
+                for w in spaced(raw, decoder):
+                    seen.update(features(w))
                 found.update((f, p, y) for f in seen)
             if len(found) > 500_000:
                 yield from emit()

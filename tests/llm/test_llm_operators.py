@@ -415,12 +415,23 @@ def test_warc(spark):
     assert warc.read_warc(warc.archive(df.limit(0))).count() == 0
 
 
-def test_every_odd_token_is_decoded():
-    raw = b"you stupid ass idiot shit the stupid idiot ass shit " * 50
+def insults():
+    raw = b"you are a stupid ass i am a idiot shit the stupid idiot ass shit " * 50
     c = toxicity._CODE[np.frombuffer(raw, np.uint8)].astype(int)
     counts = np.zeros((toxicity._A,) * 3)
     np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
-    decoder = toxicity.Decoder(counts)
+    return toxicity.Decoder(counts)
+
+
+def test_words_of_spaced_runs():
+    decoder = insults()
+    forms = {"you are a s t u p i d": {"stupid"}, "s t u p i d i d i o t": {"stupid", "idiot"}, "s t u   p i d": {"stupid"}, "st up id": {"stupid"}, "s. t. u. p. i. d.": {"stupid"}, "I s \t t\n\nu p 1 d": {"stupid"}, "\u00e9 t \u00e9": {"\u00e9t\u00e9"}}
+    assert {f: got for f, w in forms.items() if not w & (got := toxicity.spaced(f.encode(), decoder))} == {}
+    assert {"stupid", "idiot"} <= toxicity.spaced(b"s t u p i d i d i o t", decoder)
+
+
+def test_every_odd_token_is_decoded():
+    decoder = insults()
     forms = {"a$$": "ass", "a55": "ass", "5h17": "shit", "1d107": "idiot", "!d!07": "idiot", "iddiioott": "idiot", "s=t=u=p=i=d": "stupid", "s?t?u?p?i?d": "stupid", "s·t·u·p·i·d": "stupid", "s%t&u=p\"i?d": "stupid"}
     assert {f: w for f, w in forms.items() if w not in toxicity.restored(f, decoder)} == {}
 
