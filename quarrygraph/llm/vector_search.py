@@ -3,44 +3,60 @@
 Geometry: with one more component that lifts every vector to the largest norm (queries get 0 there)
 the largest inner products are the smallest distances, so clustering by distance serves the search.
 
-Index: centroids are fitted on a bounded sample by k-means that splits lists which are too long;
-every row is then posted to the list of its nearest centroid, and to up to ``COPIES`` - 1 further
+Index: equal vectors are one *kind* with the ``k`` + 1 smallest of its ids, which are all that any
+answer can hold.  Centroids are fitted on a bounded sample by k-means that splits lists which are too
+long; above ``COARSE`` lists the sample's centroids are cells, and each cell's lists are fitted on
+vectors of its own, by tasks.  Their number grows with the rows, at first one for ``PER_LIST`` kinds,
+then as the root of the kinds (see ``lists_for_kinds``), so that lists and centroids grow alike.
+Every kind is then posted to the list of its nearest centroid, and to up to ``COPIES`` - 1 further
 ones whose distance is within ``BOUNDARY`` of the nearest, unless a list that has it already lies
-closer to that centroid (the relative neighbourhood rule).  A list is cut into segments of about
-``SEGMENT`` rows, so that a vector that is very common does not make one task.
+closer to that centroid (the relative neighbourhood rule).
 
 Search: the centroids form an in-memory graph (each linked with its nearest ones and a few spread
-ones) that a beam search walks for many queries at once; lists whose distance is within ``RATIO`` of
-the nearest are read, and more as long as they hold fewer than ``LEAST`` rows.
+ones) that a beam search walks for many queries at once; lists whose distance is within a ratio of
+the nearest are read, and more as long as they hold fewer than ``LEAST`` kinds.  The beam grows until
+both rules are met.  The ratio is the one that would have found ``RECALL`` of the true neighbours of
+about ``PROBES`` indexed vectors, which are compared with all others for that: on clustered vectors it
+stays near 1, on directions without clusters it has to take in a good part of all lists.
+
+Equal query vectors are searched once.  About ``LISTS_PER_BLOCK`` neighbouring lists make a block; a
+query goes to each block once, with the lists that it reads there.  Blocks and their queries are cut
+into segments of about ``SEGMENT`` rows, and each segment meets each part of the queries in a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 
 TOP = 20
-PER_LIST = 128
-MOST_LISTS = 16_384
-#: Rows that centroids are fitted on, at most.
-SAMPLE = 65_536
+PER_LIST = 64
+#: Lists for the root of the kinds: the centroids, which are broadcast, number at most so many times it.
+PER_ROOT = 12
+#: Vectors that the first centroids (or cells) are fitted on, and those for each further list, about.
+SAMPLE, OF_CELL = 65_536, 16
+COARSE = 1024
 COPIES, BOUNDARY = 4, 1.15
-RATIO, LEAST, BEAM = 1.32, 2_000, 128
-SEGMENT = 4_096
+RECALL, PROBES = 0.96, 256
+LEAST, BEAM = 2_000, 128
+LISTS_PER_BLOCK, SEGMENT = 32, 4_096
 _DEGREE = 24
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """Id and vector (array<double>) of the rows that can take part.
+    """Id and vector (array of float or double) of the rows that can take part.
 
     Null, empty and zero vectors, those with a null or non-finite component, and those of another
     length than most have are left out.
     """
-    v = F.col(col).cast("array<double>")
+    kind = vectors.schema[col].dataType
+    v = F.col(col) if kind == T.ArrayType(T.FloatType(), kind.containsNull) else F.col(col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v")).filter(v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)))
@@ -48,6 +64,26 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -
     return rows.filter(F.size("v") == (length[0].d if length else 0))
 
 
+def kinds_of(rows: DataFrame, most: int) -> DataFrame:
+    """``v``, ``ids``: distinct vectors, each with the ``most`` smallest of its ids.
+
+    Rows are made distinct first and the rank limit is taken before the shuffle too, so a very common
+    vector sends no more than ``most`` rows from each task.
+    """
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    first = rows.distinct().withColumn("nth", nth).filter(F.col("nth") <= most)
+    return first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def lists_for_kinds(n: int, per_list: int = PER_LIST) -> int:
+    return max(1, min(-(-n // per_list), int(PER_ROOT * n**0.5)))
+
+
+def _share(of: Column, part: float) -> Column:
+    """A condition that about ``part`` of all values of ``of`` meet, the same ones every time."""
+    return F.lit(True) if part >= 1 else F.xxhash64(of) < int(-(2**63) + part * 2**64)
+
+
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0)
 
@@ -98,6 +134,7 @@ class Centroids:
     def __init__(self, points: np.ndarray, seed: int = 13):
         self.points, self.size = points, np.zeros(len(points), np.int64)
         n = len(points)
+        self.block = _nearest(points, balanced_centroids(points, max(1, n // LISTS_PER_BLOCK)))
         rng = np.random.default_rng(seed)
         near = np.empty((n, min(_DEGREE, n)), np.int64)
         for i in range(0, n, 1024):
@@ -140,33 +177,38 @@ class Centroids:
                 return ids, np.sqrt(dist)
             pick = np.argsort(~todo, axis=1, kind="stable")[:, :4]
             chosen = np.where(np.take_along_axis(todo, pick, 1), np.take_along_axis(ids, pick, 1), -1)
-            expanded[rows, np.maximum(chosen, 0)] |= chosen >= 0
+            r, j = np.nonzero(chosen >= 0)
+            expanded[r, chosen[r, j]] = True
             fresh = self.graph[np.maximum(chosen, 0)].reshape(len(q), -1)
 
+    def scan(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids for each query, nearest first, and the distances."""
+        d = _distances(q, self.points)
+        ids = np.argsort(d, axis=1, kind="stable")
+        return ids, np.sqrt(np.take_along_axis(d, ids, 1))
+
     def lists_for(self, q: np.ndarray, ratio: float, least: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, list) to read."""
-        ids, dist = self.walk(q, beam)
-        held = np.where(ids >= 0, self.size[np.maximum(ids, 0)], 0)
-        before = np.cumsum(held, axis=1) - held
-        use = (ids >= 0) & ((dist <= ratio * dist[:, :1]) | (before < least))
-        a, b = np.nonzero(use)
-        short = np.flatnonzero(held.sum(1) < min(least, self.size.sum()))
-        # the walk did not meet enough rows: take the rest in order of distance
-        extra = []
-        for i in short:
-            order = np.argsort(_distances(q[i : i + 1], self.points)[0], kind="stable")
-            n = np.cumsum(self.size[order]) - self.size[order]
-            extra += [(i, c) for c in order[n < least] if c not in set(ids[i][use[i]])]
-        lists = ids[a, b]
-        if extra:
-            e = np.array(extra)
-            a, lists = np.concatenate((a, e[:, 0])), np.concatenate((lists, e[:, 1]))
-        return a, lists
+        """Pairs (query, list) to read.
+
+        While the last of the beam is still to be read, the beam of those queries is doubled; where it
+        would hold a quarter of all centroids, all of them are looked at.
+        """
+        n, rows, found = len(self.points), np.arange(len(q)), []
+        while len(rows):
+            ids, dist = self.walk(q[rows], beam) if 4 * beam < n else self.scan(q[rows])
+            held = np.where(ids >= 0, self.size[np.maximum(ids, 0)], 0)
+            before = np.cumsum(held, axis=1) - held
+            use = (ids >= 0) & ((dist <= ratio * dist[:, :1]) | (before < least))
+            settled = np.full(len(rows), 4 * beam >= n) | ((ids[:, -1] >= 0) & ~use[:, -1])
+            a, b = np.nonzero(use & settled[:, None])
+            found.append((rows[a], ids[a, b]))
+            rows, beam = rows[~settled], 2 * beam
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
 def _matrix(col) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    flat = col.flatten().to_numpy(zero_copy_only=False)
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
 
@@ -174,89 +216,166 @@ def _lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.hstack((x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))[:, None]))
 
 
-def fit(rows: DataFrame, per_list: int = PER_LIST, sample: int = SAMPLE) -> tuple[Centroids | None, float]:
-    """Centroids from the first ``sample`` rows by hash, and the largest norm of all."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, top = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
+def fit(kinds: DataFrame, per_list: int = PER_LIST, sample: int = SAMPLE, coarse: int = COARSE) -> tuple[Centroids | None, float]:
+    """Centroids from a share of the kinds by hash (about ``sample``), and the largest norm of all.
+
+    More than ``coarse`` lists are fitted in two levels: the sample gives ``coarse`` cells, and tasks
+    give each cell lists in proportion to its vectors, from ``OF_CELL`` vectors a list or so.
+    """
+    norm = F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
+    n, top = kinds.agg(F.count(F.lit(1)), F.max(norm)).first()
     if not n:
         return None, 0.0
-    lists = max(1, min(MOST_LISTS, -(-n // per_list)))
-    picked = rows.orderBy(F.xxhash64("v", "id")).limit(min(sample, 64 * lists)).select("v").toArrow()
-    return Centroids(balanced_centroids(_lifted(_matrix(picked["v"]), top), lists)), top
+    lists = lists_for_kinds(n, per_list)
+    cells = min(lists, coarse)
+    picked = kinds.filter(_share(F.col("v"), min(sample, 64 * cells) / n)).select("v").toArrow()
+    if not picked.num_rows:
+        picked = kinds.select("v").limit(1).toArrow()
+    first = balanced_centroids(_lifted(_matrix(picked["v"]), top), cells)
+    if cells == lists:
+        return Centroids(first), top
+    of_cell = kinds.sparkSession.sparkContext.broadcast(first)
+    kind = kinds.schema["v"].dataType.simpleString()
+    part = min(1.0, OF_CELL * lists / n)
+
+    def nearest(batches):
+        for b in batches:
+            near = _nearest(_lifted(_matrix(b.column("v")), top), of_cell.value)
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64()), b.column("v")], names=["cell", "v"])
+
+    def split(t: pa.Table) -> pa.Table:
+        x = _lifted(_matrix(t["v"]), top)
+        points = balanced_centroids(x, max(1, round(len(x) * lists / (part * n))))
+        return pa.table({"point": pa.array(points.tolist(), pa.list_(pa.float64()))})
+
+    dealt = kinds.filter(_share(F.col("v"), part)).select("v").mapInArrow(nearest, f"cell long, v {kind}")
+    points = dealt.groupBy("cell").applyInArrow(split, "point array<double>").toArrow()
+    return Centroids(_matrix(points["point"])), top
 
 
-def post(rows: DataFrame, centroids, top: float, copies: int = COPIES, boundary: float = BOUNDARY) -> DataFrame:
-    """``list``, ``id``, ``v``, ``own`` (the nearest list) for each row and list that it is posted to."""
+def needed_ratio(posted: DataFrame, fitted: Centroids, k: int, recall: float = RECALL, probes: int = PROBES) -> float:
+    """The ratio of distances within which the lists of ``recall`` of the true neighbours of some kinds lie."""
+    own = posted.filter("own")
+    total = int(fitted.size.sum())
+    asked = own.filter(_share(F.reverse("v"), probes / total)).select(F.element_at("ids", 1).alias("id"), "v").toArrow()
+    q, names = _matrix(asked["v"]), asked["id"].to_numpy()
+    if not len(q) or total < 2:
+        return 1.0
+    sent = own.sparkSession.sparkContext.broadcast((q, names))
+
+    def run(batches):
+        q, names = sent.value
+        best, at = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+        for b in batches:
+            s = q @ _matrix(b.column("v")).T
+            first = pc.list_element(b.column("ids"), 0).to_numpy(zero_copy_only=False)
+            s[names[:, None] == first[None]] = -np.inf
+            s = np.hstack((best, s))
+            lists = np.hstack((at, np.broadcast_to(b.column("list").to_numpy(), (len(q), b.num_rows))))
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            best, at = np.take_along_axis(s, top, 1), np.take_along_axis(lists, top, 1)
+        r, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(best[r, j]), pa.array(at[r, j])], names=["q", "score", "list"])
+
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "list"))
+    found = own.select("ids", "v", "list").mapInArrow(run, "q long, score double, list long").withColumn("nth", nth).filter(F.col("nth") <= k)
+    found = found.select("q", "list").toArrow()  # probes times k rows
+    d = np.sqrt(_distances(np.hstack((q, np.zeros((len(q), 1)))), fitted.points))
+    need = d[found["q"].to_numpy(), found["list"].to_numpy()] / np.maximum(d.min(axis=1)[found["q"].to_numpy()], 1e-12)
+    return max(1.0, float(np.quantile(need, recall, method="higher"))) if len(need) else 1.0
+
+
+def post(kinds: DataFrame, centroids, top: float, copies: int = COPIES, boundary: float = BOUNDARY) -> DataFrame:
+    """``list``, ``block``, ``ids``, ``v``, ``own`` (the nearest list) for each kind and list that it is posted to."""
 
     def run(batches):
         c = centroids.value
-        links = np.sqrt(_distances(c.points, c.points))
         for b in batches:
             x = _lifted(_matrix(b.column("v")), top)
             for i in range(0, len(x), 2048):
                 part = np.sqrt(_distances(x[i : i + 2048], c.points))
-                # every list within the boundary, in order, dropped by the neighbourhood rule
-                k = min(8, part.shape[1])
+                # the nearest few lists in order, dropped by the boundary and the neighbourhood rule
+                k = min(2 * copies, part.shape[1])
                 near = np.argpartition(part, k - 1, axis=1)[:, :k]
                 d = np.take_along_axis(part, near, 1)
                 order = np.argsort(d, axis=1, kind="stable")
                 near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+                p = c.points[near]
+                square = (p * p).sum(2)
+                between = np.sqrt(np.maximum(square[:, :, None] + square[:, None] - 2 * p @ p.transpose(0, 2, 1), 0))
                 taken = np.zeros(near.shape, bool)
                 taken[:, 0] = True
                 for j in range(1, k):
                     ok = (d[:, j] <= boundary * d[:, 0] + 1e-12) & (taken.sum(1) < copies)
                     for e in range(j):
-                        ok &= ~(taken[:, e] & (links[near[:, j], near[:, e]] < d[:, j]))
+                        ok &= ~(taken[:, e] & (between[:, j, e] < d[:, j]))
                     taken[:, j] = ok
                 r, j = np.nonzero(taken)
                 at = pa.array(r + i)
-                yield pa.RecordBatch.from_arrays([pa.array(near[r, j], pa.int64()), b.column("id").take(at), b.column("v").take(at), pa.array(j == 0)], names=["list", "id", "v", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(near[r, j], pa.int64()), pa.array(c.block[near[r, j]], pa.int64()), b.column("ids").take(at), b.column("v").take(at), pa.array(j == 0)], names=["list", "block", "ids", "v", "own"])
+
+    types = {n: kinds.schema[n].dataType.simpleString() for n in ("ids", "v")}
+    return kinds.mapInArrow(run, f"list long, block long, ids {types['ids']}, v {types['v']}, own boolean")
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"list long, id {kind}, v array<double>, own boolean")
 
+def _best(q: np.ndarray, numbers: np.ndarray, wanted: np.ndarray, x: np.ndarray, of_list: np.ndarray, ids: np.ndarray, kind: np.ndarray, k: int):
+    """For each query the ``k`` ids of largest product; ties, however many, go to the smaller ids.
 
-def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int):
-    """For each query its ``k`` largest products; ties, however many, go to the smaller ids."""
+    ``wanted`` (queries x lists) and ``of_list`` (the list of each row of ``x``) say what a query reads.
+    ``ids`` and ``kind`` (its row of ``x``) belong together, in ascending order of ids; an id that has
+    several vectors or stands in several lists counts by the best of them.
+    """
     out = []
+    start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     for i in range(0, len(q), 256):
-        s = q[i : i + 256] @ x.T
-        s[q_ids[i : i + 256, None] == x_ids[None]] = -np.inf
-        kk = min(k, s.shape[1])
-        least = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
+        s = np.where(wanted[i : i + 256][:, of_list], q[i : i + 256] @ x.T, -np.inf)[:, kind]
+        of_id = s if len(start) == len(ids) else np.maximum.reduceat(s, start, axis=1)
+        kk = min(k, of_id.shape[1])
+        least = -np.partition(-of_id, kk - 1, axis=1)[:, kk - 1]
         # rounding of the product must not decide a tie: take a little more, then score one by one
         slack = 1e-12 * (np.abs(s, where=np.isfinite(s), out=np.zeros_like(s)).max(axis=1) + 1e-300)
         a, b = np.nonzero((s >= (least - slack)[:, None]) & np.isfinite(s))
-        exact = (q[a + i] * x[b]).sum(axis=1)
-        order = np.lexsort((x_ids[b], -exact, a))
+        exact = (q[a + i] * x[kind[b]]).sum(axis=1)
+        order = np.lexsort((ids[b], -exact, a))
         a, b, exact = a[order], b[order], exact[order]
-        start = np.searchsorted(a, a, side="left")
-        keep = np.arange(len(a)) - start < k
-        out.append((q_ids[a[keep] + i], x_ids[b[keep]], exact[keep]))
+        if of_id is not s:
+            _, once = np.unique(np.stack((a, ids[b])), axis=1, return_index=True)
+            once.sort()
+            a, b, exact = a[once], b[once], exact[once]
+        keep = np.arange(len(a)) - np.searchsorted(a, a, side="left") < k
+        out.append((numbers[a[keep] + i], ids[b[keep]], exact[keep]))
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", col: str = "embedding", k: int = TOP, per_list: int = PER_LIST, ratio: float = RATIO, least: int = LEAST, beam: int = BEAM) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", col: str = "embedding", k: int = TOP, per_list: int = PER_LIST, recall: float = RECALL, ratio: float | None = None, least: int = LEAST, beam: int = BEAM, sample: int = SAMPLE, coarse: int = COARSE, segment: int = SEGMENT) -> DataFrame:
     """query_id, rank (from 1), id, score: each query's ``k`` nearest found, its own id left out.
 
     Scores are inner products in double precision; ties go to the smaller id.  Rows that cannot take
     part (see ``usable``; null ids too) neither ask nor answer.  Repeated rows are candidates with
-    one id and count once.  With fewer than ``least`` candidates in all every one is looked at.  Other
-    columns are not read.  An empty table gives an empty result.
+    one id and count once; an id with several vectors asks with each and answers with its best.  With
+    fewer than ``least`` distinct vectors in all every one is looked at.  ``ratio`` replaces the one
+    that ``recall`` asks for.  Other columns, whatever their names, are not read.  An empty table gives
+    an empty result.
     """
     spark = vectors.sparkSession
-    kind = vectors.schema[id_col].dataType.simpleString()
-    out = f"query_id {kind}, id {kind}, score double"
-    rows = shared.materialise(usable(vectors, id_col, col).filter("id is not null"), "vectors")
-    asking = usable(queries, id_col, col).filter("id is not null")
-    fitted, top = fit(rows, per_list)
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    kinds = shared.materialise(kinds_of(usable(vectors, id_col, col).filter("id is not null"), k + 1), "kinds")
+    fitted, top = fit(kinds, per_list, sample, coarse)
     if fitted is None:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
+        shared.drop_table(kinds)
+        return spark.createDataFrame([], f"query_id {id_type}, rank int, {id_col} {id_type}, score double")
     sent = spark.sparkContext.broadcast(fitted)
-    posted = shared.materialise(post(rows, sent, top), "postings")
-    for r in posted.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("long")).alias("own")).collect():  # a row per list
-        fitted.size[r.list] = r.own
+    posted = shared.materialise(post(kinds, sent, top), "postings")
+    shared.drop_table(kinds)
+    for r in posted.filter("own").groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per list
+        fitted.size[r.list] = r.n
+    if ratio is None:
+        ratio = needed_ratio(posted, fitted, k, recall)
+    sent.unpersist()
     sent = spark.sparkContext.broadcast(fitted)
+    asking = shared.materialise(usable(queries, id_col, col).filter("id is not null").distinct(), "asking")
+    distinct = shared.materialise(asking.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    kind = distinct.schema["v"].dataType.simpleString()
 
     def ask(batches):
         c = sent.value
@@ -265,24 +384,44 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", col:
             lifted = np.hstack((x, np.zeros((len(x), 1))))
             for i in range(0, len(x), 256):
                 a, lists = c.lists_for(lifted[i : i + 256], ratio, least, beam)
-                at = pa.array(a + i)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), b.column("id").take(at), b.column("v").take(at)], names=["list", "id", "v"])
+                order = np.lexsort((lists, c.block[lists], a))
+                a, lists = a[order], lists[order]
+                first = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(c.block[lists]) != 0))[: len(a)])
+                read = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.array(lists, pa.int64()))
+                at = pa.array(a[first] + i)
+                yield pa.RecordBatch.from_arrays([pa.array(c.block[lists[first]], pa.int64()), read, b.column("q").take(at), b.column("v").take(at)], names=["block", "lists", "number", "v"])
 
-    asked = asking.mapInArrow(ask, f"list long, id {kind}, v array<double>")
-    size = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SEGMENT).cast("int").alias("parts"))
-    size = F.broadcast(size)  # a row per list, MOST_LISTS or so at most
-    segments = posted.join(size, "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v")
-    asked = asked.join(size, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
+    asked = shared.materialise(distinct.mapInArrow(ask, f"block long, lists array<long>, number long, v {kind}"), "asked")
+    parts = lambda df, name: df.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / segment).cast("int").alias(name))
+    size = parts(posted, "x_parts").join(parts(asked, "q_parts"), "block")
+
+    def grid(df: DataFrame, key: str, mine: str, other: str) -> DataFrame:
+        dealt = df.join(size, "block").withColumn(mine, F.pmod(F.xxhash64(key), F.col(f"{mine}_parts")).cast("int"))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1))).drop("x_parts", "q_parts")
 
     def compare(q: pa.Table, x: pa.Table) -> pa.Table:
         if not q.num_rows or not x.num_rows:
-            return pa.table({"query_id": q["id"][:0], "id": q["id"][:0], "score": pa.array([], pa.float64())})
-        x_ids, at = np.unique(x["id"].to_numpy(), return_index=True)
-        a, b, s = _best(_matrix(q["v"]), q["id"].to_numpy(), _matrix(x["v"])[at], x_ids, k)
-        return pa.table({"query_id": a, "id": b, "score": s})
-
-    found = asked.groupBy("list", "part").cogroup(segments.groupBy("list", "part")).applyInArrow(compare, out)
-    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+            return pa.table({"q": pa.array([], pa.int64()), "id": x["ids"].combine_chunks().flatten()[:0], "score": pa.array([], pa.float64())})
+        names, of_list = np.unique(x["list"].to_numpy(), return_inverse=True)
+        lists = q["lists"].combine_chunks()
+        asks, read = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(names, read), len(names) - 1)
+        wanted = np.zeros((len(lists), len(names)), bool)
+        wanted[asks[names[at] == read], at[names[at] == read]] = True
+        ids = x["ids"].combine_chunks()
+        each, flat = np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy()), ids.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(flat, kind="stable")
+        a, b, s = _best(_matrix(q["v"]), q["number"].to_numpy(), wanted, _matrix(x["v"]), of_list, flat[order], each[order], k + 1)
+        return pa.table({"q": a, "id": b, "score": s})
+
+    key = ["block", "x", "q"]
+    found = grid(asked, "number", "q", "x").groupBy(*key).cogroup(grid(posted, "v", "x", "q").groupBy(*key)).applyInArrow(compare, f"q long, id {id_type}, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    found = found.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
+    found = found.groupBy("q").agg(F.collect_list(F.struct("id", "score")).alias("found"))
+    # equal query vectors share what was found; each leaves out its own id
+    answers = asking.join(distinct, "v").select(F.col("id").alias("query_id"), "q").join(found, "q").select("query_id", F.explode("found").alias("f"))
+    answers = answers.filter(F.col("f.id") != F.col("query_id")).groupBy("query_id", "f.id").agg(F.max("f.score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    answers = answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return answers.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

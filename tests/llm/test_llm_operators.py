@@ -349,7 +349,7 @@ def test_search(spark):
     x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
     x[700:1000] = x[700]  # one very common vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [1.0, None] * 8), (5080, [1.0]), (None, x[0].tolist()), (3, x[3].tolist())]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("id", "v", "q", "list", "ids")})
     got = collections.defaultdict(list)
     for r in vector_search.search(v, v.filter("vec_id % 20 = 0"), per_list=32, least=400).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
@@ -361,11 +361,73 @@ def test_search(spark):
         hit += len({i for i, _ in got[q]} & set(want.tolist()))
         assert len(got[q]) == 20 and all(abs(s[i] - y) < 1e-8 for i, y in got[q])
     assert hit / (20 * 75) >= 0.9 and set(got) == set(range(0, 1500, 20))
+    # the hot vector's ids are each other's answers, the smallest ones first
+    assert [i for i, _ in got[980]][:5] == [700, 701, 702, 703, 704] and 980 not in [i for i, _ in got[980]]
+    assert [i for i, _ in got[700]][:2] == [701, 702]
     few = v.filter("vec_id < 8")
     assert vector_search.search(few, few.filter("vec_id % 20 = 0")).count() == 7
     assert vector_search.search(v.limit(0), v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 64, 401, 1000, 1500])
+def test_walk(n):
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        c = vector_search.Centroids(rng.normal(size=(n, 12)), seed)
+        q = rng.normal(size=(40, 12))
+        exact = np.sort(np.sqrt(vector_search._distances(q, c.points)), axis=1)
+        ids, dist = c.walk(q, vector_search.BEAM)
+        assert all(len(set(r[r >= 0].tolist())) == (r >= 0).sum() for r in ids)
+        near = (np.abs(dist[:, : min(n, 10)] - exact[:, :10]) < 1e-9).mean()
+        assert near >= 0.95
+        c.size[:] = 100
+        a, lists = c.lists_for(q, 1.1, 500, vector_search.BEAM)
+        kept = 0
+        for i in range(len(q)):
+            d = np.sqrt(vector_search._distances(q[i : i + 1], c.points))[0]
+            want = set(np.flatnonzero(d <= 1.1 * d.min()).tolist()) | set(np.argsort(d)[:5].tolist())
+            have = set(lists[a == i].tolist())
+            assert len(have) == (a == i).sum()
+            kept += len(have & want) / len(want)
+        assert kept >= 0.95 * len(q)
+
+
+def test_search_in_cells_of_lists(spark):
+    """Two-level centroids, small segments, clustered vectors: most of the lists stay unread."""
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(120, 16))
+    x = np.concatenate([middle[i % 120] + 0.15 * rng.normal(size=16) for i in range(6000)]).reshape(-1, 16)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    seen = []
+    plain = vector_search.needed_ratio
+    vector_search.needed_ratio = lambda *a, **k: seen.append(plain(*a, **k)) or seen[-1]
+    try:
+        rows = vector_search.search(v, v.filter("vec_id % 20 = 0"), per_list=20, least=100, coarse=8, segment=100).collect()
+    finally:
+        vector_search.needed_ratio = plain
+    got = collections.defaultdict(set)
+    for r in rows:
+        got[r.query_id].add(r.vec_id)
+    x = x.astype(np.float32).astype(float)
+    hit = 0
+    for q in range(0, 6000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 6000 >= 0.9 and 1 <= seen[0] < 1.6
+    fitted, top = vector_search.fit(vector_search.kinds_of(vector_search.usable(v), 21), per_list=20, coarse=8)
+    assert 150 < len(fitted.points) < 900
+    fitted.size[:] = np.bincount(vector_search._nearest(vector_search._lifted(x, top), fitted.points), minlength=len(fitted.points))
+    a, lists = fitted.lists_for(np.hstack((x[::20], np.zeros((300, 1)))), seen[0], 100, 128)
+    assert fitted.size[lists].sum() / 300 < 0.3 * 6000
+
+
+def test_search_ids_with_several_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 5.0]), (2, [0.5, 0.5]), (20, [0.0, 1.0]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in vector_search.search(v, v.filter("vec_id = 20")).collect()]
+    assert sorted(got) == [(20, 1, 1, 5.0), (20, 2, 2, 0.5)]
+
+
 def test_substring_dedup(docs, rows, none):
     got = substring_dedup.remove_repeats(docs).collect()
     count = collections.Counter(b" ".join(words(r[1])[s : s + 35]) for r in rows for s in range(len(words(r[1])) - 34))
