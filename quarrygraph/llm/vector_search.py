@@ -45,7 +45,7 @@ COARSE = 1024
 COPIES, BOUNDARY = 4, 1.15
 RECALL, PROBES = 0.96, 256
 LEAST, BEAM = 2_000, 128
-LISTS_PER_BLOCK, SEGMENT = 32, 4_096
+LISTS_PER_BLOCK, SEGMENT = 128, 8_192
 _DEGREE = 24
 
 
