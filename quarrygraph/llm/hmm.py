@@ -34,7 +34,6 @@ GAIN = 1e-3
 START_DOCS, START_WORDS, START_ROUNDS = 1500, 2048, 25
 _BATCH = 1_000_000
 _SMOOTH_CLASS, _SMOOTH_STEP = 0.02, 0.5
-_words = shared.WordHash()
 
 
 def fold(id_col: str) -> Column:
@@ -49,10 +48,10 @@ def spelling(word: bytes) -> int:
 
 def _tokens(texts: list[bytes | None], keep: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Word hashes end to end, the texts' numbers of words, and the words if asked for."""
-    hashes, words, count = [], [], []
+    hashes, words, count, memo = [], [], [], shared.WordHash()
     for t in texts:
         w = (t or b"").lower().split()
-        hashes.append(_words.of(w))
+        hashes.append(memo.of(w))
         count.append(len(w))
         if keep:
             words += w

@@ -147,7 +147,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 def take(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: ``docs`` with each row as often as it is taken, columns unchanged.
 
-    Rows equal in id, source and text share their copies as evenly as whole numbers allow.
+    Rows equal in id, source and text share their copies as evenly as whole numbers allow; which of
+    them get one more is decided by a hash of the whole row, so that reruns agree.
     """
     to_id, to_source, to_hash, all_copies, all_rows, my_hash, nth = (shared.spare(docs, f"mix_{x}_") for x in ("id", "source", "hash", "copies", "rows", "my_hash", "nth"))
     sized = docs.select(F.col(id_col).alias(to_id), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias(to_hash))
@@ -156,7 +157,8 @@ def take(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     keyed = docs.withColumn(my_hash, F.xxhash64(text))
     joined = keyed.join(per_row, F.col(id_col).eqNullSafe(F.col(to_id)) & F.col(source).eqNullSafe(F.col(to_source)) & (F.col(my_hash) == F.col(to_hash)))
     # only rows that repeat need numbers; the rest pass without another shuffle of their texts
-    number = F.row_number().over(Window.partitionBy(id_col, source, my_hash).orderBy(F.lit(1)))
+    every = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    number = F.row_number().over(Window.partitionBy(id_col, source, my_hash).orderBy(F.xxhash64(*every)))
     single = joined.filter(F.col(all_rows) == 1).withColumn(nth, F.lit(1))
     joined = single.union(joined.filter(F.col(all_rows) > 1).withColumn(nth, number))
     times = (F.floor(F.col(all_copies) / F.col(all_rows)) + (F.col(nth) <= F.col(all_copies) % F.col(all_rows)).cast("int")).cast("int")

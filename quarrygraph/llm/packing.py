@@ -25,7 +25,6 @@ from .differencing import spread_numbers
 CAPACITY = 4096
 END = 2
 BIN_TOKENS = 1 << 19
-MEMO = 600_000
 END_BYTE = b"\xff"
 #: Latin letters without ones that lower-case to two characters, then marks.
 _COMMON = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?]*)")
@@ -61,32 +60,33 @@ def _rank_encoder(path: str):
     return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of a text as little-endian 32-bit words, remembered by white-space-free chunk.
 
     The tokenizer must drop white space and treat what stands between as if it stood alone, as word
     BPE with pre-splitting at white space does; ``exact`` encodes whole texts for any other one.
     Chunks of common letters with marks after them are encoded word by word by ranks, which is
-    several times faster and gives the tokenizer's ids; all else goes to the tokenizer itself.  The
-    memo is emptied when full; frequent chunks are back at once.
+    several times faster and gives the tokenizer's ids; all else goes to the tokenizer itself.
+    ``memo`` is begun anew for each task.
     """
 
     def __init__(self, path: str, exact: bool = False):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.exact = exact
         self.ranked = None if exact else _rank_encoder(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo = shared.Memo(self.chunk, 2 * shared.MEMO)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
+    def chunk(self, chunk: str) -> bytes:
         parts = _COMMON.fullmatch(chunk) if self.ranked else None
         if parts is None:
             ids = self.whole(chunk)
@@ -94,8 +94,7 @@ class Encoder(dict):
             word, marks = parts.groups()
             ids = array("I", self.ranked(word.lower().encode() + END_BYTE)).tobytes()
             if marks:
-                ids += self.get(marks) or self[marks]
-        self[chunk] = ids
+                ids += self.memo[marks]
         return ids
 
     def ids(self, text: str | None) -> bytes:
@@ -103,7 +102,7 @@ class Encoder(dict):
         # split() also parts at the separators 1C to 1F, which are not white space to a tokenizer
         if self.exact or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.memo.__getitem__, text.split()))
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -133,6 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
 
     def run(batches):
         enc = encoder(tokenizer, exact)
+        enc.forget()
         for b in batches:
             out = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens", "tail", "ids")}
             for row, ids in enumerate(map(enc.ids, b.column("text").to_pylist())):
@@ -149,6 +149,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                 cols.append(pa.array(out["ids"], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        enc.forget()
 
     return docs.mapInArrow(run, f"`{id_col}` {kind}, {PIECES}" + ", ids binary" * with_ids)
 

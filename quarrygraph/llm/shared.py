@@ -15,6 +15,7 @@ that a lost executor never takes the only copy along.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 8 << 20
 LEAST_BLOCKS = 96
-MEMO = 250_000
+#: What a memo may hold, in bytes as ``Memo`` counts them.
+MEMO = 48 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -74,17 +76,34 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-class WordHash(dict):
-    """Memo of XXH3-64 by word (bytes); emptied when full, so that its memory stays bounded."""
+class Memo(dict):
+    """``of(key)`` remembered until about ``MEMO`` bytes are held, then begun anew.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
+    It lives as long as the task or block that made it, so a reused worker carries nothing on.
+    """
+
+    def __init__(self, of: Callable, most: int = MEMO):
+        super().__init__()
+        self.of, self.most, self.held = of, most, 0
+
+    def __missing__(self, key):
+        v = self.of(key)
+        self.held += 200 + len(key) + (len(v) if hasattr(v, "__len__") else 32)
+        if self.held > self.most:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+            self.held = 0
+        self[key] = v
+        return v
+
+
+class WordHash:
+    """XXH3-64 of words (bytes)."""
+
+    def __init__(self):
+        self.memo = Memo(xxhash.xxh3_64_intdigest)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
 
 
 def column_bytes(col: pa.ChunkedArray | pa.Array) -> list[bytes | None]:

@@ -5,7 +5,12 @@ three errors spoil three bands at most), so ten tables of band pairs put every l
 without a miss.  Within a bucket fingerprints lie vertically, plane by plane: a machine word holds
 one bit of 64 of them, carry-save counters add the mismatches of all 64 at once, and a block is
 given up as soon as all of its counters have passed the radius.  A bucket that outgrows ``CHUNK``
-fingerprints is cut into chunks, and pairs of chunks go to tasks of their own.
+fingerprints is dealt anew by further bits: its members differ in at most ``radius`` of the bits that
+its bands leave, so they agree in one of ``radius + 1`` bands of those, and so on.
+
+Similar shingle sets (``similar_groups``) meet in buckets of minimum keys, which can't be made finer
+without losing links.  A large one is cut into chunks that all meet a few common members, which joins
+what is alike; then only members of different classes are compared, chunk by chunk.
 
 A bucket never emits its pairs: it returns a spanning forest of its links, one edge for each member
 but the first of a component, and the forests' components are those of all links.
@@ -18,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +34,11 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 CHUNK = 512
+PIVOTS = 32
 SIMILARITY = 0.8
 _PAIRS_AT_ONCE = 1 << 15
 _WORDS_AT_ONCE = 1 << 12
+_ROWS_AT_ONCE = 1 << 14
 
 
 def shingle_hashes(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -213,45 +220,123 @@ def bucket_links(fps: np.ndarray, size: np.ndarray, radius: int) -> np.ndarray:
     return forest.roots()
 
 
-def _groups(kinds: DataFrame, chunk: int) -> DataFrame:
-    """Rows of ``kinds`` (node, fp, keys) as node, fp, group: a group for each shared key or pair of its chunks."""
-    keyed = kinds.select("node", "fp", F.explode(F.array_distinct("keys")).alias("key"))
-    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    dealt = keyed.join(size, "key").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int"))
-    dealt = dealt.select("node", "fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return dealt.select("node", "fp", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"))
+def _whole_groups(batches, names: list[str]):
+    """Columns of many whole groups at a time; the stream is sorted by its column ``group``."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < _ROWS_AT_ONCE or not b.num_rows:
+            continue
+        t = pa.Table.from_batches(held)
+        group = t["group"].to_numpy()
+        differ = group[::-1] != group[-1]
+        last = len(group) - int(differ.argmax()) if differ.any() else 0  # where the last group begins
+        if last:
+            yield [t[n][:last] for n in names]
+            held = t.slice(last).combine_chunks().to_batches()
+            rows = len(t) - last
+    if rows:
+        t = pa.Table.from_batches(held)
+        yield [t[n] for n in names]
 
 
-def links(kinds: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Spanning edges (``a``, ``b`` long, a != b) between rows with ``node``, ``fp`` and ``keys``.
-
-    Every pair that shares a key and lies within ``radius`` is connected by them.  Buckets above
-    ``chunk`` are compared chunk by chunk, each pair of chunks in a group of its own.
-    """
-    dealt = _groups(kinds, chunk)
+def near_links(groups: DataFrame, radius: int) -> DataFrame:
+    """Spanning edges (``a``, ``b`` long) of each ``group`` of rows ``node``, ``fp`` within ``radius``."""
 
     def run(batches):
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        t = pa.Table.from_batches(held)
-        node, group = t["node"].to_numpy(), t["group"].to_numpy()
-        fp = np.frombuffer(b"".join(t["fp"].to_pylist()), "<u8").reshape(len(node), -1)
-        # a partition is sorted by group, and a group never spans two of them
-        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        size = np.diff(np.append(first, len(group)))
-        use = np.repeat(size > 1, size)
-        node, fp, size = node[use], fp[use], size[size > 1]
-        if not len(size):
-            return
-        root = node[bucket_links(fp, size, radius)]
-        far = root != node
-        if far.any():
-            a, b = np.unique(np.stack([root[far], node[far]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for node, fp, group in _whole_groups(batches, ["node", "fp", "group"]):
+            node, group = node.to_numpy(), group.to_numpy()
+            fp = np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(len(node), -1)
+            size = np.diff(np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)))
+            use = np.repeat(size > 1, size)
+            node, fp, size = node[use], fp[use], size[size > 1]
+            if not len(size):
+                continue
+            root = node[bucket_links(fp, size, radius)]
+            far = root != node
+            if far.any():
+                a, b = np.unique(np.stack([root[far], node[far]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return groups.select("group", "node", "fp").repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+
+
+def finer(mask: int, radius: int) -> list[int]:
+    """``mask`` with each of ``radius`` + 1 bands of the bits that it lacks."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[i:j]) for i, j in zip(cuts, cuts[1:]) if j > i]
+
+
+def band_groups(kinds: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """``node``, ``fp``, ``group`` for rows with ``node`` (the fingerprint) and ``fp``.
+
+    Any two within ``radius`` share a group, and none has more than ``chunk`` rows: larger ones are
+    dealt into groups of finer masks, as often as it takes.  It ends, since fingerprints are distinct.
+    """
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
 
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+    def split(batches):
+        for b in batches:
+            masks = [finer(m % (1 << 64), radius) for m in b.column("mask").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(masks)), [len(m) for m in masks]))
+            made = pa.array([signed(x) for m in masks for x in m], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("node").take(at), b.column("fp").take(at), made], names=["node", "fp", "mask"])
+
+    now, done = kinds.select("node", "fp", F.explode(F.array(*[F.lit(signed(m)) for m in bands(radius)])).alias("mask")), None
+    while True:
+        keyed = now.withColumn("group", F.xxhash64("mask", F.col("node").bitwiseAND(F.col("mask"))))
+        size = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        dealt = shared.materialise(keyed.join(size, "group"), "bands")
+        small = dealt.filter(F.col("n") <= chunk).select("node", "fp", "group")
+        done = small if done is None else done.union(small)
+        large = dealt.filter(F.col("n") > chunk)
+        if large.isEmpty():
+            return done
+        now = large.select("node", "fp", "mask").mapInArrow(split, "node long, fp binary, mask long").distinct()
+
+
+def linked(keyed: DataFrame, compare, chunk: int = CHUNK, pivots: int = PIVOTS, again: DataFrame | None = None) -> DataFrame:
+    """Edges (``a``, ``b``) that connect whatever ``compare`` connects among rows that share a key.
+
+    ``keyed``: ``node``, ``key``; ``compare`` takes groups (``node``, ``group``, ``class``) to spanning
+    edges.  Groups above ``chunk`` are cut into parts, which all get the group's first ``pivots``
+    members by hash, so near copies come together at the cost of one row each.  What is then still
+    apart is compared with all that is not of its class: the largest class of a key in chunks with the
+    chunks of the others, and those with each other.  ``again`` replaces ``keyed`` there.
+    """
+    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = shared.materialise(keyed.join(size, "key"), "keyed")
+    apart = F.col("node").alias("class")
+    groups = dealt.filter(F.col("n") <= chunk).select("node", F.col("key").alias("group"), apart)
+    large = dealt.filter(F.col("n") > chunk).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
+    some_large = not large.isEmpty()
+    if some_large:
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(5)), "node"))
+        first = large.withColumn("nth", nth).filter(F.col("nth") <= pivots)
+        mine = F.array(F.pmod(F.xxhash64("node", F.lit(7)), "parts").cast("int"))
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        for rows, part in ((large, mine), (first, every)):
+            rows = rows.select("node", "key", F.explode(part).alias("part"))
+            groups = groups.union(rows.select("node", F.xxhash64("key", "part").alias("group"), apart))
+        groups = groups.distinct()
+    edges = shared.materialise(compare(groups), "links")
+    if not some_large:
+        shared.drop_table(dealt)
+        return edges
+    rows = (large if again is None else again).select("node", "key").join(connected(edges), "node", "left").select("node", "key", F.coalesce("root", "node").alias("class"))
+    rows = shared.materialise(rows, "classes")
+    per = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("big"), F.sum("n").alias("n"))
+    per = per.filter(F.col("n") > F.col("big.n")).select("key", F.col("big.class").alias("big"), F.ceil(F.col("big.n") / chunk).cast("int").alias("x"), F.ceil((F.col("n") - F.col("big.n")) / chunk).cast("int").alias("y"))
+    rows = rows.join(per, "key")
+    of_big = F.col("class") == F.col("big")
+    rows = rows.withColumn("mine", F.when(of_big, F.pmod(F.xxhash64("node", F.lit(7)), "x")).otherwise(F.col("x") + F.pmod(F.xxhash64("node", F.lit(7)), "y")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(of_big, F.col("x")).otherwise(0), F.col("x") + F.col("y") - 1)))
+    rest = rows.select("node", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "class")
+    more = shared.materialise(compare(rest), "links")
+    shared.drop_table(dealt)
+    return edges.union(more)
 
 
 def _number(fp: Column) -> Column:
@@ -263,19 +348,6 @@ def _number(fp: Column) -> Column:
     return out
 
 
-def components_of(marked: DataFrame, id_col: str, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """``marked`` (id, node, fp, keys) -> id, fp, component_id."""
-    kinds = marked.groupBy("node").agg(F.min(id_col).alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    edges = shared.materialise(links(kinds.select("node", "fp", "keys"), radius, chunk), "links")
-    named = connected(edges).select(F.col("node").alias("n"), "root")
-    kinds = kinds.select("node", "least")
-    least = named.join(kinds, named.n == kinds.node).select("n", "root", "least")
-    smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = least.join(smallest, "root").select("n", "component_id")
-    resolved = kinds.join(of_node, kinds.node == of_node.n, "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(resolved, "node").select(id_col, "fp", "component_id")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One row per document: its id, ``fp`` (long) and ``component_id`` (smallest reachable id).
 
@@ -287,8 +359,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     made = fingerprints(docs.select(F.col(id_col), F.col(text).cast("string").alias(text)), text, shingle, seed)
     made = shared.materialise(made.drop("keys"), "simhash")
     made = made.withColumn("node", _number(F.col("fp")))
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("node").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(bands(radius))])
-    return components_of(made.withColumn("keys", keys), id_col, radius).select(id_col, _number(F.col("fp")).alias("fp"), "component_id")
+    kinds = made.groupBy("node").agg(F.min(id_col).alias("least"), F.first("fp").alias("fp"))
+    named = connected(shared.materialise(near_links(band_groups(kinds, radius), radius), "links"))
+    named = kinds.select("node", "least").join(named, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("node", "component_id")
+    return made.join(named, "node").select(id_col, F.col("node").alias("fp"), "component_id")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -300,13 +376,16 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common + 1e-9 >= similarity * (both - common)
 
 
-def set_links(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+def set_links(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity: float, classes: np.ndarray | None = None) -> np.ndarray:
     """Root position of each set among the exact links of those within ``radius`` by fingerprint.
 
-    Pairs that earlier links connect already are not compared: a group of near copies costs about
-    one comparison a member.
+    Pairs that earlier links or equal ``classes`` connect already are not compared: a group of near
+    copies costs about one comparison a member.
     """
     root = np.arange(len(sets))
+    if classes is not None:
+        _, first, where = np.unique(classes, return_index=True, return_inverse=True)
+        root = first[where]
     length = np.array([len(x) for x in sets])
     for i in range(len(sets) - 1):
         near = np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(axis=1) <= radius
@@ -320,14 +399,14 @@ def set_links(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity:
     return root
 
 
-def exact_links(kinds: DataFrame, texts: DataFrame, radius: int, similarity: float, shingle: int, chunk: int = CHUNK) -> DataFrame:
-    """Like ``links``, of pairs whose shingle sets are compared too; ``texts`` has a text by node."""
-    dealt = _groups(kinds, chunk).join(texts, "node").select("group", "node", "fp", "text")
+def exact_links(groups: DataFrame, radius: int, similarity: float, shingle: int) -> DataFrame:
+    """Like ``near_links``, of pairs whose shingle sets are compared too; rows have ``text`` and ``class``."""
 
     def roots(rows: list[tuple]) -> pa.RecordBatch:
         node = np.array([r[0] for r in rows])
         fps = np.frombuffer(b"".join(r[1] for r in rows), "<u8").reshape(len(rows), -1)
-        root = node[set_links([np.unique(shingle_hashes(r[2], shingle)) for r in rows], fps, radius, similarity)]
+        sets = [np.unique(shingle_hashes(r[3], shingle)) for r in rows]
+        root = node[set_links(sets, fps, radius, similarity, np.array([r[2] for r in rows]))]
         far = root != node
         return pa.RecordBatch.from_arrays([pa.array(root[far]), pa.array(node[far])], names=["a", "b"])
 
@@ -335,7 +414,7 @@ def exact_links(kinds: DataFrame, texts: DataFrame, radius: int, similarity: flo
         # a partition is sorted by group, and a group never spans two of them
         held, now = [], None
         for b in batches:
-            for group, *row in zip(*(b.column(c).to_pylist() for c in ("group", "node", "fp")), shared.column_bytes(b.column("text"))):
+            for group, *row in zip(*(b.column(c).to_pylist() for c in ("group", "node", "fp", "class")), shared.column_bytes(b.column("text"))):
                 if group != now and held:
                     yield roots(held)
                     held = []
@@ -344,7 +423,7 @@ def exact_links(kinds: DataFrame, texts: DataFrame, radius: int, similarity: flo
         if held:
             yield roots(held)
 
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+    return groups.select("group", "node", "fp", "class", "text").repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, words: int = 4, tables: int = 16, rows: int = 3, row: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -355,7 +434,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     the bit-sliced comparison takes a radius seven deviations above the mean at ``similarity``, since
     sets of a few shingles lie further apart than long ones.  Every real link among them lies within
     a component of candidates; there the shingle sets themselves are compared, and only links of
-    ``similarity`` remain.  Components above ``chunk`` are compared bucket by bucket.
+    ``similarity`` remain.  Components above ``chunk`` are compared as ``linked`` says.
 
     ``row`` names a column of distinct longs of a stored table, which is returned too; without it
     rows are numbered here.
@@ -370,13 +449,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     bits = 64 * words
     radius = int(bits * apart + 7 * np.sqrt(bits * apart * (1 - apart)))
     kinds = made.groupBy("node").agg(F.min("row").alias("one"), F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    maybe = connected(shared.materialise(links(kinds.select("node", "fp", "keys"), radius, chunk), "links"))
-    size = maybe.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    maybe = maybe.join(size, "root").select("node", "root", "n")
-    keys = F.when(F.col("n") > chunk, F.col("keys")).otherwise(F.array("root"))
-    asked = shared.materialise(kinds.join(maybe, "node").select("node", "one", "fp", keys.alias("keys")), "candidates")
-    texts = texts.join(asked.select("one", "node"), "one").select("node", "text")
-    edges = shared.materialise(exact_links(asked, texts, radius, similarity, shingle, chunk), "exact")
+    kinds = shared.materialise(kinds, "kinds")
+    keyed = kinds.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    fps = kinds.select("node", "fp")
+    maybe = connected(linked(keyed, lambda groups: near_links(groups.join(fps, "node"), radius), chunk))
+    maybe = shared.materialise(maybe, "candidates")
+    # a candidates' component is one group, or by its keys where that would be too large a one
+    size = maybe.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
+    again = maybe.join(size, "root", "left_semi").join(keyed, "node").select("node", "key")
+    texts = texts.join(kinds.join(maybe.select("node"), "node", "left_semi").select("one", "node", "fp"), "one").select("node", "fp", "text")
+    edges = linked(maybe.select("node", F.col("root").alias("key")), lambda groups: exact_links(groups.join(texts, "node"), radius, similarity, shingle), chunk, again=again)
     named = connected(edges).select("node", "root")
     named = kinds.select("node", "least").join(named, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

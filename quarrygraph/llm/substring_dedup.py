@@ -26,7 +26,6 @@ PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 
 _STEP = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_words = shared.WordHash()
 
 
 def _powers(n: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,9 +43,9 @@ class Block:
 
     def __init__(self, texts: list[bytes | None]):
         self.texts = texts
-        hashes, counts = [], []
+        hashes, counts, memo = [], [], shared.WordHash()
         for t in texts:
-            h = _words.of((t or b"").split())
+            h = memo.of((t or b"").split())
             hashes.append(h)
             counts.append(len(h))
         self.count = np.array(counts, np.int64)
@@ -111,22 +110,22 @@ def _repeated(table: pa.Table) -> pa.Table:
     return shared.answer_blocks(table, row[keep], keys[keep], often[keep])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, names: tuple[str, str, str] = ("n_words", "n_removed", "kept_text")) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` (long) and ``kept_text`` (words joined by one space).
 
     A word goes if a window over it starts anywhere else too, in the same document or another one;
     all windows are judged on the input.  Every copy goes, the first one as well.  A null or blank
     text has no words: 0, 0 and the empty string.  Texts of fewer than ``window`` words stay whole,
-    though rejoined by single spaces.  Repeated rows are copies of one another.  Columns named like
-    the three new ones are replaced; other columns pass through.  An empty table gives an empty one.
+    though rejoined by single spaces.  Repeated rows are copies of one another.  ``names`` are those of
+    the three new columns; columns of the input that are named so are replaced, others pass through.
+    An empty table gives an empty one.
     """
     if len({(a - b) % period for a in cover for b in cover}) != period:
         raise ValueError("cover must hold a pair for each difference modulo period")
     width = window - period + 1
     if width < 1:
         raise ValueError("window must not be shorter than period")
-    added = ("n_words", "n_removed", "kept_text")
-    docs = docs.drop(*added)
+    docs = docs.drop(*names)
     n = shared.block_count(docs, text)
     keys = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
     block = shared.spare(docs, "block_")
@@ -149,7 +148,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, pe
         return _distinct(t[block][0].as_py(), *b.hashes(starts, window), n)
 
     fields = [f for f in blocks.schema.fields]
-    out_schema = "struct<" + ",".join([f"`{f.name}`:{f.dataType.simpleString()}" for f in fields if f.name != block] + ["n_words:bigint", "n_removed:bigint", "kept_text:string"]) + ">"
+    out_schema = "struct<" + ",".join([f"`{f.name}`:{f.dataType.simpleString()}" for f in fields if f.name != block] + [f"`{n}`:{kind}" for n, kind in zip(names, ("bigint", "bigint", "string"))]) + ">"
 
     def third_hop(t: pa.Table, hits: pa.Table) -> pa.Table:
         b = Block(shared.column_bytes(t[text]))
@@ -166,8 +165,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, pe
                 words = [w for w, x in zip(words, off) if not x]
             kept.append(b" ".join(words))
         out = t.drop_columns([block])
-        out = out.append_column("n_words", pa.array(b.count, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
-        return out.append_column("kept_text", pa.array(kept, pa.binary()).cast(pa.string()))
+        out = out.append_column(names[0], pa.array(b.count, pa.int64())).append_column(names[1], pa.array(removed, pa.int64()))
+        return out.append_column(names[2], pa.array(kept, pa.binary()).cast(pa.string()))
 
     anchors = blocks.groupBy(block).applyInArrow(first_hop, shared.PACKED)
     hits = anchors.groupBy("bucket").applyInArrow(_repeated, shared.ANSWER)

@@ -154,16 +154,7 @@ class Scorer:
 
     def __init__(self, odds: dict[str, float], decoder: Decoder):
         self.odds, self.decoder = odds, decoder
-        outer = self
-
-        class Memo(dict):
-            def __missing__(self, token: bytes) -> float:
-                if len(self) >= shared.MEMO:
-                    self.clear()
-                v = self[token] = outer.of_token(token.decode("utf-8", "replace").lower())
-                return v
-
-        self.memo = Memo()
+        self.memo = shared.Memo(lambda token: self.of_token(token.decode("utf-8", "replace").lower()))
 
     def of_token(self, token: str) -> float:
         get = self.odds.get
@@ -240,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     def words(batches):
         decoder = Decoder(counts)
         found: Counter = Counter()
-        memo: dict[bytes, list[str]] = {}
+        memo = shared.Memo(lambda t: [f for w in restored(t.decode("utf-8", "replace").lower(), decoder) for f in features(w)], shared.MEMO // 4)
 
         def emit():
             f, p, y = zip(*found) if found else ((), (), ())
@@ -252,10 +243,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 raw = raw or b""
                 seen: set[str] = set()
                 for t in set(raw.split()):
-                    if t not in memo:
-                        if len(memo) > 100_000:
-                            memo.clear()
-                        memo[t] = [f for w in restored(t.decode("utf-8", "replace").lower(), decoder) for f in features(w)]
                     seen.update(memo[t])
                 for w in spaced(raw, decoder):
                     seen.update(features(w))
@@ -305,13 +292,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return model
 
 
-def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """Id, held_out, score, predicted for each row; with ``keep`` all of its columns, and score.
+def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
+    """Id, held_out, score, predicted for each row; with ``keep`` all of its columns, and ``name``.
 
     Null, empty and wordless texts get the score of a text without evidence.  Repeated rows get the
-    same score.  A null id counts as the empty string where folds are told apart.
+    same score.  A null id counts as the empty string where folds are told apart.  Other columns are
+    not read; with ``keep`` one that is called ``name`` is replaced.  An empty table gives an empty one.
+    A text of any length is scored whole, by its distinct tokens.
     """
-    plain = docs.drop("score") if keep else docs.select(id_col, F.col(text).cast("string").alias(text))
+    plain = docs.drop(name) if keep else docs.select(id_col, F.col(text).cast("string").alias(text))
     shared_model = docs.sparkSession.sparkContext.broadcast(json.dumps([model.counts.ravel().tolist(), model.odds, model.curve]))
     out = [c for c in plain.columns if keep or c != text]
 
@@ -321,9 +310,9 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "t
         scorer = m.scorer()
         for b in batches:
             x = np.array([scorer.of_text(t) for t in shared.column_bytes(b.column(text))]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in out] + [pa.array(m.probability(x))], names=[*out, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in out] + [pa.array(m.probability(x))], names=[*out, name])
 
-    scored = plain.mapInArrow(run, plain.select(*out).schema.add("score", "double"))
+    scored = plain.mapInArrow(run, plain.select(*out).schema.add(name, "double"))
     if keep:
         return scored
-    return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(id_col, held_out(id_col).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= 0.5).cast("int").alias("predicted"))

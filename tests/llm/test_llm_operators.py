@@ -162,8 +162,13 @@ def test_bit_sliced_distances_and_chunks(spark):
     assert simhash.bucket_links(fps[:, None], np.array([len(fps)]), 3).tolist() == want
     kinds = spark.createDataFrame([(int(x.view(np.int64)), bytearray(x.tobytes()), [1]) for x in fps], "node long, fp binary, keys array<long>")
     at = {int(x.view(np.int64)): i for i, x in enumerate(fps)}
-    edges = [(at[r.a], at[r.b]) for r in simhash.links(kinds, 3, chunk=50).collect()]
-    assert classes(tuple(np.array(edges).T), len(fps)) == want
+    # one hot key, and the masks of the bands made finer until groups are small
+    groups = simhash.band_groups(kinds.select("node", "fp"), 3, chunk=6)
+    assert groups.groupBy("group").agg(F.countDistinct("node").alias("n")).agg(F.max("n")).first()[0] <= 6
+    for edges in (simhash.linked(kinds.select("node", F.lit(1).cast("long").alias("key")), lambda g: simhash.near_links(g.join(kinds, "node"), 3), chunk=50, pivots=2), simhash.near_links(groups, 3)):
+        edges = [(at[r.a], at[r.b]) for r in edges.collect()]
+        assert classes(tuple(np.array(edges).T), len(fps)) == want
+    assert simhash.finer((1 << 62) - 1, 3) == [(1 << 62) - 1 | 1 << 62, (1 << 62) - 1 | 1 << 63]
 
 
 def test_components(spark):
@@ -206,6 +211,32 @@ def test_chunks_of_candidates_are_exact(spark):
     table = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for chunk in (4, 512) for r in simhash.similar_groups(table, chunk=chunk).collect()}
     assert set(got.values()) == {0}
+    # a large group of copies of one text, some far from each other, and a second group beside it
+    base = [rng.choices(words, k=1)[0] + str(i) for i in range(100)]
+    copies = []
+    for g in range(2):
+        body = base[: 60 + 20 * g] + [f"g{g}x{i}" for i in range(40 - 20 * g)]
+        for i in range(60):
+            mine = list(body)
+            for at in rng.sample(range(100), 2):
+                mine[at] = f"edit{rng.random()}"
+            copies.append(" ".join(mine))
+    sets = [simhash.np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in copies]
+    parent = list(range(len(copies)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(copies)):
+        for j in range(i):
+            both = len(np.union1d(sets[i], sets[j]))
+            if (len(sets[i]) + len(sets[j]) - both) / both >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i in range(len(copies))}
+    table = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(table, chunk=10).collect()} == want
 
 
 def test_near_copies_without_and_with_repeated_ids(spark):
