@@ -6,7 +6,7 @@ executor costs no more than the stage that runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrygraph.llm import mixing, packing, shared, simhash, substring_dedup, toxicity
@@ -14,9 +14,13 @@ from quarrygraph.llm.queries import table, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below one half."""
+    """Rows with a toxicity score below one half, whatever their id; repeated rows stay repeated.
+
+    A null or empty text is scored like any other.  No column is changed.
+    """
+    score = shared.spare(docs, "score")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scores(docs, model, keep=True).filter("score < 0.5").select(*docs.columns)
+    return toxicity.scores(docs, model, keep=True, name=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +37,34 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of repeated windows; a text without repeats stays as it is."""
-    rows = substring_dedup.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    rows = rows.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.withColumn("text", text).select(*docs.columns)
+    """Texts without the words of repeated windows; a text without repeats stays as it is.
+
+    A document goes if none of its words is left, but of rows with equal texts that would all go one
+    stays whole: the smallest id's, null ids last.  Null and short texts stay.  ``n_chars`` follows the
+    text; no other column is changed.
+    """
+    words, removed, kept, nth, copies = names = [shared.spare(docs, n) for n in ("n_words", "n_removed", "kept_text", "nth", "copies")]
+    rows = substring_dedup.remove_repeats(docs, names=tuple(names[:3]))
+    some, all_gone = F.col(removed) > 0, (F.col(removed) > 0) & (F.col(removed) == F.col(words))
+    changed = rows.filter(~all_gone).withColumn("n_chars", F.when(some, F.length(kept).cast("long")).otherwise(F.col("n_chars")))
+    changed = changed.withColumn("text", F.when(some, F.col(kept)).otherwise(F.col("text")))
+    equal = Window.partitionBy(F.sha2(F.col("text").cast("binary"), 256))
+    every = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    whole = rows.filter(all_gone).withColumn(nth, F.row_number().over(equal.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*every))))
+    whole = whole.withColumn(copies, F.max(nth).over(equal)).filter((F.col(nth) == 1) & (F.col(copies) > 1))
+    return changed.select(*docs.columns).union(whole.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, 0 to 2 times; no column is changed."""
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mix with the sequence and offset that each has been given."""
+    """Pieces of the mix with the sequence and offset that each has been given.
+
+    A null or empty text is the end id alone; rows that repeat are packed as often as they occur.
+    """
     return packing.pack(docs, tokenizer_path())
 
 
