@@ -46,15 +46,14 @@ def spelling(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word[-3:].strip(b".,;:!?") + bytes([kind])) % SPELLINGS
 
 
-def _tokens(texts: list[bytes | None], keep: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Word hashes end to end, the texts' numbers of words, and the words if asked for."""
+def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Word hashes end to end, the texts' numbers of words, and the words."""
     hashes, words, count, memo = [], [], [], shared.WordHash()
     for t in texts:
         w = (t or b"").lower().split()
         hashes.append(memo.of(w))
         count.append(len(w))
-        if keep:
-            words += w
+        words += w
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), words
     return np.concatenate(hashes), np.array(count, np.int64), words
@@ -64,10 +63,12 @@ _ENTRY = np.dtype([("n", "<i8"), ("kind", "<u2")])
 
 
 def _vocabulary(n: int):
-    """Per block: its distinct words, how often training documents hold them, and their spelling."""
+    """Per block a row for each bucket: the block's distinct words, how often training documents hold
+    them, and their spelling; and a row with bucket -1: the same words, and the documents as positions
+    among them, so that texts are shuffled and cut into words once."""
 
     def run(t: pa.Table) -> pa.Table:
-        h, count, words = _tokens(shared.column_bytes(t["text"]), keep=True)
+        h, count, words = _tokens(shared.column_bytes(t["text"]))
         train = np.repeat(~np.array(t["held_out"].to_pylist(), bool), count)
         keys, first, where = np.unique(h, return_index=True, return_inverse=True)
         entry = np.empty(len(keys), _ENTRY)
@@ -76,7 +77,11 @@ def _vocabulary(n: int):
         bucket = (shared.mix64(keys, 5) % np.uint64(n)).astype(np.int64)
         out = shared.pack_by_bucket(t["block"][0].as_py(), bucket, keys, entry)
         held = [int(np.frombuffer(v, _ENTRY)["n"].sum()) for v in out["vals"].to_pylist()]
-        return out.set_column(4, "n", pa.array(held, pa.int64()))
+        out = out.set_column(4, "n", pa.array(held, pa.int64()))
+        whole = lambda col: pa.ListArray.from_arrays(pa.array([0, len(col)], pa.int32()), col)
+        docs = {"bucket": pa.array([-1], pa.int32()), "block": t["block"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "vals": pa.array([where.astype("<u4").tobytes()], pa.binary()), "n": pa.array([0], pa.int64())}
+        docs |= {"ids": whole(t["id"].combine_chunks()), "held": whole(t["held_out"].combine_chunks()), "counts": whole(pa.array(count, pa.int64()))}
+        return pa.concat_tables([out.cast(out.schema), pa.table(docs)], promote_options="permissive")
 
     return run
 
@@ -230,8 +235,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple
     n = shared.block_count(docs, text)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), (fold(id_col) == 1).alias("held_out"))
     rows = rows.select(shared.block_of(n, "id", "text").alias("block"), "id", "text", "held_out")
-    vocabulary = rows.groupBy("block").applyInArrow(_vocabulary(n), shared.PACKED)
-    vocabulary = shared.materialise(vocabulary, "vocabulary")
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"{shared.PACKED}, ids array<{kind}>, held array<boolean>, counts array<long>"
+    stored = shared.materialise(rows.groupBy("block").applyInArrow(_vocabulary(n), schema), "vocabulary")
+    vocabulary = stored.filter("bucket >= 0").drop("ids", "held", "counts")
     ends = rows.filter(~F.col("held_out")).count()
     tokens = (vocabulary.agg(F.sum("n")).first()[0] or 0) + ends
     frequent_from = max(1, -(-tokens // FREQUENT))
@@ -254,10 +261,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple
     inside = of_class[1 : 1 + SPELLINGS] + 0.5 * (words_of + 1)
     end_log = np.log10((ends + 0.5) / below)
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "inner", "classes"]
-    kind = rows.schema["id"].dataType.simpleString()
 
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
-        h, count, _ = _tokens(shared.column_bytes(t["text"]))
+        # a block is one row; its words and their answers are both in ascending order of hashes
+        ids, held = (t[c].combine_chunks().flatten() for c in ("ids", "held"))
+        count = t["counts"].combine_chunks().flatten().to_numpy()
+        at = np.frombuffer(t["vals"][0].as_py(), "<u4")
         # all that a word needs is worked out once per distinct word of the block
         keys, entry = shared.joined_answers(answers, _ENTRY)
         c, spell = entry["n"], entry["kind"].astype(np.int64)
@@ -266,40 +275,46 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple
         class_of = np.where(rare, 1 + spell, number[place] if len(number) else 0).astype("<u2")
         inner_of = np.where(rare, np.log10((c + 0.5) / inside[spell]), 0.0)
         base_of = np.log10((c + 0.5) / below)
-        at = np.searchsorted(keys, h)  # every word of the block has its answer
         classes, inner, base, c = class_of[at], inner_of[at], base_of[at], c[at]
         doc = np.repeat(np.arange(len(count)), count)
         total = lambda x: np.bincount(doc, weights=x, minlength=len(count)).astype(float)
         cut = np.cumsum(count)[:-1]
         blobs = [np.append(x, np.uint16(0)).astype("<u2").tobytes() for x in np.split(classes, cut)] if len(count) else []
-        cols = [t["id"], t["held_out"], pa.array(count + 1), pa.array(total(c > 0).astype(np.int64) + (ends > 0)), pa.array(np.full(len(count), tokens)), pa.array(total(base) + end_log), pa.array(total(inner)), pa.array(blobs, pa.binary())]
+        cols = [ids, held, pa.array(count + 1), pa.array(total(c > 0).astype(np.int64) + (ends > 0)), pa.array(np.full(len(count), tokens)), pa.array(total(base) + end_log), pa.array(total(inner)), pa.array(blobs, pa.binary())]
         return pa.table(dict(zip(names, cols)))
 
     answers = vocabulary.groupBy("bucket").applyInArrow(_counts, shared.ANSWER)
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, inner double, classes binary"
-    encoded = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
-    return shared.materialise(encoded, "encoded"), of_class
+    encoded = stored.filter("bucket < 0").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    encoded = shared.materialise(encoded, "encoded")
+    shared.drop_table(stored)
+    return encoded, of_class
 
 
 def train(encoded: DataFrame, of_class: np.ndarray, rounds: int | None = None) -> Model:
     """Baum-Welch over all training documents to convergence, or for ``rounds`` rounds if given.
 
-    The start values come from a sample; a document longer than ``START_WORDS`` gives it a stretch
-    from a place that depends on its hash.
+    ``trace`` of the result has the log likelihood a token before each round, in nats.  The start values
+    come from a share of the documents by hash, about ``START_DOCS``; a document longer than ``START_WORDS`` gives it a stretch
+    from a place that depends on its hash.  Without any the rounds start from random states.
     """
     prior = (of_class + 0.5) / (of_class + 0.5).sum()
     learn = encoded.filter(~F.col("held_out"))
     mark = F.xxhash64("id", "classes")
     since = F.pmod(mark, F.greatest(F.col("n_tokens") - START_WORDS, F.lit(0)) + 1).cast("int")
-    start = learn.withColumn("mark", mark).withColumn("since", since).orderBy("mark").limit(START_DOCS)
+    some = shared.share(F.struct("id", "classes"), START_DOCS / max(1, int(of_class[0])))
+    start = learn.filter(some).withColumn("since", since)
     start = start.select(F.expr(f"substring(classes, 2 * since + 1, {2 * START_WORDS})").alias("classes"))
     model = Model.random(prior)
-    blobs = [bytes(r.classes) for r in start.collect()]
-    if not blobs:
+    model.trace = []
+    if not of_class[0]:
         return model  # no training document at all
-    sample = _batch_of(blobs)
-    for _ in range(START_ROUNDS):
-        model = Model.of_counts(*sample.expected(model.single()), prior)
+    blobs = [bytes(r.classes) for r in start.collect()]  # about START_DOCS times START_WORDS
+    if blobs:
+        sample = _batch_of(blobs)
+        for _ in range(START_ROUNDS):
+            model = Model.of_counts(*sample.expected(model.single()), prior)
+    trace = []
     tokens, before = max(1, int(of_class.sum())), -np.inf
     for done in count():
         if done == rounds:
@@ -335,9 +350,11 @@ def train(encoded: DataFrame, of_class: np.ndarray, rounds: int | None = None) -
             else:
                 step[r.slot + STATES] = v
         model = Model.of_counts(begin, step, emissions, prior)
+        trace.append(now_at)
         if rounds is None and now_at - before < GAIN:
             break
         before = now_at
+    model.trace = trace
     return model
 
 

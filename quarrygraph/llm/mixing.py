@@ -82,8 +82,12 @@ def tilts(cells: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
             following = following.join(sums, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "mean", (F.col("lam") + F.coalesce(step, F.lit(0.0))).alias("lam"), F.coalesce(F.abs(F.col("got") - want) / want, F.lit(0.0)).alias("off"))
         before, now = now, shared.materialise(following, "tilts")
         shared.drop_table(before)
-        if (now.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
+        off = now.agg(F.max("off")).first()[0] or 0.0
+        if off < TOLERANCE:
             break
+    else:
+        if off > 1e-6:
+            raise RuntimeError(f"a source's tilt is still {off:.1e} off its target")
     return now.drop("off")
 
 

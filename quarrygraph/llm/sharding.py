@@ -3,8 +3,9 @@
 Documents with equal texts form a group that stays together.  Groups are hashed into buckets.  Each
 bucket boils its groups down to lumps: differencing spreads them over ``width`` lumps, one of these
 is spread over ``width`` finer ones, and so on until the last lumps are single groups.  The lumps of
-all buckets, coarse and fine, are a bounded number of sums; differencing over the shards places the
-large ones (and any group that is large by itself) and the fine ones even out what is left.
+all buckets, coarse and fine, are far fewer sums; while they are too many for one task they are
+lumped in turn.  Differencing over the shards places the large ones (and any group that is large by
+itself) and the fine ones even out what is left.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .differencing import spread_numbers
 
 SHARDS = 8
 GROUPS_PER_BUCKET = 20_000
-#: At most so many buckets; with the width that goes with them, lumps stay below about 2^17.
-MOST_BUCKETS = 4096
+#: Lumps that the driver spreads over the shards; where there are more, lumps are lumped again.
+MOST_LUMPS = 1 << 17
 ROWS_PER_SLOT_RANGE = 20_000
 
 
@@ -47,24 +48,36 @@ def tagged(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(id_col, (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.sha1(body)).alias("group"))
 
 
-def groups_to_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``group``, ``shard`` for rows with ``group`` (binary) and ``size``."""
-    groups = shared.materialise(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "groups")
-    n = groups.count()
-    buckets = min(MOST_BUCKETS, max(16, -(-n // GROUPS_PER_BUCKET)))
+def lumped(items: DataFrame, per_bucket: int = GROUPS_PER_BUCKET) -> DataFrame:
+    """``item``, ``bytes`` -> plus ``lump`` (long)."""
+    buckets = max(16, -(-items.count() // per_bucket))
     width = max(4, min(64, 16384 // buckets))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("bytes", "descending"), ("group", "ascending")])
+        t = t.sort_by([("bytes", "descending"), ("item", "ascending")])
         lump = lumps(t["bytes"].to_numpy(), width) + (t["bucket"][0].as_py() << 32)
         return t.drop_columns(["bucket"]).append_column("lump", pa.array(lump, pa.int64()))
 
-    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int"))
-    placed = shared.materialise(dealt.groupBy("bucket").applyInArrow(run, "group binary, bytes long, lump long"), "lumps")
-    sums = placed.groupBy("lump").agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "lump").collect()
+    dealt = items.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("bucket").applyInArrow(run, f"item {dict(items.dtypes)['item']}, bytes long, lump long")
+
+
+def groups_to_shards(rows: DataFrame, shards: int = SHARDS, per_bucket: int = GROUPS_PER_BUCKET, most: int = MOST_LUMPS) -> DataFrame:
+    """``group``, ``shard`` for rows with ``group`` (binary) and ``size``."""
+    items = shared.materialise(rows.groupBy(F.col("group").alias("item")).agg(F.sum("size").alias("bytes")), "groups")
+    levels = []
+    while True:
+        levels.append(shared.materialise(lumped(items, per_bucket), "lumps"))
+        shared.drop_table(items)
+        items = shared.materialise(levels[-1].groupBy(F.col("lump").alias("item")).agg(F.sum("bytes").alias("bytes")), "sums")
+        if items.count() <= most:
+            break
+    sums = items.orderBy(F.desc("bytes"), "item").collect()  # at most ``most`` rows
     part, _ = spread_numbers(np.array([r.bytes for r in sums], np.int64), shards)
-    of_lump = rows.sparkSession.createDataFrame([(r.lump, int(s)) for r, s in zip(sums, part)], "lump long, shard int")
-    return placed.join(F.broadcast(of_lump), "lump").select("group", "shard")
+    placed = F.broadcast(rows.sparkSession.createDataFrame([(r["item"], int(s)) for r, s in zip(sums, part)], "lump long, shard int"))
+    for level in reversed(levels):
+        placed = level.join(placed, "lump").select(F.col("item").alias("lump"), "shard")
+    return placed.withColumnRenamed("lump", "group")
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:

@@ -68,6 +68,11 @@ def block_of(n: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def share(of: Column, part: float) -> Column:
+    """A condition that about ``part`` of all values of ``of`` meet, by hash: the same ones every time."""
+    return F.lit(True) if part >= 1 else F.xxhash64(of) < int(-(2**63) + part * 2**64)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """``name`` with as many underscores before it as no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

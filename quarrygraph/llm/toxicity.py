@@ -6,8 +6,8 @@ character may be a letter it stands for, a separator to be dropped, or a repetit
 before) and takes the Viterbi path under a character trigram model.  The trigrams are counted over
 all documents; words, their prefixes and the decoded words are then looked up in one table.
 
-The classifier is fitted on at most ``SAMPLE`` labelled documents (the first ones by a hash of the
-id).  They give each word and prefix its smoothed log odds, and a logistic curve over the strongest
+The classifier is fitted on at most ``SAMPLE`` labelled documents or so (a share of them by a hash of
+the id).  They give each word and prefix its smoothed log odds, and a logistic curve over the strongest
 odds of a document; for the curve each of three parts is judged by the odds of the other two.  No label, language, source or id is an input of a score.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 SAMPLE = 20_000
-FEATURES = 100_000
-LEAST_DOCS = 2
+#: Evidence: toxic documents that hold a feature, and its log odds, at least.
+LEAST_DOCS, LEAST_ODDS = 2, 0.5
 PARTS = 3
 PREFIXES = (3, 4, 5, 6)
 #: Characters and the letters that they are written for.
@@ -183,7 +183,7 @@ def held_out(id_col: str) -> Column:
 
 
 class Model:
-    """All that scoring needs; plain data, bounded by ``FEATURES`` and the alphabet."""
+    """All that scoring needs; plain data, bounded by ``SAMPLE`` and the alphabet."""
 
     def __init__(self, counts: np.ndarray, odds: dict[str, float], curve: list[float]):
         self.counts, self.odds, self.curve = counts, odds, curve
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     counts = trigram_counts(docs, text)
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0))
     known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
-    known = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)  # the documented bound
+    known = known.filter(shared.share(F.col(id_col), sample / max(1, known.count())))  # the documented bound
     rows = docs.join(F.broadcast(known), id_col).select(F.col(id_col).alias("id"), F.col(text).cast("string").cast("binary").alias("raw"), (F.col("y") > 0).cast("int").alias("y"))
     rows = shared.materialise(rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(PARTS)).cast("int")), "labelled")
 
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     grams = rows.select("raw", "y", "part").mapInArrow(words, "f string, part int, y int, n long").groupBy("f").agg(*of_cell)
     toxic, clean = (sum((F.col(f"n{p}{y}") for p in range(1, PARTS)), F.col(f"n0{y}")) for y in (1, 0))
     grams = grams.withColumn("v", F.log((toxic + 0.5) / (size[:, 1].sum() + 1)) - F.log((clean + 0.5) / (size[:, 0].sum() + 1)))
-    best = grams.filter((toxic >= LEAST_DOCS) & (F.col("v") > 0.5)).orderBy(F.desc("v"), "f").limit(FEATURES).toArrow()
+    best = grams.filter((toxic >= LEAST_DOCS) & (F.col("v") > LEAST_ODDS)).orderBy("f").toArrow()  # bounded by the sample
     names = best["f"].to_pylist()
     n = np.array([best[f"n{p}{y}"].to_numpy() for p, y in cells], float).reshape(PARTS, 2, -1)
 
@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         use = [p for p in range(PARTS) if p != part]
         c, s = n[use].sum(axis=0), size[use].sum(axis=0)
         v = np.log((c[1] + 0.5) / (s[1] + 1)) - np.log((c[0] + 0.5) / (s[0] + 1))
-        good = np.flatnonzero((v > 0.5) & (c[1] >= LEAST_DOCS))
+        good = np.flatnonzero((v > LEAST_ODDS) & (c[1] >= LEAST_DOCS))
         return {names[i]: float(v[i]) for i in good}
 
     model = Model(counts, odds_without(None), [-30.0, 0.0, 0.0, 0.0])

@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,11 +79,6 @@ def lists_for_kinds(n: int, per_list: int = PER_LIST) -> int:
     return max(1, min(-(-n // per_list), int(PER_ROOT * n**0.5)))
 
 
-def _share(of: Column, part: float) -> Column:
-    """A condition that about ``part`` of all values of ``of`` meet, the same ones every time."""
-    return F.lit(True) if part >= 1 else F.xxhash64(of) < int(-(2**63) + part * 2**64)
-
-
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0)
 
@@ -228,7 +223,7 @@ def fit(kinds: DataFrame, per_list: int = PER_LIST, sample: int = SAMPLE, coarse
         return None, 0.0
     lists = lists_for_kinds(n, per_list)
     cells = min(lists, coarse)
-    picked = kinds.filter(_share(F.col("v"), min(sample, 64 * cells) / n)).select("v").toArrow()
+    picked = kinds.filter(shared.share(F.col("v"), min(sample, 64 * cells) / n)).select("v").toArrow()
     if not picked.num_rows:
         picked = kinds.select("v").limit(1).toArrow()
     first = balanced_centroids(_lifted(_matrix(picked["v"]), top), cells)
@@ -248,7 +243,7 @@ def fit(kinds: DataFrame, per_list: int = PER_LIST, sample: int = SAMPLE, coarse
         points = balanced_centroids(x, max(1, round(len(x) * lists / (part * n))))
         return pa.table({"point": pa.array(points.tolist(), pa.list_(pa.float64()))})
 
-    dealt = kinds.filter(_share(F.col("v"), part)).select("v").mapInArrow(nearest, f"cell long, v {kind}")
+    dealt = kinds.filter(shared.share(F.col("v"), part)).select("v").mapInArrow(nearest, f"cell long, v {kind}")
     points = dealt.groupBy("cell").applyInArrow(split, "point array<double>").toArrow()
     return Centroids(_matrix(points["point"])), top
 
@@ -257,7 +252,7 @@ def needed_ratio(posted: DataFrame, fitted: Centroids, k: int, recall: float = R
     """The ratio of distances within which the lists of ``recall`` of the true neighbours of some kinds lie."""
     own = posted.filter("own")
     total = int(fitted.size.sum())
-    asked = own.filter(_share(F.reverse("v"), probes / total)).select(F.element_at("ids", 1).alias("id"), "v").toArrow()
+    asked = own.filter(shared.share(F.reverse("v"), probes / total)).select(F.element_at("ids", 1).alias("id"), "v").toArrow()
     q, names = _matrix(asked["v"]), asked["id"].to_numpy()
     if not len(q) or total < 2:
         return 1.0

@@ -19,6 +19,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -45,12 +46,16 @@ def _gz(data: bytes) -> bytes:
 
 def members(content: bytes) -> Iterator[bytes]:
     """The gzip members of a container, one after another."""
-    while content:
-        z = zlib.decompressobj(31)
-        yield z.decompress(content) + z.flush()
-        if not z.eof:
-            raise ValueError("container cut short")
-        content = z.unused_data
+    at = 0
+    while at < len(content):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = content[at : at + 65536]
+            if not piece:
+                raise ValueError("container cut short")
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def url_field(url: str | None) -> bytes:
@@ -61,6 +66,15 @@ def url_field(url: str | None) -> bytes:
     return raw or b"-"
 
 
+def key_field(key: str | None) -> str:
+    """A key as a header line can hold it; ``unquote`` gives it back."""
+    return "" if key is None else "".join(f"%{ord(c):02X}" if c < " " or c in "%\x7f" else c for c in key)
+
+
+def record_id(place: str, key: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{place} {key} {digest}'.encode()).digest())}>"
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -118,14 +132,13 @@ def parse_arc(content: bytes) -> Iterator[dict]:
         at, place = end + 1, place + 1
 
 
-def warc_record(r: dict, refers_to: str | None) -> bytes:
-    """A response, or a revisit without payload that names the response it repeats."""
-    ident = uuid.UUID(bytes=hashlib.md5(f"{r['place']} {r['key']} {r['digest']}".encode()).digest())
+def warc_record(r: dict, refers_to: str | None, response: str | None = None) -> bytes:
+    """A response, or a revisit without payload that names the response it repeats: its key and place."""
     body = r["http"] + b"\r\n\r\n" + (b"" if refers_to is not None else r["payload"])
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{ident}>",
+        f"WARC-Record-ID: {record_id(r['place'], r['key'], r['digest'])}",
         f"WARC-Date: {r['date']}",
         f"WARC-Target-URI: {r['url']}",
         "Content-Type: application/http; msgtype=response",
@@ -135,7 +148,7 @@ def warc_record(r: dict, refers_to: str | None) -> bytes:
         f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
-        head[4:4] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Key: {refers_to}"]
+        head[4:4] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(response, refers_to, r['digest'])}", f"X-Refers-To-Key: {refers_to}"]
     else:
         head.insert(4, f"WARC-Block-Digest: sha1:{digest_of(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -191,7 +204,7 @@ def write_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                     # a retried task names its containers as before
                     name = f"{hashlib.sha1(f'{k} {u}'.encode()).hexdigest()[:16]}-{part}-{made}.arc"
                     held.append(arc_head(version, name))
-                held.append(arc_record(version, name, size, "" if k is None else k, u, h or b""))
+                held.append(arc_record(version, name, size, key_field(k), u, h or b""))
                 size += len(held[-1])
                 if size >= PER_CONTAINER:
                     yield _table([(name, b"".join(held))])
@@ -229,15 +242,17 @@ def read_arc(containers: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def revisits(index: DataFrame, key_type: str = "long", least: int = LEAST) -> DataFrame:
-    """``place``, ``refers_to`` of the records that repeat another one's payload.
+    """``place``, ``refers_to``, ``response`` (its place) of the records that repeat another one's payload.
 
     The response of a digest is the record with the largest key (null keys below all); records that
     share that key are all responses.
     """
-    index = index.filter(F.col("payload_bytes") >= least).withColumn("k", F.expr(f"try_cast(key as {key_type})"))
-    top = index.groupBy("digest", "payload_bytes").agg(F.max("k").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1 and top is not null").drop("n")
+    index = index.filter(F.col("payload_bytes") >= least).withColumn("k", F.expr(f"try_cast(url_decode(replace(key, '+', '%2B')) as {key_type})"))
+    best = F.max(F.when(F.col("k").isNotNull(), F.struct("k", "key", "place"))).alias("best")
+    top = index.groupBy("digest", "payload_bytes").agg(best, F.count(F.lit(1)).alias("n")).filter("n > 1 and best is not null")
+    top = top.select("digest", "payload_bytes", F.col("best.k").alias("top"), F.col("best.key").alias("refers_to"), F.col("best.place").alias("response"))
     joined = index.join(top, ["digest", "payload_bytes"]).filter(~F.col("k").eqNullSafe(F.col("top")))
-    return joined.select("place", F.col("top").cast("string").alias("refers_to"))
+    return joined.select("place", "refers_to", "response")
 
 
 def convert(arcs: DataFrame, key_type: str = "long", least: int = LEAST) -> DataFrame:
@@ -252,7 +267,7 @@ def convert(arcs: DataFrame, key_type: str = "long", least: int = LEAST) -> Data
                 cols = {n: b.column(n).to_pylist() for n in b.schema.names}
                 for i in range(b.num_rows):
                     r = {n: c[i] for n, c in cols.items()}
-                    data = _gz(warc_record(r, r["refers_to"]))
+                    data = _gz(warc_record(r, r["refers_to"], r["response"]))
                     yield data, len(data)
 
         for name, content in _containers(rows()):
@@ -262,12 +277,13 @@ def convert(arcs: DataFrame, key_type: str = "long", least: int = LEAST) -> Data
 
 
 def read_warc(containers: DataFrame, key_type: str = "long") -> DataFrame:
-    """Per record: key, payload_bytes, payload_digest, record_type, refers_to, url, record_id, date.
+    """Per record: key, payload_bytes, payload_digest, record_type, refers_to, url, record_id, date,
+    refers_to_record (the response's record id).
 
     Of a response the digest is computed from the payload read back and must equal the header's; a
     revisit has those of the payload that it stands for.
     """
-    names = ["key", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "date"]
+    names = ["key", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "date", "refers_to_record"]
 
     def run(batches):
         for b in batches:
@@ -280,7 +296,7 @@ def read_warc(containers: DataFrame, key_type: str = "long") -> DataFrame:
                     digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
                     if f["WARC-Type"] == "response" and (len(payload) != declared or digest_of(payload) != digest):
                         raise ValueError("payload differs from its digest")
-                    rows.append((f["X-Key"] or None if "X-Key" in f else None, declared, digest, f["WARC-Type"], f.get("X-Refers-To-Key"), f["WARC-Target-URI"], f["WARC-Record-ID"], f["WARC-Date"]))
+                    rows.append((unquote(f["X-Key"]) or None if "X-Key" in f else None, declared, digest, f["WARC-Type"], unquote(f["X-Refers-To-Key"]) if "X-Refers-To-Key" in f else None, f["WARC-Target-URI"], f["WARC-Record-ID"], f["WARC-Date"], f.get("WARC-Refers-To")))
                 cols = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "payload_bytes" else pa.string()) for n, c in zip(names, cols)], names=names)
 
@@ -294,8 +310,11 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     A null or empty html is an empty payload, and such pages repeat one another.  A null key is kept
     as null and never becomes the response while its payload has a row with a key.  Null urls become
     ``-``, white space in urls is escaped.  Repeated rows of the top key are all responses.  Other
-    columns are not read.  An empty table gives no container.
+    columns, whatever their names, are not read.  A page of any length is one record; keys of text may
+    hold any characters.  An empty table gives no container.
     """
     kind = pages.schema[key].dataType.simpleString()
     arcs = shared.materialise(write_arc(pages, key, url, html), "arc")
-    return shared.materialise(convert(arcs, kind, least), "warc")
+    made = shared.materialise(convert(arcs, kind, least), "warc")
+    shared.drop_table(arcs)
+    return made
