@@ -62,10 +62,20 @@ def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[byt
 _ENTRY = np.dtype([("n", "<i8"), ("kind", "<u2")])
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte of their places, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueezed(blob: bytes, n: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4")[:, 0]
+
+
 def _vocabulary(n: int):
     """Per block a row for each bucket: the block's distinct words, how often training documents hold
-    them, and their spelling; and a row with bucket -1: the same words, and the documents as positions
-    among them, so that texts are shuffled and cut into words once."""
+    them, and their spelling; and a row with bucket -1: the documents as positions among these words,
+    so that texts are shuffled and cut into words once."""
 
     def run(t: pa.Table) -> pa.Table:
         h, count, words = _tokens(shared.column_bytes(t["text"]))
@@ -79,7 +89,7 @@ def _vocabulary(n: int):
         held = [int(np.frombuffer(v, _ENTRY)["n"].sum()) for v in out["vals"].to_pylist()]
         out = out.set_column(4, "n", pa.array(held, pa.int64()))
         whole = lambda col: pa.ListArray.from_arrays(pa.array([0, len(col)], pa.int32()), col)
-        docs = {"bucket": pa.array([-1], pa.int32()), "block": t["block"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "vals": pa.array([where.astype("<u4").tobytes()], pa.binary()), "n": pa.array([0], pa.int64())}
+        docs = {"bucket": pa.array([-1], pa.int32()), "block": t["block"][:1], "vals": pa.array([_squeezed(where)], pa.binary()), "n": pa.array([0], pa.int64())}
         docs |= {"ids": whole(t["id"].combine_chunks()), "held": whole(t["held_out"].combine_chunks()), "counts": whole(pa.array(count, pa.int64()))}
         return pa.concat_tables([out.cast(out.schema), pa.table(docs)], promote_options="permissive")
 
@@ -266,7 +276,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple
         # a block is one row; its words and their answers are both in ascending order of hashes
         ids, held = (t[c].combine_chunks().flatten() for c in ("ids", "held"))
         count = t["counts"].combine_chunks().flatten().to_numpy()
-        at = np.frombuffer(t["vals"][0].as_py(), "<u4")
+        at = _unsqueezed(t["vals"][0].as_py(), int(count.sum()))
         # all that a word needs is worked out once per distinct word of the block
         keys, entry = shared.joined_answers(answers, _ENTRY)
         c, spell = entry["n"], entry["kind"].astype(np.int64)

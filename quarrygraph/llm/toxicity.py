@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ PREFIXES = (3, 4, 5, 6)
 #: Characters and the letters that they are written for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = ".-_*~'`,:;/\\#^"
+_EDGES = (SEPARATORS + "\"?)[]{}<>").encode()
 
 _A = 29  # boundary, a to z, any other letter, anything else
 _CODE = np.full(256, 28, np.uint8)
@@ -40,7 +42,8 @@ _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
 _LETTERS = re.compile(r"[^\W\d_]+")
-_RUN = re.compile(r"(.)\1*", re.S)
+_RUN = re.compile(r"((.)\2*)", re.S)
+_CHOICE = re.compile("[ " + re.escape("".join(LOOKS_LIKE)) + "]")
 _TWICE = re.compile(r"([^\W\d_])\1")
 #: Three or more groups of one or two characters, with marks or without, over gaps of any length.
 _MARK = rb"[^\s0-9A-Za-z@$!|+(\x80-\xff]*"
@@ -83,9 +86,8 @@ class Decoder:
     def readings(self, token: str) -> list[list[tuple[str, float]]]:
         """For each character its letters with their costs; an empty string drops it."""
         out = []
-        for run in _RUN.finditer(token):
-            ch, n = run.group()[0], len(run.group())
-            for i in range(n):
+        for run, ch in _RUN.findall(token):
+            for i in range(len(run)):
                 if ch == " ":
                     options, drop = [(ch, self.KEEP)], self.KEEP  # a boundary or none, as the trigrams say
                 elif ch.isalpha():
@@ -102,6 +104,31 @@ class Decoder:
         return out
 
     def decode(self, token: str) -> str:
+        """The best path's letters; spaces in it part words."""
+        if _CHOICE.search(token):
+            return self.viterbi(token)
+        return self.collapsed([(ch, len(run)) for run, ch in _RUN.findall(token) if ch.isalpha()])
+
+    def collapsed(self, runs: list[tuple[str, int]]) -> str:
+        """The best path where only repetitions leave a choice.
+
+        Trigrams reach two letters back, and a run always keeps its first letter, so the choice of one
+        run never touches that of another: each is settled by its neighbours alone.
+        """
+        log = self.log
+        code = [ord(ch) - 96 if "a" <= ch <= "z" else 27 for ch, _ in runs] + [0, 0]
+        out = []
+        for i, (ch, n) in enumerate(runs):
+            if n > 1:
+                b, c, d = code[i - 1], code[i], code[i + 1]
+                more = log[c][c][c] + self.KEEP - self.REPEAT  # for each letter kept beyond two
+                two = self.KEEP + log[b][c][c] + log[c][c][d] + max(0.0, (n - 2) * more)
+                n = 1 if self.REPEAT + log[b][c][d] >= two else n if more > 0 else 2
+            out.append(ch * n)
+        return "".join(out)
+
+    def viterbi(self, token: str) -> str:
+        """The best path through the lattice of ``readings``."""
         log = self.log
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for options in self.readings(token):
@@ -143,10 +170,10 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def spaced(raw: bytes, decoder: Decoder) -> set[str]:
+def spaced(raw: bytes, decode: Callable[[str], str]) -> set[str]:
     """The decoded words of runs of three or more short groups of characters."""
     runs = {b" ".join(m.split()).decode("utf-8", "replace").lower() for m in _SPACED.findall(raw)}
-    return {w for r in runs for w in decoder.decode(r).split()}
+    return {w for r in runs for w in decode(r).split()}
 
 
 class Scorer:
@@ -154,18 +181,25 @@ class Scorer:
 
     def __init__(self, odds: dict[str, float], decoder: Decoder):
         self.odds, self.decoder = odds, decoder
-        self.memo = shared.Memo(lambda token: self.of_token(token.decode("utf-8", "replace").lower()))
+        self.begins = {f[:3] for f in odds}  # no other word has a feature among them
+        self.memo = shared.Memo(lambda token: self.of_token(token.decode("utf-8", "replace").lower()), 2 * shared.MEMO)
+        self.runs = shared.Memo(decoder.decode, shared.MEMO // 4)
 
-    def of_token(self, token: str) -> float:
+    def of_word(self, word: str) -> float:
+        if word[:3] not in self.begins:
+            return 0.0
         get = self.odds.get
-        return max((get(f, 0.0) for w in restored(token, self.decoder) for f in features(w)), default=0.0)
+        return max(get(f, 0.0) for f in features(word))
+
+    def of_token(self, token: str) -> float:
+        return max(map(self.of_word, restored(token, self.decoder)), default=0.0)
 
     def of_text(self, raw: bytes | None) -> tuple[float, float, float]:
         """The largest and third largest log odds among distinct tokens, and the share of strong ones."""
         raw = raw or b""
-        tokens = set(raw.split())
+        tokens = {t.strip(_EDGES) for t in raw.split()}
         found = np.fromiter(map(self.memo.__getitem__, tokens), np.float64, len(tokens))
-        more = [max((self.odds.get(f, 0.0) for f in features(w)), default=0.0) for w in spaced(raw, self.decoder)]
+        more = [self.of_word(w) for w in spaced(raw, self.runs.__getitem__)]
         if more:
             found = np.concatenate((found, more))
         if not len(found):
@@ -242,9 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             for raw, y, p in zip(b.column("raw").to_pylist(), b.column("y").to_pylist(), b.column("part").to_pylist()):
                 raw = raw or b""
                 seen: set[str] = set()
-                for t in set(raw.split()):
+                for t in {t.strip(_EDGES) for t in raw.split()}:
                     seen.update(memo[t])
-                for w in spaced(raw, decoder):
+                for w in spaced(raw, decoder.decode):
                     seen.update(features(w))
                 found.update((f, p, y) for f in seen)
             if len(found) > 500_000:
