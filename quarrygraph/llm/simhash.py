@@ -242,7 +242,11 @@ def _whole_groups(batches, names: list[str]):
 
 
 def near_links(groups: DataFrame, radius: int) -> DataFrame:
-    """Spanning edges (``a``, ``b`` long) of each ``group`` of rows ``node``, ``fp`` within ``radius``."""
+    """Spanning edges (``a``, ``b`` long) of each ``group`` of rows ``node``, ``fp`` within ``radius``.
+
+    Each hangs a node onto the smallest one of its class in the group, so groups that share members
+    mostly give the same edges.
+    """
 
     def run(batches):
         for node, fp, group in _whole_groups(batches, ["node", "fp", "group"]):
@@ -259,7 +263,7 @@ def near_links(groups: DataFrame, radius: int) -> DataFrame:
                 a, b = np.unique(np.stack([root[far], node[far]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return groups.select("group", "node", "fp").repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+    return groups.select("group", "node", "fp").repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a long, b long")
 
 
 def finer(mask: int, radius: int) -> list[int]:
@@ -325,8 +329,10 @@ def linked(keyed: DataFrame, compare, chunk: int = CHUNK, pivots: int = PIVOTS,
     if not some_large:
         shared.drop_table(dealt)
         return edges
-    rows = (large if again is None else again).select("node", "key").join(connected(edges), "node", "left").select("node", "key", F.coalesce("root", "node").alias("class"))
-    rows = shared.materialise(rows, "classes")
+    found = shared.materialise(connected(edges), "classes")
+    shared.drop_table(edges)
+    rows = (large if again is None else again).select("node", "key").join(found, "node", "left").select("node", "key", F.coalesce("root", "node").alias("class"))
+    rows = rows_table = shared.materialise(rows, "classes")
     per = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("big"), F.sum("n").alias("n"))
     per = per.filter(F.col("n") > F.col("big.n")).select("key", F.col("big.class").alias("big"), F.ceil(F.col("big.n") / chunk).cast("int").alias("x"), F.ceil((F.col("n") - F.col("big.n")) / chunk).cast("int").alias("y"))
     rows = rows.join(per, "key")
@@ -336,7 +342,9 @@ def linked(keyed: DataFrame, compare, chunk: int = CHUNK, pivots: int = PIVOTS,
     rest = rows.select("node", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "class")
     more = shared.materialise(compare(rest), "links")
     shared.drop_table(dealt)
-    return edges.union(more)
+    shared.drop_table(rows_table)
+    # what the first round has joined goes on as stars
+    return found.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)
 
 
 def _number(fp: Column) -> Column:
@@ -423,7 +431,7 @@ def exact_links(groups: DataFrame, radius: int, similarity: float, shingle: int)
         if held:
             yield roots(held)
 
-    return groups.select("group", "node", "fp", "class", "text").repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+    return groups.select("group", "node", "fp", "class", "text").repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, words: int = 4, tables: int = 16, rows: int = 3, row: str | None = None, chunk: int = CHUNK) -> DataFrame:
