@@ -22,8 +22,8 @@ from . import shared
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-NEWTON_ROUNDS = 12
-STEPS_PER_ROUND = 4
+NEWTON_ROUNDS = 24
+STEPS_PER_ROUND = 2
 TOLERANCE = 1e-10
 SETTLE = 3
 _UNIT = 1_000_000
