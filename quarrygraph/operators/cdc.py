@@ -83,6 +83,18 @@ def apply(nodes: DataFrame, edges: DataFrame, snapshots: DataFrame, doc_id: str
     return nodes, edges, now, counts
 
 
+def latest(versions: DataFrame, order: str = "version") -> DataFrame:
+    """Each document's rows of its newest version; ``versions`` has ``doc_id`` and ``order`` besides."""
+    newest = versions.groupBy("doc_id").agg(F.max(order).alias(order))
+    return versions.join(newest, ["doc_id", order], "left_semi")
+
+
+def baseline(entities: DataFrame) -> DataFrame:
+    """First snapshots of documents (``doc_id, label, id, props, nums``): the same upload again changes nothing."""
+    of_doc = entities.select("doc_id", "label", "id", "props", "nums")
+    return of_doc.groupBy("doc_id", "label", "id").agg(F.max_by(F.struct("props", "nums"), F.to_json(F.struct("props", "nums"))).alias("r")).select("doc_id", "label", "id", "r.props", "r.nums").withColumn("version", F.lit(1).cast("long"))
+
+
 def merged_entities(rows: DataFrame) -> DataFrame:
     """``label, id, props, nums`` of ``doc_id, label, id, props, nums``, property by property.
 

@@ -25,10 +25,10 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """Each edge from both ends: ``node, other, src, type, dst``."""
-    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), *EDGE)
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), *EDGE)
+def both_ways(edges: DataFrame, *more: str) -> DataFrame:
+    """Each edge from both ends: ``node, other, src, type, dst``, and the columns ``more``."""
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), *EDGE, *more)
+    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), *EDGE, *more)
     return out.union(back)
 
 
@@ -108,6 +108,19 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> tuple[DataFrame, Da
     return visited, met.dropDuplicates(["qid", *EDGE])
 
 
+def clear(nodes: DataFrame, edges: DataFrame, labels: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without everything of ``labels``, edges that touch it included; None empties both."""
+    if labels is None:
+        return nodes.limit(0), edges.limit(0)
+    return detach_delete(nodes, edges, nodes.filter(F.col("label").isin(labels)))
+
+
+def longest_path(paths: DataFrame) -> DataFrame:
+    """``qid, path``: each question's longest chain, the first by nodes of several."""
+    best = F.min_by("path", F.struct(-F.size("path"), F.col("path")))
+    return paths.groupBy("qid").agg(best.alias("path"))
+
+
 def simple_paths(edges: DataFrame, seeds: DataFrame, hops: int, most: int | None = None) -> DataFrame:
     """``qid, path``: node chains from the seeds without repeats, 1 to ``hops`` edges long.
 
@@ -141,12 +154,14 @@ def neighbour_context(edges: DataFrame) -> DataFrame:
 def protected(edges: DataFrame, labels: DataFrame, seeds: DataFrame, hints: DataFrame) -> DataFrame:
     """``qid, id``: seeds, what is one hop off, and one hop more to labels that a question hints at.
 
-    ``labels``: ``id, label``; ``hints``: ``qid, label`` without Claim and Policy.
+    ``edges`` with a ``qid`` are walked for that question alone, others for all; ``labels``: ``id,
+    label``; ``hints``: ``qid, label`` without Claim and Policy.
     """
-    sym = both_ways(edges).select("node", "other").distinct()
-    near = seeds.select("qid", "id").union(seeds.join(sym, seeds.id == sym.node).select("qid", F.col("other").alias("id"))).distinct()
+    own = ["qid"] if "qid" in edges.columns else []
+    sym = both_ways(edges, *own).select(F.col("node").alias("id"), "other", *own).distinct()
+    near = seeds.select("qid", "id").union(seeds.select("qid", "id").join(sym, ["id", *own]).select("qid", F.col("other").alias("id"))).distinct()
     wanted = hints.filter(~F.col("label").isin("Claim", "Policy"))
-    far = near.join(sym, near.id == sym.node).select("qid", F.col("other").alias("id")).distinct().join(labels, "id").join(wanted, ["qid", "label"], "left_semi")
+    far = near.join(sym, ["id", *own]).select("qid", F.col("other").alias("id")).distinct().join(labels, "id").join(wanted, ["qid", "label"], "left_semi")
     return near.union(far.select("qid", "id")).distinct()
 
 

@@ -43,6 +43,54 @@ def rolling(records: DataFrame, n: int, order: str, tie: str, kind: str, value:
     return last.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("mean_value"))
 
 
+def trim(spark: SparkSession, path: str, n: int, schema: str = AUDIT_SCHEMA) -> int:
+    """Keep the newest ``n`` records of the log at ``path``; returns how many went.
+
+    The kept ones are written beside the log before they take its place.
+    """
+    records = read(spark, path, schema)
+    before = records.count()
+    if before <= n:
+        return 0
+    beside = f"{path.rstrip('/')}_kept"
+    retain(records, n, "timestamp", "audit_id").write.mode("overwrite").json(beside)
+    spark.read.schema(schema).json(beside).write.mode("overwrite").json(path)
+    _delete(spark, beside)
+    return before - n
+
+
+def clear(spark: SparkSession, path: str, schema: str = AUDIT_SCHEMA) -> int:
+    """Remove the log at ``path``; returns how many records it held."""
+    n = read(spark, path, schema).count()
+    _delete(spark, path)
+    return n
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def of_answers(answers: DataFrame, timestamp: str, hops: int = 2, budget: int = 1280, timings_ms: dict[str, float] | None = None, mode: str = "extractive") -> DataFrame:
+    """An audit record per row of ``questions.answer_batch``; the id is a digest of time, qid and query.
+
+    ``timings_ms`` are the batch's stages: its questions pass each of them together.
+    """
+    strings, ints = "array<string>", "int"
+    audit_id = F.substring(F.sha2(F.concat_ws("|", F.lit(timestamp), F.col("qid").cast("string"), "query"), 256), 1, 16)
+    size = lambda c: F.size(c).cast(ints)
+    timings = F.create_map(*[F.lit(x) for kv in timings_ms.items() for x in kv]) if timings_ms else F.create_map().cast("map<string,double>")
+    visited = F.array_union("kept", "dropped")
+    return answers.select(
+        audit_id.alias("audit_id"), F.lit(timestamp).alias("timestamp"), "query", "answer", F.lit(mode).alias("answer_mode"), F.lit(hops).alias("max_hops"),
+        F.struct(F.col("seeds").cast(strings).alias("seeds"), size(visited).alias("node_count")).alias("retrieval"),
+        F.struct(visited.alias("nodes_visited")).alias("traversal"),
+        F.struct("kept", "dropped", size("kept").alias("kept_count"), size("dropped").alias("dropped_count"), F.lit(budget).alias("budget")).alias("pruned"),
+        F.struct(F.col("tokens_before").cast(ints).alias("before"), F.col("tokens_after").cast(ints).alias("after"), "savings_percent").alias("tokens"),
+        timings.cast("map<string,double>").alias("timings_ms"),
+    )
+
+
 def get(records: DataFrame, audit_id: str) -> DataFrame:
     return records.filter(F.col("audit_id") == audit_id)
 

@@ -160,8 +160,8 @@ def khop_edges(spark, d):
     return graph.expand(edges, retrieve.id_seeds(q, nodes), 2)[1]
 
 
-@query("multi_hop_pattern", f"""{_GRAPH} select a.src as holder, b.src as policy, c.src as claim, c.dst as flag from edges a join edges b on b.src = a.dst and b.type = 'HAS_CLAIM'
-  join edges c on c.src = b.dst and c.type = 'FRAUD_DETECTED' where a.type = 'HAS_POLICY'""")
+@query("multi_hop_pattern", f"""with {_CLAIMS.replace("claims as (", "claims as materialized (", 1)}, {_FLAGS}
+  select 'PH-' || {_pad("o_custkey")} as holder, c.policy_id as policy, c.claim_id as claim, 'FRD-' || f.digits as flag from flags f join claims c using (claim_id) join orders on o_orderkey = c.l_orderkey""")
 def multi_hop_pattern(spark, d):
     return graph.holders_with_flags(business.edges(spark, d))
 
@@ -173,6 +173,14 @@ def simple_paths(spark, d):
     return graph.simple_paths(edges, retrieve.id_seeds(q, nodes), 2).select("qid", F.array_join("path", ">").alias("path"))
 
 
+@query("longest_path", f"""{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, p as (select qid, [a.node, a.other] as p from known k join sym a on a.node = k.id
+  union all select qid, [a.node, a.other, b.other] from known k join sym a on a.node = k.id join sym b on b.node = a.other and b.other <> a.node)
+  select qid, array_to_string(p, '>') as path from (select *, row_number() over (partition by qid order by len(p) desc, p) as n from p) where n = 1""")
+def longest_path(spark, d):
+    (nodes, edges), q = _stored(spark, d), questions(spark, d)
+    return graph.longest_path(graph.simple_paths(edges, retrieve.id_seeds(q, nodes), 2)).select("qid", F.array_join("path", ">").alias("path"))
+
+
 @query("neighbor_context", f"""{_GRAPH} select node as id, string_agg(type || ': ' || other, '|' order by type || ': ' || other) as ctx from (select src as node, type, dst as other from edges union all select dst, type, src from edges) group by node""")
 def neighbor_context(spark, d):
     return graph.neighbour_context(business.edges(spark, d)).select("id", F.array_join("ctx", "|").alias("ctx"))
@@ -264,14 +272,24 @@ def document_frequency(spark, d):
     return rank.document_frequency(rank.term_counts(t(spark, d, "documents"), "doc_id"))
 
 
-def _bm25_sql(variants: bool) -> str:
+def _bm25_tables(variants: bool) -> str:
     pairs = "select term as qt, variant as term from q join (select distinct term as variant from tf) v on length(term) >= 4 and length(variant) >= 4 and (starts_with(variant, term) or starts_with(term, variant)) union select term, term from q" if variants else "select term as qt, term from q"
-    return f"""with w as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents), tf as (select id, term, count(*) as tf from w group by id, term),
-  df as (select term, count(*) as df from tf group by term), dl as (select id, count(*) as dl from w group by id), st as (select (select count(*) from documents) as n, (select count(*) from w) / (select count(*) from documents)::double as avgdl),
+    return f"""with w as materialized (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents), tf as materialized (select id, term, count(*) as tf from w group by id, term),
+  df as materialized (select term, count(*) as df from tf group by term), dl as (select id, count(*) as dl from w group by id), st as (select (select count(*) from documents) as n, (select count(*) from w) / (select count(*) from documents)::double as avgdl),
   asked as (select item_id as qid, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w not in {_STOP})) as qt from benchmark), times as (select qid, qt, count(*) as times from asked group by qid, qt),
-  q as (select distinct qt as term from asked), pairs as ({pairs}),
-  per as (select qt, id, max(tf) as tf from pairs join tf using (term) group by qt, id), dfs as (select qt, max(df) as df from pairs join df using (term) group by qt),
-  s as (select qid, id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * times), 4) as score from times join per using (qt) join dfs using (qt) join dl using (id), st group by qid, id)
+  q as (select distinct qt as term from asked), pairs as materialized ({pairs}),
+  per as materialized (select qt, id, max(tf) as tf from pairs join tf using (term) group by qt, id)"""
+
+
+def _bm25_scores(dfs: str, digits: int) -> str:
+    return f"select qid, id, round(sum(ln((n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * times), {digits}) as score from times join per using (qt) left join {dfs} using (qt) join dl using (id), st group by qid, id"
+
+
+_LARGEST_DF = "(select qt, max(df) as df from pairs join df using (term) group by qt)"
+
+
+def _bm25_sql(variants: bool) -> str:
+    return f"""{_bm25_tables(variants)}, s as ({_bm25_scores(_LARGEST_DF, 4)})
   select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id)::integer as rank from s) where rank <= 10"""
 
 
@@ -286,12 +304,15 @@ def bm25_topk(spark, d):
     return _bm25(spark, d, variants=False)
 
 
-@query("bm25_prefix_topk")
+@query("bm25_prefix_topk", _bm25_sql(True))
 def bm25_prefix_topk(spark, d):
     return _bm25(spark, d)
 
 
-@query("ranking_ab")
+@query("ranking_ab", f"""{_bm25_tables(True)}, a as (select *, row_number() over (partition by qid order by score desc, id) as rank from ({_bm25_scores(_LARGEST_DF, 9)})),
+  b as (select *, row_number() over (partition by qid order by score desc, id) as rank from ({_bm25_scores("(select term as qt, df from df)", 9)}))
+  select qid, count_if(x.id is distinct from y.id) as moved, round(avg(abs(coalesce(x.score, 0) - coalesce(y.score, 0))), 6) as mean_gap
+  from (from a where rank <= 10) x full join (from b where rank <= 10) y using (qid, rank) group by qid""")
 def ranking_ab(spark, d):
     q = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     docs = t(spark, d, "documents")
@@ -371,6 +392,63 @@ def cdc_apply(spark, d):
     return cdc.apply(old, edges, snaps, "customers", new)[3]
 
 
+_HELD = "held as (select distinct 'PH-' || user_id as id from events)"
+
+
+@query("cdc_graph_nodes", f"""with {_DIFF}, {_HELD}, old as (select 'PH-' || c_custkey as id, c_name, c_mktsegment, c_acctbal from customer)
+  select id, c_name as name, case when change in ('added', 'modified') and n > 10 then 'LARGE' else c_mktsegment end as segment, c_acctbal as risk_score
+  from old join diff using (id) left join held h using (id) left join (select 'PH-' || o_custkey as id, count(*) as n from orders group by 1) using (id)
+  where (c_acctbal >= 0 and (change is distinct from 'deleted' or h.id is not null)) or change = 'added'""")
+def cdc_graph_nodes(spark, d):
+    """The nodes after a new version of a document, where another document holds some of what it drops."""
+    return _applied(spark, d)[0].select("id", F.col("props")["name"].alias("name"), F.col("props")["segment"].alias("segment"), F.col("nums")["risk_score"].alias("risk_score"))
+
+
+@query("cdc_graph_edges", f"""with {_DIFF}, {_HELD} select 'PH-' || o_custkey as src, 'HAS_POLICY' as type, 'POL-' || o_orderkey as dst from orders
+  where 'PH-' || o_custkey not in (select id from diff where change = 'deleted') or 'PH-' || o_custkey in (select id from held)""")
+def cdc_graph_edges(spark, d):
+    return _applied(spark, d)[1]
+
+
+@query("cdc_counts_with_references", f"with {_DIFF}, {_HELD} select count_if(change = 'added') as added, count_if(change = 'modified') as modified, count_if(change = 'deleted') as deleted, count_if(change = 'deleted' and id in (select id from held)) as deleted_skipped from diff")
+def cdc_counts_with_references(spark, d):
+    return _applied(spark, d)[3]
+
+
+@query("cdc_snapshots", f"with {_DIFF}, {_HELD} select 'customers' as doc_id, count(*) as n from (select o_custkey from orders group by o_custkey having count(*) >= 8) where o_custkey in (select c_custkey from customer) union all select 'events', count(*) from held")
+def cdc_snapshots(spark, d):
+    return _applied(spark, d)[2].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _applied(spark, d):
+    """A new version of the customers' document; the events' document names some of them too."""
+    old, new = _snapshot_pair(spark, d)
+    none = {k: F.create_map().cast(dict(old.dtypes)[k]).alias(k) for k in ("props", "nums")}
+    held = t(spark, d, "events").select(F.lit("Policyholder").alias("label"), F.concat(F.lit("PH-"), "user_id").alias("id")).distinct().select("label", "id", none["props"], none["nums"])
+    snaps = old.withColumn("doc_id", F.lit("customers")).unionByName(held.withColumn("doc_id", F.lit("events")))
+    edges = t(spark, d, "orders").select(F.concat(F.lit("PH-"), "o_custkey").alias("src"), F.lit("HAS_POLICY").alias("type"), F.concat(F.lit("POL-"), "o_orderkey").alias("dst"))
+    return cdc.apply(old, edges, snaps, "customers", new)
+
+
+@query("latest_snapshot", "select user_id as doc_id, event_id as id, ts as version from (select *, max(ts) over (partition by user_id) as m from events) where ts = m")
+def latest_snapshot(spark, d):
+    return cdc.latest(t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("id"), F.col("ts").alias("version"))).select("doc_id", "id", "version")
+
+
+@query("baseline_is_stable", "select 0::bigint as changes")
+def baseline_is_stable(spark, d):
+    """A document uploaded again as it was, twice its rows over, changes nothing."""
+    old = _snapshot_pair(spark, d)[0].withColumn("doc_id", F.lit("customers"))
+    first = cdc.baseline(old.union(old))
+    return cdc.diff(first.drop("version"), old, ("doc_id", "label", "id")).agg(F.count(F.lit(1)).alias("changes"))
+
+
+@query("bulk_clear", f"{_GRAPH}, {_NODES} select label, count(*) as n from node_ids where label not in ('Claim', 'FraudFlag') group by label")
+def bulk_clear(spark, d):
+    nodes, edges = business.nodes(spark, d), business.edges(spark, d)
+    return graph.clear(nodes, edges, ["Claim", "FraudFlag"])[0].groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("fraud_rules", f"with {_CLAIMS}, {_FLAGS} select claim_id, severity, confidence from flags")
 def fraud_rules(spark, d):
     return business.flags(spark, d)
@@ -483,7 +561,11 @@ def offered_load_window(spark, d):
     return t(spark, d, "events").select("event_id", F.count(F.lit(1)).over(w).alias("load"))
 
 
-@query("rate_limit")
+@query("rate_limit", """with recursive e as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events),
+  r as (select user_id, event_id, n, true as accepted, us as a, null::bigint as b, null::bigint as c from e where n = 1
+    union all select e.user_id, e.event_id, e.n, ok, case when ok then e.us else a end, case when ok then a else b end, case when ok then b else c end
+      from (select e.user_id, e.event_id, e.n, e.us, r.a, r.b, r.c, r.c is null or r.c < e.us - 21600000000 as ok from r join e on e.user_id is not distinct from r.user_id and e.n = r.n + 1) e)
+  select event_id, user_id, accepted from r""")
 def rate_limit(spark, d):
     return limiter.admit(t(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 3, 6 * 3600).select("event_id", "user_id", "accepted")
 
@@ -525,7 +607,10 @@ def first_slice(spark, d):
     return c.join(e, "policy_id").select("id", "amount", "holder")
 
 
-@query("budget_prune")
+@query("budget_prune", """with recursive d as (select source, row_number() over (partition by source order by n_chars desc, doc_id) as r, case when length(coalesce(text, '')) = 0 then 0 else greatest(1, length(text) // 4) end::bigint as cost from documents),
+  f as (select source, r, cost as tokens, 1 as n_kept, 0 as n_dropped from d where r = 1
+    union all select d.source, d.r, case when f.tokens + d.cost <= 1280 then f.tokens + d.cost else f.tokens end, f.n_kept + (f.tokens + d.cost <= 1280)::integer, f.n_dropped + (f.tokens + d.cost > 1280)::integer from f join d on d.source is not distinct from f.source and d.r = f.r + 1)
+  select source as qid, max_by(n_kept, r) as n_kept, max_by(n_dropped, r) as n_dropped, max_by(tokens, r) as tokens from f group by source""")
 def budget_prune(spark, d):
     """Documents of each language in order of length against a budget."""
     docs = t(spark, d, "documents").select(F.col("source").alias("qid"), F.col("doc_id").cast("string").alias("id"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"), T.token_count(F.col("text")).alias("cost"), F.lit(False).alias("protected"))

@@ -145,6 +145,17 @@ def test_records(spark, tmp_path):
     kept = records.recent(records.read(spark, str(p)), 5).collect()
     assert [r.audit_id for r in kept] == ["12", "11", "10", "9", "8"]
     assert "&lt;b&gt;" in records.report({"q": "<b>"})
+    log = str(tmp_path / "log")
+    rows = [(i, f"q{i}", "a", ["s"], ["k"], ["d"], 10, 5, 50.0) for i in range(6)]
+    answers = spark.createDataFrame(rows, "qid int, query string, answer string, seeds array<string>, kept array<string>, dropped array<string>, tokens_before long, tokens_after long, savings_percent double")
+    for day in (1, 2):
+        records.append(records.of_answers(answers, f"2020-01-0{day}", timings_ms={"retrieve": 1.5}), log)
+    read = records.read(spark, log).collect()
+    assert len({r.audit_id for r in read}) == 12 and read[0].pruned.kept_count == 1 and read[0].timings_ms == {"retrieve": 1.5}
+    assert {r.status for r in records.node_status(records.read(spark, log)).collect()} == {"kept", "dropped"}
+    assert records.trim(spark, log, 6) == 6 and records.trim(spark, log, 6) == 0
+    assert {r.timestamp for r in records.read(spark, log).collect()} == {"2020-01-02"}
+    assert records.clear(spark, log) == 6 and not (tmp_path / "log").exists()
 
 
 def test_answers(spark):
@@ -157,6 +168,19 @@ def test_answers(spark):
     assert got[3].answer == "No relevant context found for this query." and got[3].kept == []
 
 
+def test_a_batch_answers_like_each_question_alone(spark):
+    nodes = spark.createDataFrame([entity("Policyholder", "PH-001", {"name": "Ann"})] + [entity("Policy", f"POL-00{i}", {"status": "A"}) for i in (1, 2)] + [entity("Claim", f"CLM-00{i}", {"cause": "fire"}) for i in (1, 2)] + [entity("FraudFlag", f"FRD-00{i}", {"severity": "HIGH"}) for i in (1, 2)], NODE)
+    links = [("PH-001", "HAS_POLICY", "POL-001"), ("PH-001", "HAS_POLICY", "POL-002"), ("POL-001", "HAS_CLAIM", "CLM-001"), ("POL-002", "HAS_CLAIM", "CLM-002"), ("CLM-001", "FRAUD_DETECTED", "FRD-001"), ("CLM-002", "FRAUD_DETECTED", "FRD-002")]
+    edges = spark.createDataFrame(links, "src string, type string, dst string")
+    asked = [(1, "Is there fraud on POL-001?"), (2, "Is there fraud on POL-002 of PH-001?"), (3, "Which fraud flags has CLM-002?"), (4, "What is the status of POL-001?")]
+    form = "qid int, query string"
+    batch = sorted(plans.answer_batch(spark.createDataFrame(asked, form), nodes, edges, hops=1, budget=30).collect())
+    alone = [plans.answer_batch(spark.createDataFrame([q], form), nodes, edges, hops=1, budget=30).first() for q in asked]
+    assert batch == alone
+    seen = plans.graph.protected(spark.createDataFrame([(*e, q) for e, q in zip(links, (1, 2, 2, 2, 2, 2))], "src string, type string, dst string, qid int"), nodes.select("id", "label"), spark.createDataFrame([(1, "PH-001")], "qid int, id string"), spark.createDataFrame([(1, "Policy")], "qid int, label string"))
+    assert {r.id for r in seen.collect()} == {"PH-001", "POL-001"}
+
+
 POLICY = """Commercial Insurance Policy
 Policy ID POL-001
 Policy Number P-7
