@@ -51,7 +51,8 @@ def tagged(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def lumped(items: DataFrame, per_bucket: int = GROUPS_PER_BUCKET) -> DataFrame:
     """``item``, ``bytes`` -> plus ``lump`` (long)."""
     buckets = max(16, -(-items.count() // per_bucket))
-    width = max(4, min(64, 16384 // buckets))
+    # well below a bucket's items, so that every lumping leaves fewer
+    width = max(4, min(64, 16384 // buckets, per_bucket // 8))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("bytes", "descending"), ("item", "ascending")])

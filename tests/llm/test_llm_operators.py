@@ -375,6 +375,29 @@ def test_toxicity(spark, none):
     assert toxicity.scores(none, empty).count() == 0
 
 
+def test_shards_are_balanced_at_every_depth(spark):
+    """Against greedy placing, the largest group and an exact search; lumps of lumps too."""
+    import itertools
+
+    rng = random.Random(2)
+    sizes = [int(rng.paretovariate(1.2) * 20) for _ in range(3000)]
+    rows = spark.createDataFrame([(bytearray(f"{i}".encode()), n) for i, n in enumerate(sizes)], "group binary, size long")
+    greedy = [0] * 8
+    for n in sorted(sizes, reverse=True):
+        greedy[greedy.index(min(greedy))] += n
+    for how in ({}, {"per_bucket": 60, "most": 700}):
+        placed = {bytes(r.group): r.shard for r in sharding.groups_to_shards(rows, **how).collect()}
+        assert len(placed) == 3000
+        total = collections.Counter()
+        for i, n in enumerate(sizes):
+            total[placed[f"{i}".encode()]] += n
+        assert len(total) == 8 and max(total.values()) - min(total.values()) <= max(2 * (max(greedy) - min(greedy)), 8)
+    few = [31, 27, 22, 18, 13, 11, 7, 5]
+    _, sums = differencing.spread_numbers(np.array(few), 2)
+    best = min(max(x, sum(few) - x) for c in itertools.product((0, 1), repeat=8) for x in [sum(n for n, b in zip(few, c) if b)])
+    assert max(sums) <= best + 3
+
+
 def test_viterbi_takes_the_best_of_all_paths():
     rng = np.random.default_rng(8)
     counts = rng.gamma(0.3, 20, (29, 29, 29))
