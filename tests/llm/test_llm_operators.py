@@ -375,6 +375,22 @@ def test_toxicity(spark, none):
     assert toxicity.scores(none, empty).count() == 0
 
 
+def test_repeated_passages_keep_one_of_equal_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    whole, passage = line(80), line(50)
+    out = [(1, whole), (1, whole), (None, whole), (2, None), (3, ""), (4, f"{line(10)} {passage}"), (5, f"{passage} {line(10)}"), (None, line(40))]
+    rows = [(i, t, "en", "a", len(t or ""), "x") for i, t in out]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string")
+    got = sorted(((r.doc_id, r.text, r.n_chars, r.n_words) for r in corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()), key=str)
+    parts = [out[5][1].split()[:10], out[6][1].split()[50:]]
+    want = [(1, whole), (2, None), (3, ""), (4, " ".join(parts[0])), (5, " ".join(parts[1])), out[7]]
+    assert got == sorted(((i, t, len(t or ""), "x") for i, t in want), key=str)
+    assert corpus_pipeline.drop_repeated_passages(spark, docs.limit(0), "").count() == 0
+
+
 def test_shards_are_balanced_at_every_depth(spark):
     """Against greedy placing, the largest group and an exact search; lumps of lumps too."""
     import itertools
