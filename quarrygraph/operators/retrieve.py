@@ -20,6 +20,8 @@ TEXT_PROPS = {
 }
 KINDS = {"Policyholder": "policyholder", "Policy": "insurance policy", "Claim": "insurance claim", "FraudFlag": "fraud flag", "Endorsement": "policy endorsement", "Investigator": "claims investigator", "Coverage": "coverage"}
 SEEDS = 5
+GRAM = 4
+SHIFTS = (32, 24, 16, 8, 0, -8, -16)
 
 
 def id_seeds(questions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -30,14 +32,17 @@ def id_seeds(questions: DataFrame, nodes: DataFrame) -> DataFrame:
 def keyword_hits(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """``qid, id, hits``: (token, property) pairs whose value contains the singular token.
 
-    The batch's distinct tokens are the small side; its size is that of the questions, not the graph.
+    A token is letters only, so it lies within one run of letters.  The distinct runs of all values
+    meet the tokens in equi joins on a token's first letters (up to four); values then meet tokens by run.
     """
     tokens = questions.select("qid", F.explode(T.value_tokens(F.col("query"))).alias("tok")).select("qid", T.singular(F.col("tok")).alias("tok"))
-    values = nodes.select("id", F.explode("props").alias("k", "v")).filter(F.col("k").isin(KEYWORD_PROPS)).select("id", "k", F.lower("v").alias("v"))
-    # every value is scanned against the batch's tokens in one pass; no pair of them is made but hits
-    batch = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("_"))
-    all_tokens = batch.agg(F.array_sort(F.collect_list("tok")).alias("toks"))
-    met = values.crossJoin(F.broadcast(all_tokens)).select("id", "k", F.explode(F.filter("toks", lambda t: F.contains(F.col("v"), t))).alias("tok"))
+    values = nodes.select("label", "id", F.explode("props").alias("k", "v")).filter(F.col("k").isin(KEYWORD_PROPS))
+    runs = values.select("label", "id", "k", F.explode(F.array_distinct(T.words(F.col("v")))).alias("run"))
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring("run", i, n))))
+    grams = runs.select("run").distinct().select("run", F.explode(F.array_distinct(starts)).alias("gram"))
+    wanted = tokens.select("tok").distinct().select("tok", F.substring("tok", 1, GRAM).alias("gram"))
+    pairs = wanted.join(grams, "gram").filter(F.contains("run", "tok")).select("tok", "run")
+    met = runs.join(pairs, "run").select("label", "id", "k", "tok").distinct()
     return met.join(tokens, "tok").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -46,19 +51,55 @@ def keyword_seeds(questions: DataFrame, nodes: DataFrame, most: int = SEEDS) ->
     return keyword_hits(questions, nodes).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n")
 
 
+def _cells(v: Column) -> Column:
+    """``level, parent, cell`` of a number in grids that are 256 times finer from level to level.
+
+    Cells keep the order of numbers.  Far numbers share the outermost cells, close ones the innermost.
+    """
+    near = F.greatest(F.least(v.cast("double"), F.lit(2.0**40)), F.lit(-(2.0**40)))
+    cell = lambda shift: F.floor(near * 2.0**-shift)
+    parents = [F.lit(0).cast("bigint"), *[cell(s) for s in SHIFTS]]
+    return F.array(*[F.struct(F.lit(n).alias("level"), parents[n].alias("parent"), cell(s).alias("cell")) for n, s in enumerate(SHIFTS)])
+
+
+def smallest_past(values: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """``label, k, dir, t, id``: the ``most`` smallest ids of the values (``label, k, id, v``) on a threshold's side.
+
+    ``wanted``: ``label, k, dir, t``; 1 asks for ``v >= t``, -1 for ``v <= t``, 0 for ``v = t``.  Each cell
+    keeps its smallest ids only, and a threshold reads the cells beside its own under the same parent,
+    level by level; single values are compared in its innermost cell alone.  No pair of a threshold
+    with all values is made.
+    """
+    at = ["label", "k", "level", "parent"]
+    values, wanted = values.filter("v is not null"), wanted.filter("t is not null").distinct()
+    equal = wanted.filter("dir = 0").join(values, (wanted.label == values.label) & (wanted.k == values.k) & (wanted.t.cast("double") == values.v)).select(wanted.label, wanted.k, "dir", "t", "id")
+    sides = wanted.filter("dir <> 0").select("*", F.explode(_cells(F.col("t"))).alias("c")).select("label", "k", "dir", "t", "c.*")
+    placed = values.select("label", "k", "id", "v", F.explode(_cells(F.col("v"))).alias("c")).select("label", "k", "id", "v", "c.*")
+    placed = placed.join(sides.select(*at).distinct(), at, "left_semi")
+    order = Window.partitionBy(*at, "cell").orderBy("id")
+    best = placed.withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= most).select(*at, "cell", "id").distinct()
+    beside = sides.join(best.withColumnRenamed("cell", "other"), at).filter((F.col("other") - F.col("cell")) * F.col("dir") > 0)
+    inner = len(SHIFTS) - 1
+    mine = sides.filter(F.col("level") == inner).join(placed.filter(F.col("level") == inner), [*at, "cell"]).filter((F.col("v") == F.col("t")) | ((F.col("v") > F.col("t")) == (F.col("dir") > 0)))
+    key = ["label", "k", "dir", "t"]
+    every = equal.union(beside.select(*key, "id")).union(mine.select(*key, "id"))
+    return every.withColumn("n", F.dense_rank().over(Window.partitionBy(*key).orderBy("id"))).filter(F.col("n") <= most).drop("n").distinct()
+
+
 def numeric_seeds(questions: DataFrame, nodes: DataFrame, most: int = SEEDS, open_end: bool = False) -> DataFrame:
     """``qid, id``: nodes past a question's threshold in the properties that it focuses on.
 
     Without a word of direction values must equal the number; with ``open_end`` they may exceed it.
+    Questions with the same property, direction and threshold are searched once.
     """
     q = questions.select("qid", T.numeric_tokens(F.col("query")).alias("nums"), T.direction(F.col("query")).alias("dir"), T.focus(F.col("query")).alias("focus")).filter(F.size("nums") > 0)
     every = F.array(*[F.struct(F.lit(p).alias("prop"), F.lit(lab).alias("label")) for p, lab in T.NUMERIC_PROPS])
     q = q.select("qid", "dir", F.when(F.col("dir") >= 0, F.array_max("nums")).otherwise(F.array_min("nums")).alias("t"), F.explode(F.coalesce("focus", every)).alias("f"))
-    q = q.select("qid", "dir", "t", F.col("f.prop").alias("k"), F.col("f.label").alias("label"))
+    side = F.when(F.col("dir") == 0, 1).otherwise(F.col("dir")) if open_end else F.col("dir")
+    q = q.select("qid", side.alias("dir"), "t", F.col("f.prop").alias("k"), F.col("f.label").alias("label"))
     values = nodes.select("label", "id", F.explode("nums").alias("k", "v"))
-    hit = F.when(F.col("dir") == -1, F.col("v") <= F.col("t")).when(F.col("dir") == 1, F.col("v") >= F.col("t")).otherwise(F.col("v") >= F.col("t") if open_end else F.col("v") == F.col("t"))
-    found = values.join(q, ["label", "k"]).filter(hit).select("qid", "id")
-    # a rank limit that is taken before the shuffle too; only what it leaves is made distinct
+    key = ["label", "k", "dir", "t"]
+    found = q.join(smallest_past(values, q.select(*key), most), key).select("qid", "id")
     return found.withColumn("n", F.dense_rank().over(Window.partitionBy("qid").orderBy("id"))).filter(F.col("n") <= most).drop("n").distinct()
 
 

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def csv_rows(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
-    """All cells as strings, header names trimmed, ``row`` from 1 in the file's order.
+def csv_rows(spark: SparkSession, path: str, header: list[str] | None = None, multi_line: bool = True) -> DataFrame:
+    """All cells as strings, header names trimmed, ``row`` from 1: files by path, then in the file's order.
 
-    Types are never inferred: a column may hold numbers and words.
+    Types are never inferred: a column may hold numbers and words.  Cells with line breaks need
+    ``multi_line``, which reads a file in one task; without it large files are read in blocks.
     """
-    names = header or [c.lstrip("﻿").strip() for c in spark.read.option("header", True).option("inferSchema", False).csv(path).columns]
+    names = header or [c.lstrip("\ufeff").strip() for c in spark.read.option("header", True).option("inferSchema", False).csv(path).columns]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, mode="PERMISSIVE", multiLine=True)
-    # the row number is part of the ids, and only file order gives it
-    numbered = df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1] + 1))
-    return spark.createDataFrame(numbered, schema.add("row", "long"))
+    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, mode="PERMISSIVE", multiLine=multi_line)
+    # a block lies in one partition, so numbers that rise there give its order; the blocks' counts give its start
+    cells = [F.col(f"`{n}`") for n in names]
+    placed = df.select(*cells, F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = placed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("_block", "_first", before.alias("_before"))
+    return placed.join(starts, "_block").select(*cells, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("row"))
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
