@@ -187,3 +187,8 @@ def plain_number(x: Column) -> Column:
     """A double as text, without an exponent: 54036.0, 0.92."""
     whole = F.concat(F.format_string("%d", x.cast("bigint")), F.lit(".0"))
     return F.when((x == F.floor(x)) & (F.abs(x) < 1e18), whole).otherwise(F.regexp_replace(F.format_string("%.6f", x), "(\\.\\d+?)0+$", "$1"))
+
+
+def whole(x: Column) -> Column:
+    """A number rounded to an integer, halves to the even one; 0 for none."""
+    return F.coalesce(F.bround(x.cast("double")).cast("bigint"), F.lit(0))

@@ -61,3 +61,30 @@ def mix(runs: DataFrame, exact: str = "id-lookup") -> DataFrame:
     """``category, n, share``: what kinds of questions the runs asked; look-ups are ``exact``."""
     rows = evaluate.mix(runs.select(F.explode("results.category").alias("category")), "category")
     return rows.withColumn("exact", F.col("category") == exact)
+
+
+def validation(entries: DataFrame, runs: DataFrame, frauds: DataFrame) -> DataFrame:
+    """A row per entry of a validation table: ``label, queries``, weighted means, ``fraud``, ``state``.
+
+    ``entries``: ``label, files array<string>, fraud_name, labelled`` (boolean); ``runs``: ``RUN`` figures by
+    ``dataset``; ``frauds``: ``dataset`` and counts ``tp, fp, tn, fn``.  ``fraud`` reads precision, recall and F1
+    in percent, ``no labels`` for a source without them, or a dash.  ``state`` is ``no bench`` without any run.
+    """
+    q = F.col("queries")
+    mean = lambda c: F.round(F.sum(F.col(c) * q) / F.nullif(F.sum(q), F.lit(0)), 4).alias(c)
+    own = entries.select("label", F.explode("files").alias("dataset")).join(runs, "dataset")
+    figures = own.groupBy("label").agg(F.sum(q).alias("queries"), *[mean(c) for c in ("retrieval_accuracy", "pruning_accuracy", "avg_savings_pct", "avg_latency_ms")])
+    added = frauds.groupBy("dataset").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")])
+    rows = entries.join(figures, "label", "left").join(added.withColumnRenamed("dataset", "fraud_name"), "fraud_name", "left")
+    tp, fp, tn, fn = (F.coalesce(c, F.lit(0)) for c in ("tp", "fp", "tn", "fn"))
+    p, r, f1 = (F.when(b > 0, a / b).otherwise(0.0) for a, b in ((tp, tp + fp), (tp, tp + fn), (2 * tp, 2 * tp + fp + fn)))
+    shown = F.concat_ws(" / ", *[F.format_string("%.0f%%", x * 100) for x in (p, r, f1)])
+    said = F.when(tp + fp + tn + fn > 0, shown).when(~F.col("labelled"), "no labels").otherwise("—")
+    asked = F.coalesce(q, F.lit(0))
+    return rows.select("label", asked.alias("queries"), *figures.columns[2:], said.alias("fraud"), F.when(asked > 0, "measured").otherwise("no bench").alias("state"))
+
+
+def cold_warm(timings: DataFrame) -> DataFrame:
+    """``mode, cold_start_ms, avg_warm_ms`` of timed calls (``mode, call`` from 0, ``ms``)."""
+    warm = F.avg(F.when(F.col("call") > 0, F.col("ms")))
+    return timings.groupBy("mode").agg(F.round(F.max(F.when(F.col("call") == 0, F.col("ms"))), 1).alias("cold_start_ms"), F.coalesce(F.round(warm, 1), F.lit(0.0)).alias("avg_warm_ms"))

@@ -21,10 +21,17 @@ def append(records: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str, schema: str = AUDIT_SCHEMA) -> DataFrame:
-    """Torn lines are left out."""
+    """Torn lines are left out; ``torn`` shows them."""
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
+def torn(spark: SparkSession, path: str) -> DataFrame:
+    """``line`` of every line that is no JSON object."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    no_object = F.try_parse_json("line").isNull() | ~F.startswith(F.ltrim("line"), F.lit("{"))
+    return lines.filter((F.trim("line") != "") & no_object)
+
+
 def recent(records: DataFrame, n: int, order: str = "timestamp", tie: str = "audit_id") -> DataFrame:
     return records.orderBy(F.desc(order), F.desc(tie)).limit(n)
 

@@ -103,3 +103,42 @@ def judge(workload: DataFrame, results: DataFrame) -> DataFrame:
     both = evaluate.hits(met.withColumn("got", F.col("kept"))).drop("got").withColumnsRenamed({"missing": "missing_after_prune", "hit": "prune_hit"})
     few = lambda c: F.slice(F.array_sort(c), 1, 5)
     return both.select("qid", "category", "query", "mode", F.size(F.array_intersect("expected", "retrieved")).alias("expected_found"), F.size("expected").alias("expected_total"), few("missing_from_graph").alias("missing_from_graph"), few("missing_after_prune").alias("missing_after_prune"), "retrieval_hit", "prune_hit", "tokens_before", "tokens_after", "savings_percent")
+
+
+# For each edge type, which end is the document that states it, and the label of the
+# other end where that document describes it as well; a policy is only referred to by its claims.
+STATED = {
+    "HAS_POLICY": ("dst", "Policyholder"),
+    "COVERS": ("src", "Coverage"),
+    "ENDORSED_BY": ("src", "Endorsement"),
+    "HAS_CLAIM": ("dst", None),
+    "FRAUD_DETECTED": ("src", "FraudFlag"),
+    "INVESTIGATES_CLAIM": ("dst", "Investigator"),
+}
+DOCUMENTS = ["Policy", "Claim", "Endorsement"]
+
+
+def document_truth(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (``doc, label, id``) and relations (``doc, src, type, dst``) that each document must yield.
+
+    A policy, claim or endorsement is a document under its own id; an endorsement's has no relation.
+    """
+    stated = F.col("type").isin([*STATED])
+    owner = F.when(F.col("type").isin([k for k, (end, _) in STATED.items() if end == "src"]), F.col("src")).otherwise(F.col("dst"))
+    relations = edges.filter(stated).select(owner.alias("doc"), "src", "type", "dst").distinct()
+    label = F.element_at(F.create_map(*[F.lit(x) for k, (_, lab) in STATED.items() if lab for x in (k, lab)]), F.col("type"))
+    other = F.when(F.col("doc") == F.col("src"), F.col("dst")).otherwise(F.col("src"))
+    described = relations.filter(F.col("type").isin([k for k, (_, lab) in STATED.items() if lab])).select("doc", label.alias("label"), other.alias("id"))
+    own = nodes.filter(F.col("label").isin(DOCUMENTS)).select(F.col("id").alias("doc"), "label", "id")
+    return own.union(described).distinct(), relations
+
+
+def edge_suite(results: DataFrame) -> DataFrame:
+    """One row: questions that were retrieved, survived pruning and were answered; accuracy, savings, latency.
+
+    ``results``: ``retrieved, survived_prune, answer_ok`` (boolean), ``savings_percent, latency_ms``.  Without
+    questions all figures are 0.
+    """
+    n, ok = F.count(F.lit(1)), F.count_if(F.col("retrieved") & F.col("survived_prune") & F.col("answer_ok"))
+    mean = lambda c: F.coalesce(F.round(F.avg(c), 2), F.lit(0.0))
+    return results.agg(n.alias("total_queries"), ok.alias("passed"), F.when(n > 0, F.round(ok / n * 100, 1)).otherwise(0.0).alias("retrieval_accuracy"), mean("savings_percent").alias("avg_savings_pct"), mean("latency_ms").alias("avg_latency_ms"))

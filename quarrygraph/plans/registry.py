@@ -80,9 +80,13 @@ def _stored(spark, d) -> tuple[DataFrame, DataFrame]:
     return graph._cut(business.nodes(spark, d)), graph._cut(business.edges(spark, d))
 
 
+_TEXTS = "(select conv_id, turn, text from conversations union all select doc_id, -1, text from documents)"
+
+
 def _texts(spark, d) -> DataFrame:
-    """All documents and all turns as texts to read questions and answers from."""
-    return t(spark, d, "conversations").select("conv_id", "turn", "text")
+    """All turns, and all documents as turn -1, as texts to read questions and answers from."""
+    turns, docs = t(spark, d, "conversations"), t(spark, d, "documents")
+    return turns.select("conv_id", "turn", "text").union(docs.select("doc_id", F.lit(-1), "text"))
 
 
 @query("graph_node_counts", f"{_GRAPH}, {_NODES} select label, count(*) as n from node_ids group by label")
@@ -222,10 +226,10 @@ def seed_union(spark, d):
     return retrieve.seeds(questions(spark, d), business.nodes(spark, d))
 
 
-@query("tokenize", f"select doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w not in {_STOP}))::integer as n_tokens, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w not in {_STOP})[1:20], ' ') as head from documents")
+@query("tokenize", f"select doc_id, len(w)::integer as n_tokens, sha256(array_to_string(w, ' ')) as tokens_sha256 from (select doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w not in {_STOP}) as w from documents)")
 def tokenize(spark, d):
     w = T.query_tokens(F.col("text"))
-    return t(spark, d, "documents").select("doc_id", F.size(w).alias("n_tokens"), F.array_join(F.slice(w, 1, 20), " ").alias("head"))
+    return t(spark, d, "documents").select("doc_id", F.size(w).alias("n_tokens"), F.sha2(F.array_join(w, " "), 256).alias("tokens_sha256"))
 
 
 @query("id_extract", f"with {_Q} select qid, array_to_string(regexp_extract_all(query, '((?:POL|CLM|PH|END|FRD|INV)-[0-9]{{3,}})', 1), ',') as ids from questions")
@@ -233,13 +237,13 @@ def id_extract(spark, d):
     return questions(spark, d).select("qid", F.array_join(T.seed_ids(F.col("query")), ",").alias("ids"))
 
 
-@query("numeric_extract", "select conv_id, turn, len(x)::integer as n, coalesce(list_max(x), -1)::bigint as largest from (select conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[$]?[0-9][0-9,]*'), lambda s: try_cast(replace(replace(s, '$', ''), ',', '') as bigint)), lambda v: v is not null) as x from conversations)")
+@query("numeric_extract", f"select conv_id, turn, len(x)::integer as n, coalesce(list_max(x), -1)::bigint as largest from (select conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[$]?[0-9][0-9,]*'), lambda s: try_cast(replace(replace(s, '$', ''), ',', '') as bigint)), lambda v: v is not null) as x from {_TEXTS})")
 def numeric_extract(spark, d):
     x = F.filter(T.numeric_tokens(F.col("text")), lambda v: v.isNotNull())
     return _texts(spark, d).select("conv_id", "turn", F.size(x).alias("n"), F.coalesce(F.array_max(x), F.lit(-1)).alias("largest"))
 
 
-@query("threshold_direction", "select conv_id, turn, case when list_has_any(w, ['over','above','more','exceeds','exceeding','greater','higher']) then 1 when list_has_any(w, ['under','below','less','lower']) then -1 else 0 end::integer as direction from (select conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') as w from conversations)")
+@query("threshold_direction", f"select conv_id, turn, case when list_has_any(w, ['over','above','more','exceeds','exceeding','greater','higher']) then 1 when list_has_any(w, ['under','below','less','lower']) then -1 else 0 end::integer as direction from (select conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') as w from {_TEXTS})")
 def threshold_direction(spark, d):
     return _texts(spark, d).select("conv_id", "turn", T.direction(F.col("text")).alias("direction"))
 
@@ -760,8 +764,8 @@ def seeded_sample(spark, d):
     return evaluate.sample(t(spark, d, "events").select("event_id"), 100, "event_id", 42)
 
 
-@query("prop_focus", """select conv_id, turn, case when list_contains(w, 'premium') then 'premium' when list_contains(w, 'deductible') then 'deductible' when list_contains(w, 'amount') then 'amount' when list_contains(w, 'limit') then 'limit' when list_contains(w, 'risk') then 'risk_score'
-  when list_contains(w, 'confidence') then 'confidence' when list_has_any(w, ['claim', 'claims']) then 'amount' when list_has_any(w, ['coverage', 'coverages']) then 'limit' end as prop from (select conv_id, turn, regexp_extract_all(lower(text || case (conv_id + turn) % 7 when 0 then ' premium' when 1 then ' claims amount' when 2 then ' risk' when 3 then ' claims' when 4 then ' coverage' when 5 then ' limits' else '' end), '[a-z]+') as w from conversations)""")
+@query("prop_focus", f"""select conv_id, turn, case when list_contains(w, 'premium') then 'premium' when list_contains(w, 'deductible') then 'deductible' when list_contains(w, 'amount') then 'amount' when list_contains(w, 'limit') then 'limit' when list_contains(w, 'risk') then 'risk_score'
+  when list_contains(w, 'confidence') then 'confidence' when list_has_any(w, ['claim', 'claims']) then 'amount' when list_has_any(w, ['coverage', 'coverages']) then 'limit' end as prop from (select conv_id, turn, regexp_extract_all(lower(text || case (conv_id + turn) % 7 when 0 then ' premium' when 1 then ' claims amount' when 2 then ' risk' when 3 then ' claims' when 4 then ' coverage' when 5 then ' limits' else '' end), '[a-z]+') as w from {_TEXTS})""")
 def prop_focus(spark, d):
     k = (F.col("conv_id") + F.col("turn")) % 7
     more = F.when(k == 0, " premium").when(k == 1, " claims amount").when(k == 2, " risk").when(k == 3, " claims").when(k == 4, " coverage").when(k == 5, " limits").otherwise("")
@@ -809,3 +813,32 @@ def question_throughput(spark, d):
     q = t(spark, d, "customer").select(F.col("c_custkey").alias("qid"), held.alias("query"))
     out = plans.answer_batch(q, *_stored(spark, d))
     return out.select("qid", "answer", F.size("kept").alias("n_kept"), F.size("dropped").alias("n_dropped"), "tokens_before", "tokens_after", "savings_percent")
+
+
+@query("document_truth", f"""{_GRAPH}, rel as (select distinct case when type in ('HAS_POLICY', 'HAS_CLAIM', 'INVESTIGATES_CLAIM') then dst else src end as doc, src, type, dst from edges),
+  ent as (select policy_id as doc, 'Coverage' as label, 'COV-' || {_pad("l_partkey")} as id from claims union select claim_id, 'Investigator', 'INV-' || {_pad("l_suppkey")} from claims
+    union select claim_id, 'FraudFlag', 'FRD-' || digits from flags union select 'POL-' || {_pad("o_orderkey")}, 'Policyholder', 'PH-' || {_pad("o_custkey")} from orders
+    union select 'POL-' || {_pad("o_orderkey")}, 'Policy', 'POL-' || {_pad("o_orderkey")} from orders union select claim_id, 'Claim', claim_id from claims)
+  select doc, 'relation' as kind, type as what, src as a, dst as b from rel union all select doc, 'entity', label, id, id from ent""")
+def document_truth(spark, d):
+    entities, relations = workload.document_truth(business.nodes(spark, d), business.edges(spark, d))
+    return relations.select("doc", F.lit("relation").alias("kind"), F.col("type").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b")).union(entities.select("doc", F.lit("entity"), "label", "id", "id"))
+
+
+@query("edge_suite", """select count(*) as total_queries, count(*) filter (value > 5 and value > 8 and user_id % 7 > 0) as passed,
+  round(count(*) filter (value > 5 and value > 8 and user_id % 7 > 0) / count(*)::double * 100, 1) as retrieval_accuracy, round(avg(value), 2) as avg_savings_pct, round(avg(user_id), 2) as avg_latency_ms from events""")
+def edge_suite(spark, d):
+    v, u = F.col("value"), F.col("user_id")
+    return workload.edge_suite(t(spark, d, "events").select((v > 5).alias("retrieved"), (v > 8).alias("survived_prune"), (u % 7 > 0).alias("answer_ok"), v.alias("savings_percent"), u.alias("latency_ms")))
+
+
+@query("whole_numbers", "select event_id, coalesce(round_even(nullif(value, 0), 0)::bigint, 0) as whole from events")
+def whole_numbers(spark, d):
+    return t(spark, d, "events").select("event_id", T.whole(F.nullif("value", F.lit(0.0))).alias("whole"))
+
+
+@query("cold_warm", """select event_type as mode, round(max(value) filter (n = 1), 1) as cold_start_ms, coalesce(round(avg(value) filter (n > 1), 1), 0) as avg_warm_ms
+  from (select *, row_number() over (partition by event_type order by event_id) as n from events) group by event_type""")
+def cold_warm(spark, d):
+    calls = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
+    return proof.cold_warm(t(spark, d, "events").select(F.col("event_type").alias("mode"), calls.alias("call"), F.col("value").alias("ms")))

@@ -56,3 +56,12 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def import_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def newest(spark: SparkSession, pattern: str) -> DataFrame:
+    """``path, modified`` of the file changed last, the largest path of several; no row without a file.
+
+    Contents are not read.
+    """
+    files = spark.read.format("binaryFile").load(pattern).select("path", F.col("modificationTime").alias("modified"))
+    return files.orderBy(F.desc("modified"), F.desc("path")).limit(1)

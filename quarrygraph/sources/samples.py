@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import graph
+from ..operators import cdc, graph
 
 _NUMBERS = (T.NumericType,)
 
@@ -28,7 +28,8 @@ def _edge(df: DataFrame, src: str, kind: str, dst: str) -> DataFrame:
 def flatten(policies: DataFrame, claims: DataFrame, endorsements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of policies (holder, coverages, endorsements within), claims and endorsements.
 
-    Rows that name the same node merge property by property, in the order policies, endorsements.
+    Rows that name the same node merge property by property; endorsements of their own win over those
+    within policies, and of other rows that state the same property the one largest as JSON.
     """
     p = policies.select(F.struct("*").alias("p"))
     inner = lambda col: p.select("p", F.explode(f"p.{col}").alias("x"))
@@ -36,7 +37,7 @@ def flatten(policies: DataFrame, claims: DataFrame, endorsements: DataFrame) ->
     cov, end = inner("coverages"), inner("endorsements")
     nodes = _node(p.select("p.policyholder"), "Policyholder", "policyholder").union(_node(p, "Policy", "p")).union(_node(cov, "Coverage", "x"))
     nodes = nodes.union(_node(claims, "Claim", "claim", ("policy_id", "doc_id"))).union(_node(claims, "FraudFlag", "fraud_flag")).union(_node(claims, "Investigator", "investigator"))
-    by_key = lambda df: df.groupBy("label", "id").agg(F.first("props").alias("props"), F.first("nums").alias("nums"))
+    by_key = lambda df: cdc.merged_entities(df.withColumn("doc_id", F.to_json(F.struct("props", "nums"))))
     ends = graph.upsert_nodes(by_key(_node(end, "Endorsement", "x", ("policy_id",))), by_key(_node(loose, "Endorsement", "x", ("policy_id",))))
     edges = _edge(p, "p.policyholder.id", "HAS_POLICY", "p.id").union(_edge(cov, "p.id", "COVERS", "x.id")).union(_edge(end, "p.id", "ENDORSED_BY", "x.id")).union(_edge(loose, "x.policy_id", "ENDORSED_BY", "x.id"))
     edges = edges.union(_edge(claims, "claim.policy_id", "HAS_CLAIM", "claim.id")).union(_edge(claims, "claim.id", "FRAUD_DETECTED", "fraud_flag.id")).union(_edge(claims, "investigator.id", "INVESTIGATES_CLAIM", "claim.id"))

@@ -1,6 +1,7 @@
 """Small fixtures with known results."""
 
 import json
+import math
 
 import pytest
 
@@ -338,6 +339,86 @@ def test_samples(spark):
     assert tuple(catalog.post_state(nodes, edges, "POL-1").first()) == (9.0, 1, 1, 1)
 
 
+def test_samples_merge_rows_of_one_node(spark):
+    pol = "id string, policyholder struct<id:string,name:string,city:string>, coverages array<struct<id:string,code:string>>, endorsements array<struct<id:string,policy_id:string>>"
+    policies = spark.createDataFrame([("POL-1", ("PH-1", "Ann", None), [], []), ("POL-2", ("PH-1", None, "Rome"), [], [])], pol)
+    claims = spark.createDataFrame([], "doc_id string, claim struct<id:string,policy_id:string>, fraud_flag struct<id:string>, investigator struct<id:string>")
+    nodes, _ = samples.flatten(policies, claims, spark.createDataFrame([], "id string, policy_id string"))
+    assert {r.id: r.props for r in nodes.collect()} == {"PH-1": {"name": "Ann", "city": "Rome"}, "POL-1": {}, "POL-2": {}}
+
+
+def test_csv_rows_number_files_in_order(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("x,y\n" + "".join(f'b{i},"1\n2"\n' for i in range(300)))
+    (tmp_path / "a.csv").write_text("x,y\n" + "".join(f"a{i},\n" for i in range(5)))
+    rows = sorted(readers.csv_rows(spark, str(tmp_path)).collect(), key=lambda r: r.row)
+    assert [(r.x, r.row) for r in rows] == [(x, n + 1) for n, x in enumerate([f"a{i}" for i in range(5)] + [f"b{i}" for i in range(300)])]
+    assert rows[0].y is None and rows[-1].y == "1\n2"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        rows = readers.csv_rows(spark, f"{tmp_path}/a.csv", multi_line=False).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.row, r.x) for r in rows) == [(i + 1, f"a{i}") for i in range(5)]
+    assert readers.newest(spark, f"{tmp_path}/*.csv").count() == 1
+
+
+def test_thresholds_find_the_smallest_ids(spark):
+    import random
+
+    rng = random.Random(1)
+    draw = [lambda: rng.uniform(-5, 5), lambda: rng.uniform(0, 1e4), lambda: float(rng.randint(0, 50)), lambda: 1e15 * rng.random(), lambda: -1e14 * rng.random(), lambda: rng.choice([math.inf, -math.inf, 3.000001, 3.0])]
+    values = [("L", rng.choice("ab"), f"{rng.randint(0, 900):04d}", rng.choice(draw)()) for _ in range(1500)] + [("L", "a", "0000", None)]
+    wanted = {("L", rng.choice("abc"), rng.choice([-1, 0, 1]), rng.choice([rng.randint(0, 50), rng.randint(0, 10000), 3, 10**15])) for _ in range(60)}
+    found = retrieve.smallest_past(spark.createDataFrame(values, "label string, k string, id string, v double"), spark.createDataFrame(sorted(wanted), "label string, k string, dir int, t bigint"), 5)
+    meets = {1: lambda v, t: v >= t, -1: lambda v, t: v <= t, 0: lambda v, t: v == t}
+    want = {(*w, i) for w in wanted for i in sorted({i for _, k, i, v in values if k == w[1] and v is not None and meets[w[2]](v, w[3])})[:5]}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_keywords_lie_in_runs_of_letters(spark):
+    nodes = spark.createDataFrame([("A", "1", {"name": "Fire-damaged CAR7cars", "cause": "fire"}, {}), ("B", "2", {"reason": "wildfires", "email": None}, {}), ("B", "3", {"zip": "fire", "name": ""}, {})], "label string, id string, props map<string,string>, nums map<string,double>")
+    q = spark.createDataFrame([(1, "fires and cars"), (2, "x"), (3, None)], "qid int, query string")
+    assert {tuple(r) for r in retrieve.keyword_hits(q, nodes).collect()} == _contained(q, nodes)
+
+
+def _contained(q, nodes):
+    out = {}
+    for r in q.select("qid", F.explode(F.transform(T.value_tokens(F.col("query")), T.singular)).alias("tok")).collect():
+        for n in nodes.collect():
+            hits = sum(r.tok in (v or "").lower() for k, v in n.props.items() if k in retrieve.KEYWORD_PROPS)
+            if hits:
+                out[r.qid, n.id] = out.get((r.qid, n.id), 0) + hits
+    return {(*k, v) for k, v in out.items()}
+
+
+def test_rank_by_model_falls_back(spark):
+    q = spark.createDataFrame([(1, "who is the investigator?"), (2, "bad")], "qid int, query string")
+    texts = spark.createDataFrame([(1, "a", "Claim", "xx"), (1, "b", "Investigator", "x"), (2, "c", "Claim", "x"), (2, "d", "Claim", "y")], "qid int, id string, label string, text string")
+    words = spark.createDataFrame([(1, "a", 9.0), (2, "d", 1.0)], "qid int, id string, score double")
+    by = lambda scorer: {(r.qid, r.id): (r.score, r["rank"], r["mode"]) for r in rank.by_model(q, texts, words, scorer).collect()}
+    got = by(lambda pairs: [len(t) if query != "bad" or t == "x" else None for query, t in pairs])
+    assert got == {(1, "b"): (3.5, 1, "model"), (1, "a"): (2.0, 2, "model"), (2, "d"): (1.0, 1, "lexical"), (2, "c"): (0.0, 2, "lexical")}
+
+    def broken(pairs):
+        raise OSError("down")
+
+    assert {m for *_, m in by(broken).values()} == {"lexical"} and {m for *_, m in by(lambda pairs: []).values()} == {"lexical"}
+
+
+def test_validation_rows(spark):
+    entries = spark.createDataFrame([("one", ["a", "b"], "a", True), ("two", ["c"], "c", False), ("three", ["d"], "d", True)], "label string, files array<string>, fraud_name string, labelled boolean")
+    runs = spark.createDataFrame([("a", 1, 100.0, 100.0, 10.0, 5.0), ("b", 3, 60.0, 20.0, 30.0, 9.0), ("c", 2, 50.0, 50.0, 1.0, 1.0)], "dataset string, queries long, retrieval_accuracy double, pruning_accuracy double, avg_savings_pct double, avg_latency_ms double")
+    frauds = spark.createDataFrame([("a", 8, 2, 5, 0)], "dataset string, tp long, fp long, tn long, fn long")
+    got = {r.label: tuple(r)[1:] for r in proof.validation(entries, runs, frauds).collect()}
+    assert got == {"one": (4, 70.0, 40.0, 25.0, 8.0, "80% / 100% / 89%", "measured"), "two": (2, 50.0, 50.0, 1.0, 1.0, "no labels", "measured"), "three": (0, None, None, None, None, "—", "no bench")}
+
+
+def test_torn_lines_are_shown(spark, tmp_path):
+    (tmp_path / "log.json").write_text('{"audit_id": "a"}\n{"audit_id": "b\n\n[1]\n{"audit_id": "c"}\n')
+    assert sorted(r.line for r in records.torn(spark, f"{tmp_path}/log.json").collect()) == ["[1]", '{"audit_id": "b']
+
+
 def test_catalog(spark, tmp_path):
     c = catalog.Catalog(spark, f"{tmp_path}/catalog")
     assert c.current() == "pdf_demo" and c.loaded() is None
