@@ -137,6 +137,9 @@ def seeds(questions: DataFrame, nodes: DataFrame, fallthrough: bool = False) ->
         rest = questions.join(by_id.select("qid").distinct(), "qid", "left_anti")
     else:
         rest = questions.filter(F.size(T.seed_ids(F.col("query"))) == 0)
+        # the questions alone tell whether the nodes need be searched at all
+        if rest.isEmpty():
+            return by_id.distinct().select("qid", "id", F.lit("id").alias("kind"))
     found = keyword_seeds(rest, nodes).select("qid", "id", F.lit(1).alias("o")).union(numeric_seeds(rest, nodes, open_end=fallthrough).select("qid", "id", F.lit(2).alias("o")))
     every = by_id.select("qid", "id", F.lit(0).alias("o")).union(found)
     every = every.groupBy("qid", "id").agg(F.min("o").alias("o"))

@@ -76,8 +76,9 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stored(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges as stored tables: what is read hop after hop is derived once."""
-    return graph._cut(business.nodes(spark, d)), graph._cut(business.edges(spark, d))
+    """Nodes and edges as stored tables: what is read hop after hop is derived once, claims for both."""
+    cl = graph._cut(business.claims(spark, d))
+    return graph._cut(business.nodes(spark, d, cl)), graph._cut(business.edges(spark, d, cl))
 
 
 _TEXTS = "(select conv_id, turn, text from conversations union all select doc_id, -1, text from documents)"

@@ -32,9 +32,9 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.withColumn("claim_id", _id("CLM-", number)).withColumn("policy_id", _id("POL-", "l_orderkey"))
 
 
-def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flags(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    joined = claims(spark, sf_dir).join(o, F.col("l_orderkey") == o.o_orderkey)
+    joined = (claims(spark, sf_dir) if cl is None else cl).join(o, F.col("l_orderkey") == o.o_orderkey)
     rows = joined.select("claim_id", F.col("o_orderdate").alias("start"), F.col("l_shipdate").alias("date"), F.col("l_extendedprice").alias("amount"), F.col("o_totalprice").alias("premium"))
     return evaluate.fraud_rules(rows, times=PREMIUM_TIMES)
 
@@ -45,16 +45,18 @@ def _node(df: DataFrame, label: str, id_, props: dict, nums: dict) -> DataFrame:
     return df.select(F.lit(label).alias("label"), id_.alias("id"), p.alias("props"), n.alias("nums"))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None) -> DataFrame:
+    """All nodes; ``cl`` are the ``claims`` if they are stored already."""
+    cl = claims(spark, sf_dir) if cl is None else cl
     t = lambda n: table(spark, sf_dir, n)
     c = F.col
     parts = [
         _node(t("customer"), "Policyholder", _id("PH-", "c_custkey"), {"name": c("c_name"), "segment": c("c_mktsegment")}, {"risk_score": c("c_acctbal")}),
         _node(t("orders"), "Policy", _id("POL-", "o_orderkey"), {"policy_number": _id("POL-", "o_orderkey"), "status": c("o_orderstatus"), "type": c("o_orderpriority"), "start_date": F.date_format("o_orderdate", "yyyy-MM-dd")}, {"premium": c("o_totalprice")}),
-        _node(claims(spark, sf_dir), "Claim", c("claim_id"), {"claim_number": c("claim_id"), "status": c("l_linestatus"), "cause": c("l_returnflag"), "date": F.date_format("l_shipdate", "yyyy-MM-dd")}, {"amount": c("l_extendedprice")}),
+        _node(cl, "Claim", c("claim_id"), {"claim_number": c("claim_id"), "status": c("l_linestatus"), "cause": c("l_returnflag"), "date": F.date_format("l_shipdate", "yyyy-MM-dd")}, {"amount": c("l_extendedprice")}),
         _node(t("supplier"), "Investigator", _id("INV-", "s_suppkey"), {"name": c("s_name"), "role": F.lit("INVESTIGATOR")}, {}),
         _node(t("part"), "Coverage", _id("COV-", "p_partkey"), {"code": c("p_brand"), "category": c("p_type")}, {"limit": c("p_retailprice")}),
-        _node(flags(spark, sf_dir), "FraudFlag", F.concat(F.lit("FRD-"), F.substring("claim_id", 5, 40)), {"severity": c("severity")}, {"confidence": c("confidence")}),
+        _node(flags(spark, sf_dir, cl), "FraudFlag", F.concat(F.lit("FRD-"), F.substring("claim_id", 5, 40)), {"severity": c("severity")}, {"confidence": c("confidence")}),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -62,8 +64,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cl = claims(spark, sf_dir)
+def edges(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None) -> DataFrame:
+    """All edges; ``cl`` are the ``claims`` if they are stored already."""
+    cl = claims(spark, sf_dir) if cl is None else cl
     o = table(spark, sf_dir, "orders")
     e = lambda df, a, t, b: df.select(a.alias("src"), F.lit(t).alias("type"), b.alias("dst"))
     parts = [
@@ -71,7 +74,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         e(cl, F.col("policy_id"), "HAS_CLAIM", F.col("claim_id")),
         e(cl, _id("INV-", "l_suppkey"), "INVESTIGATES_CLAIM", F.col("claim_id")),
         e(cl, F.col("policy_id"), "COVERS", _id("COV-", "l_partkey")).distinct(),
-        e(flags(spark, sf_dir), F.col("claim_id"), "FRAUD_DETECTED", F.concat(F.lit("FRD-"), F.substring("claim_id", 5, 40))),
+        e(flags(spark, sf_dir, cl), F.col("claim_id"), "FRAUD_DETECTED", F.concat(F.lit("FRD-"), F.substring("claim_id", 5, 40))),
     ]
     out = parts[0]
     for p in parts[1:]:
