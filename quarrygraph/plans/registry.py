@@ -77,7 +77,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 def _stored(spark, d) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges as stored tables: what is read hop after hop is derived once, claims for both."""
-    cl = graph._cut(business.claims(spark, d))
+    cl = graph._cut(business.claims(spark, d).select(*business.CLAIM))
     return graph._cut(business.nodes(spark, d, cl)), graph._cut(business.edges(spark, d, cl))
 
 

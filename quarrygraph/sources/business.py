@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..operators import evaluate
 
 PREMIUM_TIMES = 0.9
+#: what nodes, edges and flags read of claims
+CLAIM = ["claim_id", "policy_id", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
