@@ -45,8 +45,8 @@ def documents(spark: SparkSession, path: str, to_text=None) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """``path, size, digest``: what a change of files is told by."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+    """``path, size, modified, digest``: what a change of files is told by; the digest alone tells one of content."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("digest"))
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
