@@ -79,12 +79,19 @@ def hits(rows: DataFrame) -> DataFrame:
     return rows.select("*", missing.alias("missing"), F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
-def fraud_rules(rows: DataFrame, days: int = 7, times: float = 10.0) -> DataFrame:
-    """``claim_id, start, date, amount, premium`` -> flags by age of the policy, then by amount."""
-    early = F.datediff("date", "start") <= days
-    large = F.col("amount") > F.col("premium") * times
-    out = rows.withColumn("severity", F.when(early, "HIGH").when(large, "MEDIUM")).withColumn("confidence", F.when(early, 0.92).when(large, 0.81))
-    return out.filter("severity is not null").select("claim_id", "severity", "confidence")
+def severity(date, start, amount, premium, days: int = 7, times: float = 10.0, low=None) -> tuple:
+    """Severity and confidence columns: by age of the policy, then by amount, then by the condition ``low``."""
+    rules = [(F.datediff(date, start) <= days, "HIGH", 0.92), (amount > premium * times, "MEDIUM", 0.81), (F.lit(False) if low is None else low, "LOW", 0.60)]
+    how, sure = F.when(F.lit(False), ""), F.when(F.lit(False), 0.0)
+    for when, name, confidence in rules:
+        how, sure = how.when(when, name), sure.when(when, confidence)
+    return how, sure
+
+
+def fraud_rules(rows: DataFrame, days: int = 7, times: float = 10.0, low=None) -> DataFrame:
+    """``claim_id, start, date, amount, premium`` -> the claims that ``severity`` flags."""
+    how, sure = severity(F.col("date"), F.col("start"), F.col("amount"), F.col("premium"), days, times, low)
+    return rows.withColumn("severity", how).withColumn("confidence", sure).filter("severity is not null").select("claim_id", "severity", "confidence")
 
 
 def profile(df: DataFrame, top: int = 5) -> DataFrame:
