@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import json
+import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -128,3 +130,41 @@ def report(record: dict) -> str:
     """One record as HTML; every value is escaped."""
     rows = "".join(f"<tr><th>{html.escape(str(k))}</th><td><pre>{html.escape(json.dumps(v, ensure_ascii=False, default=str))}</pre></td></tr>" for k, v in record.items())
     return f"<!doctype html><meta charset='utf-8'><title>Audit record</title><table>{rows}</table>"
+
+
+def report_lines(record: dict) -> list[str]:
+    """One record as ``key: value`` lines; nested values are JSON."""
+    plain = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str)
+    return [line for k, v in record.items() for line in f"{k}: {plain(v)}".splitlines()]
+
+
+def export_report(record: dict, folder: str) -> list[str]:
+    """One record as JSON, HTML and PDF in a folder of the driver's; returns the paths.
+
+    The name is the record's id with other characters than letters, digits, _ and - replaced.
+    """
+    from ..sources import pdf
+
+    name = re.sub(r"[^A-Za-z0-9_-]", "_", str(record.get("audit_id") or "record"))
+    made = {"json": json.dumps(record, ensure_ascii=False, indent=2, default=str).encode(), "html": report(record).encode(), "pdf": pdf.render(report_lines(record))}
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    paths = {kind: Path(folder) / f"audit_{name}.{kind}" for kind in made}
+    for kind, content in made.items():
+        paths[kind].write_bytes(content)
+    return [str(p) for p in paths.values()]
+
+
+STAMP = "*Last run "
+
+
+def stamped(report: str, when: str, datasets: list[str], seconds: float) -> str:
+    """A report's text that ends with a line on the newest run; lines on earlier runs go."""
+    kept = "\n".join(x for x in report.splitlines() if not x.startswith(STAMP)).rstrip("\n")
+    line = f"{STAMP}{when} ({seconds}s): {', '.join(datasets)}*\n"
+    return f"{kept}\n\n{line}" if kept else line
+
+
+def stage_times(marks: list[tuple[str, float]]) -> dict[str, float]:
+    """Milliseconds of each stage, and their ``total``, from (name, seconds when it ended); the first mark is the start."""
+    spans = {name: round((at - before) * 1000, 2) for (_, before), (name, at) in zip(marks, marks[1:])}
+    return spans | {"total": round((marks[-1][1] - marks[0][1]) * 1000, 2)} if marks else {}

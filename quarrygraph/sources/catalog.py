@@ -105,3 +105,18 @@ def post_state(nodes: DataFrame, edges: DataFrame, policy: str) -> DataFrame:
     ends = mine.join(nodes.filter("label = 'Endorsement'").select(F.col("id").alias("dst")), "dst", "left_semi").agg(F.countDistinct("dst").alias("endorsements"))
     counts = mine.agg(F.count_if(F.col("type") == "COVERS").alias("coverages"), F.count_if(F.col("type") == "ENDORSED_BY").alias("endorsement_edges"))
     return premium.crossJoin(counts).crossJoin(ends)
+
+
+def statements(script: str) -> list[str]:
+    """A script's statements between semicolons, without block comments and ``//`` or ``--`` lines."""
+    plain = re.sub(r"/\*.*?\*/", "", script, flags=re.S)
+    kept = ("\n".join(x for x in part.splitlines() if not x.strip().startswith(("//", "--"))).strip() for part in plain.split(";"))
+    return [s for s in kept if s]
+
+
+def apply_script(spark: SparkSession, script: str) -> int:
+    """Run a schema script's statements in order; returns how many there were."""
+    found = statements(script)
+    for s in found:
+        spark.sql(s)
+    return len(found)
