@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sql as sql_functions
 from ..functions import text as T
 from ..operators import answer, cdc, evaluate, graph, proof, prune, rank, records, retrieve, workload
-from ..sources import adapters, business, extract, parse, samples
+from ..sources import adapters, business, extract, generate, parse, pdf, samples
 from ..streaming import limiter
 from . import questions as plans
 
@@ -843,3 +844,44 @@ def whole_numbers(spark, d):
 def cold_warm(spark, d):
     calls = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
     return proof.cold_warm(t(spark, d, "events").select(F.col("event_type").alias("mode"), calls.alias("call"), F.col("value").alias("ms")))
+
+
+@query("pdf_policies", f"select 'POL-' || {_pad('o_orderkey')} as id, 'Annual Premium' as key, cast(cast(floor(o_totalprice) as bigint) as varchar) as value from orders union all select 'POL-' || {_pad('o_orderkey')}, 'Policy ID', 'POL-' || {_pad('o_orderkey')} from orders union all select 'POL-' || {_pad('o_orderkey')}, 'Status', o_orderstatus from orders union all select 'POL-' || {_pad('o_orderkey')}, 'Address', '(c) \\ ' || o_custkey from orders")
+def pdf_policies(spark, d):
+    """Every order printed as a PDF file, read back from its bytes and parsed."""
+    pid = business._id("POL-", "o_orderkey")
+    text = F.concat_ws("\n", F.concat(F.lit("Policy ID "), pid), F.concat(F.lit("Address (c) \\ "), "o_custkey"), F.concat(F.lit("Annual Premium "), F.col("o_totalprice").cast("bigint")), F.concat(F.lit("Status "), "o_orderstatus"))
+    files = pdf.rendered(t(spark, d, "orders").select(pid.alias("doc_id"), text.alias("text")))
+    return parse.key_values(parse.lines(pdf.texts(files)))
+
+
+@query("sql_text_functions", f"""select conv_id, turn, coalesce(array_to_string(regexp_extract_all(text, '((?:POL|CLM|PH|END|FRD|INV)-[0-9]{{3,}})', 1), ','), '') as ids,
+  case when list_has_any(w, ['over','above','more','exceeds','exceeding','greater','higher']) then 1 when list_has_any(w, ['under','below','less','lower']) then -1 else 0 end::integer as direction,
+  case when length(coalesce(text, '')) = 0 then 0 else greatest(1, length(text) // 4) end::bigint as tokens, md5(array_to_string(list_filter(w, lambda v: v not in {_STOP}), ' ')) as words,
+  case when {_phrases('lower(text)', T.UNKNOWN_PHRASES)} then 'UNKNOWN' when {_phrases('lower(text)', T.NO_PHRASES)} then 'NO' when contains(lower(text), 'fraud') then 'YES' else 'UNKNOWN' end as verdict
+  from (select *, regexp_extract_all(lower(text), '[a-z]+') as w from {_TEXTS})""")
+def sql_text_functions(spark, d):
+    """The functions of a session, called by name in SQL over all texts."""
+    sql_functions.register(spark)
+    return _texts(spark, d).selectExpr(
+        "conv_id", "turn", "coalesce(array_join(seed_ids(text), ','), '') as ids", "threshold_direction(text) as direction",
+        "count_tokens(text) as tokens", "md5(cast(array_join(query_tokens(text), ' ') as binary)) as words", "verdict(text) as verdict",
+    )
+
+
+_DRAW = "(('0x' || md5('11:' || {} || ':' || {})[1:8])::bigint)"
+
+
+def _drawn(kind: str, field: str, number: str) -> str:
+    return _DRAW.format(f"'{kind}:{field}'", number)
+
+
+@query("generated_claims", f"""with c as (select i, {_drawn("claim", "policy", "i")} % 3000 + 1 as p from range(1, 20001) r(i)), x as (
+  select *, date '2023-01-01' + ({_drawn("policy", "start", "p")} % 911)::integer as start, {_drawn("policy", "premium", "p")} % 56001 + 4000 as premium, {_drawn("claim", "day", "i")} % 541 as age,
+  {_drawn("claim", "amount", "i")} % 249001 + 1000 as amount, {_drawn("claim", "flagged", "i")} % 100 < 10 as low from c)
+  select 'CLM-' || lpad(i::varchar, greatest(4, length(i::varchar))::integer, '0') as id, 'POL-' || lpad(p::varchar, 4, '0') as policy, strftime(start + age::integer, '%Y-%m-%d') as day, amount::double as amount,
+  case when age <= 7 then 'HIGH' when amount > premium * 10 then 'MEDIUM' when low then 'LOW' end as severity, case when age <= 7 then 0.92 when amount > premium * 10 then 0.81 when low then 0.6 end::double as confidence from x""")
+def generated_claims(spark, d):
+    """Synthetic claims under synthetic policies, flagged by rules and then by a share of the rest."""
+    c = generate.claims(spark, 11, 20_000, 3_000, 10)
+    return c.select("claim.id", F.col("claim.policy_id").alias("policy"), F.col("claim.date").alias("day"), "claim.amount", "fraud_flag.severity", "fraud_flag.confidence")

@@ -2,15 +2,18 @@
 
 import json
 import math
+from datetime import date
 
 import pytest
 
 from pyspark.sql import functions as F
 
+from quarrygraph.functions import sql
 from quarrygraph.functions import text as T
 from quarrygraph.operators import answer, cdc, evaluate, graph, proof, prune, rank, records, retrieve, workload
 from quarrygraph.plans import questions as plans
-from quarrygraph.sources import adapters, catalog, extract, parse, readers, samples
+from quarrygraph.plans import sessions
+from quarrygraph.sources import adapters, catalog, extract, generate, parse, pdf, readers, samples
 from quarrygraph.streaming import limiter, watch
 
 NODE = "label string, id string, props map<string,string>, nums map<string,double>"
@@ -459,3 +462,125 @@ def test_generated_answers_fall_back(spark):
 
     assert {r.qid: (r.answer, r.reason) for r in answer.generated(q, ctx, rules, broken).collect()} == {1: ("r1", "OSError: down"), 2: ("r2", "OSError: down"), 3: ("r3", "no context")}
     assert {r.mode for r in answer.generated(q, ctx, rules).collect()} == {"extractive"}
+
+
+def test_pdf_round_trip_and_other_files(spark, tmp_path):
+    lines = ["Policy ID POL-1", "(a \\ (b))", "é", *[f"line {i}" for i in range(pdf.PAGE_LINES)]]
+    made = pdf.render(lines)
+    pages = pdf.text_of(made).split("\n\n")
+    assert len(pages) == 2 and "\n".join(pages).split("\n") == lines
+    assert pdf.text_of(pdf.render(["x" * (pdf.LINE_CHARS + 1)])) == "x" * pdf.LINE_CHARS + "\nx"
+    assert [pdf.text_of(b) for b in (None, b"", b"no file", made.replace(b"trailer\n<<", b"trailer\n<< /Encrypt 9 0 R"))] == [""] * 4
+    for cut in range(0, len(made), 97):  # torn files end somewhere
+        pdf.text_of(made[:cut])
+    (tmp_path / "a.pdf").write_bytes(made)
+    assert pdf.documents(spark, str(tmp_path)).first().text == "\n\n".join(pages)
+    assert readers.fingerprints(spark, str(tmp_path)).first().modified is not None
+
+
+def test_pdf_fonts_positions_and_object_streams():
+    cmap = b"2 beginbfchar <0001> <0041> <0002> <00420063> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
+    page = b"BT /F1 9 Tf 1 0 0 1 10 700 Tm <00010002> Tj 5 0 Td <0010> Tj 1 0 0 1 10 680 Tm [(\0\\021) -300 <0012>] TJ ET BT /F2 9 Tf (pl\\\nain) ' ET BI /W 1 ID \x00(\xff EI"
+    packed = b"3 0 4 60 << /Type /Page /Contents [6 0 R] /Parent 2 0 R >>".ljust(68) + b"<< /Type /Font /Subtype /Type0 /ToUnicode 7 0 R >>"
+    stream = lambda n, head, body: b"%d 0 obj << %s /Length %d >> stream\n%s\nendstream endobj\n" % (n, head, len(body), body)
+    file = b"%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R 2 0 R] /Resources << /Font << /F1 4 0 R >> >> >> endobj\n"
+    file += stream(5, b"/Type /ObjStm /N 2 /First 8", packed) + stream(6, b"", page) + stream(7, b"", cmap)
+    assert pdf.text_of(file) == "ABc a\nb c\nplain"
+
+
+def test_uploads_are_checked():
+    pdf.checked_upload("my file-1.PDF", b"%PDF-1.4")
+    for name, content in ((None, b"%PDF"), ("a.txt", b"%PDF"), ("a/b.pdf", b"%PDF"), ("a.pdf", b""), ("a.pdf", b"PK"), ("a.pdf", b"%PDF" + b"x" * 9)):
+        with pytest.raises(ValueError):
+            pdf.checked_upload(name, content, most=8)
+
+
+def test_sql_functions_equal_columns(spark):
+    names = sql.register(spark)
+    texts = ["Which claims over $40,000 are on POL-00001's policies, not CLM-0002 or 33.5?", "unless the doctors' losses exceed under", "policies", "gas", "classes", "Yes fraud", "isn't fraud", "no information on fraud", "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    same = {"query_tokens": T.query_tokens, "seed_ids": T.seed_ids, "claim_ids": T.claim_ids, "value_tokens": T.value_tokens, "numeric_tokens": T.numeric_tokens, "threshold_direction": T.direction, "singular": T.singular, "count_tokens": T.token_count, "verdict": T.verdict}
+    for name, f in same.items():
+        assert all(a == b for a, b in df.select(F.expr(f"{name}(x)").alias("a"), f(F.col("x")).alias("b")).collect()), name
+    assert set(names) == set(same) | {"savings_percent", "key_values"}
+    assert spark.range(1).selectExpr("savings_percent(0, 3)", "savings_percent(10, 3)", "savings_percent(3, 10)").first()[:] == (0.0, 70.0, 0.0)
+    spark.createDataFrame([(1, "Policy ID POL-1\nStatus A\r\n Status B\nother")], "id int, text string").createOrReplaceTempView("printed")
+    assert {tuple(r) for r in spark.sql("select id, k.* from printed, lateral key_values(text) k").collect()} == {(1, "Policy ID", "POL-1"), (1, "Status", "B")}
+
+
+def test_generated_records_make_a_graph(spark, tmp_path):
+    ends = generate.endorsements(spark, 7, 20, 10)
+    p, c = generate.policies(spark, 7, 10, ends), generate.claims(spark, 7, 200, 10, 10)
+    nodes, edges = samples.flatten(p, c, ends)
+    n = {r.label: r["count"] for r in nodes.groupBy("label").count().collect()}
+    e = {r.type: r["count"] for r in edges.groupBy("type").count().collect()}
+    flags = c.filter("fraud_flag is not null").count()
+    assert (n["Policy"], n["Policyholder"], n["Claim"], n["Endorsement"], n["FraudFlag"]) == (10, 10, 200, 20, flags) and n["Investigator"] <= 6
+    assert (e["HAS_POLICY"], e["HAS_CLAIM"], e["ENDORSED_BY"], e["FRAUD_DETECTED"], e["COVERS"]) == (10, 200, 20, flags, n["Coverage"])
+    joined = c.select("claim.*", "fraud_flag.severity").join(p.select(F.col("id").alias("policy_id"), "premium", "start_date", "end_date"), "policy_id").collect()
+    assert {r.severity for r in joined} == {"HIGH", "MEDIUM", "LOW", None}
+    for r in joined:
+        age = (date.fromisoformat(r.date) - date.fromisoformat(r.start_date)).days
+        assert 0 <= age <= 540 and (r.severity == "HIGH") == (age <= 7)
+        assert (r.severity == "MEDIUM") == (age > 7 and r.amount > 10 * r.premium)
+    again = generate.claims(spark, 7, 200, 10, 10).repartition(3)
+    assert sorted(again.collect(), key=str) == sorted(c.collect(), key=str)
+    assert generate.claims(spark, 8, 200, 10, 10).exceptAll(c).count() > 0
+    generate.export(p, c, ends, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/claims").count() == 200
+
+
+def test_reports_stamps_and_stage_times(tmp_path):
+    record = {"audit_id": "a/1", "query": "<q>\nsecond", "tokens": {"before": 3}}
+    paths = records.export_report(record, str(tmp_path / "out"))
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["audit_a_1.json", "audit_a_1.html", "audit_a_1.pdf"]
+    with open(paths[0], encoding="utf-8") as f:
+        assert json.load(f) == record
+    with open(paths[2], "rb") as f:
+        assert pdf.text_of(f.read()).split("\n") == ["audit_id: a/1", "query: <q>", "second", 'tokens: {"before": 3}']
+    once = records.stamped("# R\n\ntext\n", "day 1", ["a"], 2.5)
+    twice = records.stamped(once, "day 2", ["a", "b"], 3.0)
+    assert twice == "# R\n\ntext\n\n*Last run day 2 (3.0s): a, b*\n" and records.stamped("", "d", ["a"], 1.0).startswith(records.STAMP)
+    assert records.stage_times([("", 1.0), ("a", 1.5), ("b", 3.5)]) == {"a": 500.0, "b": 2000.0, "total": 2500.0} and records.stage_times([]) == {}
+
+
+def test_schema_scripts(spark):
+    script = "/* a; b */ create or replace temporary view one as select 1 as x;\n-- no; \n// none\ncreate or replace temporary view two as select x + 1 as x from one;\n;"
+    assert catalog.apply_script(spark, script.replace("-- no; ", "-- no")) == 2 and spark.table("two").first().x == 2
+
+
+def test_sessions_switch_once_and_measure_uploads_once(spark, tmp_path):
+    c = catalog.Catalog(spark, f"{tmp_path}/catalog")
+    c.add("mine", "csv", ["a.csv"])
+    loads, measures = [], []
+
+    def load(session, say):
+        loads.append(session)
+        say(f"loading {session}")
+        if session == "fraud_oracle":
+            raise OSError("no file")
+
+    s = sessions.Sessions(c, load, measures.append, lambda session: session in measures)
+    assert s.switch("mine") == "loaded" and s.switch("mine") == "already_loaded" and s.switch("mine", force=True) == "loaded"
+    s.wait()
+    assert loads == ["mine", "mine"] and measures == ["mine"] and not s.measuring("mine")
+    with pytest.raises(ValueError):
+        s.start("o'ther")
+    failed = s.start("fraud_oracle")
+    assert failed.wait(60) and not failed.ok and failed.error == "OSError: no file" and c.current() == "mine"
+    good = s.start("pdf_demo")
+    assert good.wait(60) and good.ok and good.log == ["loading pdf_demo", "loaded"] and c.current() == "pdf_demo" and measures == ["mine"]
+
+
+def test_failed_probes_are_believed_for_a_while():
+    now, asked, answers = [0.0], [], [False, True, True]
+
+    def ask(address):
+        asked.append(address)
+        return answers.pop(0)
+
+    probe = sessions.Probe(ask, 15, lambda: now[0])
+    assert not probe("a") and not probe("a") and len(asked) == 1
+    now[0] = 15.0
+    assert probe("a") and probe("a") and len(asked) == 3
+    assert not probe("a") and len(asked) == 4  # nothing left to answer: an error counts as failure
