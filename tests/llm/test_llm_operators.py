@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import zlib
+from array import array
 
 import numpy as np
 import pytest
@@ -283,6 +284,18 @@ def test_word_encoder_equals_the_tokenizer():
         assert enc.ids(w) == enc.whole(w)
 
 
+def test_word_encoder_knows_every_token_of_the_vocabulary():
+    """Each token's text, at a word's end and before further letters, gives the tokenizer's ids."""
+    enc = packing.Encoder(queries.tokenizer_path())
+    rng = random.Random(3)
+    tokens = sorted(enc.tokenizer.get_vocab(), key=str)
+    words = [w for t in tokens if packing._COMMON.fullmatch(w := enc.tokenizer.decode([enc.tokenizer.token_to_id(t)]).strip())]
+    assert len(words) > 10_000
+    both = [*words, *(a + b for a, b in zip(words, rng.sample(words, len(words))) if packing._COMMON.fullmatch(a + b))]
+    wrong = [w for w, e in zip(both, enc.tokenizer.encode_batch(both, add_special_tokens=False)) if enc.ids(w) != array("I", e.ids).tobytes()]
+    assert wrong == []
+
+
 def test_differencing():
     rng = np.random.default_rng(0)
     x = rng.integers(1, 1000, 500)
