@@ -130,8 +130,12 @@ def flag_survival(rows: DataFrame) -> DataFrame:
 
 
 def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement, the same for a seed; none for 0, all if there are fewer."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows without replacement, the same for a seed; none for 0, all if there are fewer.
+
+    Rows are taken in the order of a digest of seed and key.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")).cast("binary"))
+    return rows.orderBy(digest, key).limit(n)
 
 
 def row_position(row: Column, n: Column, head: float = 0.08, tail: float = 0.92) -> Column:
