@@ -23,19 +23,20 @@ JOIN_FIELDS = ["policy_id", "claim_id", "investigator_id", "policyholder_id", "d
 
 
 def canonical(m: Column) -> Column:
-    """A map as sorted entries, nulls out: equal maps have equal forms."""
-    return F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: v.isNotNull())))
+    """A map as sorted entries: equal maps have equal forms, and a key without a value is no missing key."""
+    return F.array_sort(F.map_entries(m))
 
 
 def diff(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("label", "id")) -> DataFrame:
     """``keys, change`` (added, modified, deleted) between two snapshots.
 
-    With ``doc_id`` among the keys the snapshots may be those of many documents.
+    A row with null maps is there all the same.  With ``doc_id`` among the keys the snapshots may be those of many documents.
     """
-    a, b = old.alias("a"), new.alias("b")
+    here = F.lit(True).alias("_here")
+    a, b = old.select("*", here).alias("a"), new.select("*", here).alias("b")
     joined = a.join(b, list(keys), "full_outer")
     same = canonical(F.col("a.props")).eqNullSafe(canonical(F.col("b.props"))) & canonical(F.col("a.nums")).eqNullSafe(canonical(F.col("b.nums")))
-    change = F.when(F.col("a.props").isNull(), "added").when(F.col("b.props").isNull(), "deleted").when(~same, "modified")
+    change = F.when(F.col("a._here").isNull(), "added").when(F.col("b._here").isNull(), "deleted").when(~same, "modified")
     return joined.select(*keys, change.alias("change")).filter("change is not null")
 
 

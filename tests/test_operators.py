@@ -48,11 +48,11 @@ def entity(label, id_, props=None, nums=None):
     return (label, id_, props or {}, nums or {})
 
 
-def test_diff_counts_missing_and_null_alike_and_finds_changes(spark):
-    old = spark.createDataFrame([entity("A", "1", {"x": "1", "y": None}), entity("A", "2", {"x": "1"}), entity("A", "3")], NODE)
-    new = spark.createDataFrame([entity("A", "1", {"x": "1"}), entity("A", "2", {"x": "2"}), entity("A", "4"), entity("B", "3")], NODE)
+def test_diff_tells_missing_from_null_and_finds_changes(spark):
+    old = spark.createDataFrame([entity("A", "1", {"x": "1", "y": None}), entity("A", "2", {"x": "1"}), entity("A", "3"), entity("A", "5", {"x": None, "y": "2"}), ("A", "6", None, None), ("A", "7", None, None)], NODE)
+    new = spark.createDataFrame([entity("A", "1", {"x": "1"}), entity("A", "2", {"x": "2"}), entity("A", "4"), entity("B", "3"), entity("A", "5", {"y": "2", "x": None}), ("A", "6", None, None), ("A", "7", {}, None)], NODE)
     got = {(r.label, r.id): r.change for r in cdc.diff(old, new).collect()}
-    assert got == {("A", "2"): "modified", ("A", "3"): "deleted", ("A", "4"): "added", ("B", "3"): "added"}
+    assert got == {("A", "1"): "modified", ("A", "2"): "modified", ("A", "3"): "deleted", ("A", "4"): "added", ("B", "3"): "added", ("A", "7"): "modified"}
 
 
 def test_apply_drops_a_stale_edge_while_its_old_source_lives(spark):
