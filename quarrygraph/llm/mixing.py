@@ -64,8 +64,11 @@ def _rate(lam: Column, z: Column, cap: float) -> Column:
 
 
 def tilts(cells: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
-    """``goal`` with ``mean`` and ``lam`` per source; lam is null where every rate is the cap."""
-    mean = cells.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
+    """``goal`` with ``mean`` and ``lam`` per source.
+
+    ``lam`` is null where every rate is the cap, or 0 for want of words; a source without any word has no ``mean``.
+    """
+    mean = cells.groupBy("source").agg(F.nullif(F.sum(F.col("n") * F.col("size")) / F.sum("n"), F.lit(0.0)).alias("mean"))
     free = (F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12))
     now = goal.join(mean, goal.source.eqNullSafe(mean.source)).select(goal.source, "source_size", "target", "mean", F.when(free, 0.0).alias("lam"))
     now = shared.materialise(now.withColumn("off", F.lit(1.0)), "tilts")
@@ -138,7 +141,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """A row per document: id, source, size, source_size, target, copies, taken (copies x size).
 
     A null text has size 0; a null source is a source of its own, last in order.  Documents of size
-    0 are taken at whatever rate the tilt gives size 0 and add no words.  Ties in size are broken by
+    0 are taken at whatever rate the tilt gives size 0 and add no words; a source without words has
+    the target 0 and no copies.  Ties in size are broken by
     a hash of the id, then the id; repeated rows are documents of their own and interchangeable.
     Copies are whole, so a source's taken words miss its target by less than its largest document.
     Other columns are not read.  An empty table gives an empty one.

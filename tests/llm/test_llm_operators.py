@@ -602,6 +602,21 @@ def test_every_odd_token_is_decoded():
     assert {f: w for f, w in forms.items() if w not in toxicity.restored(f, decoder)} == {}
 
 
+@pytest.mark.parametrize("empty", [["", None, " \n"], ["", None, " \n"] * 3])
+def test_mixing_of_sources_without_words(spark, empty):
+    import corpus_pipeline
+
+    whole = [(i, "a b c " * (i % 7 + 1), "b") for i in range(20)] if len(empty) == 3 else []
+    docs = spark.createDataFrame(whole + [(100 + i, t, ["a", None, "z"][i % 3]) for i, t in enumerate(empty)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == docs.count()
+    assert all(r.taken == r.copies == r.target == r.source_size == 0 for r in got if r.source != "b")
+    sizes = {r.doc_id: len(words(r.text)) for r in docs.collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, "/nowhere").collect()
+    assert sum(sizes[r.doc_id] for r in mixed) == sum(r.taken for r in got) == int(1.5 * sum(sizes.values()))
+    assert all(sizes[r.doc_id] for r in mixed)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
