@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, mixing, ogg, packing, sharding, simhash, substring_dedup, toxicity, vector_search, warc
+from . import hmm, mixing, ogg, packing, sharding, simhash, substring_dedup, toxicity, vector_codes, vector_search, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -65,6 +65,11 @@ def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def vector_codes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_hmm_scoring": lm_scoring,
     "op2_simhash_near_dedup": simhash_near_dedup,
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_difference_cover_dedup": substring_repeats,
     "op9_differencing_shards": byte_shards,
     "op10_arc_to_warc": arc_to_warc,
+    "op11_weighted_lloyd_codes": vector_codes_of,
 }
 
 _WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
@@ -110,7 +116,32 @@ select page_id, payload_bytes, {_BASE32} as payload_digest,
 from q
 """
 
+_PARTS, _ENTRIES, _ROUNDS = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+
+
+def _assigned(book: str) -> str:
+    """Each part with its nearest entry of ``book``; products of these integers are exact in doubles."""
+    return f"""(select id, pos, v, n, e, d from (select p.id, p.pos, p.v, p.n, b.e, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))::bigint as d
+    from parts p join {book} b using (pos)) qualify row_number() over (partition by id, pos order by d, e) = 1)"""
+
+
+def _round(i: int) -> str:
+    return f"""got{i} as materialized (select pos, e, nth, floor(sum(n * v[nth])::double / sum(n))::bigint as x from (select *, unnest(range(1, len(v) + 1)) as nth from {_assigned(f"book{i}")}) group by pos, e, nth),
+  book{i + 1} as materialized (select b.pos, b.e, coalesce(g.v, b.v) as v from book{i} b left join (select pos, e, list(x order by nth) as v from got{i} group by pos, e) g using (pos, e))"""
+
+
+CODES_SQL = f"""with kept as materialized (select row_number() over (order by vec_id nulls last, embedding) as r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+    from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  cut as materialized (select r, pos, v[pos * len(v) // {_PARTS} + 1 : (pos + 1) * len(v) // {_PARTS}] as v from kept, (select unnest(range({_PARTS})) as pos)),
+  parts as materialized (select row_number() over () as id, pos, v, count(*) as n from cut group by pos, v),
+  book0 as materialized (select pos, r - 1 as e, v from cut where r <= {_ENTRIES}),
+  {", ".join(_round(i) for i in range(_ROUNDS))},
+  coded as materialized (select r, string_agg(lpad(format('{{:x}}', e), 2, '0'), '' order by pos) as code, sum(d)::bigint as error from cut join {_assigned(f"book{_ROUNDS}")} using (pos, v) group by r),
+  books as (select sha256(string_agg(array_to_string(v, ','), ',' order by pos, e)) as h from book{_ROUNDS})
+  select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, h as codebooks_sha256 from kept join coded using (r), books"""
+
 ORACLE_SQL = {
+    "op11_weighted_lloyd_codes": CODES_SQL,
     "op8_difference_cover_dedup": SUBSTRING_SQL,
     "op10_arc_to_warc": WARC_SQL,
 }

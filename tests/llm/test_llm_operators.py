@@ -613,7 +613,8 @@ def test_mixing_of_sources_without_words(spark, empty):
     assert all(r.taken == r.copies == r.target == r.source_size == 0 for r in got if r.source != "b")
     sizes = {r.doc_id: len(words(r.text)) for r in docs.collect()}
     mixed = corpus_pipeline.mix_sources(spark, docs, "/nowhere").collect()
-    assert sum(sizes[r.doc_id] for r in mixed) == sum(r.taken for r in got) == int(1.5 * sum(sizes.values()))
+    taken = sum(r.taken for r in got)
+    assert sum(sizes[r.doc_id] for r in mixed) == taken and abs(taken - 1.5 * sum(sizes.values())) <= 0.5 * max(sizes.values())
     assert all(sizes[r.doc_id] for r in mixed)
 
 
