@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, mixing, ogg, packing, sharding, simhash, substring_dedup, toxicity, vector_codes, vector_search, warc
+from . import hmm, lexical_search, mixing, ogg, packing, sharding, simhash, substring_dedup, toxicity, vector_codes, vector_search, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -70,6 +70,10 @@ def vector_codes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_hmm_scoring": lm_scoring,
     "op2_simhash_near_dedup": simhash_near_dedup,
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_differencing_shards": byte_shards,
     "op10_arc_to_warc": arc_to_warc,
     "op11_weighted_lloyd_codes": vector_codes_of,
+    "op13_dual_sorted_search": ranked_search,
 }
 
 _WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
@@ -140,7 +145,21 @@ CODES_SQL = f"""with kept as materialized (select row_number() over (order by ve
   books as (select sha256(string_agg(array_to_string(v, ','), ',' order by pos, e)) as h from book{_ROUNDS})
   select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, h as codebooks_sha256 from kept join coded using (r), books"""
 
+def _terms(c: str) -> str:
+    return f"regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical_search.TERM}')"
+
+
+LEXICAL_SQL = f"""with d as materialized (select row_number() over () as r, doc_id, {_terms("text")} as t from documents),
+  tf as materialized (select r, t, count(*) as tf from (select r, unnest(t) as t from d) group by r, t),
+  st as (select count(*)::bigint as docs, sum(len(t))::bigint as terms from d where len(t) > 0),
+  m as materialized (select r, doc_id, 75 + (25 * len(t) * docs) // terms as m from d, st where len(t) > 0),
+  w as materialized (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, st group by t, docs),
+  asked as (select b, item_id, t, count(*)::bigint as times from (select row_number() over () as b, item_id, unnest({_terms("text")}) as t from benchmark) group by b, item_id, t),
+  s as (select b, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score from asked join w using (t) join tf using (t) join m using (r) group by b, item_id, r, doc_id)
+  select item_id, rank, doc_id, score from (select *, row_number() over (partition by b order by score desc, doc_id nulls last)::integer as rank from s where score > 0) where rank <= {lexical_search.TOP}"""
+
 ORACLE_SQL = {
+    "op13_dual_sorted_search": LEXICAL_SQL,
     "op11_weighted_lloyd_codes": CODES_SQL,
     "op8_difference_cover_dedup": SUBSTRING_SQL,
     "op10_arc_to_warc": WARC_SQL,
