@@ -115,7 +115,7 @@ def assign(distinct: DataFrame, books: list[np.ndarray]) -> DataFrame:
                 code[mine], err[mine] = nearest(x[mine], sent.value[p])
             yield pa.RecordBatch.from_arrays([b.column("pos"), b.column("part"), pa.array(code), pa.array([int(e) for e in err], pa.int64())], names=["pos", "part", "code", "err"])
 
-    return distinct.select("pos", "part").mapInArrow(run, "pos int, part array<long>, code int, err long")
+    return distinct.select("pos", "part").mapInArrow(run, f"pos int, part {dict(distinct.dtypes)['part']}, code int, err long")
 
 
 def digest(books: list[np.ndarray]) -> str:
@@ -137,10 +137,13 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding",
     """
     spark = vectors.sparkSession
     rows = shared.materialise(whole(vectors, id_col, col, [F.col(label).alias("label")], scale), "whole")
-    n = rows.count()
+    n, least, most = rows.agg(F.count(F.lit(1)), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     if not n:
         kinds = vectors.schema
         return spark.createDataFrame([], f"{id_col} {kinds[id_col].dataType.simpleString()}, {label} {kinds[label].dataType.simpleString()}, code string, error long, label_error long"), []
+    # the narrowest type that holds every component: parts are what is shuffled
+    kind = next(k for k, bits in (("smallint", 15), ("int", 31), ("bigint", 63)) if -(1 << bits) <= least and most < 1 << bits)
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{kind}>"))
     books = first_entries(rows, parts, entries)
     size, groups = books[0].shape[1], max(LEAST_GROUPS, -(-n // group))
     sound = F.when(F.size("v") == size * parts, F.col("v")).otherwise(F.raise_error(F.lit("vectors differ in dimension")))
