@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, lexical_search, mixing, ogg, packing, sharding, simhash, substring_dedup, toxicity, vector_codes, vector_search, warc
+from . import hmm, language_id, lexical_search, mixing, ogg, packing, sharding, simhash, substring_dedup, toxicity, vector_codes, vector_search, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -70,6 +70,10 @@ def vector_codes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def language_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_differencing_shards": byte_shards,
     "op10_arc_to_warc": arc_to_warc,
     "op11_weighted_lloyd_codes": vector_codes_of,
+    "op12_language_bitmask_filters": language_of,
     "op13_dual_sorted_search": ranked_search,
 }
 
