@@ -9,18 +9,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EDGE = ["src", "type", "dst"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one in the warehouse where the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read again."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the shared checkpoint folder; without one the plan simply goes on."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    """End the lineage with a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -87,15 +96,20 @@ def drop_derived(edges: DataFrame, touched: DataFrame, derived: dict[str, list[s
     return edges.join(stale, ["dst", "type"], "left_anti").select(*EDGE)
 
 
+def checked_hops(hops: int) -> int:
+    hops = hops or 2
+    if not 1 <= hops <= 4:
+        raise ValueError("hops must be 1 to 4")
+    return hops
+
+
 def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
-    """Bounded breadth-first search for a batch of questions.
+    """Bounded breadth-first search for a batch of questions; ``adjacency.expand`` does it over stored blocks.
 
     ``seeds``: ``qid, id``.  Returns nodes ``qid, id, depth`` and the edges met ``qid, src, type,
     dst``.  An edge counts as met if it touches the frontier of a hop; those of the last hop do.
     """
-    hops = hops or 2
-    if not 1 <= hops <= 4:
-        raise ValueError("hops must be 1 to 4")
+    hops = checked_hops(hops)
     sym = both_ways(edges)
     visited = seeds.select("qid", "id").distinct().withColumn("depth", F.lit(0))
     frontier, met = visited.select("qid", "id"), None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as sql_functions
 from ..functions import text as T
-from ..operators import answer, cdc, evaluate, graph, proof, prune, rank, records, retrieve, workload
+from ..operators import adjacency, answer, cdc, evaluate, graph, proof, prune, rank, records, retrieve, workload
 from ..sources import adapters, business, extract, generate, parse, pdf, samples
 from ..streaming import limiter
 from . import questions as plans
@@ -82,6 +82,12 @@ def _stored(spark, d) -> tuple[DataFrame, DataFrame]:
     return graph._cut(business.nodes(spark, d, cl)), graph._cut(business.edges(spark, d, cl))
 
 
+def _walkable(spark, d) -> tuple[DataFrame, adjacency.Adjacency]:
+    """Nodes as a stored table and edges as a stored adjacency."""
+    cl = graph._cut(business.claims(spark, d).select(*business.CLAIM))
+    return graph._cut(business.nodes(spark, d, cl)), adjacency.store(business.edges(spark, d, cl))
+
+
 _TEXTS = "(select conv_id, turn, text from conversations union all select doc_id, -1, text from documents)"
 
 
@@ -155,8 +161,8 @@ _BFS = "bfs(qid, id, depth) as (select qid, id, 0 from known union select b.qid,
 
 @query("khop_bfs", f"{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, {_BFS} select qid, id, min(depth)::integer as depth from bfs group by qid, id")
 def khop_bfs(spark, d):
-    (nodes, edges), q = _stored(spark, d), questions(spark, d)
-    return graph.expand(edges, retrieve.id_seeds(q, nodes), 2)[0]
+    (nodes, adj), q = _walkable(spark, d), questions(spark, d)
+    return adjacency.expand(adj, retrieve.id_seeds(q, nodes), 2)[0]
 
 
 @query("khop_edges", f"""{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, {_BFS} select distinct b.qid, e.src, e.type, e.dst from (select qid, id, min(depth) as depth from bfs group by qid, id) b
@@ -166,6 +172,23 @@ def khop_edges(spark, d):
     return graph.expand(edges, retrieve.id_seeds(q, nodes), 2)[1]
 
 
+@query("hop_out", f"{_GRAPH}, {_NODES}, {_Q}, {_SEEDS} select distinct id, type, dst as other from known join edges on src = id")
+def hop_out(spark, d):
+    (nodes, adj), q = _walkable(spark, d), questions(spark, d)
+    return adjacency.neighbours(adj, retrieve.id_seeds(q, nodes), out=True).select("id", "type", "other")
+
+
+@query("hop_in", f"{_GRAPH}, {_NODES}, {_Q}, {_SEEDS} select distinct id, type, src as other from known join edges on dst = id where type in ('COVERS', 'HAS_POLICY', 'HAS_CLAIM')")
+def hop_in(spark, d):
+    (nodes, adj), q = _walkable(spark, d), questions(spark, d)
+    return adjacency.neighbours(adj, retrieve.id_seeds(q, nodes), out=False, types=["COVERS", "HAS_POLICY", "HAS_CLAIM"]).select("id", "type", "other")
+
+
+@query("adjacency_degrees", f"{_GRAPH}, e as (select distinct src, type, dst from edges) select node as id, count(*) as degree from (select src as node from e union all select dst from e) group by node")
+def adjacency_degrees(spark, d):
+    return adjacency.degrees(adjacency.store(business.edges(spark, d), length=64)).select("id", "degree")
+
+
 @query("multi_hop_pattern", f"""with {_CLAIMS.replace("claims as (", "claims as materialized (", 1)}, {_FLAGS}
   select 'PH-' || {_pad("o_custkey")} as holder, c.policy_id as policy, c.claim_id as claim, 'FRD-' || f.digits as flag from flags f join claims c using (claim_id) join orders on o_orderkey = c.l_orderkey""")
 def multi_hop_pattern(spark, d):
@@ -625,7 +648,7 @@ def budget_prune(spark, d):
 
 @query("run_query_batch")
 def run_query_batch(spark, d):
-    out = plans.answer_batch(questions(spark, d), *_stored(spark, d))
+    out = plans.answer_batch(questions(spark, d), *_walkable(spark, d))
     return out.select("qid", "query", "answer", F.array_join("seeds", ",").alias("seeds"), F.size("kept").alias("n_kept"), F.size("dropped").alias("n_dropped"), "tokens_before", "tokens_after", "savings_percent")
 
 
@@ -826,7 +849,7 @@ def question_throughput(spark, d):
     """A question about every customer in one batch: what a batch costs per question."""
     held = F.concat(F.lit("Which claims over $40,000 are on policies held by "), business._id("PH-", "c_custkey"), F.lit("?"))
     q = t(spark, d, "customer").select(F.col("c_custkey").alias("qid"), held.alias("query"))
-    out = plans.answer_batch(q, *_stored(spark, d))
+    out = plans.answer_batch(q, *_walkable(spark, d))
     return out.select("qid", "answer", F.size("kept").alias("n_kept"), F.size("dropped").alias("n_dropped"), "tokens_before", "tokens_after", "savings_percent")
 
 
