@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as sql_functions
 from ..functions import text as T
-from ..operators import adjacency, answer, cdc, evaluate, graph, proof, prune, rank, records, retrieve, workload
+from ..operators import adjacency, answer, cdc, counts, evaluate, graph, proof, prune, rank, records, retrieve, workload
 from ..sources import adapters, business, extract, generate, parse, pdf, samples
-from ..streaming import limiter
+from ..streaming import limiter, rings, snapshots
 from . import questions as plans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -720,6 +721,64 @@ def cdc_apply_batch(spark, d):
     return cdc.apply_batch(old, edges, old.join(of, "id"), new.join(of, "id"), of)[3]
 
 
+#: versions of the documents of policies: from, before, shift of the holder
+_VERSIONS = {1: ("1900-01-01", "1995-01-01", 0), 2: ("1993-01-01", "1997-01-01", 1), 3: ("1995-06-01", "2100-01-01", 0)}
+
+
+def _policy_versions(spark, d) -> DataFrame:
+    """``doc_id, version, label, id, props, nums``: fifty documents of policies and their holders, three times."""
+    o = t(spark, d, "orders").withColumn("doc_id", F.col("o_orderkey") % 50)
+    none, out = F.create_map().cast("map<string,double>").alias("nums"), None
+    for v, (start, end, shift) in _VERSIONS.items():
+        here = o.filter((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end)).withColumn("holder", business._id("PH-", (F.col("o_custkey") + shift) % 100))
+        policies = here.select("doc_id", F.lit(v).alias("version"), F.lit("Policy").alias("label"), business._id("POL-", "o_orderkey").alias("id"), F.create_map(F.lit("policyholder_id"), "holder", F.lit("status"), "o_orderstatus").alias("props"), none)
+        holders = here.select("doc_id", F.lit(v), F.lit("Policyholder"), "holder").distinct().select("*", F.create_map().cast("map<string,string>"), none)
+        out = policies.union(holders) if out is None else out.union(policies).union(holders)
+    return out
+
+
+def _last_version(d: str) -> str:
+    return f"case when {d} % 3 = 1 then 2 else 3 end"
+
+
+_FINAL = "final as (" + " union all ".join(
+    f"select o_orderkey % 50 as doc_id, 'POL-' || {_pad('o_orderkey')} as policy, 'PH-' || {_pad(f'(o_custkey + {shift}) % 100')} as holder from orders where o_orderdate::date >= '{start}' and o_orderdate::date < '{end}' and {_last_version('(o_orderkey % 50)')} = {v}"
+    for v, (start, end, shift) in _VERSIONS.items()) + ")"
+
+
+def _counted(spark, d) -> tuple[counts.Counts, list[DataFrame]]:
+    """Counts moved by three batches, which change all documents, two thirds and two thirds of them, and each batch's change counts."""
+    rows = graph._cut(_policy_versions(spark, d))
+    at = lambda v, docs: rows.filter(F.col("version") == v).filter(docs).drop("version")
+    third, c, reported = F.col("doc_id") % 3, counts.Counts(spark, f"{graph.shared_folder(spark)}/counts-{uuid.uuid4().hex}"), []
+    reported.append(c.apply(rows.drop("version").limit(0), at(1, F.lit(True)), 1))
+    reported.append(c.apply(at(1, third != 0), at(2, third != 0), 2))
+    c.compact()
+    reported.append(c.apply(at(1, third == 0).union(at(2, third == 2)), at(3, third != 1), 3))
+    return c, reported
+
+
+@query("incremental_counts", f"""with {_FINAL} select 'label' as kind, 'Policy' as key, count(distinct policy) as n from final union all select 'label', 'Policyholder', count(distinct holder) from final
+  union all select 'type', 'HAS_POLICY', count(*) from (select distinct policy, holder from final) union all select 'around', id, count(*) from (select distinct policy, holder, unnest([policy, holder]) as id from final) group by id""")
+def incremental_counts(spark, d):
+    """Nodes by label, edges by type and around each node, after three batches that were never recounted."""
+    c, _ = _counted(spark, d)
+    parts = [(c.labels, "label", "label"), (c.types, "type", "type"), (c.around, "around", "id")]
+    rows = [ledger.read().select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "n") for ledger, kind, key in parts]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@query("incremental_skipped", f"""with v as (select o_orderkey % 50 as doc_id, version, 'PH-' || lpad(((o_custkey + shift) % 100)::varchar, 5, '0') as id from orders, (values {", ".join(f"({v}, '{a}'::date, '{b}'::date, {s})" for v, (a, b, s) in _VERSIONS.items())}) as x(version, start, stop, shift) where o_orderdate::date >= start and o_orderdate::date < stop
+    union select o_orderkey % 50, version, 'POL-' || {_pad('o_orderkey')} from orders, (values {", ".join(f"({v}, '{a}'::date, '{b}'::date)" for v, (a, b, _) in _VERSIONS.items())}) as x(version, start, stop) where o_orderdate::date >= start and o_orderdate::date < stop),
+  old as (select distinct doc_id, id from v where (doc_id % 3 = 0 and version = 1) or (doc_id % 3 = 2 and version = 2)), new as (select distinct doc_id, id from v where doc_id % 3 <> 1 and version = 3),
+  held as (select id from new union select id from v where doc_id % 3 = 1 and version = 2),
+  gone as (select o.doc_id, o.id, h.id is not null as skipped from old o left join held h on h.id = o.id where not exists (select 1 from new n where n.doc_id = o.doc_id and n.id = o.id))
+  select doc_id, count(*) as deleted, count_if(skipped) as deleted_skipped from gone group by doc_id""")
+def incremental_skipped(spark, d):
+    """What documents of the last batch drop, and how much of it others still mention, by counts alone."""
+    return _counted(spark, d)[1][2].filter("deleted > 0").select("doc_id", "deleted", "deleted_skipped")
+
+
 _LETTERS = "regexp_extract_all(lower(query), '[a-z]+')"
 
 
@@ -875,6 +934,40 @@ def whole_numbers(spark, d):
     return t(spark, d, "events").select("event_id", T.whole(F.nullif("value", F.lit(0.0))).alias("whole"))
 
 
+def _streamed(spark, df: DataFrame, name: str, run, mode: str = "append") -> DataFrame:
+    """What a stream over ``df``'s rows gives: written as files in the shared folder, streamed, its batches stored."""
+    folder = f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/in")
+    stream = run(spark.readStream.schema(df.schema).parquet(f"{folder}/in"))
+    save = lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
+
+
+@query("stream_snapshots", f"""with v as (select o_orderkey % 50 as doc_id, version, 'POL-' || {_pad('o_orderkey')} as id, 'PH-' || lpad(((o_custkey + shift) % 100)::varchar, 5, '0') as holder from orders, (values {", ".join(f"({v}, '{a}'::date, '{b}'::date, {s})" for v, (a, b, s) in _VERSIONS.items())}) as x(version, start, stop, shift) where o_orderdate::date >= start and o_orderdate::date < stop),
+  e as (select doc_id, version, 'Policy' as label, id, holder as value from v union select doc_id, version, 'Policyholder', holder, '' from v)
+  select coalesce(n.doc_id, o.doc_id)::varchar as doc_id, coalesce(n.version, o.version + 1) as version, coalesce(n.label, o.label) as label, coalesce(n.id, o.id) as id, case when o.id is null then 'added' when n.id is null then 'deleted' else 'modified' end as change
+  from e n full join (select * from e where version < 3) o on n.doc_id = o.doc_id and n.version = o.version + 1 and n.label = o.label and n.id = o.id where o.id is null or n.id is null or o.value <> n.value""")
+def stream_snapshots(spark, d):
+    """All versions of the documents of policies through keyed state; every document has all three versions."""
+    rows = _policy_versions(spark, d).groupBy("doc_id", "version").agg(F.collect_list(F.struct("label", "id", "props", "nums")).alias("entities"))
+    return _streamed(spark, rows, "versions", snapshots.stream_changes)
+
+
+@query("stream_rings", "select key, n as position, tie, evicted from (select user_id::varchar as key, event_id::varchar as tie, row_number() over (partition by user_id order by ts desc, event_id::varchar desc)::integer as n, greatest(count(*) over (partition by user_id) - 5, 0) as evicted from events) where n <= 5")
+def stream_rings(spark, d):
+    """Each user's five newest events, kept as a ring in state."""
+    events = t(spark, d, "events").select("user_id", "ts", F.col("event_id").cast("string").alias("event_id"), "event_type")
+    emitted = _streamed(spark, events, "rings", lambda s: rings.ring_stream(s, "user_id", "ts", "event_id", "event_type", 5, late="3650 days"), "update")
+    return rings.newest_rings(emitted).select("key", "position", "tie", "evicted")
+
+
 @query("cold_warm", """select event_type as mode, round(max(value) filter (n = 1), 1) as cold_start_ms, coalesce(round(avg(value) filter (n > 1), 1), 0) as avg_warm_ms
   from (select *, row_number() over (partition by event_type order by event_id) as n from events) group by event_type""")
 def cold_warm(spark, d):
