@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import sql as sql_functions
 from ..functions import text as T
 from ..operators import adjacency, answer, cdc, counts, evaluate, graph, proof, prune, rank, records, retrieve, workload
-from ..sources import adapters, business, extract, generate, parse, pdf, samples
+from ..sources import adapters, business, extract, generate, parse, pdf, record_log, samples
 from ..streaming import limiter, rings, snapshots
 from . import questions as plans
 
@@ -203,6 +203,14 @@ def simple_paths(spark, d):
     return graph.simple_paths(edges, retrieve.id_seeds(q, nodes), 2).select("qid", F.array_join("path", ">").alias("path"))
 
 
+@query("capped_paths", f"""{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, p as (select qid, [a.node, a.other] as p from known k join sym a on a.node = k.id
+  union all select qid, [a.node, a.other, b.other] from known k join sym a on a.node = k.id join sym b on b.node = a.other and b.other <> a.node)
+  select qid, array_to_string(p, '>') as path from (select *, row_number() over (partition by qid order by len(p), p) as n from p) where n <= 25""")
+def capped_paths(spark, d):
+    (nodes, adj), q = _walkable(spark, d), questions(spark, d)
+    return adjacency.capped_paths(adj, retrieve.id_seeds(q, nodes), 2, 25).select("qid", F.array_join("path", ">").alias("path"))
+
+
 @query("longest_path", f"""{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, p as (select qid, [a.node, a.other] as p from known k join sym a on a.node = k.id
   union all select qid, [a.node, a.other, b.other] from known k join sym a on a.node = k.id join sym b on b.node = a.other and b.other <> a.node)
   select qid, array_to_string(p, '>') as path from (select *, row_number() over (partition by qid order by len(p) desc, p) as n from p) where n = 1""")
@@ -647,6 +655,27 @@ def budget_prune(spark, d):
     return prune.fold(docs, 1280).select("qid", F.size("kept").alias("n_kept"), F.size("dropped").alias("n_dropped"), "tokens")
 
 
+@query("context_trim", """with recursive x as materialized (select doc_id // 40 as qid, 'd' || doc_id as id, row_number() over (partition by doc_id // 40 order by n_chars, doc_id) as rank, coalesce(text, '') as text, doc_id % 17 = 0 as safe from documents),
+  cost as materialized (select *, case when length(text) = 0 then 0 else greatest(1, length(text) // 4) end::bigint as cost, row_number() over (partition by qid order by not safe, rank, id) as r from x),
+  f as (select qid, r, cost as tokens, true as keep from cost where r = 1
+    union all select c.qid, c.r, f.tokens + case when c.safe or f.tokens + c.cost <= 10000 then c.cost else 0 end, c.safe or f.tokens + c.cost <= 10000 from f join cost c on f.qid = c.qid and c.r = f.r + 1),
+  kept as materialized (select c.*, sum((not safe)::integer) over (partition by c.qid order by c.r desc) as o from cost c join f on f.qid = c.qid and f.r = c.r where keep),
+  e as (select a.qid, '(' || a.id || ')-[:NEXT]->(' || b.id || ')' as line, case when a.safe then case when b.safe then null else b.o end when b.safe then a.o else least(a.o, b.o) end as o from kept a join kept b on a.qid = b.qid and b.rank in (a.rank + 1, a.rank + 7)),
+  w as materialized (select qid, case when safe then null else o end as o, length(text) + 1 as n from kept union all select qid, o, length(line) + 1 from e),
+  s as (select k.qid, k.r, sum(w.n) - 1 as n from (select qid, unnest(range(0, max(o)::bigint + 1)) as r from kept group by qid) k left join w on w.qid = k.qid and (w.o is null or w.o > k.r) group by k.qid, k.r),
+  t as (select qid, r, case when coalesce(n, 0) <= 0 then 0 else greatest(1, n // 4) end::bigint as tokens from s),
+  c as (select qid, coalesce(min(r) filter (tokens <= 10000), max(r)) as r from t group by qid)
+  select k.qid, string_agg(id, ',' order by k.r) as kept, count(*)::integer as n_kept, any_value(t.tokens) as tokens from kept k join c on c.qid = k.qid join t on t.qid = c.qid and t.r = c.r where safe or o > c.r group by k.qid""")
+def context_trim(spark, d):
+    """The whole pruner over all documents in contexts of forty, whose lines are linked."""
+    docs = t(spark, d, "documents").withColumn("qid", F.expr("doc_id div 40"))
+    docs = docs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("n_chars", "doc_id")))
+    docs = graph._cut(docs.select("qid", F.concat(F.lit("d"), "doc_id").alias("id"), "rank", "text", (F.col("doc_id") % 17 == 0).alias("protected")))
+    after = docs.select("qid", F.col("id").alias("src"), F.explode(F.array(F.col("rank") + 1, F.col("rank") + 7)).alias("rank"))
+    edges = after.join(docs.select("qid", "rank", F.col("id").alias("dst")), ["qid", "rank"]).select("qid", "src", F.lit("NEXT").alias("type"), "dst")
+    return prune.trim(docs, edges, 10_000).select("qid", F.array_join("kept", ",").alias("kept"), F.size("kept").alias("n_kept"), "tokens")
+
+
 @query("run_query_batch")
 def run_query_batch(spark, d):
     out = plans.answer_batch(questions(spark, d), *_walkable(spark, d))
@@ -968,6 +997,15 @@ def stream_rings(spark, d):
     return rings.newest_rings(emitted).select("key", "position", "tie", "evicted")
 
 
+@query("record_log_read", "select event_id, user_id, event_type, value from events")
+def record_log_read(spark, d):
+    """Events written as a log of lines and read through the data source, in pieces of 100 KB."""
+    path = f"{graph.shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    events = t(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    events.write.json(path)
+    return record_log.read_log(spark, path, ", ".join(f"{n} {k}" for n, k in events.dtypes), 100_000)
+
+
 @query("cold_warm", """select event_type as mode, round(max(value) filter (n = 1), 1) as cold_start_ms, coalesce(round(avg(value) filter (n > 1), 1), 0) as avg_warm_ms
   from (select *, row_number() over (partition by event_type order by event_id) as n from events) group by event_type""")
 def cold_warm(spark, d):
