@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as sql_functions
 from ..functions import text as T
-from ..operators import adjacency, answer, cdc, counts, evaluate, graph, proof, prune, rank, records, retrieve, workload
+from ..operators import adjacency, answer, block_index, cdc, counts, evaluate, graph, proof, prune, rank, records, retrieve, workload
 from ..sources import adapters, business, extract, generate, parse, pdf, record_log, samples
 from ..streaming import limiter, rings, snapshots
 from . import questions as plans
@@ -173,6 +173,12 @@ def khop_edges(spark, d):
     return graph.expand(edges, retrieve.id_seeds(q, nodes), 2)[1]
 
 
+@query("recursive_walk", f"{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, {_BFS} select qid, id, min(depth)::integer as depth from bfs group by qid, id")
+def recursive_walk(spark, d):
+    (nodes, edges), q = _stored(spark, d), questions(spark, d)
+    return plans.recursive_walk(retrieve.id_seeds(q, nodes), edges, 2)
+
+
 @query("hop_out", f"{_GRAPH}, {_NODES}, {_Q}, {_SEEDS} select distinct id, type, dst as other from known join edges on src = id")
 def hop_out(spark, d):
     (nodes, adj), q = _walkable(spark, d), questions(spark, d)
@@ -347,6 +353,22 @@ def bm25_prefix_topk(spark, d):
     return _bm25(spark, d)
 
 
+def _pruned(spark, d, variants: bool) -> DataFrame:
+    q = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return block_index.topk(block_index.build(t(spark, d, "documents"), "doc_id"), q, 10, 4, variants)[0]
+
+
+@query("bm25_pruned_topk", _bm25_sql(False))
+def bm25_pruned_topk(spark, d):
+    """``bm25_topk`` over the stored index, without what cannot reach the tenth score."""
+    return _pruned(spark, d, False)
+
+
+@query("bm25_pruned_prefix_topk", _bm25_sql(True))
+def bm25_pruned_prefix_topk(spark, d):
+    return _pruned(spark, d, True)
+
+
 @query("ranking_ab", f"""{_bm25_tables(True)}, a as (select *, row_number() over (partition by qid order by score desc, id) as rank from ({_bm25_scores(_LARGEST_DF, 9)})),
   b as (select *, row_number() over (partition by qid order by score desc, id) as rank from ({_bm25_scores("(select term as qt, df from df)", 9)}))
   select qid, count_if(x.id is distinct from y.id) as moved, round(avg(abs(coalesce(x.score, 0) - coalesce(y.score, 0))), 6) as mean_gap
