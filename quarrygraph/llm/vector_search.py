@@ -7,17 +7,22 @@ Index: equal vectors are one *kind* with the ``k`` + 1 smallest of its ids, whic
 answer can hold.  Centroids are fitted on a bounded sample by k-means that splits lists which are too
 long; above ``COARSE`` lists the sample's centroids are cells, and each cell's lists are fitted on
 vectors of its own, by tasks.  Their number grows with the rows, at first one for ``PER_LIST`` kinds,
-then as the root of the kinds (see ``lists_for_kinds``), so that lists and centroids grow alike.
-Every kind is then posted to the list of its nearest centroid, and to up to ``COPIES`` - 1 further
+then as the root of the kinds (see ``lists_for_kinds``), so that lists and centroids grow alike; what is
+broadcast of them stays below ``MOST_BYTES``, beyond which lists grow longer instead.
+
+The centroids form an in-memory graph.  Tasks link each with its nearest ones among those of the
+nearest ``REACH`` blocks; a few spread links and a ring keep every centroid within reach.  A beam
+search walks the graph, for postings and for queries alike.
+
+Every kind is posted to the list of the nearest centroid found, and to up to ``COPIES`` - 1 further
 ones whose distance is within ``BOUNDARY`` of the nearest, unless a list that has it already lies
 closer to that centroid (the relative neighbourhood rule).
 
-Search: the centroids form an in-memory graph (each linked with its nearest ones and a few spread
-ones) that a beam search walks for many queries at once; lists whose distance is within a ratio of
-the nearest are read, and more as long as they hold fewer than ``LEAST`` kinds.  The beam grows until
-both rules are met.  The ratio is the one that would have found ``RECALL`` of the true neighbours of
-about ``PROBES`` indexed vectors, which are compared with all others for that: on clustered vectors it
-stays near 1, on directions without clusters it has to take in a good part of all lists.
+Search: lists whose distance is within a ratio of the nearest are read, and more only while those
+hold too few kinds to fill an answer.  The beam grows until its last centroid lies beyond both.  The
+ratio is the one that would have found ``RECALL`` of the true neighbours of about ``PROBES`` indexed
+vectors, which are compared with all others for that: on clustered vectors it stays near 1, on
+directions without clusters it has to take in a good part of all lists.
 
 Equal query vectors are searched once.  About ``LISTS_PER_BLOCK`` neighbouring lists make a block; a
 query goes to each block once, with the lists that it reads there.  Blocks and their queries are cut
@@ -44,9 +49,13 @@ SAMPLE, OF_CELL = 65_536, 16
 COARSE = 1024
 COPIES, BOUNDARY = 4, 1.15
 RECALL, PROBES = 0.96, 256
-LEAST, BEAM = 2_000, 128
+#: Centroids that a walk keeps for a query, and for a vector that is posted.
+BEAM, POSTING_BEAM = 128, 32
 LISTS_PER_BLOCK, SEGMENT = 128, 8_192
-_DEGREE = 24
+#: Blocks whose centroids are looked at for links; links to near and to spread centroids.
+REACH, NEAR_LINKS, SPREAD_LINKS = 6, 24, 7
+#: What centroids and their graph may take, in bytes.
+MOST_BYTES = 512 << 20
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
@@ -88,7 +97,7 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def balanced_centroids(x: np.ndarray, lists: int, seed: int = 11, rounds: int = 8) -> np.ndarray:
-    """k-means, then lists above twice the mean are split in two until none can be."""
+    """k-means, then lists above twice the mean are split in two until none can be, up to twice as many lists."""
     rng = np.random.default_rng(seed)
     x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]
     lists = max(1, min(lists, len(x)))
@@ -106,7 +115,7 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 11, rounds: int =
         m = queue.pop()
         if not len(m):
             continue
-        if len(m) <= most:
+        if len(m) <= most or len(queue) + len(done) + 2 > 2 * lists:
             done.append(x[m].mean(0))
             continue
         two = x[m[rng.choice(len(m), 2, replace=False)]]
@@ -124,83 +133,129 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 11, rounds: int =
 
 
 class Centroids:
-    """The centroids, their graph, and how many rows each list has as its nearest."""
-
-    def __init__(self, points: np.ndarray, seed: int = 13):
-        self.points, self.size = points, np.zeros(len(points), np.int64)
-        n = len(points)
-        self.block = _nearest(points, balanced_centroids(points, max(1, n // LISTS_PER_BLOCK)))
-        rng = np.random.default_rng(seed)
-        near = np.empty((n, min(_DEGREE, n)), np.int64)
-        for i in range(0, n, 1024):
-            near[i : i + 1024] = np.argsort(_distances(points[i : i + 1024], points), axis=1, kind="stable")[:, : near.shape[1]]
-        self.graph = np.concatenate((near, rng.integers(0, n, (n, 8))), axis=1)
+    """The centroids, their graph, the block of each, and how many kinds each has as its nearest."""
+
+    def __init__(self, points: np.ndarray, near: np.ndarray, block: np.ndarray, seed: int = 13):
+        """``near``: the nearest other centroids of each, however many; missing ones name itself."""
+        n, rng = len(points), np.random.default_rng(seed)
+        self.points, self.block, self.size = points, block, np.zeros(n, np.int64)
+        self.square = (points * points).sum(1)
+        ring = (np.arange(n)[:, None] + 1) % n
+        self.graph = np.concatenate((near, rng.integers(0, n, (n, SPREAD_LINKS)), ring), axis=1)
         self.entry = np.sort(rng.choice(n, min(n, 16), replace=False))
 
+    @staticmethod
+    def _picked(beam: int) -> int:
+        """Centroids that one step of a walk expands for each query."""
+        return min(64, max(4, beam // 16))
+
+    def parts(self, rows: np.ndarray, beam: int) -> list[np.ndarray]:
+        """``rows`` in parts that a walk takes at once: a step looks at so many centroids for each."""
+        return np.array_split(rows, max(1, -(-len(rows) * self._picked(beam) // 1024)))
+
     def walk(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``beam`` nearest centroids found for each query, nearest first, and the distances."""
-        n, beam = len(self.points), min(beam, len(self.points))
-        norm = (q * q).sum(1)[:, None]
-        rows = np.arange(len(q))[:, None]
-
-        def measured(ids: np.ndarray) -> np.ndarray:
-            p = self.points[ids]
-            return np.maximum(norm + (p * p).sum(2) - 2 * np.einsum("qd,qbd->qb", q, p), 0)
-
-        ids = np.full((len(q), beam), -1)
-        dist = np.full((len(q), beam), np.inf)
-        seen = np.zeros((len(q), n), bool)
-        expanded = np.zeros((len(q), n), bool)
-        fresh = np.broadcast_to(self.entry, (len(q), len(self.entry)))
+        """The ``beam`` nearest centroids found for each query, nearest first, and the distances.
+
+        The graph is connected, so a beam as wide as all centroids finds them all.
+        """
+        m, n = len(q), len(self.points)
+        beam, pick = min(beam, n), self._picked(beam)
+        norm = (q * q).sum(1)
+        ids, dist = np.full((m, beam), -1), np.full((m, beam), np.inf)
+        unread = np.zeros((m, beam), bool)
+        seen = np.zeros(m * n, bool)
+        fresh = (np.arange(m)[:, None] * n + self.entry).ravel()
         while True:
-            new = ~seen[rows, fresh]
-            # a centroid may come from two neighbours at once: count it once
-            order = np.argsort(fresh, axis=1, kind="stable")
-            s = np.take_along_axis(fresh, order, 1)
-            first = np.concatenate((np.ones((len(q), 1), bool), s[:, 1:] != s[:, :-1]), axis=1)
-            single = np.empty_like(first)
-            np.put_along_axis(single, order, first, 1)
-            new &= single
-            seen[rows, fresh] = True
-            both = np.concatenate((ids, np.where(new, fresh, -1)), axis=1)
-            d = np.concatenate((dist, np.where(new, measured(fresh), np.inf)), axis=1)
-            best = np.argsort(d, axis=1, kind="stable")[:, :beam]
-            ids, dist = np.take_along_axis(both, best, 1), np.take_along_axis(d, best, 1)
-            # expand the nearest four of the beam that have not been expanded
-            todo = (ids >= 0) & ~expanded[rows, np.maximum(ids, 0)]
-            if not todo.any():
+            fresh = np.unique(fresh[~seen[fresh]])
+            seen[fresh] = True
+            r, c = np.divmod(fresh, n)
+            count = np.bincount(r, minlength=m)
+            at = np.arange(len(r)) - (np.cumsum(count) - count)[r]
+            more, far = np.full((m, count.max(initial=0)), -1), np.full((m, count.max(initial=0)), np.inf)
+            more[r, at] = c
+            far[r, at] = np.maximum(norm[r] + self.square[c] - 2 * np.einsum("ij,ij->i", q[r], self.points[c]), 0)
+            ids, dist, unread = np.hstack((ids, more)), np.hstack((dist, far)), np.hstack((unread, more >= 0))
+            best = np.argsort(dist, axis=1, kind="stable")[:, :beam]
+            ids, dist, unread = (np.take_along_axis(x, best, 1) for x in (ids, dist, unread))
+            r, j = np.nonzero(unread & (np.cumsum(unread, axis=1) <= pick))
+            if not len(r):
                 return ids, np.sqrt(dist)
-            pick = np.argsort(~todo, axis=1, kind="stable")[:, :4]
-            chosen = np.where(np.take_along_axis(todo, pick, 1), np.take_along_axis(ids, pick, 1), -1)
-            r, j = np.nonzero(chosen >= 0)
-            expanded[r, chosen[r, j]] = True
-            fresh = self.graph[np.maximum(chosen, 0)].reshape(len(q), -1)
-
-    def scan(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All centroids for each query, nearest first, and the distances."""
-        d = _distances(q, self.points)
-        ids = np.argsort(d, axis=1, kind="stable")
-        return ids, np.sqrt(np.take_along_axis(d, ids, 1))
+            unread[r, j] = False
+            fresh = (r[:, None] * n + self.graph[ids[r, j]]).ravel()
 
     def lists_for(self, q: np.ndarray, ratio: float, least: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, list) to read.
+        """Pairs (query, list) to read: lists within ``ratio``, and more while they hold fewer than ``least`` kinds.
 
-        While the last of the beam is still to be read, the beam of those queries is doubled; where it
-        would hold a quarter of all centroids, all of them are looked at.
+        Queries whose beam ends with a list that is still to be read walk again with twice the beam.
         """
         n, rows, found = len(self.points), np.arange(len(q)), []
         while len(rows):
-            ids, dist = self.walk(q[rows], beam) if 4 * beam < n else self.scan(q[rows])
-            held = np.where(ids >= 0, self.size[np.maximum(ids, 0)], 0)
-            before = np.cumsum(held, axis=1) - held
-            use = (ids >= 0) & ((dist <= ratio * dist[:, :1]) | (before < least))
-            settled = np.full(len(rows), 4 * beam >= n) | ((ids[:, -1] >= 0) & ~use[:, -1])
-            a, b = np.nonzero(use & settled[:, None])
-            found.append((rows[a], ids[a, b]))
-            rows, beam = rows[~settled], 2 * beam
+            left = []
+            for part in self.parts(rows, beam):
+                ids, dist = self.walk(q[part], beam)
+                held = self.size[ids]
+                use = (dist <= ratio * dist[:, :1]) | (np.cumsum(held, axis=1) - held < least)
+                settled = np.full(len(part), beam >= n) | ~use[:, -1]
+                a, b = np.nonzero(use & settled[:, None])
+                found.append((part[a], ids[a, b]))
+                left.append(part[~settled])
+            rows, beam = np.concatenate(left), 2 * beam
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
+def linked(points: DataFrame) -> Centroids:
+    """Centroids with their graph from rows ``point`` (array of double); tasks find the nearest ones.
+
+    Only the centroids and ``NEAR_LINKS`` numbers for each come to the driver.
+    """
+    spark = points.sparkSession
+    points = shared.materialise(points.select("point").withColumn("key", F.monotonically_increasing_id()), "centroids")
+    t = points.toArrow()
+    key = t["key"].to_numpy()
+    order = np.argsort(key)
+    x, key = _matrix(t["point"])[order], key[order]
+    some = np.random.default_rng(17).choice(len(x), min(len(x), SAMPLE), replace=False)
+    hubs = spark.sparkContext.broadcast(balanced_centroids(x[np.sort(some)], max(1, len(x) // LISTS_PER_BLOCK)))
+
+    def visit(batches):
+        for b in batches:
+            p = _matrix(b.column("point"))
+            k = min(REACH, len(hubs.value))
+            near = np.concatenate([np.argsort(_distances(p[i : i + 1024], hubs.value), axis=1, kind="stable")[:, :k] for i in range(0, len(p), 1024)]) if len(p) else np.zeros((0, k), int)
+            at = pa.array(np.repeat(np.arange(len(p)), k))
+            own = pa.array(np.tile(np.arange(k) == 0, len(p)))
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int64()), own, b.column("key").take(at), b.column("point").take(at)], names=["hub", "own", "key", "point"])
+
+    def nearest(t: pa.Table) -> pa.Table:
+        p, name, own = _matrix(t["point"]), t["key"].to_numpy(), t["own"].to_numpy()
+        there = np.flatnonzero(own)
+        k = min(NEAR_LINKS + 1, len(there))
+        a, b, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i in range(0, len(p) if k else 0, 1024):
+            far = _distances(p[i : i + 1024], p[there])
+            far[name[i : i + 1024, None] == name[there]] = -1.0  # itself first: that row tells its block
+            best = np.argsort(far, axis=1, kind="stable")[:, :k]
+            a.append(np.repeat(name[i : i + 1024], k))
+            b.append(name[there][best].ravel())
+            d.append(np.take_along_axis(far, best, 1).ravel())
+        hub = np.full(sum(map(len, a)), t["hub"][0].as_py())
+        return pa.table({"key": np.concatenate(a), "near": np.concatenate(b), "distance": np.concatenate(d), "hub": hub})
+
+    types = "hub long, own boolean, key long, point array<double>"
+    links = points.mapInArrow(visit, types).groupBy("hub").applyInArrow(nearest, "key long, near long, distance double, hub long")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("distance", "near"))
+    got = links.withColumn("nth", nth).filter(F.col("nth") <= NEAR_LINKS + 1).select("key", "near", "hub", "nth").toArrow()
+    hubs.unpersist()
+    shared.drop_table(points)
+    a, b, nth = np.searchsorted(key, got["key"].to_numpy()), np.searchsorted(key, got["near"].to_numpy()), got["nth"].to_numpy()
+    near = np.repeat(np.arange(len(x))[:, None], min(NEAR_LINKS, max(1, len(x) - 1)), axis=1)
+    use = (nth > 1) & (nth <= near.shape[1] + 1)
+    near[a[use], nth[use] - 2] = b[use]
+    block = np.zeros(len(x), np.int64)
+    block[a[nth == 1]] = got["hub"].to_numpy()[nth == 1]
+    return Centroids(x, near, block)
+
+
 def _matrix(col) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -211,25 +266,27 @@ def _lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.hstack((x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))[:, None]))
 
 
-def fit(kinds: DataFrame, per_list: int = PER_LIST, sample: int = SAMPLE, coarse: int = COARSE) -> tuple[Centroids | None, float]:
+def fit(kinds: DataFrame, per_list: int = PER_LIST, sample: int = SAMPLE, coarse: int = COARSE, most_bytes: int = MOST_BYTES) -> tuple[Centroids | None, float]:
     """Centroids from a share of the kinds by hash (about ``sample``), and the largest norm of all.
 
     More than ``coarse`` lists are fitted in two levels: the sample gives ``coarse`` cells, and tasks
     give each cell lists in proportion to its vectors, from ``OF_CELL`` vectors a list or so.
     """
     norm = F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
-    n, top = kinds.agg(F.count(F.lit(1)), F.max(norm)).first()
+    spark = kinds.sparkSession
+    n, top, length = kinds.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("v"))).first()
     if not n:
         return None, 0.0
-    lists = lists_for_kinds(n, per_list)
+    a_list = 8 * (length + 1 + NEAR_LINKS + SPREAD_LINKS + 4)
+    lists = max(1, min(lists_for_kinds(n, per_list), most_bytes // (2 * a_list)))
     cells = min(lists, coarse)
     picked = kinds.filter(shared.share(F.col("v"), min(sample, 64 * cells) / n)).select("v").toArrow()
     if not picked.num_rows:
         picked = kinds.select("v").limit(1).toArrow()
     first = balanced_centroids(_lifted(_matrix(picked["v"]), top), cells)
     if cells == lists:
-        return Centroids(first), top
-    of_cell = kinds.sparkSession.sparkContext.broadcast(first)
+        return linked(spark.createDataFrame(pa.table({"point": pa.array(first.tolist(), pa.list_(pa.float64()))}))), top
+    of_cell = spark.sparkContext.broadcast(first)
     kind = kinds.schema["v"].dataType.simpleString()
     part = min(1.0, OF_CELL * lists / n)
 
@@ -244,8 +301,7 @@ def fit(kinds: DataFrame, per_list: int = PER_LIST, sample: int = SAMPLE, coarse
         return pa.table({"point": pa.array(points.tolist(), pa.list_(pa.float64()))})
 
     dealt = kinds.filter(shared.share(F.col("v"), part)).select("v").mapInArrow(nearest, f"cell long, v {kind}")
-    points = dealt.groupBy("cell").applyInArrow(split, "point array<double>").toArrow()
-    return Centroids(_matrix(points["point"])), top
+    return linked(dealt.groupBy("cell").applyInArrow(split, "point array<double>")), top
 
 
 def needed_ratio(posted: DataFrame, fitted: Centroids, k: int, recall: float = RECALL, probes: int = PROBES) -> float:
@@ -280,21 +336,18 @@ def needed_ratio(posted: DataFrame, fitted: Centroids, k: int, recall: float = R
     return max(1.0, float(np.quantile(need, recall, method="higher"))) if len(need) else 1.0
 
 
-def post(kinds: DataFrame, centroids, top: float, copies: int = COPIES, boundary: float = BOUNDARY) -> DataFrame:
-    """``list``, ``block``, ``ids``, ``v``, ``own`` (the nearest list) for each kind and list that it is posted to."""
+def post(kinds: DataFrame, centroids, top: float, copies: int = COPIES, boundary: float = BOUNDARY, beam: int = POSTING_BEAM) -> DataFrame:
+    """``list``, ``block``, ``ids``, ``v``, ``own`` (the nearest list found) for each kind and list that it is posted to."""
 
     def run(batches):
         c = centroids.value
         for b in batches:
             x = _lifted(_matrix(b.column("v")), top)
-            for i in range(0, len(x), 2048):
-                part = np.sqrt(_distances(x[i : i + 2048], c.points))
-                # the nearest few lists in order, dropped by the boundary and the neighbourhood rule
-                k = min(2 * copies, part.shape[1])
-                near = np.argpartition(part, k - 1, axis=1)[:, :k]
-                d = np.take_along_axis(part, near, 1)
-                order = np.argsort(d, axis=1, kind="stable")
-                near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+            for rows in c.parts(np.arange(len(x)), beam):
+                # the nearest few lists found, dropped by the boundary and the neighbourhood rule
+                near, d = c.walk(x[rows], beam)
+                near, d = near[:, : 2 * copies], d[:, : 2 * copies]
+                k = near.shape[1]
                 p = c.points[near]
                 square = (p * p).sum(2)
                 between = np.sqrt(np.maximum(square[:, :, None] + square[:, None] - 2 * p @ p.transpose(0, 2, 1), 0))
@@ -306,7 +359,7 @@ def post(kinds: DataFrame, centroids, top: float, copies: int = COPIES, boundary
                         ok &= ~(taken[:, e] & (between[:, j, e] < d[:, j]))
                     taken[:, j] = ok
                 r, j = np.nonzero(taken)
-                at = pa.array(r + i)
+                at = pa.array(rows[r])
                 yield pa.RecordBatch.from_arrays([pa.array(near[r, j], pa.int64()), pa.array(c.block[near[r, j]], pa.int64()), b.column("ids").take(at), b.column("v").take(at), pa.array(j == 0)], names=["list", "block", "ids", "v", "own"])
 
     types = {n: kinds.schema[n].dataType.simpleString() for n in ("ids", "v")}
@@ -342,18 +395,19 @@ def _best(q: np.ndarray, numbers: np.ndarray, wanted: np.ndarray, x: np.ndarray,
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", col: str = "embedding", k: int = TOP, per_list: int = PER_LIST, recall: float = RECALL, ratio: float | None = None, least: int = LEAST, beam: int = BEAM, sample: int = SAMPLE, coarse: int = COARSE, segment: int = SEGMENT) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", col: str = "embedding", k: int = TOP, per_list: int = PER_LIST, recall: float = RECALL, ratio: float | None = None, beam: int = BEAM, sample: int = SAMPLE, coarse: int = COARSE, segment: int = SEGMENT) -> DataFrame:
     """query_id, rank (from 1), id, score: each query's ``k`` nearest found, its own id left out.
 
     Scores are inner products in double precision; ties go to the smaller id.  Rows that cannot take
     part (see ``usable``; null ids too) neither ask nor answer.  Repeated rows are candidates with
-    one id and count once; an id with several vectors asks with each and answers with its best.  With
-    fewer than ``least`` distinct vectors in all every one is looked at.  ``ratio`` replaces the one
-    that ``recall`` asks for.  Other columns, whatever their names, are not read.  An empty table gives
+    one id and count once; an id with several vectors asks with each and answers with its best.  Lists
+    are read until they hold more than ``k`` distinct vectors, so that an answer is full wherever the
+    table can fill it.  ``ratio`` replaces the one that ``recall`` asks for.  Other columns, whatever their names, are not read.  An empty table gives
     an empty result.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType.simpleString()
+    fewest = k + 1
     kinds = shared.materialise(kinds_of(usable(vectors, id_col, col).filter("id is not null"), k + 1), "kinds")
     fitted, top = fit(kinds, per_list, sample, coarse)
     if fitted is None:
@@ -378,7 +432,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", col:
             x = _matrix(b.column("v"))
             lifted = np.hstack((x, np.zeros((len(x), 1))))
             for i in range(0, len(x), 256):
-                a, lists = c.lists_for(lifted[i : i + 256], ratio, least, beam)
+                a, lists = c.lists_for(lifted[i : i + 256], ratio, fewest, beam)
                 order = np.lexsort((lists, c.block[lists], a))
                 a, lists = a[order], lists[order]
                 first = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(c.block[lists]) != 0))[: len(a)])

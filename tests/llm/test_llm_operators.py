@@ -7,6 +7,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -455,7 +456,7 @@ def test_search(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [1.0, None] * 8), (5080, [1.0]), (None, x[0].tolist()), (3, x[3].tolist())]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("id", "v", "q", "list", "ids")})
     got = collections.defaultdict(list)
-    for r in vector_search.search(v, v.filter("vec_id % 20 = 0"), per_list=32, least=400).orderBy("query_id", "rank").collect():
+    for r in vector_search.search(v, v.filter("vec_id % 20 = 0"), per_list=32).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hit = 0
     for q in range(0, 1500, 20):
@@ -473,27 +474,67 @@ def test_search(spark):
     assert vector_search.search(v.limit(0), v.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 64, 401, 1000, 1500])
-def test_walk(n):
-    for seed in range(4):
-        rng = np.random.default_rng(seed)
-        c = vector_search.Centroids(rng.normal(size=(n, 12)), seed)
-        q = rng.normal(size=(40, 12))
-        exact = np.sort(np.sqrt(vector_search._distances(q, c.points)), axis=1)
-        ids, dist = c.walk(q, vector_search.BEAM)
-        assert all(len(set(r[r >= 0].tolist())) == (r >= 0).sum() for r in ids)
-        near = (np.abs(dist[:, : min(n, 10)] - exact[:, :10]) < 1e-9).mean()
-        assert near >= 0.95
-        c.size[:] = 100
-        a, lists = c.lists_for(q, 1.1, 500, vector_search.BEAM)
-        kept = 0
-        for i in range(len(q)):
-            d = np.sqrt(vector_search._distances(q[i : i + 1], c.points))[0]
-            want = set(np.flatnonzero(d <= 1.1 * d.min()).tolist()) | set(np.argsort(d)[:5].tolist())
-            have = set(lists[a == i].tolist())
-            assert len(have) == (a == i).sum()
-            kept += len(have & want) / len(want)
-        assert kept >= 0.95 * len(q)
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 64, 401, 1500])
+def test_walk(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 12))
+    c = vector_search.linked(spark.createDataFrame([(r.tolist(),) for r in x], "point array<double>").repartition(3))
+    assert sorted(map(tuple, c.points)) == sorted(map(tuple, x))
+    # links of the nearest blocks are mostly the nearest ones of all
+    true = np.argsort(vector_search._distances(c.points, c.points), axis=1)[:, 1:11]
+    if n > 24:
+        assert np.mean([len(set(t) & set(g)) / 10 for t, g in zip(true.tolist(), c.graph[:, :24].tolist())]) >= 0.7
+    q = rng.normal(size=(40, 12))
+    exact = np.sort(np.sqrt(vector_search._distances(q, c.points)), axis=1)
+    ids, dist = c.walk(q, vector_search.BEAM)
+    assert all(len(set(r.tolist())) == len(r) for r in ids) and (ids >= 0).all()
+    assert (np.abs(dist[:, : min(n, 10)] - exact[:, :10]) < 1e-9).mean() >= 0.95
+    every, d = c.walk(q, 2 * n)
+    assert np.allclose(d, exact) and all(sorted(r) == list(range(n)) for r in every.tolist())
+    c.size[:] = 100
+    a, lists = c.lists_for(q, 1.1, 500, vector_search.BEAM)
+    kept = 0
+    for i in range(len(q)):
+        d = np.sqrt(vector_search._distances(q[i : i + 1], c.points))[0]
+        want = set(np.flatnonzero(d <= 1.1 * d.min()).tolist()) | set(np.argsort(d)[:5].tolist())
+        have = set(lists[a == i].tolist())
+        assert len(have) == (a == i).sum()
+        kept += len(have & want) / len(want)
+    assert kept >= 0.95 * len(q)
+
+
+def test_search_walks_to_a_few_lists_of_many(spark, monkeypatch):
+    """40,000 clustered vectors, about 640 lists: recall 0.9 from less than 0.3 of the rows, no more bytes than allowed."""
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(500, 16))
+    x = (middle[np.arange(40_000) % 500] + 0.15 * rng.normal(size=(40_000, 16))).astype(np.float32)
+    v = spark.createDataFrame(pa.table({"vec_id": np.arange(40_000), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}))
+    fits = []
+    plain = vector_search.fit
+    monkeypatch.setattr(vector_search, "fit", lambda *a, **k: fits.append(plain(*a, **k)) or fits[-1])
+    ratios = []
+    needed = vector_search.needed_ratio
+    monkeypatch.setattr(vector_search, "needed_ratio", lambda *a, **k: ratios.append(needed(*a, **k)) or ratios[-1])
+    asked = np.arange(0, 40_000, 200)
+    rows = vector_search.search(v, v.filter("vec_id % 200 = 0")).collect()
+    got = collections.defaultdict(set)
+    for r in rows:
+        got[r.query_id].add(r.vec_id)
+    x = x.astype(float)
+    hit = 0
+    for q in asked.tolist():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert hit / (20 * len(asked)) >= 0.9
+    c, top = fits[0]
+    assert len(c.points) > 4 * vector_search.BEAM and c.size.sum() == 40_000
+    a, lists = c.lists_for(np.hstack((x[asked], np.zeros((len(asked), 1)))), ratios[0], 21, vector_search.BEAM)
+    read = c.size[lists].sum() / len(asked) / 40_000
+    print("recall", hit / (20 * len(asked)), "read", read, "ratio", ratios[0])
+    assert read < 0.3
+    small, _ = plain(vector_search.kinds_of(vector_search.usable(v), 21), most_bytes=100_000)
+    assert 20 < len(small.points) and len(small.points) * 8 * 52 <= 100_000
 
 
 def test_search_in_cells_of_lists(spark):
@@ -506,7 +547,7 @@ def test_search_in_cells_of_lists(spark):
     plain = vector_search.needed_ratio
     vector_search.needed_ratio = lambda *a, **k: seen.append(plain(*a, **k)) or seen[-1]
     try:
-        rows = vector_search.search(v, v.filter("vec_id % 20 = 0"), per_list=20, least=100, coarse=8, segment=100).collect()
+        rows = vector_search.search(v, v.filter("vec_id % 20 = 0"), per_list=20, coarse=8, segment=100).collect()
     finally:
         vector_search.needed_ratio = plain
     got = collections.defaultdict(set)
@@ -522,7 +563,7 @@ def test_search_in_cells_of_lists(spark):
     fitted, top = vector_search.fit(vector_search.kinds_of(vector_search.usable(v), 21), per_list=20, coarse=8)
     assert 150 < len(fitted.points) < 900
     fitted.size[:] = np.bincount(vector_search._nearest(vector_search._lifted(x, top), fitted.points), minlength=len(fitted.points))
-    a, lists = fitted.lists_for(np.hstack((x[::20], np.zeros((300, 1)))), seen[0], 100, 128)
+    a, lists = fitted.lists_for(np.hstack((x[::20], np.zeros((300, 1)))), seen[0], 21, 128)
     assert fitted.size[lists].sum() / 300 < 0.3 * 6000
 
 
