@@ -184,9 +184,9 @@ def policy_id(cell: Column, row: Column, width: int = 4) -> Column:
 
 
 def plain_number(x: Column) -> Column:
-    """A double as text, without an exponent: 54036.0, 0.92."""
+    """A double as text, without an exponent: 54036.0, 0.92; null for null."""
     whole = F.concat(F.format_string("%d", x.cast("bigint")), F.lit(".0"))
-    return F.when((x == F.floor(x)) & (F.abs(x) < 1e18), whole).otherwise(F.regexp_replace(F.format_string("%.6f", x), "(\\.\\d+?)0+$", "$1"))
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e18), whole).when(x.isNotNull(), F.regexp_replace(F.format_string("%.6f", x), "(\\.\\d+?)0+$", "$1"))
 
 
 def whole(x: Column) -> Column:

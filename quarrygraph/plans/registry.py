@@ -379,13 +379,6 @@ def ranking_ab(spark, d):
     return rank.compare(rank.bm25(q, docs, "doc_id"), rank.bm25(q, docs, "doc_id", exact_idf=True))
 
 
-@query("serialize_nodes", f"""select 'PH-' || {_pad("c_custkey")} as id, '[Policyholder] PH-' || {_pad("c_custkey")} || ' policyholder; name=' || c_name || '; risk_score=' ||
-  case when c_acctbal = floor(c_acctbal) then cast(cast(c_acctbal as bigint) as varchar) || '.0' else regexp_replace(printf('%.6f', c_acctbal), '(\\.\\d+?)0+$', '\\1') end || '; segment=' || c_mktsegment as text from customer""")
-def serialize_nodes(spark, d):
-    n = business.nodes(spark, d).filter("label = 'Policyholder'")
-    return n.select("id", retrieve.node_text(F.col("label"), F.col("id"), F.col("props"), F.col("nums")).alias("text"))
-
-
 @query("token_counts", "select doc_id, case when length(coalesce(text, '')) = 0 then 0 else greatest(1, length(text) // 4) end::integer as tokens from documents")
 def token_counts(spark, d):
     return t(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
@@ -698,12 +691,117 @@ def context_trim(spark, d):
     return prune.trim(docs, edges, 10_000).select("qid", F.array_join("kept", ",").alias("kept"), F.size("kept").alias("n_kept"), "tokens")
 
 
-@query("run_query_batch")
+_TOK = "case when {n} <= 0 then 0 else greatest(1, {n} // 4) end::bigint"
+_PLAIN = "case when {v} = floor({v}) then cast(cast({v} as bigint) as varchar) || '.0' else regexp_replace(printf('%.6f', {v}), '(\\.\\d+?)0+$', '\\1') end"
+_LETTERS = "regexp_extract_all(lower(query), '[a-z]+')"
+
+
+def _text(label: str, node: str, parts: list[tuple[str, str]]) -> str:
+    """SQL of a node's text: its kind, then ``name=value`` of those values that there are."""
+    values = ", ".join(f"'{name}=' || {value}" for name, value in parts)
+    return f"array_to_string(list_filter(['[{label}] ' || {node} || ' {retrieve.KINDS[label]}', {values}], lambda x: x is not null), '; ')"
+
+
+def _bodies() -> str:
+    """Every node with its text, the words of its values, its number, and what an answer says of it."""
+    num = lambda v: _PLAIN.format(v=v)
+    day = lambda v: f"strftime({v}::date, '%Y-%m-%d')"
+    ph, pol, inv, cov = (f"'{a}-' || {_pad(c)}" for a, c in (("PH", "c_custkey"), ("POL", "o_orderkey"), ("INV", "s_suppkey"), ("COV", "p_partkey")))
+    rows = [
+        ("Policyholder", ph, [("name", "c_name"), ("risk_score", num("c_acctbal")), ("segment", "c_mktsegment")], "c_name || ' ' || c_mktsegment", "null::double", "null", "customer"),
+        ("Policy", pol, [("policy_number", pol), ("type", "o_orderpriority"), ("status", "o_orderstatus"), ("premium", num("o_totalprice")), ("start_date", day("o_orderdate"))], f"{pol} || ' ' || o_orderstatus || ' ' || o_orderpriority", "null", "null", "orders"),
+        ("Claim", "claim_id", [("claim_number", "claim_id"), ("status", "l_linestatus"), ("amount", num("l_extendedprice")), ("date", day("l_shipdate")), ("cause", "l_returnflag")], "claim_id || ' ' || l_linestatus || ' ' || l_returnflag", "l_extendedprice", "null", "claims"),
+        ("Investigator", inv, [("name", "s_name"), ("role", "'INVESTIGATOR'")], "s_name || ' INVESTIGATOR'", "null", f"{inv} || ' (' || coalesce(s_name, 'None') || ', INVESTIGATOR)'", "supplier"),
+        ("Coverage", cov, [("code", "p_brand"), ("category", "p_type"), ("limit", num("p_retailprice"))], "p_brand || ' ' || p_type", "null", f"case when p_retailprice is null then {cov} else {cov} || ' (' || coalesce(p_type, 'None') || ', limit=$' || format('{{:,}}', round_even(p_retailprice, 0)::bigint) || ')' end", "part"),
+        ("FraudFlag", "'FRD-' || digits", [("severity", "severity"), ("confidence", num("confidence"))], "severity", "null", "'FRD-' || digits || ' (severity=' || severity || ', reason=None)'", "flags"),
+    ]
+    return " union all ".join(f"select '{label}' as label, {node} as id, {_text(label, node, parts)} as text, lower({words}) as body, {v} as v, {said} as said from {table}" for label, node, parts, words, v, said, table in rows)
+
+
+@query("serialize_nodes", f"{_GRAPH} select label, id, text from ({_bodies()})")
+def serialize_nodes(spark, d):
+    """The text of every node, of all labels."""
+    n = business.nodes(spark, d)
+    return n.select("label", "id", retrieve.node_text(F.col("label"), F.col("id"), F.col("props"), F.col("nums")).alias("text"))
+
+
+def _answers_sql(asked: str, out: str, budget: int = prune.BUDGET) -> str:
+    """SQL of a whole batch, ``asked`` being the table of questions and ``out`` what is selected of its answers.
+
+    It knows the questions of these queries: all name ids, and only "over $40,000" is a threshold.
+    """
+    start = _GRAPH.replace("claims as (", "claims as materialized (", 1).replace("edges as (", "edges as materialized (", 1)
+    after = lambda a, b: f"case when {a}.safe then case when {b}.safe then null else {b}.o end when {b}.safe then {a}.o else least({a}.o, {b}.o) end"
+    line = "'(' || src || ')-[:' || type || ']->(' || dst || ')'"
+    return f"""{start}, {_NODES}, {asked}, {_SEEDS}, {_SYM}, {_BFS},
+  near as materialized (select qid, id, min(depth) as depth from bfs group by qid, id),
+  met as materialized (select distinct b.qid, e.src, e.type, e.dst from near b join edges e on e.src = b.id where b.depth < 2 union select b.qid, e.src, e.type, e.dst from near b join edges e on e.dst = b.id where b.depth < 2),
+  bodies as ({_bodies()}), found as materialized (select n.qid, b.* from near n join bodies b using (id)),
+  w as (select qid, unnest(list_filter({_LETTERS}, lambda w: w not in {_STOP} and len(list_filter(regexp_extract_all(query, '((?:POL|CLM|PH|END|FRD|INV)-[0-9]{{3,}})', 1), lambda i: contains(lower(i), w))) = 0)) as w from questions),
+  one as (select qid, case when w like '%ies' and length(w) > 4 then left(w, length(w) - 3) || 'y' when w like '%es' and length(w) > 4 then left(w, length(w) - 2)
+    when w like '%s' and length(w) > 3 and w not like '%ss' and w not like '%is' then left(w, length(w) - 1) else w end as w from w),
+  hits as (select f.qid, f.id from found f join one s on s.qid = f.qid and contains(f.body, s.w) union all select f.qid, f.id from found f join questions q using (qid) where contains(query, 'over $40,000') and f.label = 'Claim' and f.v >= greatest(40000, regexp_extract(query, '-([0-9]+)', 1)::bigint)),
+  best as (select qid, id, row_number() over (partition by qid order by count(*) desc, id) as n from hits group by qid, id),
+  chosen as materialized (select qid, id from known union select qid, id from best where n <= 5),
+  beside as materialized (select distinct qid, src as id, dst as other from met union select qid, dst, src from met),
+  ctx as (select qid, id, string_agg(type || ' ' || other, ' ') as ctx from (select qid, src as id, type, dst as other from met union select qid, dst, type, src from met) group by qid, id),
+  terms as materialized (select qid, id, unnest(regexp_extract_all(lower(text || ' ' || coalesce(ctx, '')), '[a-z]+')) as term from found left join ctx using (qid, id)),
+  tf as materialized (select qid, id, term, count(*) as tf from terms group by all), dl as (select qid, id, sum(tf) as dl from tf group by all), st as (select qid, count(*) as n, avg(dl) as avgdl from dl group by qid),
+  times as (select qid, qt, count(*) as times from (select qid, unnest(list_filter({_LETTERS}, lambda w: w not in {_STOP})) as qt from questions) group by qid, qt),
+  pair as materialized (select qid, qt, times, id, term, tf from tf join times using (qid) where term = qt or length(term) >= 4 and length(qt) >= 4 and (starts_with(term, qt) or starts_with(qt, term))),
+  dfs as (select qid, qt, max(df) as df from (select qid, qt, term, count(distinct id) as df from pair group by all) group by qid, qt), per as (select qid, qt, times, id, max(tf) as tf from pair group by all),
+  score as (select qid, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * times) as score from per join dfs using (qid, qt) join dl using (qid, id) join st using (qid) group by qid, id),
+  placed as materialized (select qid, id, label, text, said, row_number() over (partition by qid order by round(coalesce(score, 0) + case when contains(query, f.id) then 5 else 0 end, 9) desc, id) as rank from found f left join score using (qid, id) join questions using (qid)),
+  around as (select qid, id from chosen union select qid, other from chosen join beside using (qid, id)),
+  hints as (select qid, unnest(list_filter([case when contains(lower(query), 'cover') then 'Coverage' end, case when contains(lower(query), 'fraud') or contains(lower(query), 'flag') then 'FraudFlag' end,
+    case when contains(lower(query), 'investigat') or contains(lower(query), 'handled by') then 'Investigator' end, case when contains(lower(query), 'held by') then 'Policyholder' end], lambda x: x is not null)) as label from questions),
+  safe as (select qid, id from around union select s.qid, s.other from around n join beside s using (qid, id) join node_ids i on i.id = s.other join hints h on h.qid = n.qid and h.label = i.label),
+  cost as materialized (select p.*, s.id is not null as safe, {_TOK.format(n="length(text)")} as cost, row_number() over (partition by p.qid order by s.id is null, rank) as r from placed p left join safe s on s.qid = p.qid and s.id = p.id),
+  fold as (select qid, unnest(list_reduce(list(struct_pack(t := cost, safe := safe, kept := [r]) order by r), lambda a, x: case when x.safe or a.t + x.t <= {budget} then struct_pack(t := a.t + x.t, safe := x.safe, kept := a.kept || x.kept) else a end).kept) as r from cost group by qid),
+  kept as materialized (select c.*, sum((not safe)::integer) over (partition by c.qid order by c.r desc) as o from cost c join fold using (qid, r)),
+  lines as (select a.qid, {line} as line, {after("a", "b")} as o from met m join kept a on a.qid = m.qid and a.id = m.src join kept b on b.qid = m.qid and b.id = m.dst),
+  parts as materialized (select qid, case when safe then null else o end as o, length(text) + 1 as n from kept union all select qid, o, length(line) + 1 from lines),
+  left_over as (select k.qid, k.r, coalesce(sum(p.n) - 1, 0) as n from (select qid, unnest(range(0, max(o)::bigint + 1)) as r from kept group by qid) k left join parts p on p.qid = k.qid and (p.o is null or p.o > k.r) group by k.qid, k.r),
+  sized as materialized (select qid, r, {_TOK.format(n="n::bigint")} as tokens from left_over), cut as (select qid, coalesce(min(r) filter (tokens <= {budget}), max(r)) as r from sized group by qid),
+  held as materialized (select k.qid, k.id, label, said, rank from kept k join cut c using (qid) where safe or o > c.r),
+  whole as (select qid, {_TOK.format(n="(sum(n) - 1)::bigint")} as tokens_before from (select qid, length(text) + 1 as n from placed union all select qid, length({line}) + 1 from met where (qid, src) in (select qid, id from placed) and (qid, dst) in (select qid, id from placed)) group by qid),
+  told as (select qid, count(*) as n, min_by(id, rank) as top, min_by(label, rank) as top_label, count(*) filter (label = 'FraudFlag') as n_flags, string_agg(said, '; ' order by rank) filter (label = 'FraudFlag') as flagged,
+    string_agg(said, ', ' order by rank) filter (label = 'Investigator') as people, string_agg(said, ', ' order by rank) filter (label = 'Coverage') as covers from held group by qid),
+  marked as (select qid, string_agg(src, ', ' order by src) as claims from (select distinct m.qid, src from met m join held a on a.qid = m.qid and a.id = m.src join held b on b.qid = m.qid and b.id = m.dst where type = 'FRAUD_DETECTED') group by qid),
+  answers as (select q.qid, query, case when contains(lower(query), 'fraud') and n_flags > 0 then 'Yes — ' || n_flags || ' fraud flag(s) found for ' || coalesce('claims ' || claims, 'the claim(s)') || ': ' || flagged
+      when (contains(lower(query), 'investigat') or contains(lower(query), 'who handles') or contains(lower(query), 'assigned')) and people is not null then 'Assigned investigator(s): ' || people
+      when contains(lower(query), 'cover') and covers is not null then covers when n > 0 then 'Most relevant context: ' || top || ' (' || top_label || ') — ' || n || ' nodes retained.'
+      else 'No relevant context found for this query.' end as answer,
+    coalesce(seeds, '') as seeds, coalesce(n, 0)::integer as n_kept, (coalesce(n_all, 0) - coalesce(n, 0))::integer as n_dropped, coalesce(tokens_before, 0) as tokens_before, coalesce(tokens, 0) as tokens_after,
+    case when coalesce(tokens_before, 0) = 0 then 0 else greatest(round((1 - coalesce(tokens, 0) / tokens_before::double) * 100, 2), 0) end::double as savings_percent
+    from questions q left join told using (qid) left join marked using (qid) left join whole using (qid) left join (select qid, tokens from sized join cut using (qid, r)) using (qid)
+    left join (select qid, count(*) as n_all from placed group by qid) using (qid) left join (select qid, string_agg(id, ',' order by id) as seeds from chosen group by qid) using (qid))
+  {out}"""
+
+
+_ANSWER = ["qid", "query", "answer", "seeds", "n_kept", "n_dropped", "tokens_before", "tokens_after", "savings_percent"]
+
+
+@query("run_query_batch", _answers_sql(_Q, f"select {', '.join(_ANSWER)} from answers"))
 def run_query_batch(spark, d):
     out = plans.answer_batch(questions(spark, d), *_walkable(spark, d))
     return out.select("qid", "query", "answer", F.array_join("seeds", ",").alias("seeds"), F.size("kept").alias("n_kept"), F.size("dropped").alias("n_dropped"), "tokens_before", "tokens_after", "savings_percent")
 
 
+@query("audited_answers", _answers_sql(_Q, """select left(sha256('2026-01-01T00:00:00Z|' || qid || '|' || query), 16) as audit_id, '2026-01-01T00:00:00Z' as timestamp, query, answer, 'extractive' as answer_mode, seeds,
+    n_kept + n_dropped as nodes_visited, n_kept, n_dropped, tokens_before, tokens_after, savings_percent from answers"""))
+def audited_answers(spark, d):
+    """A batch of questions answered with the audit log that it leaves behind, read back from there."""
+    path = f"{graph.shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    plans.ask(questions(spark, d), *_walkable(spark, d), log=path, timestamp="2026-01-01T00:00:00Z")
+    r = records.read(spark, path)
+    long = lambda c: F.col(c).cast("bigint")
+    return r.select(
+        "audit_id", "timestamp", "query", "answer", "answer_mode", F.array_join("retrieval.seeds", ",").alias("seeds"), F.col("retrieval.node_count").alias("nodes_visited"), F.col("pruned.kept_count").alias("n_kept"),
+        F.col("pruned.dropped_count").alias("n_dropped"), long("tokens.before").alias("tokens_before"), long("tokens.after").alias("tokens_after"), F.col("tokens.savings_percent").alias("savings_percent"),
+    )
+
+
 @query("extractive_answer", f"""{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, {_BFS}, near as materialized (select qid, id, min(depth) as depth from bfs group by qid, id),
   kept as materialized (select qid, id, label, row_number() over (partition by qid order by depth, id) as rank from near join (select distinct id, label from node_ids) using (id)),
   line as (select qid, label, rank, id || ' (severity=' || severity || ', reason=None)' as line from kept join flags on id = 'FRD-' || digits where label = 'FraudFlag'
@@ -830,9 +928,6 @@ def incremental_skipped(spark, d):
     return _counted(spark, d)[1][2].filter("deleted > 0").select("doc_id", "deleted", "deleted_skipped")
 
 
-_LETTERS = "regexp_extract_all(lower(query), '[a-z]+')"
-
-
 @query("neighbourhood_seeds", f"""{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, {_BFS}, met as (select distinct qid, id from bfs),
   body as (select 'PH-' || {_pad("c_custkey")} as id, 'Policyholder' as label, lower(c_name || ' ' || c_mktsegment) as body, null::double as v from customer
     union all select 'POL-' || {_pad("o_orderkey")}, 'Policy', lower('POL-' || {_pad("o_orderkey")} || ' ' || o_orderstatus || ' ' || o_orderpriority), null from orders
@@ -954,7 +1049,10 @@ def flatten_samples(spark, d):
     return samples.flatten(policies, claims, ends)[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("question_throughput")
+_HOLDERS = f"""questions as (select c_custkey as qid, 'Which claims over $40,000 are on policies held by PH-' || {_pad("c_custkey")} || '?' as query from customer)"""
+
+
+@query("question_throughput", _answers_sql(_HOLDERS, "select qid, answer, n_kept, n_dropped, tokens_before, tokens_after, savings_percent from answers"))
 def question_throughput(spark, d):
     """A question about every customer in one batch: what a batch costs per question."""
     held = F.concat(F.lit("Which claims over $40,000 are on policies held by "), business._id("PH-", "c_custkey"), F.lit("?"))
