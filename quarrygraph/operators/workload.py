@@ -90,6 +90,81 @@ def build(rows: DataFrame, target: int) -> DataFrame:
     return once.withColumn("qid", F.row_number().over(Window.orderBy("part", "seq", "query"))).select("qid", "category", "query", "expected", "mode")
 
 
+MOST_MATCHES, MOST_EXPECTED = 500, 3000
+ANY_ID = r"\b(?:CLM|POL|PH|COV|FRD)-\d{3,}\b"
+
+
+def probes(rows: DataFrame, absent: int, n: int = 15, share: float = 0.5) -> DataFrame:
+    """``qid, kind, variant, query, expected, mode``: questions beyond those that a system was tuned on.
+
+    Paraphrases ask for claims without naming them: by the policies of ``n`` rows spread over the table, and by the
+    most frequent word that at most ``MOST_MATCHES`` claims share.  Negatives name ids with the number ``absent``,
+    which no record may have, or unknown things; they must come back empty (``refuse``).  The others use words of
+    other layouts: a fraudulent claim, an occupation that no record has, dollars above the ``share`` of amounts
+    (left out above ``MOST_EXPECTED`` claims).  A table without rows gives the negatives and the occupation.
+    """
+    spark = rows.sparkSession
+    total = rows.agg(F.max("row").alias("n")).first()["n"] or 0
+    at = spark.createDataFrame([(p,) for p in evaluate.positions(total, n)], "row long")
+    policies = rows.join(F.broadcast(at), "row", "left_semi").select("policy").distinct()
+    own = rows.join(policies, "policy", "left_semi").groupBy("policy").agg(F.sort_array(F.collect_set("claim")).alias("claims"))
+    term = F.lower(F.trim("word"))
+    counts = rows.filter(term != "").groupBy(term.alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.filter(F.col("n").between(LEAST_REPEATS, MOST_MATCHES)).orderBy(F.desc("n"), "term").limit(1)
+    same = rows.withColumn("term", term).join(F.broadcast(top), "term").groupBy("term").agg(F.sort_array(F.collect_set("claim")).alias("claims"))
+    first = rows.groupBy().agg(F.min_by("claim", F.struct("row", "claim")).alias("claim")).filter("claim is not null")
+    over = thresholds(rows, (share,)).filter(F.size("expected") <= MOST_EXPECTED)
+    none = F.array().cast("array<string>")
+    number = f"{absent:05d}"
+    empty = [
+        ("negative", "nonexistent-id", f"How does claim CLM-{number} stand?"),
+        ("negative", "unknown-words", "List claims that a zeppelin wormhole brought about"),
+        ("negative", "nonexistent-policy", f"List every claim that belongs to policy POL-{number}"),
+        ("negative", "nonexistent-fraud-id", f"Has claim CLM-{number} turned out to be a fraud?"),
+        ("cross-schema", "occupation-words", "List claims that dentists have made"),
+    ]
+    one = lambda df, kind, variant, query, expected, mode: df.select(F.lit(kind).alias("kind"), F.lit(variant).alias("variant"), query.alias("query"), expected.alias("expected"), F.lit(mode).alias("mode"))
+    every = one(own, "paraphrase", "policy", F.concat(F.lit("List every claim that belongs to policy "), "policy"), F.col("claims"), "exact")
+    every = every.union(one(same, "paraphrase", "word", F.concat(F.lit("List all claims to do with "), "term"), F.col("claims"), "top-k"))
+    every = every.union(spark.createDataFrame(empty, "kind string, variant string, query string").select("*", none.alias("expected"), F.lit("refuse").alias("mode")))
+    every = every.union(one(first, "cross-schema", "fraud-words", F.concat(F.lit("Did claim "), "claim", F.lit(" prove fraudulent?")), F.array("claim"), "exact"))
+    dollars = F.concat(F.lit("Which claims come to more than $"), F.regexp_extract("query", r"over ([0-9.]+)$", 1), F.lit("?"))
+    every = every.union(one(over, "cross-schema", "dollar-words", dollars, F.col("expected"), "top-k"))
+    # a probe set is small: a few dozen questions
+    return every.withColumn("qid", F.row_number().over(Window.orderBy("kind", "variant", "query"))).select("qid", "kind", "variant", "query", "expected", "mode")
+
+
+def judge_probes(asked: DataFrame, results: DataFrame) -> DataFrame:
+    """``qid, kind, variant, query, mode, retrieval_hit, prune_hit, answer_ok, bad_seeds, fabricated``.
+
+    ``results``: ``qid, answer, retrieved, kept, seeds``.  A claim or policy that is a seed must be expected or named by
+    the question.  An answer must name an expected node or one that the question names; a refusal names none,
+    and nothing may be found for it.  A probe without a result counts as one that found nothing.
+    """
+    none = F.array().cast("array<string>")
+    j = asked.join(results, "qid", "left").withColumns({c: F.coalesce(c, none) for c in ("retrieved", "kept", "seeds")})
+    ids = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(ANY_ID), F.lit(0)))
+    allowed = F.array_union("expected", ids("query"))
+    refuse, exact = F.col("mode") == "refuse", F.col("mode") == "exact"
+    bad = F.array_except(F.filter("seeds", lambda s: s.startswith("CLM") | s.startswith("POL")), allowed)
+    clean = F.size("bad") == 0
+    all_in = lambda c: F.size(F.array_except("expected", c)) == 0
+    empty = (F.size("seeds") == 0) & (F.size("retrieved") == 0)
+    j = j.withColumns({"bad": F.when(refuse, none).otherwise(bad), "named": ids("answer")})
+    retrieval = F.when(refuse, empty).when(exact, all_in("retrieved") & clean).otherwise(F.arrays_overlap("expected", "retrieved") & clean)
+    pruning = F.when(refuse, empty).when(exact, all_in("kept")).otherwise(F.arrays_overlap("expected", "kept") & clean)
+    said = F.when(refuse, F.size("named") == 0).otherwise((F.size("expected") > 0) & F.arrays_overlap("named", allowed))
+    few = lambda c: F.slice(F.array_sort(c), 1, 5)
+    return j.select("qid", "kind", "variant", "query", "mode", retrieval.alias("retrieval_hit"), pruning.alias("prune_hit"), said.alias("answer_ok"), few(F.col("bad")).alias("bad_seeds"), few(F.when(refuse, F.col("named")).otherwise(none)).alias("fabricated"))
+
+
+def probes_by_kind(judged: DataFrame) -> DataFrame:
+    """``kind, passed, total, answered, accuracy``: probes that retrieval and pruning both passed, and right answers."""
+    ok = F.count_if(F.col("retrieval_hit") & F.col("prune_hit"))
+    n = F.count(F.lit(1))
+    return judged.groupBy("kind").agg(ok.alias("passed"), n.alias("total"), F.count_if("answer_ok").alias("answered"), F.round(100 * ok / n, 2).alias("accuracy"))
+
+
 def judge(workload: DataFrame, results: DataFrame) -> DataFrame:
     """Both hits of each question: in what was retrieved, and in what pruning kept.
 

@@ -261,11 +261,6 @@ def numeric_seeds(spark, d):
     return retrieve.numeric_seeds(t(spark, d, "nation").select(k.alias("qid"), text.alias("query")), business.nodes(spark, d)).select("qid", "id")
 
 
-@query("seed_union", f"{_GRAPH}, {_NODES}, {_Q}, {_SEEDS} select qid, id, 'id' as kind from known")
-def seed_union(spark, d):
-    return retrieve.seeds(questions(spark, d), business.nodes(spark, d))
-
-
 @query("tokenize", f"select doc_id, len(w)::integer as n_tokens, sha256(array_to_string(w, ' ')) as tokens_sha256 from (select doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w not in {_STOP}) as w from documents)")
 def tokenize(spark, d):
     w = T.query_tokens(F.col("text"))
@@ -696,6 +691,16 @@ _PLAIN = "case when {v} = floor({v}) then cast(cast({v} as bigint) as varchar) |
 _LETTERS = "regexp_extract_all(lower(query), '[a-z]+')"
 
 
+# the words of a question that may stand in values, in the singular
+_WORDS = f"""w as (select qid, unnest(list_filter({_LETTERS}, lambda w: w not in {_STOP} and len(list_filter(regexp_extract_all(query, '((?:POL|CLM|PH|END|FRD|INV)-[0-9]{{3,}})', 1), lambda i: contains(lower(i), w))) = 0)) as w from questions),
+  one as (select qid, case when w like '%ies' and length(w) > 4 then left(w, length(w) - 3) || 'y' when w like '%es' and length(w) > 4 then left(w, length(w) - 2)
+    when w like '%s' and length(w) > 3 and w not like '%ss' and w not like '%is' then left(w, length(w) - 1) else w end as w from w)"""
+# the values that keywords are searched in
+_PROPS = f"""select 'PH-' || {_pad("c_custkey")} as id, lower(c_name) as v from customer union all select 'POL-' || {_pad("o_orderkey")}, unnest(['pol', lower(o_orderstatus), lower(o_orderpriority)]) from orders
+  union all select claim_id, unnest(['clm', lower(l_linestatus), lower(l_returnflag)]) from claims union all select 'INV-' || {_pad("s_suppkey")}, unnest([lower(s_name), 'investigator']) from supplier
+  union all select 'COV-' || {_pad("p_partkey")}, lower(p_type) from part union all select 'FRD-' || digits, lower(severity) from flags"""
+
+
 def _text(label: str, node: str, parts: list[tuple[str, str]]) -> str:
     """SQL of a node's text: its kind, then ``name=value`` of those values that there are."""
     values = ", ".join(f"'{name}=' || {value}" for name, value in parts)
@@ -728,20 +733,25 @@ def serialize_nodes(spark, d):
 def _answers_sql(asked: str, out: str, budget: int = prune.BUDGET) -> str:
     """SQL of a whole batch, ``asked`` being the table of questions and ``out`` what is selected of its answers.
 
-    It knows the questions of these queries: all name ids, and only "over $40,000" is a threshold.
+    Numbers count as amounts of claims, above or equal, which is all that the questions of these queries ask for.
     """
+    ids = "regexp_extract_all(query, '((?:POL|CLM|PH|END|FRD|INV)-[0-9]{3,})', 1)"
+    numbers = "list_transform(regexp_extract_all(query, '\\$?[0-9][0-9,]*'), lambda x: replace(replace(x, '$', ''), ',', '')::bigint)"
+    above = "regexp_matches(lower(query), '\\b(over|above|more|exceeds|exceeding|greater|higher)\\b')"
+    seeds = _SEEDS.replace("known as (", "named as (", 1)
     start = _GRAPH.replace("claims as (", "claims as materialized (", 1).replace("edges as (", "edges as materialized (", 1)
     after = lambda a, b: f"case when {a}.safe then case when {b}.safe then null else {b}.o end when {b}.safe then {a}.o else least({a}.o, {b}.o) end"
     line = "'(' || src || ')-[:' || type || ']->(' || dst || ')'"
-    return f"""{start}, {_NODES}, {asked}, {_SEEDS}, {_SYM}, {_BFS},
+    return f"""{start}, {_NODES}, {asked}, {seeds}, {_SYM}, {_WORDS},
+  props as ({_PROPS}), free as (select * from questions where len({ids}) = 0), key_hits as (select qid, id, count(*) as hits from one join free using (qid) join props on contains(v, w) group by qid, id),
+  keyed as (select qid, id from (select *, row_number() over (partition by qid order by hits desc, id) as n from key_hits) where n <= 5),
+  sums as (select qid, claim_id as id, row_number() over (partition by qid order by claim_id) as n from free join claims on {above} and l_extendedprice >= list_max({numbers})),
+  known as materialized (select qid, id from named union select qid, id from keyed union select qid, id from sums where n <= 5), {_BFS},
   near as materialized (select qid, id, min(depth) as depth from bfs group by qid, id),
   met as materialized (select distinct b.qid, e.src, e.type, e.dst from near b join edges e on e.src = b.id where b.depth < 2 union select b.qid, e.src, e.type, e.dst from near b join edges e on e.dst = b.id where b.depth < 2),
   bodies as ({_bodies()}), found as materialized (select n.qid, b.* from near n join bodies b using (id)),
-  w as (select qid, unnest(list_filter({_LETTERS}, lambda w: w not in {_STOP} and len(list_filter(regexp_extract_all(query, '((?:POL|CLM|PH|END|FRD|INV)-[0-9]{{3,}})', 1), lambda i: contains(lower(i), w))) = 0)) as w from questions),
-  one as (select qid, case when w like '%ies' and length(w) > 4 then left(w, length(w) - 3) || 'y' when w like '%es' and length(w) > 4 then left(w, length(w) - 2)
-    when w like '%s' and length(w) > 3 and w not like '%ss' and w not like '%is' then left(w, length(w) - 1) else w end as w from w),
-  hits as (select f.qid, f.id from found f join one s on s.qid = f.qid and contains(f.body, s.w) union all select f.qid, f.id from found f join questions q using (qid) where contains(query, 'over $40,000') and f.label = 'Claim' and f.v >= greatest(40000, regexp_extract(query, '-([0-9]+)', 1)::bigint)),
-  best as (select qid, id, row_number() over (partition by qid order by count(*) desc, id) as n from hits group by qid, id),
+  hits as (select f.qid, f.id from found f join one s on s.qid = f.qid and contains(f.body, s.w) union all select f.qid, f.id from found f join questions q using (qid) where f.label = 'Claim' and case when {above} then f.v >= list_max({numbers}) else list_contains({numbers}, trunc(f.v)::bigint) end),
+  best as (select qid, id, row_number() over (partition by qid order by count(*) desc, id) as n from hits where qid in (select qid from named) group by qid, id),
   chosen as materialized (select qid, id from known union select qid, id from best where n <= 5),
   beside as materialized (select distinct qid, src as id, dst as other from met union select qid, dst, src from met),
   ctx as (select qid, id, string_agg(type || ' ' || other, ' ') as ctx from (select qid, src as id, type, dst as other from met union select qid, dst, type, src from met) group by qid, id),
@@ -751,7 +761,7 @@ def _answers_sql(asked: str, out: str, budget: int = prune.BUDGET) -> str:
   pair as materialized (select qid, qt, times, id, term, tf from tf join times using (qid) where term = qt or length(term) >= 4 and length(qt) >= 4 and (starts_with(term, qt) or starts_with(qt, term))),
   dfs as (select qid, qt, max(df) as df from (select qid, qt, term, count(distinct id) as df from pair group by all) group by qid, qt), per as (select qid, qt, times, id, max(tf) as tf from pair group by all),
   score as (select qid, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * times) as score from per join dfs using (qid, qt) join dl using (qid, id) join st using (qid) group by qid, id),
-  placed as materialized (select qid, id, label, text, said, row_number() over (partition by qid order by round(coalesce(score, 0) + case when contains(query, f.id) then 5 else 0 end, 9) desc, id) as rank from found f left join score using (qid, id) join questions using (qid)),
+  placed as materialized (select qid, id, label, text, said, row_number() over (partition by qid order by round(coalesce(score, 0) + case when list_contains({ids}, f.id) then 5 else 0 end, 9) desc, id) as rank from found f left join score using (qid, id) join questions using (qid)),
   around as (select qid, id from chosen union select qid, other from chosen join beside using (qid, id)),
   hints as (select qid, unnest(list_filter([case when contains(lower(query), 'cover') then 'Coverage' end, case when contains(lower(query), 'fraud') or contains(lower(query), 'flag') then 'FraudFlag' end,
     case when contains(lower(query), 'investigat') or contains(lower(query), 'handled by') then 'Investigator' end, case when contains(lower(query), 'held by') then 'Policyholder' end], lambda x: x is not null)) as label from questions),
@@ -779,6 +789,20 @@ def _answers_sql(asked: str, out: str, budget: int = prune.BUDGET) -> str:
   {out}"""
 
 
+_SEARCHED = f"""asked as ({_Q.split("(", 1)[1].rsplit(")", 1)[0]}), questions as (select * from asked union all
+  select n_nationkey + 1000, 'List ' || case n_nationkey % 3 when 0 then 'economy' when 1 then 'high' else 'customers' end || ' records or claims above $' || (n_nationkey + 1) * 4000 from nation)"""
+
+
+@query("seed_union", _answers_sql(_SEARCHED, """select qid, id, case min(o) when 0 then 'id' when 1 then 'keyword' else 'numeric' end as kind
+  from (select qid, id, 0 as o from named union all select qid, id, 1 from keyed union all select qid, id, 2 from sums where n <= 5) group by qid, id"""))
+def seed_union(spark, d):
+    """Seeds of questions that name ids and of as many that are searched by words and amounts."""
+    n = F.col("n_nationkey")
+    word = F.when(n % 3 == 0, "economy").when(n % 3 == 1, "high").otherwise("customers")
+    more = t(spark, d, "nation").select(n + 1000, F.concat(F.lit("List "), word, F.lit(" records or claims above $"), ((n + 1) * 4000).cast("string")))
+    return retrieve.seeds(questions(spark, d).union(more), graph._cut(business.nodes(spark, d)))
+
+
 _ANSWER = ["qid", "query", "answer", "seeds", "n_kept", "n_dropped", "tokens_before", "tokens_after", "savings_percent"]
 
 
@@ -975,7 +999,21 @@ def keyword_terms(spark, d):
     return workload.frequent_words(t(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").cast("string").alias("word")))
 
 
-@query("workload_eval")
+_WORKLOAD = f"""rows as materialized (select l_orderkey * 10 + l_linenumber as row, policy_id, claim_id, l_extendedprice as amount, lower(trim(l_returnflag)) as term, claim_id in (select claim_id from flags) as fraud from claims), top as (select max(row) as n from rows),
+  d as materialized (select amount, row_number() over (order by amount) as rn, count(*) over () as n from (select distinct amount from rows where amount is not null)), shares as (select row_number() over () - 1 as i, s from unnest([0.05, 0.25, 0.5, 0.75, 0.95]) u(s)),
+  mid as (select i, avg(amount) as t from d join shares on rn in (greatest(1, least(floor(n * s::double) + 1, n - 1)), greatest(1, least(floor(n * s::double) + 1, n - 1)) + 1) group by i),
+  parts_of as (select 'id-lookup' as category, 'What is the status of claim ' || claim_id || '?' as query, [claim_id] as expected, 'exact' as mode, row as seq, 0 as part from rows, top where row in (select 1 + round_even(i * (n - 1) / 9.0, 0) from range(10) r(i), top)
+    union all (select 'fraud-list', 'Show me all fraud claims under policy ' || policy_id, list(distinct claim_id), 'exact', min(row), 1 from rows where fraud group by policy_id order by min(row), policy_id limit 5)
+    union all select 'amount-threshold', 'Show me all claims with Amount over ' || regexp_replace(printf('%.4f', t), '\\.?0+$', ''), list(distinct claim_id), 'top-k', i, 2 from mid join rows on amount > t group by i, t
+    union all (select 'keyword', 'Show me all claims with cause ' || term, list(distinct claim_id), 'top-k', -count(*), 3 from rows where term <> '' group by term having count(*) >= 3 order by count(*) desc, term limit 15)),
+  questions as materialized (select row_number() over (order by part, seq, query) as qid, * from (select * from parts_of order by part, seq, query limit 20))"""
+_FOREIGN = "len(list_filter(string_split(seeds, ','), lambda s: (starts_with(s, 'CLM') or starts_with(s, 'POL')) and not list_contains(expected, s))) = 0"
+
+
+@query("workload_eval", _answers_sql(_WORKLOAD, f"""select category as dataset, count(*) as queries, round(100 * avg((case mode when 'exact' then in_all = want else in_all > 0 and {_FOREIGN} end)::integer), 2) as retrieval_accuracy,
+    round(100 * avg((case mode when 'exact' then in_kept = want else in_kept > 0 and {_FOREIGN} end)::integer), 2) as pruning_accuracy, round(avg(savings_percent), 2) as avg_savings_pct, sum(tokens_before)::bigint as raw_tokens, sum(tokens_after)::bigint as optimized_tokens
+  from (select q.*, len(expected) as want, a.seeds, savings_percent, tokens_before, tokens_after, (select count(*) from placed p where p.qid = q.qid and list_contains(expected, p.id)) as in_all,
+    (select count(*) from held h where h.qid = q.qid and list_contains(expected, h.id)) as in_kept from questions q join answers a using (qid)) group by category"""))
 def workload_eval(spark, d):
     """Questions made from the claims, answered in a batch and judged."""
     flags = business.flags(spark, d).select("claim_id", F.lit(True).alias("flag"))
@@ -987,6 +1025,47 @@ def workload_eval(spark, d):
     return proof.summary(judged.withColumn("dataset", F.col("category")))
 
 
+_PROBES = f"""rows as materialized (select l_orderkey * 10 + l_linenumber as row, policy_id, claim_id, l_extendedprice as amount from claims), top as (select max(row) as n from rows),
+  picked as (select distinct policy_id from rows, top where row in (select 1 + round_even(i * (n - 1) / 14.0, 0) from range(15) r(i), top)),
+  d as (select amount, row_number() over (order by amount) as rn, count(*) over () as n from (select distinct amount from rows where amount is not null)), mid as (select avg(amount) as t from d where rn in (greatest(1, least(floor(n * 0.999::double) + 1, n - 1)), greatest(1, least(floor(n * 0.999::double) + 1, n - 1)) + 1)),
+  far as (select lpad(((n + 1) * 1000)::varchar, greatest(5, length(((n + 1) * 1000)::varchar))::integer, '0') as far from top),
+  probe as (select 'paraphrase' as kind, 'policy' as variant, 'List every claim that belongs to policy ' || policy_id as query, list(distinct claim_id) as expected, 'exact' as mode from rows where policy_id in (select policy_id from picked) group by policy_id
+    union all select 'negative', 'nonexistent-id', 'How does claim CLM-' || far || ' stand?', [], 'refuse' from far union all select 'negative', 'unknown-words', 'List claims that a zeppelin wormhole brought about', [], 'refuse'
+    union all select 'negative', 'nonexistent-policy', 'List every claim that belongs to policy POL-' || far, [], 'refuse' from far union all select 'negative', 'nonexistent-fraud-id', 'Has claim CLM-' || far || ' turned out to be a fraud?', [], 'refuse' from far
+    union all select 'cross-schema', 'occupation-words', 'List claims that dentists have made', [], 'refuse'
+    union all select 'cross-schema', 'fraud-words', 'Did claim ' || claim_id || ' prove fraudulent?', [claim_id], 'exact' from (select claim_id from rows order by row, claim_id limit 1)
+    union all select 'cross-schema', 'dollar-words', 'Which claims come to more than $' || regexp_replace(printf('%.4f', any_value(t)), '\\.?0+$', '') || '?', list(distinct claim_id), 'top-k' from rows, mid where amount > t having count(distinct claim_id) <= 3000),
+  questions as materialized (select row_number() over (order by kind, variant, query) as qid, * from probe)"""
+
+
+def _probes(spark, d) -> DataFrame:
+    c = business.claims(spark, d)
+    rows = c.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), F.col("policy_id").alias("policy"), F.col("claim_id").alias("claim"), F.col("l_extendedprice").alias("amount"), F.lit("").alias("word"))
+    absent = (c.agg(F.max(F.col("l_orderkey") * 10 + F.col("l_linenumber"))).first()[0] + 1) * 1000
+    return workload.probes(graph._cut(rows), absent, share=0.999)
+
+
+@query("probe_questions", f"{_GRAPH}, {_PROBES} select qid::integer as qid, kind, variant, query, len(expected)::integer as n_expected, array_to_string(list_sort(expected)[1:20], ',') as first, mode from questions")
+def probe_questions(spark, d):
+    return _probes(spark, d).select("qid", "kind", "variant", "query", F.size("expected").alias("n_expected"), F.array_join(F.slice(F.array_sort("expected"), 1, 20), ",").alias("first"), "mode")
+
+
+_BAD = "len(list_filter(string_split(seeds, ','), lambda s: (starts_with(s, 'CLM') or starts_with(s, 'POL')) and not list_contains(expected, s) and not list_contains(asked_ids, s))) = 0"
+
+
+@query("probe_eval", _answers_sql(_PROBES, f"""select qid::integer as qid, kind, variant, case mode when 'refuse' then seeds = '' and n_all = 0 when 'exact' then in_all = want and {_BAD} else in_all > 0 and {_BAD} end as retrieval_hit,
+    case mode when 'refuse' then seeds = '' and n_all = 0 when 'exact' then in_kept = want else in_kept > 0 and {_BAD} end as prune_hit,
+    case mode when 'refuse' then len(said) = 0 else want > 0 and (list_has_any(said, expected) or list_has_any(said, asked_ids)) end as answer_ok
+  from (select q.qid, kind, variant, mode, a.seeds, expected, len(expected) as want, n_kept + n_dropped as n_all, regexp_extract_all(answer, '((?:CLM|POL|PH|COV|FRD)-[0-9]{{3,}})', 1) as said, regexp_extract_all(q.query, '((?:CLM|POL|PH|COV|FRD)-[0-9]{{3,}})', 1) as asked_ids,
+    (select count(*) from placed p where p.qid = q.qid and list_contains(expected, p.id)) as in_all, (select count(*) from held h where h.qid = q.qid and list_contains(expected, h.id)) as in_kept from questions q join answers a using (qid))"""))
+def probe_eval(spark, d):
+    """Paraphrases, questions that must be refused, and words of other layouts: asked in a batch and judged."""
+    asked = graph._cut(_probes(spark, d))
+    out = plans.answer_batch(asked.select("qid", "query"), *_walkable(spark, d))
+    judged = workload.judge_probes(asked, out.select("qid", "answer", F.array_union("kept", "dropped").alias("retrieved"), "kept", "seeds"))
+    return judged.select("qid", "kind", "variant", "retrieval_hit", "prune_hit", "answer_ok")
+
+
 @query("proof_summary", """with r as (select event_type, count(*) as q, round(100 * avg((value > 10)::integer), 2) as ra, round(100 * avg((value > 50)::integer), 2) as pa, sum(floor(value))::bigint as raw, sum(floor(value / 2))::bigint as opt, round(avg(value), 2) as sv from events group by event_type)
   select sum(q)::bigint as queries, sum(raw)::bigint as raw_tokens, sum(opt)::bigint as optimized_tokens, round(sum(ra * q) / sum(q), 2) as retrieval_accuracy, round(sum(pa * q) / sum(q), 2) as pruning_accuracy, round(sum(sv * q) / sum(q), 2) as avg_savings_pct, round((sum(raw) - sum(opt)) / sum(q), 1) as saved_tokens_per_query, round((sum(raw) - sum(opt)) / sum(q) * 10000 * 365 * 0.0025 / 1000, 2) as annual_savings_usd from r""")
 def proof_summary(spark, d):
