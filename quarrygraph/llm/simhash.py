@@ -8,9 +8,10 @@ given up as soon as all of its counters have passed the radius.  A bucket that o
 fingerprints is dealt anew by further bits: its members differ in at most ``radius`` of the bits that
 its bands leave, so they agree in one of ``radius + 1`` bands of those, and so on.
 
-Similar shingle sets (``similar_groups``) meet in buckets of minimum keys, which can't be made finer
-without losing links.  A large one is cut into chunks that all meet a few common members, which joins
-what is alike; then only members of different classes are compared, chunk by chunk.
+Similar shingle sets (``similar_groups``) meet in buckets of minimum keys.  A large one is cut into
+chunks that all meet a few common members, which joins what is alike.  Sets that are then still apart
+leave the bucket for those of their rarest shingles, as many as two similar sets must share one of
+(``prefix_keys``): a text that thousands of unlike documents hold brings none of them together.
 
 A bucket never emits its pairs: it returns a spanning forest of its links, one edge for each member
 but the first of a component, and the forests' components are those of all links.
@@ -301,14 +302,16 @@ def band_groups(kinds: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> D
         now = large.select("node", "fp", "mask").mapInArrow(split, "node long, fp binary, mask long").distinct()
 
 
-def linked(keyed: DataFrame, compare, chunk: int = CHUNK, pivots: int = PIVOTS, again: DataFrame | None = None) -> DataFrame:
+def linked(keyed: DataFrame, compare, chunk: int = CHUNK, pivots: int = PIVOTS, finer=None) -> DataFrame:
     """Edges (``a``, ``b``) that connect whatever ``compare`` connects among rows that share a key.
 
     ``keyed``: ``node``, ``key``; ``compare`` takes groups (``node``, ``group``, ``class``) to spanning
     edges.  Groups above ``chunk`` are cut into parts, which all get the group's first ``pivots``
-    members by hash, so near copies come together at the cost of one row each.  What is then still
-    apart is compared with all that is not of its class: the largest class of a key in chunks with the
-    chunks of the others, and those with each other.  ``again`` replaces ``keyed`` there.
+    members by hash, so near copies come together at the cost of one row each.  Keys whose members are
+    then still apart give way to the keys that ``finer`` names for their nodes (``node`` to ``node``,
+    ``key``; it must lose no link).  What is above ``chunk`` even there is compared with all that is not
+    of its class: the largest class of a key in chunks with the chunks of the others, and those with
+    each other.
     """
     size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = shared.materialise(keyed.join(size, "key"), "keyed")
@@ -331,20 +334,84 @@ def linked(keyed: DataFrame, compare, chunk: int = CHUNK, pivots: int = PIVOTS,
         return edges
     found = shared.materialise(connected(edges), "classes")
     shared.drop_table(edges)
-    rows = (large if again is None else again).select("node", "key").join(found, "node", "left").select("node", "key", F.coalesce("root", "node").alias("class"))
-    rows = rows_table = shared.materialise(rows, "classes")
-    per = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("big"), F.sum("n").alias("n"))
-    per = per.filter(F.col("n") > F.col("big.n")).select("key", F.col("big.class").alias("big"), F.ceil(F.col("big.n") / chunk).cast("int").alias("x"), F.ceil((F.col("n") - F.col("big.n")) / chunk).cast("int").alias("y"))
-    rows = rows.join(per, "key")
-    of_big = F.col("class") == F.col("big")
-    rows = rows.withColumn("mine", F.when(of_big, F.pmod(F.xxhash64("node", F.lit(7)), "x")).otherwise(F.col("x") + F.pmod(F.xxhash64("node", F.lit(7)), "y")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.when(of_big, F.col("x")).otherwise(0), F.col("x") + F.col("y") - 1)))
-    rest = rows.select("node", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "class")
-    more = shared.materialise(compare(rest), "links")
-    shared.drop_table(dealt)
-    shared.drop_table(rows_table)
     # what the first round has joined goes on as stars
-    return found.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)
+    stars = found.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    classed = shared.materialise(_with_class(large, found), "classes")
+    shared.drop_table(dealt)
+    mixed = _several_classes(classed)
+    if finer is not None:
+        mixed_table = mixed = shared.materialise(classed.join(mixed.select("key"), "key", "left_semi").select("node").distinct(), "apart")
+        shared.drop_table(classed)
+        if mixed.isEmpty():
+            shared.drop_table(mixed_table)
+            return stars
+        classed = shared.materialise(_with_class(finer(mixed), found), "classes")
+        shared.drop_table(mixed_table)
+        mixed = _several_classes(classed)
+    more = shared.materialise(compare(_across(classed.join(mixed, "key"), chunk)), "links")
+    shared.drop_table(classed)
+    return stars.union(more)
+
+
+def _with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.select("node", "key").join(found, "node", "left").select("node", "key", F.coalesce("root", "node").alias("class"))
+
+
+def _several_classes(classed: DataFrame) -> DataFrame:
+    """``key``, ``big`` (largest class), its size ``m`` and the key's ``n``, where a key has several classes."""
+    per = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("key").agg(F.max(F.struct("n", "class")).alias("big"), F.sum("n").alias("n"))
+    return per.filter(F.col("n") > F.col("big.n")).select("key", F.col("big.class").alias("big"), F.col("big.n").alias("m"), "n")
+
+
+def _across(rows: DataFrame, chunk: int) -> DataFrame:
+    """Groups in which members of a key meet all that are not of its largest class; one where it is small."""
+    parts = lambda n: F.ceil(n / chunk).cast("int")
+    x, y = parts(F.col("m")), parts(F.col("n") - F.col("m"))
+    of_big, small = F.col("class") == F.col("big"), F.col("n") <= chunk
+    mine = F.when(small, 0).when(of_big, F.pmod(F.xxhash64("node", F.lit(7)), x)).otherwise(x + F.pmod(F.xxhash64("node", F.lit(7)), y)).cast("int")
+    others = F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.when(of_big, x).otherwise(0), x + y - 1))
+    rows = rows.select("node", "key", "class", mine.alias("mine"), F.explode(others).alias("other"))
+    return rows.select("node", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "class")
+
+
+def prefix_keys(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``node``, ``key``: shingles of which any two sets of ``similarity`` share one, as rare ones as can be.
+
+    ``texts``: distinct ``node``, ``text``.  A set's shingles stand in one order for all, by the number of
+    sets that hold them.  If two sets of a and b >= a shingles share ``similarity`` of their union, then
+    at least 2s / (1 + s) of a and s of b are common, so the first shingles up to those that may all
+    lie behind the last common one meet.  Keys without a set that could be the smaller one are left out.
+    """
+
+    def run(batches):
+        nodes, held, rows = [], [], 0
+
+        def made():
+            n = np.array([len(h) for h in held])
+            cols = [np.repeat(np.array(nodes, np.int64), n), np.repeat(n, n), np.concatenate(held).view(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "n", "key"])
+
+        for b in batches:
+            for node, t in zip(b.column("node").to_pylist(), shared.column_bytes(b.column("text"))):
+                nodes.append(node)
+                held.append(np.unique(shingle_hashes(t, shingle)))
+                rows += len(held[-1])
+                if rows > _ROWS_AT_ONCE:
+                    yield made()
+                    nodes, held, rows = [], [], 0
+        if held:
+            yield made()
+
+    every = shared.materialise(texts.select("node", "text").mapInArrow(run, "node long, n long, key long"), "shingles")
+    often = every.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("held", F.lit(1)), "key"))
+    first = lambda part: F.col("nth") <= F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1
+    placed = every.join(often, "key", "left").withColumn("nth", nth).filter(first(similarity) & F.col("held").isNotNull())
+    placed = shared.materialise(placed.select("node", "key", first(2 * similarity / (1 + similarity)).alias("lead")), "prefixes")
+    shared.drop_table(every)
+    use = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("lead").alias("lead")).filter("n > 1 and lead")
+    return placed.join(use.select("key"), "key", "left_semi").select("node", "key")
 
 
 def _number(fp: Column) -> Column:
@@ -460,13 +527,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     kinds = shared.materialise(kinds, "kinds")
     keyed = kinds.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     fps = kinds.select("node", "fp")
-    maybe = connected(linked(keyed, lambda groups: near_links(groups.join(fps, "node"), radius), chunk))
+
+    def finer(nodes: DataFrame) -> DataFrame:
+        return prefix_keys(texts.join(kinds.join(nodes, "node", "left_semi").select("one", "node"), "one"), similarity, shingle)
+
+    maybe = connected(linked(keyed, lambda groups: near_links(groups.join(fps, "node"), radius), chunk, finer=finer))
     maybe = shared.materialise(maybe, "candidates")
-    # a candidates' component is one group, or by its keys where that would be too large a one
-    size = maybe.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
-    again = maybe.join(size, "root", "left_semi").join(keyed, "node").select("node", "key")
-    texts = texts.join(kinds.join(maybe.select("node"), "node", "left_semi").select("one", "node", "fp"), "one").select("node", "fp", "text")
-    edges = linked(maybe.select("node", F.col("root").alias("key")), lambda groups: exact_links(groups.join(texts, "node"), radius, similarity, shingle), chunk, again=again)
+    of_maybe = texts.join(kinds.join(maybe.select("node"), "node", "left_semi").select("one", "node", "fp"), "one").select("node", "fp", "text")
+    edges = linked(maybe.select("node", F.col("root").alias("key")), lambda groups: exact_links(groups.join(of_maybe, "node"), radius, similarity, shingle), chunk, finer=finer)
     named = connected(edges).select("node", "root")
     named = kinds.select("node", "least").join(named, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

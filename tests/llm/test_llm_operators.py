@@ -669,3 +669,32 @@ def test_pipeline(spark):
     assert out.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
     kept = corpus_pipeline.drop_toxic(spark, docs, d)
     assert kept.columns == docs.columns and 0 < kept.count() < n
+
+
+def test_hot_keys_of_unlike_texts_stay_linear(spark):
+    """Unlike documents under one licence text: few rows are compared, and no link is lost."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    licence = [word() for _ in range(90)]
+    texts = []
+    for i in range(1200):
+        own = [word() for _ in range(40)]
+        texts.append(" ".join(licence + own))
+        if i % 100 == 0:  # a near copy of it, one word apart
+            texts.append(" ".join(licence + own[:-1] + [word()]))
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(4)
+    keys = simhash.prefix_keys(table, 0.8, 5)
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    pairs = {(i, i + 1) for i in range(len(texts) - 1) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    assert len(pairs) == 12
+    compared = []
+
+    def compare(groups):
+        compared.append(groups.count())
+        exact = groups.join(table.withColumn("fp", F.unhex(F.lit("00" * 8))), "node")
+        return simhash.exact_links(exact, 64, 0.8, 5)
+
+    hot = table.select("node", F.lit(1).cast("long").alias("key"))
+    edges = simhash.linked(hot, compare, chunk=20, pivots=2, finer=lambda nodes: keys.join(nodes, "node", "left_semi"))
+    assert {tuple(sorted((r.a, r.b))) for r in edges.collect()} == pairs
+    assert sum(compared) < 2 * len(texts)
