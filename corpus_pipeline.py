@@ -6,7 +6,7 @@ executor costs no more than the stage that runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.llm import mixing, packing, shared, simhash, substring_dedup, toxicity
@@ -43,16 +43,19 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     stays whole: the smallest id's, null ids last.  Null and short texts stay.  ``n_chars`` follows the
     text; no other column is changed.
     """
-    words, removed, kept, nth, copies = names = [shared.spare(docs, n) for n in ("n_words", "n_removed", "kept_text", "nth", "copies")]
+    words, removed, kept, gone, row = names = [shared.spare(docs, n) for n in ("n_words", "n_removed", "kept_text", "all_gone", "row")]
     rows = substring_dedup.remove_repeats(docs, names=tuple(names[:3]))
     some, all_gone = F.col(removed) > 0, (F.col(removed) > 0) & (F.col(removed) == F.col(words))
-    changed = rows.filter(~all_gone).withColumn("n_chars", F.when(some, F.length(kept).cast("long")).otherwise(F.col("n_chars")))
-    changed = changed.withColumn("text", F.when(some, F.col(kept)).otherwise(F.col("text")))
-    equal = Window.partitionBy(F.sha2(F.col("text").cast("binary"), 256))
-    every = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    whole = rows.filter(all_gone).withColumn(nth, F.row_number().over(equal.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*every))))
-    whole = whole.withColumn(copies, F.max(nth).over(equal)).filter((F.col(nth) == 1) & (F.col(copies) > 1))
-    return changed.select(*docs.columns).union(whole.select(*docs.columns))
+    text = F.when(some & ~all_gone, F.col(kept)).otherwise(F.col("text"))
+    rows = rows.withColumn(gone, all_gone).withColumn("text", text).withColumn(row, F.monotonically_increasing_id())
+    rows = rows.withColumn("n_chars", F.when(some & ~F.col(gone), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    # stored, so that what follows runs none of the hops again; each row holds one text
+    rows = shared.materialise(rows.select(*docs.columns, gone, row), "passages")
+    equal = rows.filter(F.col(gone)).groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    first = equal.agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.filter("n > 1").select(F.col("first.row").alias(row))
+    whole = rows.filter(F.col(gone)).join(first, row, "left_semi")
+    return rows.filter(~F.col(gone)).select(*docs.columns).union(whole.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
