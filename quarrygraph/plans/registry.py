@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sql as sql_functions
+from ..functions import tables
 from ..functions import text as T
 from ..operators import adjacency, answer, block_index, cdc, counts, evaluate, graph, proof, prune, rank, records, retrieve, workload
 from ..sources import adapters, business, extract, generate, parse, pdf, record_log, samples
@@ -848,16 +849,30 @@ def extractive_answer(spark, d):
     return answer.extractive(q, kept, met)
 
 
+def _printed_orders(spark, d) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    lines = ["Commercial Insurance Policy", F.concat(F.lit("Policy ID "), business._id("POL-", "o_orderkey")), F.concat(F.lit("Status "), "o_orderstatus"), F.concat(F.lit("Term "), day, F.lit(" to 2099-01-01")), F.concat(F.lit("Annual Premium $"), F.format_number(F.floor("o_totalprice"), 0)), "Policyholder", F.concat(F.lit("Policyholder ID "), business._id("PH-", "o_custkey")), F.concat(F.lit("Name Customer "), "o_custkey"), "Coverages", F.concat(F.lit("COV-"), "o_orderkey", F.lit("AUTO-AAUTO$1,000$50fire; flood"))]
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines]).alias("text"))
+
+
+_ENTITY_CELLS = ["label", "id", "props['status'] as status", "props['name'] as name", "coalesce(props['policyholder_id'], props['policy_id']) as owner", "coalesce(nums['premium'], nums['limit']) as amount", "props['start_date'] as start_date"]
+
+
 @query("extract_entities", f"""with o as (select o_orderkey as doc_id, 'POL-' || {_pad("o_orderkey")} as pol, 'PH-' || {_pad("o_custkey")} as holder, o_orderstatus as status, floor(o_totalprice)::double as premium, strftime(o_orderdate, '%Y-%m-%d') as start_date, 'Customer ' || o_custkey as name, 'COV-' || o_orderkey as cov from orders)
   select doc_id, 'Policy' as label, pol as id, status, null as name, holder as owner, premium as amount, start_date from o
   union all select doc_id, 'Policyholder', holder, null, name, null, null, null from o union all select doc_id, 'Coverage', cov, null, null, pol, 1000.0, null from o""")
 def extract_entities(spark, d):
     """Every order printed as a policy with its holder and a coverage, and read again."""
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    lines = ["Commercial Insurance Policy", F.concat(F.lit("Policy ID "), business._id("POL-", "o_orderkey")), F.concat(F.lit("Status "), "o_orderstatus"), F.concat(F.lit("Term "), day, F.lit(" to 2099-01-01")), F.concat(F.lit("Annual Premium $"), F.format_number(F.floor("o_totalprice"), 0)), "Policyholder", F.concat(F.lit("Policyholder ID "), business._id("PH-", "o_custkey")), F.concat(F.lit("Name Customer "), "o_custkey"), "Coverages", F.concat(F.lit("COV-"), "o_orderkey", F.lit("AUTO-AAUTO$1,000$50fire; flood"))]
-    docs = t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines]).alias("text"))
-    p, n = F.col("props"), F.col("nums")
-    return extract.entities(docs).select(F.col("source").alias("doc_id"), "label", "id", p["status"].alias("status"), p["name"].alias("name"), F.coalesce(p["policyholder_id"], p["policy_id"]).alias("owner"), F.coalesce(n["premium"], n["limit"]).alias("amount"), p["start_date"].alias("start_date"))
+    return extract.entities(_printed_orders(spark, d)).selectExpr("source as doc_id", *_ENTITY_CELLS)
+
+
+@query("extract_entities_sql", ORACLE_SQL["extract_entities"])
+def extract_entities_sql(spark, d):
+    """The same from the lines themselves, by the table function of a session."""
+    tables.register(spark)
+    lines = parse.lines(_printed_orders(spark, d))
+    read = "select e.doc_id, label, e.id, entity_props(texts, numbers) as props, entity_nums(numbers) as nums from printed_entities(table({lines})) e"
+    return spark.sql(read, lines=lines.withColumnRenamed("id", "doc_id")).selectExpr("doc_id", *_ENTITY_CELLS)
 
 
 @query("verdict_comparison", f"""with {_CLAIMS}, {_FLAGS}, c as (select l_orderkey as qid, claim_id as claim, l_quantity > 25 as late, claim_id in (select claim_id from flags) as fraud, max(claim_id) over (partition by l_orderkey) as named from claims)
