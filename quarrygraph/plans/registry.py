@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import adjacency, answer, block_index, cdc, counts, evaluate, graph, proof, prune, rank, records, retrieve, workload
 from ..sources import adapters, business, extract, generate, parse, pdf, record_log, samples
 from ..streaming import limiter, rings, snapshots
+from . import build
 from . import questions as plans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -875,6 +876,38 @@ def extract_entities_sql(spark, d):
     return spark.sql(read, lines=lines.withColumnRenamed("id", "doc_id")).selectExpr("doc_id", *_ENTITY_CELLS)
 
 
+def _json_extractor(texts: list[str]) -> list[dict | None]:
+    """A model that answers with the JSON it is given and fails on all else."""
+    import json
+
+    return [json.loads(s) if s.startswith("{") else None for s in texts]
+
+
+@query("extract_by_model", f"select *, case when doc_id % 2 = 1 then 'model' else 'heuristic' end as mode from ({ORACLE_SQL["extract_entities"]}) where doc_id % 2 = 0 or label = 'Policy'")
+def extract_by_model(spark, d):
+    """Odd orders come as a model's answer, which names the policy alone; rules read the others."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.to_json(F.struct(F.create_map(business._id("POL-", "o_orderkey"), F.struct(
+        F.col("o_orderstatus").alias("status"), business._id("PH-", "o_custkey").alias("policyholder_id"), F.floor("o_totalprice").alias("premium"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("start_date"))).alias("Policy"))).alias("json"))
+    docs = _printed_orders(spark, d).join(o, "doc_id").withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.col("json")).otherwise(F.col("text")))
+    return extract.by_model(docs, _json_extractor).selectExpr("source as doc_id", *_ENTITY_CELLS, "mode")
+
+
+@query("graph_from_documents", """select 'node' as part, 'Policy' as kind, count(*) as n, sum(o_orderkey)::bigint as ids from orders
+  union all select 'node', 'Policyholder', count(distinct o_custkey), sum(distinct o_custkey)::bigint from orders union all select 'node', 'Coverage', count(*), sum(o_orderkey)::bigint from orders
+  union all select 'edge', 'HAS_POLICY', count(*), sum(o_custkey)::bigint from orders union all select 'edge', 'COVERS', count(*), sum(o_orderkey)::bigint from orders
+  union all select 'change', 'added', 3 * count(*), null from orders""")
+def graph_from_documents(spark, d):
+    """Every printed order to the graph of its entities, in one call."""
+    empty = [F.lit("").alias("label"), F.lit("").alias("id"), F.create_map().cast("map<string,string>").alias("props"), F.create_map().cast("map<string,double>").alias("nums")]
+    none = spark.range(0).select(F.lit("").alias("doc_id"), *empty)
+    edges = spark.range(0).select(*[F.lit("").alias(c) for c in graph.EDGE])
+    nodes, edges, _, counts = build.from_documents(none.drop("doc_id"), edges, none, _printed_orders(spark, d))
+    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("long")
+    per = lambda rows, part, kind, c: rows.groupBy(F.lit(part).alias("part"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(number(c)).alias("ids"))
+    added = counts.agg(F.sum("added").alias("n")).select(F.lit("change"), F.lit("added"), "n", F.lit(None).cast("long"))
+    return per(nodes, "node", "label", "id").union(per(edges, "edge", "type", "src")).union(added)
+
+
 @query("verdict_comparison", f"""with {_CLAIMS}, {_FLAGS}, c as (select l_orderkey as qid, claim_id as claim, l_quantity > 25 as late, claim_id in (select claim_id from flags) as fraud, max(claim_id) over (partition by l_orderkey) as named from claims)
   select qid, (row_number() over (partition by qid order by claim <> named, late, claim) - 1)::integer as position, claim, case when claim = named then 'YES' else 'UNKNOWN' end as verdict,
   case when fraud then 'Fraud' else 'Not fraud' end as ground_truth, case when claim <> named then 'no-verdict' when fraud then 'correct' else 'wrong' end as outcome from c""")

@@ -6,6 +6,7 @@ without a shuffle; only the rows of its tables are exploded.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -120,3 +121,63 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hint:
     ends = e.select("id.source", "id.doc_id", F.lit("Endorsement").alias("label"), F.col("endorsement_id").alias("eid"), F.col("id.doc_id").alias("policy_id"), F.col("number").alias("endorsement_number"), "type", "effective_date", F.col("premium_adjustment").cast("decimal(20,2)").cast("string").alias("premium_adjustment"))
     ends = ends.select("source", "doc_id", "label", F.col("eid").alias("id"), *_props(text_of("policy_id", "endorsement_number", "type", "effective_date"), text_of("premium_adjustment")))
     return out.union(covers).union(ends).filter(F.col("id").isNotNull() & (F.col("id") != ""))
+
+
+def by_model(docs: DataFrame, extractor, id_col: str = "doc_id", text: str = "text", hint: str | None = None, strict: bool = False) -> DataFrame:
+    """Like ``entities``, read by a model, with ``mode``: ``model``, or ``heuristic`` where rules had to read.
+
+    ``extractor`` takes a list of texts and returns for each ``{label: {id: {property: value}}}``, or None
+    if it failed; it is called once per Arrow batch, an exception counts as failure of the whole batch.
+    Rules read what it failed on; ``strict`` ends the job instead.  Numbers go to ``nums``, null and empty values
+    are left out, lists and objects become JSON.  A record's id is the hinted one, else the first that names a policy,
+    claim or endorsement.  The answers are stored, so that no text is sent twice.  ``id_col`` must be distinct;
+    null and empty texts are never sent and give nothing.  An entity with an empty id is left out.
+    """
+    import json
+
+    import pyarrow as pa
+
+    from ..operators.graph import _cut
+
+    own = re.compile(r"(POL|CLM|END)-\d+", re.ASCII)
+    asked = docs.select(F.col(id_col).alias("source"), (hint_id(F.col(hint)) if hint else F.lit(None).cast("string")).alias("hinted"), F.col(text).cast("string").alias("text")).filter("length(text) > 0")
+    kind = dict(asked.dtypes)["source"]
+    schema = f"source {kind}, doc_id string, label string, id string, props map<string,string>, nums map<string,double>"
+
+    def told(props: dict) -> tuple[list, list]:
+        numbers = [(k, float(v)) for k, v in props.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
+        words = [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in props.items() if v not in (None, "") and k not in dict(numbers)]
+        return words, numbers
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            try:
+                got = list(extractor(texts))
+                if len(got) != len(texts):
+                    raise ValueError(f"{len(got)} answers to {len(texts)} texts")
+            except Exception:
+                if strict:
+                    raise
+                got = [None] * len(texts)
+            if strict and None in got:
+                raise ValueError("the extractor failed on a text")
+            at, rows = [], []
+            for i, (hinted, found) in enumerate(zip(b.column("hinted").to_pylist(), got)):
+                if found is None:
+                    at.append(i)
+                    rows.append((None, None, None, [], []))
+                    continue
+                listed = [(label, str(e), props or {}) for label, es in found.items() for e, props in es.items() if e]
+                record = hinted or next((e for _, e, _ in listed if own.fullmatch(e)), None)
+                at += [i] * len(listed)
+                rows += [(record, label, e, *told(props)) for label, e, props in listed]
+            cols = list(zip(*rows)) or [()] * 5
+            pairs = [pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.float64())]
+            arrays = [pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + pairs)]
+            yield pa.RecordBatch.from_arrays([b.column("source").take(pa.array(at, pa.int64())), *arrays], names=["source", "doc_id", "label", "id", "props", "nums"])
+
+    said = _cut(asked.mapInArrow(run, schema))
+    failed = said.filter("label is null").select(F.col("source").alias(id_col))
+    rules = entities(docs.join(failed, id_col, "left_semi"), id_col, text, hint)
+    return said.filter("label is not null").withColumn("mode", F.lit("model")).union(rules.withColumn("mode", F.lit("heuristic")))
