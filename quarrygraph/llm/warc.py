@@ -66,9 +66,17 @@ def url_field(url: str | None) -> bytes:
     return raw or b"-"
 
 
+#: Stands for a null key: no key is written so, since ``%`` itself is escaped.
+NO_KEY = "%"
+
+
 def key_field(key: str | None) -> str:
-    """A key as a header line can hold it; ``unquote`` gives it back."""
-    return "" if key is None else "".join(f"%{ord(c):02X}" if c < " " or c in "%\x7f" else c for c in key)
+    """A key as a header line can hold it; ``key_of`` gives it back."""
+    return NO_KEY if key is None else "".join(f"%{ord(c):02X}" if c < " " or c in "%\x7f" else c for c in key)
+
+
+def key_of(field: str | None) -> str | None:
+    return None if field in (None, NO_KEY) else unquote(field)
 
 
 def record_id(place: str, key: str, digest: str) -> str:
@@ -127,7 +135,7 @@ def parse_arc(content: bytes) -> Iterator[dict]:
         http, payload = (content[at:cut], content[cut + 4 : end]) if cut >= 0 else (b"", content[at:end])
         d = values[when].decode()
         key = http.find(b"\r\nX-Key: ")
-        key = http[key + 9 :].split(b"\r\n", 1)[0].decode() if key >= 0 else ""
+        key = http[key + 9 :].split(b"\r\n", 1)[0].decode() if key >= 0 else NO_KEY
         yield {"key": key, "url": values[url].decode(), "date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", "mime": values[kind].decode(), "place": f"{name}#{place}", "http": http, "payload": payload}
         at, place = end + 1, place + 1
 
@@ -247,7 +255,7 @@ def revisits(index: DataFrame, key_type: str = "long", least: int = LEAST) -> Da
     The response of a digest is the record with the largest key (null keys below all); records that
     share that key are all responses.
     """
-    index = index.filter(F.col("payload_bytes") >= least).withColumn("k", F.expr(f"try_cast(url_decode(replace(key, '+', '%2B')) as {key_type})"))
+    index = index.filter(F.col("payload_bytes") >= least).withColumn("k", F.expr(f"case when key <> '{NO_KEY}' then try_cast(url_decode(replace(key, '+', '%2B')) as {key_type}) end"))
     best = F.max(F.when(F.col("k").isNotNull(), F.struct("k", "key", "place"))).alias("best")
     top = index.groupBy("digest", "payload_bytes").agg(best, F.count(F.lit(1)).alias("n")).filter("n > 1 and best is not null")
     top = top.select("digest", "payload_bytes", F.col("best.k").alias("top"), F.col("best.key").alias("refers_to"), F.col("best.place").alias("response"))
@@ -296,7 +304,7 @@ def read_warc(containers: DataFrame, key_type: str = "long") -> DataFrame:
                     digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
                     if f["WARC-Type"] == "response" and (len(payload) != declared or digest_of(payload) != digest):
                         raise ValueError("payload differs from its digest")
-                    rows.append((unquote(f["X-Key"]) or None if "X-Key" in f else None, declared, digest, f["WARC-Type"], unquote(f["X-Refers-To-Key"]) if "X-Refers-To-Key" in f else None, f["WARC-Target-URI"], f["WARC-Record-ID"], f["WARC-Date"], f.get("WARC-Refers-To")))
+                    rows.append((key_of(f.get("X-Key")), declared, digest, f["WARC-Type"], key_of(f.get("X-Refers-To-Key")), f["WARC-Target-URI"], f["WARC-Record-ID"], f["WARC-Date"], f.get("WARC-Refers-To")))
                 cols = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "payload_bytes" else pa.string()) for n, c in zip(names, cols)], names=names)
 
@@ -311,7 +319,7 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     as null and never becomes the response while its payload has a row with a key.  Null urls become
     ``-``, white space in urls is escaped.  Repeated rows of the top key are all responses.  Other
     columns, whatever their names, are not read.  A page of any length is one record; keys of text may
-    hold any characters.  An empty table gives no container.
+    hold any characters, or none.  An empty table gives no container.
     """
     kind = pages.schema[key].dataType.simpleString()
     arcs = shared.materialise(write_arc(pages, key, url, html), "arc")

@@ -614,6 +614,12 @@ def test_warc(spark):
         own = i == top[h]
         want.append((str(i), len(h.encode()), warc.digest_of(h.encode()), "response" if own else "revisit", None if own else top[h]))
     assert got == sorted(want)
+    named = [("", "x"), (None, "x"), ("a%+b é", "y"), ("", "y"), ("", "z"), ("", "z"), (None, "z"), ("%", "w"), (None, "v")]
+    df_named = spark.createDataFrame([(k, "u", h) for k, h in named], "page_id string, url string, html string")
+    of = {warc.digest_of(h.encode()): h for _, h in named}
+    got = sorted((str(r.key), of[r.payload_digest], r.record_type, r.refers_to) for r in warc.read_warc(warc.archive(df_named), "string").collect())
+    best = {"x": "", "y": "a%+b é", "z": "", "w": "%", "v": None}
+    assert got == sorted((str(k), h, "response" if k == best[h] else "revisit", None if k == best[h] else best[h]) for k, h in named)
     for version in (1, 2):
         body = warc.arc_head(version, "n.arc") + warc.arc_record(version, "n.arc", 0, "1", "u", b"x")
         assert next(warc.parse_arc(body))["payload"] == b"x"
