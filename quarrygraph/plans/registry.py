@@ -131,6 +131,27 @@ def stub_nodes(spark, d):
     return after.join(nodes, "id", "left_anti").select("id")
 
 
+@query("edges_with_stubs", """with seen as (select distinct 'c' || event_id as src, 'SEEN' as type, 'c' || user_id as dst from events), old as (select 'c' || c_custkey as id from customer)
+  select src, type, dst, src in (select id from old) as src_known, dst in (select id from old) as dst_known from seen""")
+def edges_with_stubs(spark, d):
+    """All edges after ends are created for them, some of which are there before."""
+    empty = [F.create_map().cast("map<string,string>").alias("props"), F.create_map().cast("map<string,double>").alias("nums")]
+    nodes = t(spark, d, "customer").select(F.lit("P").alias("label"), F.concat(F.lit("c"), "c_custkey").alias("id"), *empty)
+    new = t(spark, d, "events").select(F.lit("P").alias("src_label"), F.concat(F.lit("c"), "event_id").alias("src"), F.lit("SEEN").alias("type"), F.lit("P").alias("dst_label"), F.concat(F.lit("c"), "user_id").alias("dst"))
+    _, old = graph.upsert_edges(nodes, new.select(*graph.EDGE).limit(0), new.select(*graph.EDGE))
+    after, edges = graph.upsert_edges(nodes, old, new, "create")
+    known = after.join(nodes.select("id", F.lit(True).alias("known")), "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
+    end = lambda c: known.select(F.col("id").alias(c), F.col("known").alias(f"{c}_known"))
+    return edges.join(end("src"), "src").join(end("dst"), "dst").select("src", "type", "dst", "src_known", "dst_known")
+
+
+@query("repeated_nodes", "select 'P' as label, id, count(*) as n from (select 'c' || c_custkey as id from customer union all select 'c' || user_id from events) group by id having count(*) > 1")
+def repeated_nodes(spark, d):
+    """Nodes that customers and events name more than once."""
+    named = t(spark, d, "customer").select("c_custkey").union(t(spark, d, "events").select("user_id"))
+    return graph.duplicates(named.select(F.lit("P").alias("label"), F.concat(F.lit("c"), "c_custkey").alias("id")))
+
+
 @query("node_upsert", """select 'PH-' || c_custkey as id, case when u.user_id is null then c_mktsegment else u.last_type end as segment, c_name as name,
   case when u.user_id is null then c_acctbal else u.n end as balance from customer left join
   (select user_id, max_by(event_type, (ts, event_id)) as last_type, count(*)::double as n from events group by user_id) u on u.user_id = c_custkey
@@ -763,7 +784,7 @@ def _answers_sql(asked: str, out: str, budget: int = prune.BUDGET) -> str:
   pair as materialized (select qid, qt, times, id, term, tf from tf join times using (qid) where term = qt or length(term) >= 4 and length(qt) >= 4 and (starts_with(term, qt) or starts_with(qt, term))),
   dfs as (select qid, qt, max(df) as df from (select qid, qt, term, count(distinct id) as df from pair group by all) group by qid, qt), per as (select qid, qt, times, id, max(tf) as tf from pair group by all),
   score as (select qid, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * times) as score from per join dfs using (qid, qt) join dl using (qid, id) join st using (qid) group by qid, id),
-  placed as materialized (select qid, id, label, text, said, row_number() over (partition by qid order by round(coalesce(score, 0) + case when list_contains({ids}, f.id) then 5 else 0 end, 9) desc, id) as rank from found f left join score using (qid, id) join questions using (qid)),
+  placed as materialized (select qid, id, label, text, said, round(coalesce(score, 0) + case when list_contains({ids}, f.id) then 5 else 0 end, 9) as points, row_number() over (partition by qid order by points desc, id) as rank from found f left join score using (qid, id) join questions using (qid)),
   around as (select qid, id from chosen union select qid, other from chosen join beside using (qid, id)),
   hints as (select qid, unnest(list_filter([case when contains(lower(query), 'cover') then 'Coverage' end, case when contains(lower(query), 'fraud') or contains(lower(query), 'flag') then 'FraudFlag' end,
     case when contains(lower(query), 'investigat') or contains(lower(query), 'handled by') then 'Investigator' end, case when contains(lower(query), 'held by') then 'Policyholder' end], lambda x: x is not null)) as label from questions),
@@ -828,6 +849,30 @@ def audited_answers(spark, d):
     )
 
 
+# whether a question asks about a label: any of its phrases, as these questions have them
+_HINTED = """label = 'Policy' and contains(lower(query), 'polic') or label = 'Claim' and contains(lower(query), 'claim') or label = 'Policyholder' and contains(lower(query), 'held by')
+    or label = 'Coverage' and contains(lower(query), 'cover') or label = 'FraudFlag' and contains(lower(query), 'fraud') or label = 'Investigator' and contains(lower(query), 'investigat')"""
+
+
+def _word_scorer(pairs: list[tuple[str, str]]) -> list[float | None]:
+    """A model that counts a question's words in a text, and fails on polite ones."""
+    import re
+
+    return [None if "please" in q else float(sum(w in x.lower() for w in set(re.findall("[a-z]+", q.lower())))) for q, x in pairs]
+
+
+@query("model_ranking", _answers_sql(_Q, f"""select qid, id, score, row_number() over (partition by qid order by score desc, id)::integer as rank, mode from (
+  select qid, id, case when contains(query, 'please') then 'lexical' else 'model' end as mode, case when contains(query, 'please') then points
+    else len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z]+')), lambda w: contains(lower(text), w))) + case when {_HINTED} then {rank.LABEL_PRIOR} else 0 end end::double as score
+  from placed join questions using (qid))"""))
+def model_ranking(spark, d):
+    """Each question's subgraph ranked by a model, by words where that fails."""
+    q = questions(spark, d)
+    _, found, met = plans.subgraph(q, *_walkable(spark, d))
+    order = graph._cut(plans.ranked(q, found, met))
+    return rank.by_model(q, order.select("qid", "id", "label", "text"), order, _word_scorer)
+
+
 @query("extractive_answer", f"""{_GRAPH}, {_NODES}, {_Q}, {_SEEDS}, {_SYM}, {_BFS}, near as materialized (select qid, id, min(depth) as depth from bfs group by qid, id),
   kept as materialized (select qid, id, label, row_number() over (partition by qid order by depth, id) as rank from near join (select distinct id, label from node_ids) using (id)),
   line as (select qid, label, rank, id || ' (severity=' || severity || ', reason=None)' as line from kept join flags on id = 'FRD-' || digits where label = 'FraudFlag'
