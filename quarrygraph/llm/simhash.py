@@ -442,35 +442,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return made.join(named, "node").select(id_col, F.col("node").alias("fp"), "component_id")
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sets (sorted, distinct) share ``similarity`` of their union; two empty ones do."""
-    both = len(a) + len(b)
-    if min(len(a), len(b)) + 1e-9 < similarity * max(len(a), len(b)):
-        return False
-    common = both - len(np.union1d(a, b))
-    return common + 1e-9 >= similarity * (both - common)
-
-
 def set_links(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity: float, classes: np.ndarray | None = None) -> np.ndarray:
     """Root position of each set among the exact links of those within ``radius`` by fingerprint.
 
     Pairs that earlier links or equal ``classes`` connect already are not compared: a group of near
-    copies costs about one comparison a member.
+    copies costs about one comparison a member.  What is left to ask of a set is counted in batches that
+    double, by marks over the group's numbered shingles: unlike sets cost a look at each shingle, no merge.
     """
     root = np.arange(len(sets))
     if classes is not None:
         _, first, where = np.unique(classes, return_index=True, return_inverse=True)
         root = first[where]
     length = np.array([len(x) for x in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.split(codes, np.cumsum(length)[:-1])
+    marks = np.zeros(max((int(c.max()) + 1 for c in codes if len(c)), default=0), bool)
     for i in range(len(sets) - 1):
         near = np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(axis=1) <= radius
         low, high = np.minimum(length[i + 1 :], length[i]), np.maximum(length[i + 1 :], length[i])
-        ask = i + 1 + np.flatnonzero(near & (low + 1e-9 >= similarity * high))
+        ask, batch = i + 1 + np.flatnonzero(near & (low + 1e-9 >= similarity * high)), 1
+        marks[codes[i]] = True
         while len(ask := ask[root[ask] != root[i]]):
-            j, ask = ask[0], ask[1:]
-            if alike(sets[i], sets[j], similarity):
+            now, ask, batch = ask[:batch], ask[batch:], 2 * batch
+            upto = np.concatenate(([0], np.cumsum(marks[np.concatenate([codes[j] for j in now])])))
+            ends = np.cumsum(length[now])
+            common = upto[ends] - upto[ends - length[now]]
+            for j in now[common + 1e-9 >= similarity * (length[now] + length[i] - common)]:
                 a, b = sorted((root[i], root[j]))
                 root[root == b] = a
+        marks[codes[i]] = False
     return root
 
 
@@ -498,7 +498,21 @@ def exact_links(groups: DataFrame, radius: int, similarity: float, shingle: int)
         if held:
             yield roots(held)
 
-    return groups.select("group", "node", "fp", "class", "text").repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a long, b long")
+    # the work is in the comparisons, which the bytes that adaptive execution goes by do not show
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.select("group", "node", "fp", "class", "text").repartition(parts, "group").sortWithinPartitions("group", "node").mapInArrow(run, "a long, b long")
+
+
+def _texts_of(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (``one`` and more) with their texts, stored: read again without another look at all texts.
+
+    The members are stored first: while Spark broadcasts their numbers, no text but theirs is shuffled.
+    """
+    members = shared.materialise(members, "members")
+    theirs = texts.join(members.select("one"), "one", "left_semi")
+    out = shared.materialise(theirs.join(members, "one").drop("one"), "texts")
+    shared.drop_table(members)
+    return out
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, words: int = 4, tables: int = 16, rows: int = 3, row: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -529,12 +543,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     fps = kinds.select("node", "fp")
 
     def finer(nodes: DataFrame) -> DataFrame:
-        return prefix_keys(texts.join(kinds.join(nodes, "node", "left_semi").select("one", "node"), "one"), similarity, shingle)
+        return prefix_keys(_texts_of(texts, kinds.select("one", "node").join(nodes, "node", "left_semi")), similarity, shingle)
 
     maybe = connected(linked(keyed, lambda groups: near_links(groups.join(fps, "node"), radius), chunk, finer=finer))
     maybe = shared.materialise(maybe, "candidates")
-    of_maybe = texts.join(kinds.join(maybe.select("node"), "node", "left_semi").select("one", "node", "fp"), "one").select("node", "fp", "text")
-    edges = linked(maybe.select("node", F.col("root").alias("key")), lambda groups: exact_links(groups.join(of_maybe, "node"), radius, similarity, shingle), chunk, finer=finer)
+    of_maybe = _texts_of(texts, kinds.select("one", "node", "fp").join(maybe.select("node"), "node", "left_semi"))
+    again = lambda nodes: prefix_keys(of_maybe.join(nodes, "node", "left_semi"), similarity, shingle)
+    edges = linked(maybe.select("node", F.col("root").alias("key")), lambda groups: exact_links(groups.join(of_maybe, "node"), radius, similarity, shingle), chunk, finer=again)
+    shared.drop_table(of_maybe)
     named = connected(edges).select("node", "root")
     named = kinds.select("node", "least").join(named, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
