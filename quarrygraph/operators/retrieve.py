@@ -23,6 +23,23 @@ KINDS = {"Policyholder": "policyholder", "Policy": "insurance policy", "Claim":
 SEEDS = 5
 GRAM = 4
 SHIFTS = (32, 24, 16, 8, 0, -8, -16)
+#: One row in so many tells, by a digest, from which id on a row is hopeless.
+PROBE = 256
+
+
+def _first(rows: DataFrame, key: list[str], order: list[Column], most: int, given: str = "id") -> DataFrame:
+    """The ``most`` first distinct rows of each key by ``order``; ``given`` names what digests deal out.
+
+    Any rows of a key bound its answer: what comes after the last of their ``most`` first cannot be among the first of all.  So a part of
+    the rows gives a bound, and only rows up to it are sorted; a key with fewer rows in that part has no bound and keeps all.
+    """
+    place = F.struct(*order)
+    nth = F.dense_rank().over(Window.partitionBy(*key).orderBy("place"))
+    rows = rows.withColumn("place", place)
+    some = rows.filter(F.pmod(F.xxhash64(given), F.lit(PROBE)) == 0)
+    bound = graph._cut(some.withColumn("n", nth).filter(F.col("n") == most).select(*key, F.col("place").alias("last")).distinct())
+    rows = rows.join(bound, key, "left").filter(F.col("last").isNull() | (F.col("place") <= F.col("last"))).drop("last")
+    return rows.withColumn("n", nth).filter(F.col("n") <= most).drop("n", "place").distinct()
 
 
 def id_seeds(questions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -45,14 +62,19 @@ def keyword_hits(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     starts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring("run", i, n))))
     grams = runs.select("run").distinct().select("run", F.explode(F.array_distinct(starts)).alias("gram"))
     wanted = tokens.select("tok").distinct().select("tok", F.substring("tok", 1, GRAM).alias("gram"))
-    pairs = wanted.join(grams, "gram").filter(F.contains("run", "tok")).select("tok", "run")
+    # stored, so that the values meet what is asked for before anything of them is shuffled
+    pairs = graph._cut(wanted.join(grams, "gram").filter(F.contains("run", "tok")).select("tok", "run").distinct())
     met = runs.join(pairs, "run").select("label", "id", "k", "tok").distinct()
     return met.join(tokens, "tok").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def keyword_seeds(questions: DataFrame, nodes: DataFrame, most: int = SEEDS) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.desc("hits"), "id")
-    return keyword_hits(questions, nodes).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n")
+    # questions of the same words are searched once
+    words = F.array_join(F.sort_array(F.transform(T.value_tokens(F.col("query")), T.singular)), " ")
+    asked = graph._cut(questions.select("qid", "query", words.alias("words")))
+    once = asked.groupBy(F.col("words").alias("qid")).agg(F.min("query").alias("query"))
+    best = _first(graph._cut(keyword_hits(once, nodes)), ["qid"], [-F.col("hits"), F.col("id")], most)
+    return asked.select("qid", "words").join(best.withColumnRenamed("qid", "words"), "words").select("qid", "id", "hits")
 
 
 def _cells(v: Column) -> Column:
@@ -75,19 +97,20 @@ def smallest_past(values: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
     with all values is made.
     """
     at = ["label", "k", "level", "parent"]
-    values, wanted = values.filter("v is not null"), wanted.filter("t is not null").distinct()
+    # stored, so that the values meet the thresholds before anything of them is shuffled
+    values, wanted = values.filter("v is not null"), graph._cut(wanted.filter("t is not null").distinct())
     equal = wanted.filter("dir = 0").join(values, (wanted.label == values.label) & (wanted.k == values.k) & (wanted.t.cast("double") == values.v)).select(wanted.label, wanted.k, "dir", "t", "id")
     sides = wanted.filter("dir <> 0").select("*", F.explode(_cells(F.col("t"))).alias("c")).select("label", "k", "dir", "t", "c.*")
     placed = values.select("label", "k", "id", "v", F.explode(_cells(F.col("v"))).alias("c")).select("label", "k", "id", "v", "c.*")
-    placed = placed.join(sides.select(*at).distinct(), at, "left_semi")
-    order = Window.partitionBy(*at, "cell").orderBy("id")
-    best = placed.withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= most).select(*at, "cell", "id").distinct()
+    placed = placed.join(graph._cut(sides.select(*at).distinct()), at, "left_semi")
+    best = _first(placed.select(*at, "cell", "id"), [*at, "cell"], [F.col("id")], most)
     beside = sides.join(best.withColumnRenamed("cell", "other"), at).filter((F.col("other") - F.col("cell")) * F.col("dir") > 0)
     inner = len(SHIFTS) - 1
     mine = sides.filter(F.col("level") == inner).join(placed.filter(F.col("level") == inner), [*at, "cell"]).filter((F.col("v") == F.col("t")) | ((F.col("v") > F.col("t")) == (F.col("dir") > 0)))
     key = ["label", "k", "dir", "t"]
-    every = equal.union(beside.select(*key, "id")).union(mine.select(*key, "id"))
-    return every.withColumn("n", F.dense_rank().over(Window.partitionBy(*key).orderBy("id"))).filter(F.col("n") <= most).drop("n").distinct()
+    # stored, since it is read twice
+    every = graph._cut(equal.union(beside.select(*key, "id")).union(mine.select(*key, "id")))
+    return _first(every, key, [F.col("id")], most)
 
 
 def numeric_seeds(questions: DataFrame, nodes: DataFrame, most: int = SEEDS, open_end: bool = False) -> DataFrame:

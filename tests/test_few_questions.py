@@ -43,3 +43,29 @@ def test_few_questions_shuffle_little(spark, chain):
     assert hop == [(n(7), "NEXT", n(8), True)] and size < 100_000
     walk, size = shuffled(spark, lambda: plans.recursive_walk(start, edges, 2))
     assert walk == [(1, n(5), 2), (1, n(6), 1), (1, n(7), 0), (1, n(8), 1), (1, n(9), 2)] and size < 100_000
+
+
+def test_smallest_of_many_are_told_from_the_rest_before_a_sort(spark):
+    """More rows than the probe of a key, equal ids and short keys: the answer is that of the whole sort."""
+    rows = spark.range(40_000).select((F.col("id") % 3).alias("k"), F.lpad((F.col("id") * 7919 % 20_011).cast("string"), 6, "0").alias("id"))
+    rows = rows.union(spark.createDataFrame([(9, "b"), (9, "a"), (9, "a")], "k long, id string"))
+    want = {}
+    for k, i in rows.collect():
+        want.setdefault(k, set()).add(i)
+    got = {}
+    for k, i in retrieve._first(rows, ["k"], [F.col("id")], 5).collect():
+        got.setdefault(k, []).append(i)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:5] for k, v in want.items()}
+
+
+def test_thresholds_and_words_shuffle_little(spark, tmp_path):
+    at = F.col("id")
+    props = F.create_map(F.lit("name"), F.concat(F.lit("Customer "), at))
+    spark.range(200_000).select(F.lit("Claim").alias("label"), F.concat(F.lit("CLM-"), F.lpad(at.cast("string"), 7, "0")).alias("id"), props.alias("props"), F.create_map(F.lit("amount"), (at % 1000).cast("double")).alias("nums")).write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes")
+    q = spark.createDataFrame([(i, f"List claims above ${400 + i % 2}") for i in range(10)], "qid int, query string")
+    found, size = shuffled(spark, lambda: retrieve.numeric_seeds(q, nodes))
+    assert found == [(i, f"CLM-{400 + i % 2 + n:07}") for i in range(10) for n in range(5)] and size < 1_000_000
+    q = spark.createDataFrame([(i, "List customers") for i in range(20)], "qid int, query string")
+    found, size = shuffled(spark, lambda: retrieve.keyword_seeds(q, nodes))
+    assert [r[:2] for r in found] == [(i, f"CLM-{n:07}") for i in range(20) for n in range(5)] and size < 30_000_000
