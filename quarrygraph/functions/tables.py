@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import SparkSession
-from pyspark.sql.types import MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from ..sources import extract, parse
@@ -31,7 +31,8 @@ class PrintedEntities:
     """``printed_entities(table(lines), source => 'doc_id', position => 'pos', line => 'line', hint => 'file')``.
 
     The function asks for a partition by document, in the lines' order, whatever the table's; further
-    columns are not read.  Its result follows the table: the first column has the name and type of
+    columns are not read.  A row holds a line, or an array of lines that follow each other, which costs a call a document
+    where whole documents are at hand.  Its result follows the table: the first column has the name and type of
     ``source``, then come ``record_id, label, id, texts, numbers``, numbers as they are printed.  ``hint``,
     the column of a file's name, may be left out.  A task holds one document's fields and rows of its
     tables.  Lines without a source are left out, null and blank ones too; a document of no known type and an
@@ -40,6 +41,7 @@ class PrintedEntities:
 
     def __init__(self):
         self.source = self.kind = self.hinted = None
+        self.places: list[int] | None = None
         self.head: list[str] = []
         self.cells: dict[str, str] = {}
         self.told: list[str] | None = None
@@ -58,7 +60,8 @@ class PrintedEntities:
             if name is not None and len(fields) != 1:
                 raise ValueError(f"{role}: the table has {len(fields)} columns {name}")
             found[role] = fields[0] if fields else None
-        if not isinstance(found["line"].dataType, StringType):
+        kind = found["line"].dataType
+        if not isinstance(kind.elementType if isinstance(kind, ArrayType) else kind, StringType):
             raise ValueError("line: not a column of text")
         pairs = MapType(StringType(), StringType())
         schema = StructType([found["source"]])
@@ -68,22 +71,27 @@ class PrintedEntities:
         return AnalyzeResult(schema, partitionBy=[PartitioningColumn(quoted(found["source"]))], orderBy=[OrderingColumn(quoted(found["position"]))])
 
     def eval(self, lines, source="doc_id", position="pos", line="line", hint=None):
-        by_name = {k.lower(): v for k, v in lines.asDict().items()}
-        self.source = by_name[source.lower()]
+        if self.places is None:
+            names = [f.lower() for f in lines.__fields__]
+            self.places = [names.index(c.lower()) for c in (source, line)]
+        self.source, held = lines[self.places[0]], lines[self.places[1]]
         if hint is not None and self.hinted is None:
+            by_name = {k.lower(): v for k, v in lines.asDict().items()}
             name = re.search(extract.HINT, by_name[hint.lower()] or "", re.ASCII)
             self.hinted = name.group(1) if name else None
-        text = (by_name[line.lower()] or "").strip(" ")
-        if text:
-            self._read(text)
+        for text in held if isinstance(held, list) else [held]:
+            if text := (text or "").strip(" "):
+                self._read(text)
 
     def _read(self, text: str) -> None:
         if len(self.head) < extract.HEAD_LINES:
             self.head.append(text)
-        for pattern, rows in ((_COVERAGE, self.coverages), (_ENDORSEMENT, self.endorsements)):
-            if row := pattern.search(text):
-                rows.append(row)
-                return
+        # a search costs more than a look at the four letters that both patterns begin with
+        if text.startswith(("COV-", "END-")):
+            for pattern, rows in ((_COVERAGE, self.coverages), (_ENDORSEMENT, self.endorsements)):
+                if row := pattern.search(text):
+                    rows.append(row)
+                    return
         if text in extract.SECTIONS:
             return
         if field := _KEY.search(text):

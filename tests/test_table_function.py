@@ -35,3 +35,13 @@ def test_result_follows_the_table(spark):
         spark.sql("select * from printed_entities(table({rows}), source => 'page')", rows=lines)
     with pytest.raises(Exception, match="not a column of text"):
         spark.sql("select * from printed_entities(table({rows}), source => 'my doc', line => 'pos')", rows=lines)
+
+
+def test_runs_of_lines_in_a_row(spark):
+    tables.register(spark)
+    docs = [(1, POLICY, "a.pdf"), (2, CLAIM, "b.pdf"), (3, "Claim Report\n\n", "CLM-0042.pdf"), (4, None, None)]
+    table = spark.createDataFrame(docs, "n int, body string, file string")
+    cut = table.selectExpr("n", "file", "split(body, '\\n') as lines").selectExpr("n", "file", "explode(array((0, slice(lines, 1, 4)), (1, slice(lines, 5, 999)))) as part")
+    cut = cut.selectExpr("n", "file", "part.col1 as at", "part.col2 as printed").repartition(3, "at")
+    got = rows_of(spark.sql(ENTITY_SQL.format(id="n"), rows=cut))
+    assert got == rows_of(extract.entities(table, "n", "body", "file")) and len(got) >= 4
