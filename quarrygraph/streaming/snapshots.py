@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cdc
 
+#: Parts of a document's state; an entity's name tells which.
+BLOCKS = 256
 CHANGES = "doc_id string, version long, label string, id string, change string"
 
 
@@ -22,7 +26,8 @@ def stream_changes(versions: DataFrame) -> DataFrame:
     Of an entity that a version lists twice the last one counts.  Null documents and versions are left out.
 
     State per document is a map from entity to a digest of its properties, which a document's size bounds,
-    not the number of versions.  Needs the RocksDB state store; state survives a restart from the checkpoint.
+    not the number of versions.  It lies in at most ``BLOCKS`` packed parts, each read once and written at most once in a
+    micro-batch, since a call to the state store costs far more than an entity.  Needs the RocksDB state store; state survives a restart from the checkpoint.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,27 +35,44 @@ def stream_changes(versions: DataFrame) -> DataFrame:
     class Snapshots(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.version = handle.getValueState("version", "version long")
-            self.entities = handle.getMapState("entities", "label string, id string", "digest string")
+            self.blocks = handle.getMapState("blocks", "block int", "entities string")
 
         def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
             frame = pd.concat(list(rows)).sort_values(["version", "position"], kind="stable")
-            last = int(self.version.get()[0]) if self.version.exists() else None
+            first = last = int(self.version.get()[0]) if self.version.exists() else None
+            held: dict[int, dict[tuple[str, str], str]] = {}
+            if last is not None and self.blocks.exists():
+                held = {k[0]: {(a, b): d for a, b, d in json.loads(v[0])} for k, v in self.blocks.iterator()}
+            stored, dirty = set(held), set()
+            old = {entity: digest for block in held.values() for entity, digest in block.items()}
             out = []
+
+            def block_of(entity):
+                n = zlib.crc32("\0".join(entity).encode()) % BLOCKS
+                dirty.add(n)
+                return held.setdefault(n, {})
+
             for version, part in frame.groupby("version", sort=True):
                 if last is not None and version <= last:
                     continue
                 last = int(version)
                 # a row without a position tells of a version without entities
                 new = {(a, b): d for a, b, d, at in zip(part["label"], part["id"], part["digest"], part["position"]) if at >= 0}
-                old = {tuple(k): v[0] for k, v in self.entities.iterator()} if self.entities.exists() else {}
                 for entity, digest in new.items():
                     if old.get(entity) != digest:
                         out.append((last, *entity, "modified" if entity in old else "added"))
-                        self.entities.updateValue(entity, (digest,))
+                        block_of(entity)[entity] = digest
                 for entity in old.keys() - new.keys():
                     out.append((last, *entity, "deleted"))
-                    self.entities.removeKey(entity)
+                    del block_of(entity)[entity]
+                old = new
+            if last != first:
                 self.version.update((last,))
+            for n in dirty:
+                if held[n]:
+                    self.blocks.updateValue((n,), (json.dumps([(*e, d) for e, d in held[n].items()]),))
+                elif n in stored:
+                    self.blocks.removeKey((n,))
             yield pd.DataFrame({"doc_id": [str(key[0])] * len(out), "version": [r[0] for r in out], "label": [r[1] for r in out], "id": [r[2] for r in out], "change": [r[3] for r in out]})
 
         def close(self) -> None:

@@ -83,3 +83,18 @@ def test_idle_rings_expire(spark, tmp_path):
     emitted = spark.read.parquet(f"{tmp_path}/idle")
     assert emitted.filter("key = 'a' and size = 0").count() == 1
     assert {(r.key, r.tie, r.evicted) for r in rings.newest_rings(emitted).collect()} == {("a", "5", 1), ("b", "4", 0), ("b", "3", 0), ("b", "2", 0)}
+
+
+def test_a_large_document_is_few_entries_of_state(spark, tmp_path):
+    schema = f"doc_id string, version long, entities {ENTITY}"
+    rows = [("d", v, [("L", f"n{i}", {"p": str(i % v)}, {}) for i in range(0, 3000, v)]) for v in (1, 2, 3)]
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    for chosen in (rows[:2], rows[2:]):
+        spark.createDataFrame(chosen, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        save = lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")
+        query = snapshots.stream_changes(stream()).writeStream.foreachBatch(save).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        assert query.exception() is None
+        assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= snapshots.BLOCKS + 2
+    got = spark.read.parquet(f"{tmp_path}/out").select("doc_id", "version", "label", "id", "change")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, snapshots.changes_between(spark.createDataFrame(rows, schema)).collect()))
