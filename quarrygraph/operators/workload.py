@@ -17,8 +17,8 @@ LEAST_REPEATS = 3
 MOST_WORDS = 15
 
 
-def _made(df: DataFrame, category: str, query: Column, expected: Column, mode: str, seq: Column) -> DataFrame:
-    return df.select(F.lit(category).alias("category"), query.alias("query"), expected.alias("expected"), F.lit(mode).alias("mode"), seq.cast("long").alias("seq"))
+def _made(df: DataFrame, category: str, query: Column, expected: Column, mode: str, seq: Column, *more) -> DataFrame:
+    return df.select(F.lit(category).alias("category"), query.alias("query"), expected.alias("expected"), F.lit(mode).alias("mode"), seq.cast("long").alias("seq"), *more)
 
 
 def id_lookups(rows: DataFrame, n: int) -> DataFrame:
@@ -36,16 +36,16 @@ def fraud_lists(rows: DataFrame, n: int) -> DataFrame:
     return _made(first, "fraud-list", F.concat(F.lit("Show me all fraud claims under policy "), "policy"), F.col("claims"), "exact", F.col("first"))
 
 
-def thresholds(rows: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
-    """Claims above a value half-way between two distinct amounts, for each share of them.
+def cuts(rows: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame | None:
+    """``i, share, t``: values half-way between two distinct amounts, for each share of them; None for fewer than two.
 
     Places among the distinct amounts come from running counts per range of values, so that no task
-    sorts them all.  ``expected`` holds what lies above: the answer itself.
+    sorts them all.
     """
     values = rows.filter("amount is not null").select("amount").distinct()
     bounds = values.agg(F.min("amount").alias("lo"), F.max("amount").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if not bounds["n"] or bounds["n"] < 2:
-        return _made(rows.limit(0), "amount-threshold", F.lit(""), F.array("claim"), "top-k", F.col("row"))
+        return None
     cells = 1024
     width = (bounds["hi"] - bounds["lo"]) / cells
     binned = values.withColumn("bin", F.least(F.floor((F.col("amount") - bounds["lo"]) / width), F.lit(cells - 1)).cast("int"))
@@ -55,11 +55,21 @@ def thresholds(rows: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame
     wanted = [(i, s, max(1, min(int(bounds["n"] * s) + 1, bounds["n"] - 1))) for i, s in enumerate(shares)]
     asked = rows.sparkSession.createDataFrame(wanted, "i int, share double, at long")
     pair = ranked.join(F.broadcast(asked), (F.col("rn") == F.col("at")) | (F.col("rn") == F.col("at") + 1))
-    cut = pair.groupBy("i", "share").agg(((F.min("amount") + F.max("amount")) / 2).alias("t"))
+    return pair.groupBy("i", "share").agg(((F.min("amount") + F.max("amount")) / 2).alias("t"))
+
+
+def _over(t: Column) -> Column:
+    return F.concat(F.lit("Show me all claims with Amount over "), F.regexp_replace(F.format_string("%.4f", t), r"\.?0+$", ""))
+
+
+def thresholds(rows: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """Claims above each of the ``cuts``.  ``expected`` holds what lies above: the answer itself."""
+    cut = cuts(rows, shares)
+    if cut is None:
+        return _made(rows.limit(0), "amount-threshold", F.lit(""), F.array("claim"), "top-k", F.col("row"))
     # a handful of cuts: every row meets them in one pass
     over = rows.join(F.broadcast(cut), F.col("amount") > F.col("t")).groupBy("i", "t").agg(F.sort_array(F.collect_set("claim")).alias("claims"))
-    text = F.concat(F.lit("Show me all claims with Amount over "), F.regexp_replace(F.format_string("%.4f", F.col("t")), r"\.?0+$", ""))
-    return _made(over, "amount-threshold", text, F.col("claims"), "top-k", F.col("i"))
+    return _made(over, "amount-threshold", _over(F.col("t")), F.col("claims"), "top-k", F.col("i"))
 
 
 def frequent_words(rows: DataFrame, most: int = MOST_WORDS, least: int = LEAST_REPEATS) -> DataFrame:
@@ -80,14 +90,51 @@ def build(rows: DataFrame, target: int) -> DataFrame:
 
     A quarter may be fraud lists; the rest is look-ups, thresholds and keywords, in that order.
     """
-    parts = [id_lookups(rows, max(1, target // 2)), fraud_lists(rows, target // 4), thresholds(rows), keywords(rows)]
+    every = [id_lookups(rows, max(1, target // 2)), fraud_lists(rows, target // 4), thresholds(rows), keywords(rows)]
+    return _cut_to(every, target).select("qid", "category", "query", "expected", "mode")
+
+
+def build_unlisted(rows: DataFrame, target: int) -> DataFrame:
+    """``build`` without the lists of thresholds and keywords, which are as long as the table: plus ``over`` and ``term``.
+
+    Their ``expected`` is empty; ``over`` or ``term`` says which claims it stands for (see ``listed``).
+    """
+    none, nothing = F.array().cast("array<string>"), F.lit(None)
+    plain = [p.withColumn("over", nothing.cast("double")).withColumn("term", nothing.cast("string")) for p in (id_lookups(rows, max(1, target // 2)), fraud_lists(rows, target // 4))]
+    cut, terms = cuts(rows), frequent_words(rows)
+    if cut is not None:
+        cut = _made(cut.withColumn("over", F.col("t")), "amount-threshold", _over(F.col("t")), none, "top-k", F.col("i"), "over", nothing.cast("string").alias("term"))
+        plain.append(cut)
+    plain.append(_made(terms, "keyword", F.concat(F.lit("Show me all claims with cause "), "term"), none, "top-k", -F.col("n"), nothing.cast("double").alias("over"), "term"))
+    return _cut_to(plain, target).select("qid", "category", "query", "expected", "mode", "over", "term")
+
+
+def listed(asked: DataFrame, rows: DataFrame, results: DataFrame) -> DataFrame:
+    """``build_unlisted``'s questions with ``expected``: of a threshold or keyword those of its claims that the results name.
+
+    That is what ``evaluate.hits`` asks of a top-k list; claims that no result names are left out, so that of ``judge``'s columns
+    ``expected_total`` and what is missing do not count them.  ``results``: as in ``judge``; their ids meet the rows, no list is made of the rows.
+    """
+    none = F.array().cast("array<string>")
+    ids = F.array_union(F.array_union(*[F.coalesce(c, none) for c in ("retrieved", "kept")]), F.coalesce("seeds", none))
+    wide = asked.filter("over is not null or term is not null").select("qid", "over", "term")
+    named = results.select("qid", F.explode(ids).alias("claim")).join(wide, "qid")
+    amounts = rows.select("claim", "amount", F.lower(F.trim("word")).alias("word"))
+    met = named.join(amounts, "claim").filter((F.col("amount") > F.col("over")) | (F.col("word") == F.col("term")))
+    held = met.groupBy("qid").agg(F.sort_array(F.collect_set("claim")).alias("held"))
+    return asked.join(held, "qid", "left").select("qid", "category", "query", F.coalesce("held", "expected").alias("expected"), "mode")
+
+
+def _cut_to(parts: list[DataFrame], target: int) -> DataFrame:
+    """The first ``target`` of the builders' questions in their order, each asked once, with ``qid``."""
     every = None
     for i, p in enumerate(parts):
         p = p.withColumn("part", F.lit(i))
         every = p if every is None else every.union(p)
-    once = every.groupBy("category", "query").agg(F.min_by(F.struct("part", "seq", "expected", "mode"), F.struct("part", "seq")).alias("r"))
-    once = once.select("category", "query", "r.expected", "r.mode", "r.part", "r.seq").orderBy("part", "seq", "query").limit(target)
-    return once.withColumn("qid", F.row_number().over(Window.orderBy("part", "seq", "query"))).select("qid", "category", "query", "expected", "mode")
+    rest = [c for c in every.columns if c not in ("category", "query")]
+    once = every.groupBy("category", "query").agg(F.min_by(F.struct(*rest), F.struct("part", "seq")).alias("r"))
+    once = once.select("category", "query", "r.*").orderBy("part", "seq", "query").limit(target)
+    return once.withColumn("qid", F.row_number().over(Window.orderBy("part", "seq", "query")))
 
 
 MOST_MATCHES, MOST_EXPECTED = 500, 3000
