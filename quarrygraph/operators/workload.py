@@ -245,14 +245,31 @@ def document_truth(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
 
     A policy, claim or endorsement is a document under its own id; an endorsement's has no relation.
     """
-    stated = F.col("type").isin([*STATED])
-    owner = F.when(F.col("type").isin([k for k, (end, _) in STATED.items() if end == "src"]), F.col("src")).otherwise(F.col("dst"))
-    relations = edges.filter(stated).select(owner.alias("doc"), "src", "type", "dst").distinct()
+    rows = document_rows(nodes, edges)
+    entities = rows.filter("kind = 'entity'").select("doc", F.col("what").alias("label"), F.col("a").alias("id"))
+    return entities, rows.filter("kind = 'relation'").select("doc", F.col("a").alias("src"), F.col("what").alias("type"), F.col("b").alias("dst"))
+
+
+def document_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Both of ``document_truth`` in one: ``doc, kind, what, a, b``, an entity's id twice.
+
+    Edges are told apart once, by their own columns; a relation and the entity that it describes come from the same row.  Types
+    describe different labels, so that only an endorsement can be a document of its own and described too.
+    """
+    e = edges.filter(F.col("type").isin([*STATED])).select("src", "type", "dst").distinct()
+    owned = F.col("type").isin([k for k, (end, _) in STATED.items() if end == "src"])
+    owner, other = F.when(owned, F.col("src")).otherwise(F.col("dst")), F.when(owned, F.col("dst")).otherwise(F.col("src"))
     label = F.element_at(F.create_map(*[F.lit(x) for k, (_, lab) in STATED.items() if lab for x in (k, lab)]), F.col("type"))
-    other = F.when(F.col("doc") == F.col("src"), F.col("dst")).otherwise(F.col("src"))
-    described = relations.filter(F.col("type").isin([k for k, (_, lab) in STATED.items() if lab])).select("doc", label.alias("label"), other.alias("id"))
-    own = nodes.filter(F.col("label").isin(DOCUMENTS)).select(F.col("id").alias("doc"), "label", "id")
-    return own.union(described).distinct(), relations
+    row = lambda kind, what, a, b: F.struct(F.lit(kind).alias("kind"), what.alias("what"), a.alias("a"), b.alias("b"))
+    both = F.array_compact(F.array(row("relation", F.col("type"), F.col("src"), F.col("dst")), F.when(label.isNotNull(), row("entity", label, other, other))))
+    # an edge from a document to itself describes it, which its own row says already
+    twice = (F.col("r.kind") == "entity") & F.col("r.what").isin(DOCUMENTS)
+    stated = e.select(owner.alias("doc"), F.explode(both).alias("r"))
+    own = nodes.filter(F.col("label").isin(DOCUMENTS)).select("label", F.col("id"))
+    own = own.select(F.col("id").alias("doc"), F.lit("entity").alias("kind"), F.col("label").alias("what"), F.col("id").alias("a"))
+    again = edges.filter(F.col("type").isin([k for k, (_, lab) in STATED.items() if lab in DOCUMENTS])).select(owner.alias("doc"), F.lit("entity"), label, other)
+    own = own.union(again).distinct().select("*", F.col("a").alias("b"))
+    return stated.filter(~twice).select("doc", "r.*").union(own)
 
 
 def edge_suite(results: DataFrame) -> DataFrame:
